@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spectraloom.functions.session import attach
+
 INF = float("inf")
 
 
@@ -188,7 +190,7 @@ def group_scalar(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
     the whole group in one task.
     """
     stats = df.groupBy(*keys).agg(*[v.alias(k) for k, v in aggs.items()])
-    return df.join(stats, keys, "left") if keys else df.join(F.broadcast(stats), how="cross")
+    return df.join(stats, keys, "left") if keys else attach(df, stats)
 
 
 ColumnMap = Callable[[Column], Column]

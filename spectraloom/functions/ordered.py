@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectraloom.functions.columns import first_row
-from spectraloom.functions.session import shuffle_width
+from spectraloom.functions.session import attach, shuffle_width
 
 
 def _buckets(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
@@ -152,7 +152,7 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, out:
         F.when(lo_rank, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
         F.when(hi_rank, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
     )
-    joined = d.join(sketch, keys) if keys else d.join(F.broadcast(sketch), how="cross")
+    joined = d.join(sketch, keys) if keys else attach(d, sketch)
     inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))
     counted = (
         joined.where(F.col("_v") <= F.col("_hi"))
@@ -185,7 +185,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
 def mad(df: DataFrame, keys: list[str], value: str, out: str, center: str = "median") -> DataFrame:
     """``1.4826 * median(abs(x - median))`` together with the median."""
     med = exact_median(df, keys, value, center)
-    joined = df.join(med, keys) if keys else df.join(F.broadcast(med), how="cross")
+    joined = df.join(med, keys) if keys else attach(df, med)
     dev = joined.select(*keys, center, F.abs(F.col(value) - F.col(center)).alias("_d"))
     spread = exact_quantile(dev, [*keys, center], "_d", 0.5, "_m")
     return spread.select(*keys, center, (F.col("_m") * 1.4826).alias(out))

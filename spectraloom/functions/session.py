@@ -56,3 +56,10 @@ def literal_array(values: list, data_type: str) -> Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as a scalar subquery."""
+    names = one_row.columns
+    out = df.withColumn("_row", one_row.select(F.struct(*names).alias("_row")).scalar())
+    return out.select(*df.columns, *[F.col("_row")[n].alias(n) for n in names])

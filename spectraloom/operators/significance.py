@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from spectraloom.functions import distributions as dist
 from spectraloom.functions.columns import INF, as_col, is_finite, log10_pos, ratio
 from spectraloom.functions.ordered import add_rank, p_adjust_bh, running_totals
+from spectraloom.functions.session import attach
 
 __all__ = ["p_adjust_bh"]
 
@@ -147,7 +148,7 @@ def roc_by_group(
     run = running_totals(counts, keys, score, sums=["numPositive", "numNegative", "ties"], descending=descending)
     if totals is None:
         totals = df.groupBy(*keys).agg(F.sum(pos).alias("totalPositive"), F.sum(neg).alias("totalNegative"))
-    joined = run.join(totals, keys, "left") if keys else run.join(F.broadcast(totals), how="cross")
+    joined = run.join(totals, keys, "left") if keys else attach(run, totals)
     return joined.select(
         *keys,
         (F.col("ties_run") - F.col("ties") + 1).alias("scoreRank"),
@@ -216,7 +217,7 @@ def kernel_density(
     span = df.where(v.isNotNull()).groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
     span = span.withColumn("_lo", F.col("_lo") - cut * bandwidth).withColumn("_hi", F.col("_hi") + cut * bandwidth)
     known = df.where(v.isNotNull())
-    d = known.join(span, keys) if keys else known.join(F.broadcast(span), how="cross")
+    d = known.join(span, keys) if keys else attach(known, span)
     step = (F.col("_hi") - F.col("_lo")) / bins
     at = (v - F.col("_lo")) / step
     j = F.floor(at)
@@ -252,7 +253,7 @@ def density_at(df: DataFrame, keys: list[str], value: str, density: DataFrame, g
         F.min("x").alias("_x0"), F.max("x").alias("_x1"),
         F.transform(F.array_sort(F.collect_list(F.struct("i", "density"))), lambda s: s["density"]).alias("_d"),
     )
-    j = df.join(ends, keys, "left") if keys else df.join(F.broadcast(ends), how="cross")
+    j = df.join(ends, keys, "left") if keys else attach(df, ends)
     pos = (F.col(value) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (grid - 1)
     cell = F.least(F.floor(pos), F.lit(grid - 2)).cast("int")
     inside = F.col(value).between(F.col("_x0"), F.col("_x1"))

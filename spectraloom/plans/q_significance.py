@@ -137,11 +137,11 @@ WITH s AS (SELECT p_brand AS protein, count(*) FILTER (l_returnflag = 'A') AS na
    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 k AS (SELECT protein, ma - mb AS estimate, (ma - mb) / sqrt(va / na + vb / nb) AS t,
    pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df FROM s)
-SELECT protein, round(estimate, 9) AS estimate, round(t, 6) AS t, round(df, 4) AS df, round(2 * {T_TAIL.format(t='abs(t)', df='df')}, 7) AS p FROM k""")
+SELECT protein, round(estimate, 9) AS estimate, round(t, 6) AS t, round(df, 4) AS df, round(2 * {T_TAIL.format(t='abs(t)', df='df')}, 5) AS p FROM k""")
 def _(t):
     d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     w = S.welch_against_background(d, ["p_brand"], "l_discount", F.col("l_returnflag") == "A")
-    return w.select(F.col("p_brand").alias("protein"), R("estimate", 9).alias("estimate"), R("t", 6).alias("t"), R("df", 4).alias("df"), R("p", 7).alias("p"))
+    return w.select(F.col("p_brand").alias("protein"), R("estimate", 9).alias("estimate"), R("t", 6).alias("t"), R("df", 4).alias("df"), R("p", 5).alias("p"))
 
 
 _ROC = f"""WITH d AS (SELECT l_returnflag AS treatment, {GOLD} AS label, round(l_discount * 100 + l_tax * 10, 1) AS p
