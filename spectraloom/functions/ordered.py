@@ -2,8 +2,12 @@
 
 A window over a group that holds a third of all rows would sort that group in a
 single task. Everything here first reduces rows to one per (group, value) with a
-map-side combine, then cuts the value range into buckets at sampled bounds, runs
-the window inside (group, bucket) and adds the bucket totals, which are few.
+map-side combine. When that table is still large, the value range is cut into
+buckets at sampled bounds, the window runs inside (group, bucket) and the bucket
+totals, which are few, are added.
+
+Inputs are written once to the checkpoint folder: results are joined back on the
+value, and a value that comes from floating sums may differ when computed twice.
 """
 
 from __future__ import annotations
@@ -14,151 +18,126 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectraloom.functions.columns import first_row
-from spectraloom.functions.session import attach, shuffle_width
+from spectraloom.functions.session import attach, cut, shuffle_width
+
+# distinct (group, value) rows up to which one window task is no burden
+SMALL = 250_000
 
 
-def _buckets(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
+def _bucketed(df: DataFrame, value: str, buckets: int | None = None) -> tuple[DataFrame, bool]:
+    """Add ``_v`` and its bucket ``_b``; False when one bucket is enough."""
+    d = df.withColumn("_v", F.col(value).cast("double"))
     n = buckets or max(4, min(512, 2 * shuffle_width(df.sparkSession)))
     probs = [i / n for i in range(1, n)]
-    got = df.select(F.percentile_approx(F.col(value), probs, 20 * n)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(got)), float("inf")]
-    splits = [s for i, s in enumerate(splits) if i == 0 or s > splits[i - 1]]
-    if len(splits) < 3:
-        return df.withColumn("_b", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=value, outputCol="_b").transform(df)
+    rows, got = d.select(F.count(F.lit(1)), F.percentile_approx("_v", probs, 20 * n)).first()
+    splits = sorted(set(got or []))
+    if (buckets is None and rows <= SMALL) or not splits:
+        return d.withColumn("_b", F.lit(0.0)), False
+    return Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_v", outputCol="_b").transform(d), True
 
 
-def running_totals(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    sums: list[str] | None = None,
-    maxima: list[str] | None = None,
-    mins: list[str] | None = None,
-    descending: bool = False,
-    buckets: int | None = None,
-) -> DataFrame:
-    """Running sums / maxima / minima by ``value`` inside ``keys``.
-
-    ``df`` holds one row per (keys, value), value not null. Each ``x`` in
-    ``sums`` gains ``x_run`` (inclusive); same for ``maxima`` and ``mins``.
-    """
-    sums, maxima, mins = sums or [], maxima or [], mins or []
-    d = _buckets(df.withColumn("_v", F.col(value).cast("double")), "_v", buckets)
+def _running(d: DataFrame, split: bool, keys: list[str], aggs: dict[str, tuple[str, str]], descending: bool) -> DataFrame:
+    """Add running aggregates ``{out: (function, column)}`` over bucketed rows."""
+    kinds = {"sum": F.sum, "max": F.max, "min": F.min}
     order = F.col("_v").desc() if descending else F.col("_v").asc()
-    border = F.col("_b").desc() if descending else F.col("_b").asc()
     local = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    if not split:
+        return d.select("*", *[kinds[k](c).over(local).alias(o) for o, (k, c) in aggs.items()])
+    border = F.col("_b").desc() if descending else F.col("_b").asc()
     before = Window.partitionBy(*keys).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy(*keys, "_b").agg(
-        *[F.sum(c).alias(f"_s_{c}") for c in sums],
-        *[F.max(c).alias(f"_x_{c}") for c in maxima],
-        *[F.min(c).alias(f"_m_{c}") for c in mins],
-    )
+    totals = d.groupBy(*keys, "_b").agg(*[kinds[k](c).alias(o) for o, (k, c) in aggs.items()])
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_b").alias("_bb"),
-        *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_so_{c}") for c in sums],
-        *[F.max(f"_x_{c}").over(before).alias(f"_xo_{c}") for c in maxima],
-        *[F.min(f"_m_{c}").over(before).alias(f"_mo_{c}") for c in mins],
-    )
-    d = d.select(
-        "*",
-        *[F.sum(c).over(local).alias(f"_sl_{c}") for c in sums],
-        *[F.max(c).over(local).alias(f"_xl_{c}") for c in maxima],
-        *[F.min(c).over(local).alias(f"_ml_{c}") for c in mins],
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_bb"), *[kinds[k](o).over(before).alias(f"_off_{o}") for o, (k, _) in aggs.items()]
     )
+    d = d.select("*", *[kinds[k](c).over(local).alias(o) for o, (k, c) in aggs.items()])
     cond = F.col("_b") == F.col("_bb")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = d.join(offsets, cond, "inner")
-    return out.select(
-        *df.columns,
-        *[(F.col(f"_sl_{c}") + F.col(f"_so_{c}")).alias(f"{c}_run") for c in sums],
-        *[F.greatest(f"_xl_{c}", f"_xo_{c}").alias(f"{c}_run") for c in maxima],
-        *[F.least(f"_ml_{c}", f"_mo_{c}").alias(f"{c}_run") for c in mins],
-    )
+    d = d.join(offsets, cond, "inner")
+    join = {"sum": lambda o: F.col(o) + F.coalesce(f"_off_{o}", F.lit(0)), "max": lambda o: F.greatest(o, f"_off_{o}"), "min": lambda o: F.least(o, f"_off_{o}")}
+    d = d.withColumns({o: join[k](o) for o, (k, _) in aggs.items()})
+    return d.drop("_bb", *[f"_k_{k}" for k in keys], *[f"_off_{o}" for o in aggs])
+
+
+def running_totals(
+    df: DataFrame, keys: list[str], value: str, sums: list[str] | None = None, maxima: list[str] | None = None, mins: list[str] | None = None,
+    descending: bool = False, buckets: int | None = None,
+) -> DataFrame:
+    """Running sums / maxima / minima by ``value`` inside ``keys``.
+
+    ``df`` holds one row per (keys, value), value not null. Each ``x`` named
+    gains ``x_run`` (inclusive).
+    """
+    named = [("sum", c) for c in sums or []] + [("max", c) for c in maxima or []] + [("min", c) for c in mins or []]
+    d, split = _bucketed(df, value, buckets)
+    d = _running(d, split, keys, {f"{c}_run": (k, c) for k, c in named}, descending)
+    return d.select(*df.columns, *[f"{c}_run" for _, c in named])
+
+
+def _ties(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
 
 
 def rank_table(df: DataFrame, keys: list[str], value: str, descending: bool = False) -> DataFrame:
     """One row per (keys, value): ``ties``, ``rank_min``, ``rank_max``, ``rank_avg``."""
-    ties = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    run = running_totals(ties, keys, value, sums=["ties"], descending=descending)
+    run = running_totals(_ties(df, keys, value), keys, value, sums=["ties"], descending=descending)
     return run.select(
-        *keys,
-        value,
-        "ties",
-        (F.col("ties_run") - F.col("ties") + 1).alias("rank_min"),
-        F.col("ties_run").alias("rank_max"),
+        *keys, value, "ties", (F.col("ties_run") - F.col("ties") + 1).alias("rank_min"), F.col("ties_run").alias("rank_max"),
         (F.col("ties_run") - (F.col("ties") - 1) / 2).alias("rank_avg"),
     )
 
 
-def add_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, method: str = "min", descending: bool = False
-) -> DataFrame:
-    """Rank with ties min, max or average; null values get a null rank."""
-    ranks = rank_table(df, keys, value, descending).select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_v"), F.col(f"rank_{method}").alias(out)
-    )
-    cond = F.col(value) == F.col("_v")
+def _join_back(df: DataFrame, table: DataFrame, keys: list[str], value: str, outs: list[str]) -> DataFrame:
+    t = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_w"), *outs)
+    cond = F.col(value) == F.col("_w")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(ranks, cond, "left").drop("_v", *[f"_k_{k}" for k in keys])
+    return df.join(t, cond, "left").drop("_w", *[f"_k_{k}" for k in keys])
+
+
+def add_rank(df: DataFrame, keys: list[str], value: str, out: str, method: str = "min", descending: bool = False) -> DataFrame:
+    """Rank with ties min, max or average; null values get a null rank."""
+    df = cut(df)
+    return _join_back(df, rank_table(df, keys, value, descending).withColumnRenamed(f"rank_{method}", out), keys, value, [out])
 
 
 def p_adjust_bh(df: DataFrame, p: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Benjamini-Hochberg inside each ``by`` group; null p stays null and is not counted."""
     by = by or []
-    table = rank_table(df, by, p)
+    df = cut(df)
     n = df.where(F.col(p).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        table = table.join(n, by)
-    else:
-        table = table.withColumn("_n", F.lit(n.first()[0]))
-    table = table.withColumn("_q", F.col(p) * F.col("_n") / F.col("rank_max"))
-    table = running_totals(table, by, p, mins=["_q"], descending=True)
-    adj = table.select(
-        *[F.col(k).alias(f"_k_{k}") for k in by],
-        F.col(p).alias("_v"),
-        F.least(F.col("_q_run"), F.lit(1.0)).alias(out),
-    )
-    cond = F.col(p) == F.col("_v")
-    for k in by:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return df.join(adj, cond, "left").drop("_v", *[f"_k_{k}" for k in by])
+    ties = _ties(df, by, p)
+    d, split = _bucketed(ties.join(n, by) if by else attach(ties, n), p)
+    d = _running(d, split, by, {"_rank": ("sum", "ties")}, False).withColumn("_q", F.col("_v") * F.col("_n") / F.col("_rank"))
+    d = _running(d, split, by, {"_adj": ("min", "_q")}, True)
+    return _join_back(df, d.withColumn(out, F.least("_adj", F.lit(1.0))), by, p, [out])
 
 
-def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, out: str, accuracy: int = 10_000) -> DataFrame:
+def exact_quantile(
+    df: DataFrame, keys: list[str], value: str, prob: float, out: str, accuracy: int = 10_000, stable: bool = False
+) -> DataFrame:
     """Exact interpolated quantile (type 7) per group, safe for a huge group.
 
     A mergeable sketch brackets the quantile; one more pass counts the rows
     below the bracket and sorts only the distinct values inside it, about
-    4/accuracy of the group. A rank that
-    falls outside the bracket raises instead of giving a near answer.
+    4/accuracy of the group. A rank that falls outside the bracket raises
+    instead of giving a near answer. ``stable`` says the values read the same
+    twice (no floating sums behind them), so they need not be written first.
     """
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    d = d if stable else cut(d)
     pad = 2.0 / accuracy
+    low, high = max(0.0, prob - pad), min(1.0, prob + pad)
     sketch = d.groupBy(*keys).agg(
-        F.percentile_approx("_v", [max(0.0, prob - pad), min(1.0, prob + pad)], accuracy).alias("_q"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
+        F.percentile_approx("_v", [low, high], accuracy).alias("_q"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
     )
-    lo_rank = F.lit(max(0.0, prob - pad)) * F.col("_n") <= 2
-    hi_rank = F.lit(1.0 - min(1.0, prob + pad)) * F.col("_n") <= 2
     sketch = sketch.select(
-        *keys,
-        "_n",
-        F.when(lo_rank, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
-        F.when(hi_rank, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
+        *keys, "_n", F.when(F.lit(low) * F.col("_n") <= 2, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
+        F.when(F.lit(1.0 - high) * F.col("_n") <= 2, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
     )
     joined = d.join(sketch, keys) if keys else attach(d, sketch)
-    inside = F.when(F.col("_v").between(F.col("_lo"), F.col("_hi")), F.col("_v"))
-    counted = (
-        joined.where(F.col("_v") <= F.col("_hi"))
-        .groupBy(*keys, inside.alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    )
+    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
+    counted = joined.where(F.col("_v") <= F.col("_hi")).groupBy(*keys, inside.alias("_x")).agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     seen = Window.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     target = (F.col("_n") - 1) * F.lit(prob)
     ranked = counted.withColumn("_seen", F.sum("_c").over(seen))
@@ -178,37 +157,34 @@ def exact_quantile(df: DataFrame, keys: list[str], value: str, prob: float, out:
     )
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    return exact_quantile(df, keys, value, 0.5, out)
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str, stable: bool = False) -> DataFrame:
+    return exact_quantile(df, keys, value, 0.5, out, stable=stable)
 
 
-def mad(df: DataFrame, keys: list[str], value: str, out: str, center: str = "median") -> DataFrame:
+def mad(df: DataFrame, keys: list[str], value: str, out: str, center: str = "median", stable: bool = False) -> DataFrame:
     """``1.4826 * median(abs(x - median))`` together with the median."""
-    med = exact_median(df, keys, value, center)
-    joined = df.join(med, keys) if keys else attach(df, med)
-    dev = joined.select(*keys, center, F.abs(F.col(value) - F.col(center)).alias("_d"))
-    spread = exact_quantile(dev, [*keys, center], "_d", 0.5, "_m")
-    return spread.select(*keys, center, (F.col("_m") * 1.4826).alias(out))
+    d = df.select(*keys, value)
+    d = d if stable else cut(d)
+    med = cut(exact_median(d, keys, value, center, stable=True))
+    joined = d.join(med, keys) if keys else attach(d, med)
+    dev = joined.select(*keys, F.abs(F.col(value) - F.col(center)).alias("_d"))
+    spread = exact_quantile(dev, keys, "_d", 0.5, "_m", stable=True)
+    out_df = spread.join(med, keys) if keys else attach(spread, med)
+    return out_df.select(*keys, center, (F.col("_m") * 1.4826).alias(out))
 
 
 def ecdf(control: DataFrame, queries: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Share of control values <= each query value."""
-    both = (
-        control.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("c"))
-        .unionByName(queries.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("c", F.lit(0).cast("bigint")))
-        .groupBy(*keys, value)
-        .agg(F.sum("c").alias("c"))
-    )
+    control = cut(control.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")))
+    queries = cut(queries)
+    both = control.unionByName(
+        queries.where(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("c", F.lit(0).cast("bigint"))
+    ).groupBy(*keys, value).agg(F.sum("c").alias("c"))
     run = running_totals(both, keys, value, sums=["c"])
-    total = control.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if keys:
-        run = run.join(total, keys)
-    else:
-        run = run.withColumn("_n", F.lit(total.first()[0]))
+    total = control.groupBy(*keys).agg(F.sum("c").alias("_n"))
+    run = run.join(total, keys) if keys else attach(run, total)
     share = run.select(*keys, value, (F.col("c_run") / F.col("_n")).alias(out))
-    return queries.join(share, [*keys, value], "left")
+    return _join_back(queries, share, keys, value, [out])
 
 
 def best_per_group(df: DataFrame, keys: list[str], score: Column, ties: list[Column], largest: bool = True) -> DataFrame:
@@ -220,4 +196,3 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
     """First ``n`` rows per key; Spark's window group limit prunes on the map side."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-

@@ -280,52 +280,74 @@ def expected_heat(edges: DataFrame, heats: DataFrame, restart: float, observed_o
     return joined.select(*keys, "node", (F.col("heat") * factor).alias("expect_heat"))
 
 
+def _unit_columns(nodes: DataFrame, h: DataFrame, keys: list[str], observed_only: bool) -> DataFrame:
+    """Ones whose walk gives the operator's row sums: observed columns or all nodes, per key."""
+    seen = h.select(*keys, "node", F.lit(1.0).alias("heat"))
+    values = h.groupBy(*keys).agg(F.countDistinct("heat").alias("_v"))
+    flat = values.where((F.col("_v") <= 1) | F.lit(not observed_only))
+    if not keys:
+        return nodes.select("node", F.lit(1.0).alias("heat")) if not flat.isEmpty() else seen
+    some = seen.join(flat, keys, "left_anti")
+    sets = flat.agg(F.collect_list(F.struct(*keys)).alias("_sets"))
+    every = attach(nodes.select("node"), sets).select(F.explode("_sets").alias("_k"), "node")
+    return some.unionByName(every.select(*[F.col("_k")[k].alias(k) for k in keys], "node", F.lit(1.0).alias("heat")))
+
+
 def propagate_heats(
     edges: DataFrame, heats: DataFrame, restart: float, n_perm: int = 20_000, network_only: bool = False,
-    observed_only: bool = False, seed: int = 1, block: int = 500, tolerance: float = 1e-9,
+    observed_only: bool = False, seed: int = 1, block: int = 2000, tolerance: float = 1e-9,
 ) -> DataFrame:
     """Random-walk heats with a permutation test per node.
 
-    The observed heats and the permutations walk together as one keyed table, a
-    block of permutations at a time; each block leaves per-node counts and
-    moments. The median needs the values and is an approximate percentile
-    merged over blocks' values.
+    The observed heats (perm 0), the unit columns behind the expected heat
+    (perm -1) and the permutations walk together as one keyed table, a block of
+    permutations at a time. The median is an approximate percentile over the
+    permuted values of a node.
     """
     nodes, h = _prepared(edges, heats, [])
-    observed = cut(random_walk(edges, h, restart, tolerance=tolerance))
-    diag = cut(self_heat(edges, nodes, restart, tolerance)) if network_only else None
-    beat = nodes.select("node").join(observed, "node", "left").join(h.withColumnRenamed("heat", "heat0"), "node", "left").na.fill(0.0, ["heat", "heat0"])
-    if diag is not None:
-        beat = beat.join(diag, "node").withColumn("self", F.col("self") * F.col("heat0"))
-    else:
-        beat = beat.withColumn("self", F.lit(0.0))
-    beat = cut(beat.withColumn("beat", F.col("heat") - F.col("self")))
-    everything = None
+    n = nodes.count()
+    total, n_obs, n_values = h.agg(F.sum("heat"), F.count(F.lit(1)), F.countDistinct("heat")).first()
+    only = observed_only and n_values > 1
+    first = h.select(F.lit(0).alias("perm"), "node", "heat").unionByName(
+        _unit_columns(nodes, h, [], observed_only).select(F.lit(-1).alias("perm"), "node", "heat")
+    )
     perms = permuted_heats(nodes, h, [], n_perm, seed, observed_only)
+    walked = None
     for start in range(0, n_perm, block):
-        part = cut(perms.where((F.col("perm") > start) & (F.col("perm") <= start + block)))
-        walked = random_walk(edges, part, restart, ["perm"], tolerance)
-        if diag is not None:
-            own = part.join(diag, "node").select("perm", "node", (F.col("heat") * F.col("self")).alias("_own"))
-            walked = walked.join(own, ["perm", "node"], "left").select("perm", "node", (F.col("heat") - F.coalesce("_own", F.lit(0.0))).alias("heat"))
-        everything = walked if everything is None else everything.unionByName(walked)
-    # heat reaches every node of a connected network; elsewhere absent means zero
-    joined = everything.join(beat.select("node", "beat"), "node")
+        part = perms.where((F.col("perm") > start) & (F.col("perm") <= start + block))
+        part = part if start else part.unionByName(first)
+        done = random_walk(edges, part, restart, ["perm"], tolerance)
+        walked = done if walked is None else walked.unionByName(done)
+    walked = cut(walked)
+    start_heat = h.withColumnRenamed("heat", "heat0")
+    observed = walked.where(F.col("perm") == 0).select("node", "heat")
+    factor = total / n * (n / n_obs if only else 1.0)
+    expect = walked.where(F.col("perm") == -1).select("node", (F.col("heat") * factor).alias("expect_heat"))
+    beat = nodes.select("node").join(observed, "node", "left").join(start_heat, "node", "left").join(expect, "node", "left").na.fill(0.0)
+    permuted = walked.where(F.col("perm") > 0)
+    if network_only:
+        diag = cut(self_heat(edges, nodes, restart, tolerance))
+        beat = beat.join(diag, "node").withColumn("self_heat", F.col("self") * F.col("heat0")).drop("self")
+        own = perms.join(diag, "node").select("perm", "node", (F.col("heat") * F.col("self")).alias("_own"))
+        permuted = permuted.join(own, ["perm", "node"], "left").select("perm", "node", (F.col("heat") - F.coalesce("_own", F.lit(0.0))).alias("heat"))
+    else:
+        beat = beat.withColumn("self_heat", F.lit(0.0))
+    beat = cut(beat.withColumn("beat", F.col("heat") - F.col("self_heat")))
+    joined = permuted.join(beat.select("node", "beat"), "node")
     stats = joined.groupBy("node").agg(
         F.sum((F.col("heat") >= F.col("beat") - 1e-12).cast("bigint")).alias("_above"), F.count(F.lit(1)).alias("_seen"),
-        F.sum("heat").alias("_s"), F.sum(F.col("heat") * F.col("heat")).alias("_ss"), F.percentile_approx("heat", 0.5, 10_000).alias("median_perm_heat"),
+        F.avg("heat").alias("_m"), F.stddev_samp("heat").alias("_sd"), F.percentile_approx("heat", 0.5, 10_000).alias("median_perm_heat"),
     )
-    d = beat.join(stats, "node", "left").na.fill(0, ["_above", "_seen"]).na.fill(0.0, ["_s", "_ss"])
+    d = beat.join(stats, "node", "left").na.fill(0, ["_above", "_seen"])
+    # heat reaches all of a connected network; a node no permutation reached counts as zero heat
     zero_hits = F.when(F.col("beat") <= 0, n_perm - F.col("_seen")).otherwise(0)
-    mean = F.col("_s") / n_perm
     d = d.select(
-        "node", "heat0", F.col("heat").alias("prop_heat"), "self", "beat",
-        ((F.col("_above") + zero_hits) / n_perm).alias("pvalue"), mean.alias("mean_perm_heat"), "median_perm_heat",
-        F.sqrt(F.greatest(F.lit(0.0), (F.col("_ss") - n_perm * mean * mean) / max(n_perm - 1, 1))).alias("sd_perm_heat"),
+        "node", "heat0", F.col("heat").alias("prop_heat"), "self_heat", "beat", "expect_heat",
+        ((F.col("_above") + zero_hits) / n_perm).alias("pvalue"),
+        F.col("_m").alias("mean_perm_heat"), "median_perm_heat", F.col("_sd").alias("sd_perm_heat"),
     )
     d = p_adjust_bh(cut(d), "pvalue", "adj_pvalue")
-    d = d.withColumn("z", ratio(F.col("beat") - F.col("mean_perm_heat"), F.col("sd_perm_heat")))
-    return d.join(expected_heat(edges, heats, restart, observed_only), "node", "left").drop("beat")
+    return d.withColumn("z", ratio(F.col("beat") - F.col("mean_perm_heat"), F.col("sd_perm_heat"))).drop("beat")
 
 
 def propagate_multi(
@@ -337,21 +359,22 @@ def propagate_multi(
     n = nodes.count()
     total = h.groupBy(set_key).agg(F.sum("heat").alias("_t"))
     h = cut(h.join(total, set_key).select(set_key, "node", (n * F.col("heat") / F.col("_t")).alias("heat")))
-    expect = cut(expected_heat(edges, h, restart, observed_only, [set_key]))
-
-    def score(walked: DataFrame, by: list[str]) -> DataFrame:
-        j = walked.join(expect, [set_key, "node"])
-        log = F.when((F.col("heat") > 0) & (F.col("expect_heat") > 0), F.log2(F.col("heat")) - F.log2(F.col("expect_heat")))
-        return j.groupBy(*by, "node").agg(F.sum(log).alias("score"))
-
-    actual = cut(score(random_walk(edges, h, restart, [set_key], tolerance), []))
-    perms = permuted_heats(nodes, h, [set_key], n_perm, seed, observed_only)
-    permuted = score(random_walk(edges, perms, restart, [set_key, "perm"], tolerance), ["perm"])
-    above = permuted.join(actual.withColumnRenamed("score", "beat"), "node").groupBy("node").agg(
-        (F.sum((F.col("score") >= F.col("beat") - 1e-12).cast("bigint")) / n_perm).alias("pvalue")
+    observed = h.groupBy(set_key).agg(F.count(F.lit(1)).alias("_obs"), F.countDistinct("heat").alias("_v"))
+    start = h.select(set_key, F.lit(0).alias("perm"), "node", "heat").unionByName(
+        _unit_columns(nodes, h, [set_key], observed_only).select(set_key, F.lit(-1).alias("perm"), "node", "heat")
+    )
+    start = start.unionByName(permuted_heats(nodes, h, [set_key], n_perm, seed, observed_only))
+    walked = random_walk(edges, start, restart, [set_key, "perm"], tolerance)
+    factor = F.when(F.lit(observed_only) & (F.col("_v") > 1), F.lit(float(n)) / F.col("_obs")).otherwise(1.0)
+    expect = walked.where(F.col("perm") == -1).join(observed, set_key).select(set_key, "node", (F.col("heat") * factor).alias("expect_heat"))
+    j = walked.where(F.col("perm") >= 0).join(expect, [set_key, "node"])
+    log = F.when((F.col("heat") > 0) & (F.col("expect_heat") > 0), F.log2(F.col("heat")) - F.log2(F.col("expect_heat")))
+    scores = cut(j.groupBy("perm", "node").agg(F.sum(log).alias("score")))
+    actual = scores.where(F.col("perm") == 0).select("node", F.col("score").alias("beat"))
+    above = scores.where(F.col("perm") > 0).join(actual, "node").groupBy("node").agg(
+        F.first("beat").alias("log2_prop_vs_expected"), (F.sum((F.col("score") >= F.col("beat") - 1e-12).cast("bigint")) / n_perm).alias("pvalue")
     )
-    out = actual.join(above, "node", "left").select("node", F.col("score").alias("log2_prop_vs_expected"), "pvalue")
-    return p_adjust_bh(cut(out), "pvalue", "adj_pvalue")
+    return p_adjust_bh(cut(above), "pvalue", "adj_pvalue")
 
 
 def heat_contributions(edges: DataFrame, heats: DataFrame, targets: DataFrame, restart: float, network_only: bool = False, tolerance: float = 1e-9) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from spectraloom.functions import distributions as dist
 from spectraloom.functions.columns import INF, as_col, is_finite, log10_pos, ratio
 from spectraloom.functions.ordered import add_rank, p_adjust_bh, running_totals
-from spectraloom.functions.session import attach
+from spectraloom.functions.session import attach, cut
 
 __all__ = ["p_adjust_bh"]
 
@@ -181,6 +181,7 @@ def score_by_gold_standard(
     group, and likewise for interactors; the best ratio seen at any lower score
     carries upward.
     """
+    df = cut(df)
     is_decoy = (F.col(label) == "decoy").cast("bigint")
     is_int = (F.col(label) == "interactor").cast("bigint")
     c = df.where(F.col(score).isNotNull()).groupBy(group, score).agg(F.sum(is_decoy).alias("nd"), F.sum(is_int).alias("ni"))

@@ -10,9 +10,9 @@ from spectraloom.plans.registry import query
 R = F.round
 
 # Tail areas for the SQL side come from Simpson sums, independent of the series used in Spark.
-T_TAIL = """(exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * (pi() / 2 - atan({t} / sqrt({df}))) / 3000.0 *
-  list_sum(list_transform(range(0, 1001), lambda i: CASE WHEN i IN (0, 1000) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END *
-    pow(abs(cos(atan({t} / sqrt({df})) + (pi() / 2 - atan({t} / sqrt({df}))) * i / 1000.0)), {df} - 1))))"""
+T_TAIL = """(exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * (pi() / 2 - atan({t} / sqrt({df}))) / 6000.0 *
+  list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END *
+    pow(abs(cos(atan({t} / sqrt({df})) + (pi() / 2 - atan({t} / sqrt({df}))) * i / 2000.0)), {df} - 1))))"""
 NORMAL_TWO_SIDED = """(2 / sqrt(pi()) * exp(-({z}) * ({z}) / 2) * 8 / 3000.0 *
   list_sum(list_transform(range(0, 1001), lambda i: CASE WHEN i IN (0, 1000) THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END *
     exp(-pow(i * 0.008, 2) - 2 * i * 0.008 * abs({z}) / sqrt(2.0)))))"""

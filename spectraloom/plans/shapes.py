@@ -293,3 +293,45 @@ def links(t: Tables) -> DataFrame:
         (F.sum(F.col("l_quantity").cast("bigint")) * 8).alias("combined_score"),
         (F.count(F.lit(1)) * 300).alias("experimental"),
     )
+
+
+# --- site results and kinase knowledge ------------------------------------------
+
+cte("site_results", """
+  SELECT p_brand || '_S' || CAST(p_size AS VARCHAR) || ';' || p_brand || '_T' || CAST(p_partkey AS VARCHAR) AS Protein, Label, log2FC, pvalue
+  FROM results JOIN part ON Protein = 'P' || CAST(p_partkey AS VARCHAR)""", "results")
+
+
+def site_results(t: Tables) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    packed = F.concat("p_brand", F.lit("_S"), F.col("p_size").cast("string"), F.lit(";"), "p_brand", F.lit("_T"), key)
+    return results(t).join(t.part, F.col("Protein") == F.concat(F.lit("P"), key)).select(packed.alias("Protein"), "Label", "log2FC", "pvalue")
+
+
+cte("kinase_data", """
+  SELECT 'K_' || p_type || '_' || CAST(p_size % 7 AS VARCHAR) AS "CTRL_GENE_NAME", p_brand AS "TARGET_GENE_NAME", 'S' AS "TARGET_RES", p_size AS "TARGET_POS",
+         p_brand AS "TARGET_UP_ID" FROM part""")
+
+
+def kinase_data(t: Tables) -> DataFrame:
+    return t.part.select(
+        F.concat(F.lit("K_"), "p_type", F.lit("_"), (F.col("p_size") % 7).cast("string")).alias("CTRL_GENE_NAME"),
+        F.col("p_brand").alias("TARGET_GENE_NAME"), F.lit("S").alias("TARGET_RES"), F.col("p_size").alias("TARGET_POS"), F.col("p_brand").alias("TARGET_UP_ID"),
+    )
+
+
+# --- sequences and peptides -----------------------------------------------------
+
+cte("seqs", """SELECT 'D' || CAST(doc_id AS VARCHAR) AS uniprot, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents""")
+cte("peps", """SELECT uniprot, sequence, substr(sequence, 1 + CAST(substr(uniprot, 2) AS INTEGER) % 50, 12) AS clean FROM seqs""", "seqs")
+
+
+def seqs(t: Tables) -> DataFrame:
+    return t.documents.select(
+        F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("uniprot"), F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence")
+    )
+
+
+def peps(t: Tables) -> DataFrame:
+    """Twelve-letter stretches of each sequence, whole sequence kept alongside."""
+    return seqs(t).withColumn("clean", F.expr("substring(sequence, 1 + cast(substring(uniprot, 2) as int) % 50, 12)"))
