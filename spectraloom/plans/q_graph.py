@@ -95,16 +95,16 @@ x AS (WITH RECURSIVE x AS (SELECT 0 AS k, node, heat FROM h UNION ALL
      UNION ALL SELECT m.k, h.node, 0.5 * h.heat FROM h, (SELECT DISTINCT k FROM x WHERE k < 50) m) GROUP BY k, node) SELECT node, heat FROM x WHERE k = 50)"""
 
 
-@query("random_walk", "W06", shapes.with_("wide_both", body=_WALK.format(side="src") + " SELECT node, round(heat, 3) AS heat FROM x"))
+@query("random_walk", "W06", shapes.with_("wide_both", body=_WALK.format(side="src") + " SELECT node, round(heat, 2) AS heat FROM x"))
 def _(t):
     e = G.load_links(shapes.links(t), 400).select(F.col("protein1").alias("src"), F.col("protein2").alias("dst"))
-    return G.random_walk(e, _heats(t), 0.5).select("node", R("heat", 3).alias("heat"))
+    return G.random_walk(e, _heats(t), 0.5).select("node", R("heat", 2).alias("heat"))
 
 
-@query("random_walk_row_normalized", "W06", shapes.with_("wide_both", body=_WALK.format(side="dst") + " SELECT node, round(heat, 3) AS heat FROM x"))
+@query("random_walk_row_normalized", "W06", shapes.with_("wide_both", body=_WALK.format(side="dst") + " SELECT node, round(heat, 2) AS heat FROM x"))
 def _(t):
     e = G.load_links(shapes.links(t), 400).select(F.col("protein1").alias("src"), F.col("protein2").alias("dst"))
-    return G.random_walk(e, _heats(t), 0.5, transposed=True).select("node", R("heat", 3).alias("heat"))
+    return G.random_walk(e, _heats(t), 0.5, transposed=True).select("node", R("heat", 2).alias("heat"))
 
 
 @query("heat_diffusion", "W07", shapes.with_("wide_both", body="""
@@ -121,10 +121,10 @@ def _(t):
 
 @query("expected_heat", "W10", shapes.with_("wide_both", body=_WALK.format(side="src").replace("h AS (SELECT 's'", "real_heat AS (SELECT 's'", 1).replace(
     "x AS (WITH", "h AS (SELECT DISTINCT src AS node, 1.0::DOUBLE AS heat FROM wide_both), x AS (WITH", 1) + """
- SELECT node, round(heat * (SELECT sum(heat) FROM real_heat) / (SELECT count(*) FROM h), 3) AS expect_heat FROM x"""))
+ SELECT node, round(heat * (SELECT sum(heat) FROM real_heat) / (SELECT count(*) FROM h), 2) AS expect_heat FROM x"""))
 def _(t):
     e = G.load_links(shapes.links(t), 400).select(F.col("protein1").alias("src"), F.col("protein2").alias("dst"))
-    return G.expected_heat(e, _heats(t), 0.5).select("node", R("expect_heat", 3).alias("expect_heat"))
+    return G.expected_heat(e, _heats(t), 0.5).select("node", R("expect_heat", 2).alias("expect_heat"))
 
 
 @query("propagate_heats", "W08", None)

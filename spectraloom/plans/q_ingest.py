@@ -116,7 +116,7 @@ def _(t):
 
 @query("ptm_probability_filter", "C10 R67 R69", """
 WITH d AS (SELECT p_brand AS "ProteinName", p_type AS "PeptideSequence", p_size AS "PrecursorCharge", l_orderkey, l_linenumber, 0.6 + l_discount * 3 AS p FROM lineitem JOIN part ON l_partkey = p_partkey)
-SELECT * EXCLUDE (p) FROM d QUALIFY p > 0.75 OR (count(*) FILTER (p > 0.75) OVER w > count(*) OVER w / 2.0 AND count(*) OVER w > 10) WINDOW w AS (PARTITION BY "ProteinName", "PeptideSequence", "PrecursorCharge")""")
+SELECT * EXCLUDE (p) FROM d WINDOW w AS (PARTITION BY "ProteinName", "PeptideSequence", "PrecursorCharge") QUALIFY p > 0.75 OR (count(*) FILTER (p > 0.75) OVER w > count(*) OVER w / 2.0 AND count(*) OVER w > 10)""")
 def _(t):
     d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("ProteinName"), F.col("p_type").alias("PeptideSequence"), F.col("p_size").alias("PrecursorCharge"), "l_orderkey", "l_linenumber", (0.6 + F.col("l_discount") * 3).alias("p")

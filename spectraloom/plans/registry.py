@@ -14,6 +14,7 @@ class Registered:
     ids: tuple[str, ...]
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None
+    module: str
 
 
 REGISTRY: dict[str, Registered] = {}
@@ -25,7 +26,7 @@ def query(name: str, ids: str, sql: str | None = None):
     def wrap(fn: Callable[[Tables], DataFrame]):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Registered(name, tuple(ids.split()), lambda spark, sf: fn(Tables(spark, sf)), sql)
+        REGISTRY[name] = Registered(name, tuple(ids.split()), lambda spark, sf: fn(Tables(spark, sf)), sql, fn.__module__.rsplit('.', 1)[-1])
         return fn
 
     return wrap
