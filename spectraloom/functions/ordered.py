@@ -132,8 +132,9 @@ def exact_quantile(
         F.percentile_approx("_v", [low, high], accuracy).alias("_q"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
     )
     sketch = sketch.select(
-        *keys, "_n", F.when(F.lit(low) * F.col("_n") <= 2, F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
-        F.when(F.lit(1.0 - high) * F.col("_n") <= 2, F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
+        # a group whose padding spans under four ranks is small enough to sort whole
+        *keys, "_n", F.when((F.lit(low) * F.col("_n") <= 2) | (F.col("_n") * pad < 4), F.col("_min")).otherwise(F.col("_q")[0]).alias("_lo"),
+        F.when((F.lit(1.0 - high) * F.col("_n") <= 2) | (F.col("_n") * pad < 4), F.col("_max")).otherwise(F.col("_q")[1]).alias("_hi"),
     )
     joined = d.join(sketch, keys) if keys else attach(d, sketch)
     inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))

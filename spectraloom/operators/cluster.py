@@ -53,6 +53,7 @@ def linkage_on_line(points: DataFrame, keys: list[str], at: str, max_distance: f
     w = Window.partitionBy(*keys).orderBy(at)
     gap = (F.col(at) - F.lag(at).over(w)) > max_distance
     d = points.withColumn("_g", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    columns = points.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -72,8 +73,8 @@ def linkage_on_line(points: DataFrame, keys: list[str], at: str, max_distance: f
         label = np.zeros(len(x), dtype="int32")
         for c, members in enumerate(groups):
             label[members] = c
-        return pdf[points.columns].assign(_c=label, _g=pdf["_g"].iloc[0])
+        return pdf[columns].assign(_c=label, _g=pdf["_g"].iloc[0])
 
     linked = d.groupBy(*keys, "_g").applyInPandas(link, f"{fields}, _c int, _g bigint")
     rank = Window.partitionBy(*keys).orderBy("_g", "_c")
-    return linked.withColumn(out, F.dense_rank().over(rank)).select(*points.columns, out)
+    return linked.withColumn(out, F.dense_rank().over(rank)).select(*columns, out)

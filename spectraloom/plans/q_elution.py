@@ -211,8 +211,8 @@ def _(t):
 
 @query("good_peaks", "P21 R68", shapes.with_("pk", body="""
 , v AS (SELECT g.sample, g.protein, CAST(f AS INTEGER) AS fraction, coalesce(x, 0) AS x FROM (SELECT DISTINCT sample, protein FROM sec) g CROSS JOIN range(1, 51) r(f) LEFT JOIN tot t ON t.sample = g.sample AND t.protein = g.protein AND t.fraction = f),
-w AS (SELECT pk.sample, pk.protein, loc, h, sqrt(var_samp(x)) / avg(x) AS cv, bool_and(x > 0) FILTER (abs(fraction - loc) <= 2) AS full FROM pk JOIN v ON v.sample = pk.sample AND v.protein = pk.protein AND v.fraction BETWEEN loc - 4 AND loc + 4 GROUP BY ALL)
-SELECT sample, protein, loc AS "peakLocation", round(cv, 6) AS cv, h > 0.01 AND full AND cv > 0.2 AS "goodPeak" FROM w"""))
+w AS (SELECT pk.sample, pk.protein, loc, h, sqrt(var_samp(x)) / avg(x) AS cv, bool_and(x > 0) FILTER (abs(fraction - loc) <= 2) AS filled FROM pk JOIN v ON v.sample = pk.sample AND v.protein = pk.protein AND v.fraction BETWEEN loc - 4 AND loc + 4 GROUP BY ALL)
+SELECT sample, protein, loc AS "peakLocation", round(cv, 6) AS cv, h > 0.01 AND filled AND cv > 0.2 AS "goodPeak" FROM w"""))
 def _(t):
     return P.find_peaks(tot(t), "intensity_totalScaled").select("sample", "protein", "peakLocation", R("cv", 6).alias("cv"), "goodPeak")
 
@@ -313,8 +313,8 @@ def _(t):
 
 def _pairs_sql(center):
     return f"""
-, a AS (SELECT * FROM pk WHERE sample = 'AF'), at AS (SELECT protein, s AS start, min(loc) AS peak FROM (SELECT protein, loc, unnest(range(loc - 1, loc + 2)) AS s FROM a) WHERE s BETWEEN 7 AND 44 GROUP BY ALL),
-v AS (SELECT at.protein, start, CAST(f AS INTEGER) AS f, coalesce(x, 0) AS x FROM at CROSS JOIN range(1, 51) r(f) LEFT JOIN (SELECT * FROM tot WHERE sample = 'AF') t ON t.protein = at.protein AND t.fraction = f WHERE abs(f - start) <= 6),
+, a AS (SELECT * FROM pk WHERE sample = 'AF'), att AS (SELECT protein, s AS start, min(loc) AS peak FROM (SELECT protein, loc, unnest(range(loc - 1, loc + 2)) AS s FROM a) WHERE s BETWEEN 7 AND 44 GROUP BY ALL),
+v AS (SELECT att.protein, start, CAST(f AS INTEGER) AS f, coalesce(x, 0) AS x FROM att CROSS JOIN range(1, 51) r(f) LEFT JOIN (SELECT * FROM tot WHERE sample = 'AF') t ON t.protein = att.protein AND t.fraction = f WHERE abs(f - start) <= 6),
 r AS (SELECT a.start, a.protein AS p1, b.protein AS p2, {center} AS r FROM v a JOIN v b ON a.start = b.start AND a.f = b.f AND a.protein < b.protein GROUP BY ALL)
 SELECT start, p1 AS protein1, p2 AS protein2, round(r, 5) AS r FROM r WHERE r > 0.7"""
 

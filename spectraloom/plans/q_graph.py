@@ -98,13 +98,13 @@ x AS (WITH RECURSIVE x AS (SELECT 0 AS k, node, heat FROM h UNION ALL
 @query("random_walk", "W06", shapes.with_("wide_both", body=_WALK.format(side="src") + " SELECT node, round(heat, 2) AS heat FROM x"))
 def _(t):
     e = G.load_links(shapes.links(t), 400).select(F.col("protein1").alias("src"), F.col("protein2").alias("dst"))
-    return G.random_walk(e, _heats(t), 0.5).select("node", R("heat", 2).alias("heat"))
+    return G.random_walk(e, _heats(t), 0.5, tolerance=1e-12).select("node", R("heat", 2).alias("heat"))
 
 
 @query("random_walk_row_normalized", "W06", shapes.with_("wide_both", body=_WALK.format(side="dst") + " SELECT node, round(heat, 2) AS heat FROM x"))
 def _(t):
     e = G.load_links(shapes.links(t), 400).select(F.col("protein1").alias("src"), F.col("protein2").alias("dst"))
-    return G.random_walk(e, _heats(t), 0.5, transposed=True).select("node", R("heat", 2).alias("heat"))
+    return G.random_walk(e, _heats(t), 0.5, tolerance=1e-12, transposed=True).select("node", R("heat", 2).alias("heat"))
 
 
 @query("heat_diffusion", "W07", shapes.with_("wide_both", body="""
