@@ -63,3 +63,13 @@ def attach(df: DataFrame, one_row: DataFrame) -> DataFrame:
     names = one_row.columns
     out = df.withColumn("_row", one_row.select(F.struct(*names).alias("_row")).scalar())
     return out.select(*df.columns, *[F.col("_row")[n].alias(n) for n in names])
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by key at full width before a grouped Python step.
+
+    The groups are small in bytes but costly to compute, so adaptive coalescing
+    would put them all into one task; a set width is left alone, and the
+    grouping reuses it without another exchange.
+    """
+    return df.repartition(shuffle_width(df.sparkSession), *keys)

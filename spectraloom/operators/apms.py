@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spectraloom.functions import distributions as dist
 from spectraloom.functions.columns import pack_sorted_distinct, ratio
 from spectraloom.functions.ordered import ecdf, exact_quantile, running_totals
-from spectraloom.functions.session import attach, cut
+from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.graph import hop_distances, one_edge_per_node, spanning_forest
 from spectraloom.operators.normalize import _array_median
 from spectraloom.operators.relational import blocked_pairs, complete_grid, dense_index, permuted_index, set_shared
@@ -90,7 +90,7 @@ def impute_missing_by_prey(df: DataFrame, floor: float | None = None, offset: fl
         return out
 
     types = {f.name: f.dataType.simpleString() for f in keyed.schema.fields}
-    fitted = keyed.groupBy("preyProtein").applyInPandas(fit, f"preyProtein {types['preyProtein']}, run {types['run']}, predicted double, SD double")
+    fitted = spread(keyed, "preyProtein").groupBy("preyProtein").applyInPandas(fit, f"preyProtein {types['preyProtein']}, run {types['run']}, predicted double, SD double")
     out = df.join(fitted, ["preyProtein", "run"], "left")
     draw = F.greatest("predicted", F.lit(low)) + F.col("SD") * _seeded_normal("preyProtein", "run", F.lit(seed))
     return out.withColumn("replaceNA", F.coalesce("log2Intensity", draw))

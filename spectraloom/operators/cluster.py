@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spectraloom.functions.session import cut
+from spectraloom.functions.session import cut, spread
 
 
 def complete_linkage(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -75,6 +75,6 @@ def linkage_on_line(points: DataFrame, keys: list[str], at: str, max_distance: f
             label[members] = c
         return pdf[columns].assign(_c=label, _g=pdf["_g"].iloc[0])
 
-    linked = d.groupBy(*keys, "_g").applyInPandas(link, f"{fields}, _c int, _g bigint")
+    linked = spread(d, *keys, "_g").groupBy(*keys, "_g").applyInPandas(link, f"{fields}, _c int, _g bigint")
     rank = Window.partitionBy(*keys).orderBy("_g", "_c")
     return linked.withColumn(out, F.dense_rank().over(rank)).select(*columns, out)

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from spectraloom.functions import distributions as dist
 from spectraloom.functions.columns import first_row, ratio
 from spectraloom.functions.ordered import exact_median, exact_quantile, rank_table
-from spectraloom.functions.session import attach, cut
+from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.apms import _huber
 from spectraloom.operators.cluster import complete_linkage, linkage_on_line
 from spectraloom.operators.models import CellFit, unit_vectors
@@ -255,7 +255,7 @@ def fit_local_cubics(qc: DataFrame, window: int = 15, extend: int = 3, model: st
         _, resid = _huber(np.hstack(parts), pdf["medPolishIntensity"].to_numpy(float))
         return pd.DataFrame({"start": pdf["start"], "sample": pdf["sample"], "fraction": pdf["fraction"], "fitted": pdf["medPolishIntensity"] - resid, "residual": resid})
 
-    return d.groupBy("start").applyInPandas(fit, "start int, sample string, fraction int, fitted double, residual double")
+    return spread(d, "start").groupBy("start").applyInPandas(fit, "start int, sample string, fraction int, fitted double, residual double")
 
 
 def label_outliers(qc: DataFrame, fits: DataFrame, threshold: float = 1.5) -> DataFrame:
@@ -332,7 +332,7 @@ def windowed_loess_normalize(df: DataFrame, samples: list[str], window: int = 3,
             fit = _loess(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["n"].to_numpy(float), pdf["x"].to_numpy(float), span)
             return pdf[["w", "sample", "b"]].assign(t=np.where(np.isnan(fit), 0.0, fit))
 
-        t = binned.groupBy("w", "sample").applyInPandas(trend, "w int, sample string, b bigint, t double")
+        t = spread(binned, "w", "sample").groupBy("w", "sample").applyInPandas(trend, "w int, sample string, b bigint, t double")
         d = j.join(t, ["w", "sample", "b"]).select("protein", "fraction", "sample", "w", (F.col("v") - F.col("t")).alias("v"))
     return d.groupBy("protein", "fraction", "sample").agg(F.pow(F.lit(2.0), F.avg("v")).alias("intensity"))
 
@@ -536,7 +536,7 @@ TEST_SCHEMA = "term string, deltaInt double, SE double, t double, p double, erro
 
 def _per_peak(d: DataFrame, key: str, fit, schema: str) -> DataFrame:
     key_type = d.schema[key].dataType.simpleString()
-    return d.groupBy(key, "peakCluster").applyInPandas(fit, f"`{key}` {key_type}, peakCluster int, {schema}")
+    return spread(d, key, "peakCluster").groupBy(key, "peakCluster").applyInPandas(fit, f"`{key}` {key_type}, peakCluster int, {schema}")
 
 
 def peak_anova(df: DataFrame, clusters: DataFrame, key: str = "protein", at: str = "standardFraction", value: str = "intensity_totalScaled", radius: float = 5.0) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from spectraloom.functions import distributions as dist
 from spectraloom.functions.columns import first_row, ratio
 from spectraloom.functions.ordered import exact_quantile, p_adjust_bh
-from spectraloom.functions.session import attach, cut, design_levels
+from spectraloom.functions.session import attach, cut, design_levels, spread
 from spectraloom.operators.relational import blocked_pairs, column_gram, vector_dot
 
 
@@ -138,7 +138,7 @@ def linear_models(df: DataFrame, key: str, y: str, models: dict[str, list[str]],
         full.insert(0, key, pdf[key].iloc[0])
         return full
 
-    return cells.groupBy(key).applyInPandas(fit, f"`{key}` {key_type}, {MODEL_SCHEMA}")
+    return spread(cells, key).groupBy(key).applyInPandas(fit, f"`{key}` {key_type}, {MODEL_SCHEMA}")
 
 
 def _marginal(f: CellFit, cells: pd.DataFrame, terms: list[str], factor: str) -> dict[str, pd.DataFrame]:
@@ -222,7 +222,7 @@ def fitted_values(df: DataFrame, key: str, y: str, terms: list[str], grid: bool
         g.insert(0, key, pdf[key].iloc[0])
         return g[[key, *columns]].assign(fitted=x @ f.beta)
 
-    return cells.groupBy(key).applyInPandas(fit, f"{fields}, fitted double")
+    return spread(cells, key).groupBy(key).applyInPandas(fit, f"{fields}, fitted double")
 
 
 def group_means_and_residuals(df: DataFrame, key: str, y: str, group: str, terms: list[str]) -> DataFrame:
@@ -301,7 +301,7 @@ def fit_polynomial_powers(
         out.insert(0, key, pdf[key].iloc[0])
         return out
 
-    return cells.groupBy(key).applyInPandas(fit, f"`{key}` {key_type}, {POLY_SCHEMA}")
+    return spread(cells, key).groupBy(key).applyInPandas(fit, f"`{key}` {key_type}, {POLY_SCHEMA}")
 
 
 def poly_fits_table(fits: DataFrame, key: str) -> DataFrame:
@@ -387,7 +387,7 @@ def location_fit(
         return pd.DataFrame({"run": pdf["run"].iloc[0], "it": pdf["it"].iloc[0], "location": locs, "coefficient": w, "rss": rss})
 
     run_type = samples.schema[run].dataType.simpleString()
-    out = eq.groupBy("run", "it").applyInPandas(solve, f"run {run_type}, it int, location string, coefficient double, rss double")
+    out = spread(eq, "run", "it").groupBy("run", "it").applyInPandas(solve, f"run {run_type}, it int, location string, coefficient double, rss double")
     return out.groupBy("run", "location").agg(F.median("coefficient").alias("coefficient"), F.median("rss").alias("rss"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spectraloom.functions.session import attach, design_levels, literal_array
+from spectraloom.functions.session import attach, design_levels, literal_array, spread
 
 
 def complete_grid(df: DataFrame, row_keys: list[str], column: str, value: str, fill=None) -> DataFrame:
@@ -241,7 +241,7 @@ def blocked_pairs(
             out.insert(pos, g, pdf[g].iloc[0])
         return out
 
-    return d.groupBy(*groups, "_i", "_j").applyInPandas(pairs, schema)
+    return spread(d, *groups, "_i", "_j").groupBy(*groups, "_i", "_j").applyInPandas(pairs, schema)
 
 
 def vector_dot(left: list, right: list) -> np.ndarray:
