@@ -543,7 +543,7 @@ def peak_anova(df: DataFrame, clusters: DataFrame, key: str = "protein", at: str
     """Quartic of the fraction with treatment: F of treatment and of its interaction, per peak."""
     d = _around(df.where(F.col(value) > 0), clusters, key, at, radius)
     d = d.select(key, "peakCluster", "center", F.col(at).cast("double").alias("x"), "treatment", F.log2(value).alias("y"))
-    cells = d.groupBy(key, "peakCluster", "center", "x", "treatment").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+    cells = d.groupBy(key, "peakCluster", "center", "x", "treatment").agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_s"), F.sum(F.col("y") * F.col("y")).alias("_q"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         head = {key: pdf[key].iloc[0], "peakCluster": pdf["peakCluster"].iloc[0]}
@@ -574,7 +574,7 @@ def peak_t_fraction_matched(df: DataFrame, clusters: DataFrame, key: str = "prot
     """Treatment effect with each whole fraction as a level, per peak."""
     d = _around(df.where(F.col(value).isNotNull()), clusters, key, at, radius)
     v = F.col(value)
-    cells = d.groupBy(key, "peakCluster", F.col(at).cast("string").alias("frac"), "treatment").agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    cells = d.groupBy(key, "peakCluster", F.col(at).cast("string").alias("frac"), "treatment").agg(F.count(v).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         head = {key: pdf[key].iloc[0], "peakCluster": pdf["peakCluster"].iloc[0]}

@@ -42,7 +42,7 @@ def _term_matrix(cells: pd.DataFrame, term: str) -> tuple[list[str], np.ndarray]
 class CellFit:
     """Weighted least squares of cell means with the within-cell spread kept."""
 
-    def __init__(self, cells: pd.DataFrame, terms: list[str], n: str = "n", s: str = "s", q: str = "q", intercept: bool = True):
+    def __init__(self, cells: pd.DataFrame, terms: list[str], n: str = "_n", s: str = "_s", q: str = "_q", intercept: bool = True):
         w, y = cells[n].to_numpy(float), cells[s].to_numpy(float) / cells[n].to_numpy(float)
         self.within = float((cells[q].to_numpy(float) - w * y * y).sum())
         names, blocks, owner = (["(Intercept)"], [np.ones((len(cells), 1))], [-1]) if intercept else ([], [], [])
@@ -103,7 +103,7 @@ def stars(p: Column) -> Column:
 
 def design_cells(df: DataFrame, keys: list[str], columns: list[str], y: str) -> DataFrame:
     v = F.col(y).cast("double")
-    return df.where(F.col(y).isNotNull()).groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
+    return df.where(F.col(y).isNotNull()).groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
 
 
 MODEL_SCHEMA = "model string, kind string, term string, estimate double, SE double, df double, stat double, p double, error string"

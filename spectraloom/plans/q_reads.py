@@ -44,7 +44,7 @@ def _(t):
     return L.trim_leader(L.reads_with_leader(_reads(t)), quality=None)
 
 
-@query("fastq_records", "L01 R10", """SELECT l_returnflag AS file, l_orderkey * 10 + l_linenumber AS record, '@r' || CAST(l_partkey AS VARCHAR) AS name, 'ACGT' AS sequence FROM lineitem""")
+@query("fastq_records", "L01 R10", """SELECT l_returnflag AS file, l_orderkey * 10 + l_linenumber AS record, max('@r' || CAST(l_partkey AS VARCHAR)) AS name, 'ACGT' AS sequence FROM lineitem GROUP BY ALL""")
 def _(t):
     rec = t.lineitem.select(F.col("l_returnflag").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"), F.posexplode(F.array(F.concat(F.lit("@r"), F.col("l_partkey").cast("string")), F.lit("ACGT"), F.lit("+"), F.lit("IIII"))).alias("k", "value"))
     return L.fastq_records(rec.withColumn("i", F.col("n") * 4 + F.col("k")), "i", ["file"]).select("file", "record", "name", "sequence")
@@ -133,7 +133,7 @@ def _(t):
 
 
 @query("nearest_join", "R53", """
-WITH a AS (SELECT event_id, user_id, epoch(ts) // 60 AS m FROM events WHERE event_type = 'click'), b AS (SELECT event_id, user_id, epoch(ts) // 60 AS m FROM events WHERE event_type <> 'click')
+WITH a AS (SELECT event_id, user_id, floor(epoch(ts) / 60) AS m FROM events WHERE event_type = 'click'), b AS (SELECT event_id, user_id, floor(epoch(ts) / 60) AS m FROM events WHERE event_type <> 'click')
 SELECT a.event_id, arg_min(b.event_id, (abs(a.m - b.m), b.m, b.event_id)) AS nearest FROM a LEFT JOIN b USING (user_id) GROUP BY a.event_id""")
 def _(t):
     e = t.events.select("event_id", "user_id", "event_type", F.floor(F.unix_timestamp("ts") / 60).cast("double").alias("m"))
