@@ -92,14 +92,19 @@ def hypergeom_upper_ln(k: np.ndarray, white: np.ndarray, total: np.ndarray, draw
         return _lgamma(a + 1) - _lgamma(c + 1) - _lgamma(a - c + 1)
 
     first = choose(w, k0) + choose(b, n - k0) - choose(w + b, n)
-    total_rel, term, j = np.ones_like(k0), np.ones_like(k0), k0.copy()
-    active = valid & (j < high)
-    while active.any():
-        grow = (w - j) * (n - j) / ((j + 1.0) * (b - n + j + 1.0))
-        term = np.where(active, term * grow, term)
-        total_rel = np.where(active, total_rel + term, total_rel)
+    total_rel = np.ones_like(k0)
+    # only rows whose terms still matter stay in the loop
+    at = np.nonzero(valid & (k0 < high))[0]
+    j, wa, na, slack, top = k0[at], w[at], n[at], (b - n)[at], high[at]
+    term, part = np.ones_like(j), np.ones_like(j)
+    while len(at):
+        term = term * ((wa - j) * (na - j) / ((j + 1.0) * (slack + j + 1.0)))
+        part = part + term
         j = j + 1.0
-        active = active & (j < high) & (term > total_rel * 1e-17)
+        more = (j < top) & (term > part * 1e-17)
+        if not more.all():
+            total_rel[at[~more]] = part[~more]
+            at, j, wa, na, slack, top, term, part = (v[more] for v in (at, j, wa, na, slack, top, term, part))
     out = np.minimum(first + np.log(total_rel), 0.0)
     out = np.where(valid, out, -np.inf)
     return np.where(np.isnan(k) | np.isnan(white) | np.isnan(total) | np.isnan(drawn), np.nan, out)
