@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spectraloom.functions.session import attach, design_levels, literal_array, spread
+from spectraloom.functions.session import attach, design_levels, literal_array, shuffle_width, spread
 
 
-def complete_grid(df: DataFrame, row_keys: list[str], column: str, value: str, fill=None) -> DataFrame:
+def complete_grid(df: DataFrame, row_keys: list[str], column: str, value: str, fill=None, listed: int = 20_000) -> DataFrame:
     """Every row key at every level of ``column``; absent cells get ``fill``.
 
     One exchange: the cells of a row key (at most one per level) become a map,
     and the levels are exploded against it. A repeated (row, level) cell fails.
     A factor with more levels than the driver should list is joined instead.
     """
-    levels = design_levels(df, column)
+    levels = design_levels(df, column, listed)
     dtype = df.schema[column].dataType.simpleString()
     if levels is None:
-        grid = df.select(*row_keys).distinct().crossJoin(df.select(column).distinct())
+        # every row key meets every level through a salt, so both sides stay hash-partitioned
+        salts = shuffle_width(df.sparkSession)
+        left = df.select(*row_keys).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        right = df.select(column).distinct().withColumn("_salt", F.pmod(F.xxhash64(column), F.lit(salts)).cast("int"))
+        grid = left.join(right, "_salt").drop("_salt")
         out = grid.join(df.select(*row_keys, column, value), [*row_keys, column], "left")
     else:
         cells = df.where(F.col(column).isNotNull()).groupBy(*row_keys).agg(

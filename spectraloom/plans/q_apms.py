@@ -135,10 +135,10 @@ def _(t):
 @query("bfdr", "G06 R81", shapes.with_("apms", body="""
 , s AS (SELECT bait, prey, round(CAST(sum(spc) AS DOUBLE) / 500, 3) AS score FROM apms GROUP BY ALL),
 d AS (SELECT score, count(*) AS c FROM s GROUP BY ALL), w AS (SELECT score, sum(c) OVER b AS n, sum(c * score) OVER b AS t FROM d WINDOW b AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT bait, prey, score, round(CASE WHEN n IS NULL THEN 0 ELSE 1 - t / n END, 6) AS bfdr FROM s JOIN w USING (score)"""))
+SELECT bait, prey, score, round(CASE WHEN n IS NULL THEN 0 ELSE 1 - t / n END, 9) AS bfdr FROM s JOIN w USING (score)"""))
 def _(t):
     s = shapes.apms(t).groupBy("bait", "prey").agg(R(F.sum("spc") / 500, 3).alias("score"))
-    return A.bfdr(s, "score").select("bait", "prey", "score", R("bfdr", 6).alias("bfdr"))
+    return A.bfdr(s, "score").select("bait", "prey", "score", R("bfdr", 9).alias("bfdr"))
 
 
 @query("pseudo_control_stats", "G07", shapes.with_("apms", body="""

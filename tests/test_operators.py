@@ -185,6 +185,12 @@ def test_complete_grid_fails_on_repeated_cells(spark):
         relational.complete_grid(d, ["k"], "c", "v").collect()
 
 
+def test_grid_of_a_large_factor_equals_the_listed_one(spark):
+    d = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0), ("b", "z", 3.0)], "k string, c string, v double")
+    plain = sorted(rows(relational.complete_grid(d, ["k"], "c", "v", 0.0)))
+    assert plain == sorted(rows(relational.complete_grid(d, ["k"], "c", "v", 0.0, listed=1))) and len(plain) == 6
+
+
 def test_imputation_keeps_observed_and_fills_missing(spark):
     data = [(f"b{b}", f"b{b}_{r}", "P", None if (b + r) % 3 == 0 else 22.0 + b + 0.1 * r) for b in range(4) for r in range(3)]
     d = spark.createDataFrame(data, "bait string, run string, preyProtein string, log2Intensity double")
