@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import Words, chunks, factorize, mix, staged, words
+from spectraloom.llm.common import Words, chunks, factorize, free_names, mix, staged, words
 from spectraloom.operators.graph import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -147,7 +147,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, hub_rounds: int = 3) -> DataFrame:
-    """doc_id, digest (of the text), class_id, class_size for every row of ``docs``.
+    """doc_id, digest (of the text), class, class_id, class_size for every row of ``docs``.
 
     ``hub_rounds`` only says how many hubs a bucket tries before its remaining
     pairs across components are tested one by one; the result is the same.
@@ -210,19 +210,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     size_of = signed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     named = staged(named.join(size_of, "digest"), "named")
     classes = named.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = named.join(classes, "component").select("digest", "class_id", "class_size")
-    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id", "class_size")
+    named = named.join(classes, "component").select("digest", F.col("component").alias("class"), "class_id", "class_size")
+    return signed.select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """Rows of ``docs``, one per class: the one with the smallest doc_id (repeated rows count once)."""
-    from pyspark.sql import Window
-
+    own, one_id, digest, row = free_names(docs, "own_digest", "kept_id", "kept_digest", "copy")
     found = near_duplicates(docs, similarity, size)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "digest").agg(F.count(F.lit(1)).alias("_n"))
-    keep = staged(keep.select(F.col("class_id").alias("_id"), F.col("digest").alias("_digest")), "kept")
-    # texts of one class that share the smallest id: the smaller digest stays
-    d = docs.withColumn("_digest2", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    one = d.join(keep, (F.col("_digest2") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    first = F.row_number().over(Window.partitionBy("_digest2", "_id").orderBy(F.lit(0)))
-    return one.withColumn("_row", first).where("_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # texts of one class that share the smallest id: the smallest digest stays
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class", "class_id").agg(F.min("digest").alias(digest))
+    keep = staged(keep.select(F.col("class_id").alias(one_id), digest), "kept")
+    d = docs.withColumn(own, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    d = d.join(keep, (F.col(own) == F.col(digest)) & F.col("doc_id").cast("long").eqNullSafe(F.col(one_id)))
+    first = F.row_number().over(Window.partitionBy(own, one_id).orderBy(F.lit(0)))
+    return d.withColumn(row, first).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

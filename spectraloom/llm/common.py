@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions.session import checkpoint_dir, shuffle_width
 
-__all__ = ["Words", "chunks", "checkpoint_dir", "factorize", "lines_of", "mix", "new_folder", "row_key", "segments", "shuffle_width", "staged", "text_bytes", "words"]
+__all__ = ["Words", "chunks", "checkpoint_dir", "factorize", "free_names", "lines_of", "mix", "new_folder", "row_key", "segments", "shuffle_width", "staged", "text_bytes", "words"]
 
 #: bytes of text that one vectorised step holds at once; a single longer text is its own step
 CHUNK_BYTES = 2_000_000
@@ -37,6 +37,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with leading underscores until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """16-byte key of a document row: its id and its whole text.
 

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import lines_of, row_key, shuffle_width, staged
+from spectraloom.llm.common import free_names, lines_of, row_key, shuffle_width, staged
 
 
 def word_count(line: Column) -> Column:
@@ -114,11 +114,15 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def drop_repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` with the later copies of repeated runs cut out of ``text``; adds n_lines and n_deleted."""
-    runs = repeated_runs(docs, min_words).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_runs"))
-    d = docs.withColumn("_key", row_key()).join(runs.withColumnRenamed("key", "_key"), "_key", "left")
+    """``docs`` with the later copies of repeated runs cut out of ``text``; adds n_lines and n_deleted.
+
+    Underscores are put before names that ``docs`` has.
+    """
+    key, place, total, gone = free_names(docs, "key", "runs", "n_lines", "n_deleted")
+    runs = repeated_runs(docs, min_words).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(place)).withColumnRenamed("key", key)
+    d = docs.withColumn(key, row_key()).join(runs, key, "left")
     lines = lines_of()
-    kept = F.filter(lines, lambda line, i: ~F.exists("_runs", lambda r: (i >= r["first"]) & (i <= r["last"])))
-    gone = F.aggregate("_runs", F.lit(0), lambda a, r: (a + r["last"] - r["first"] + 1).cast("int"))
-    columns = [F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return d.select(*columns, F.size(lines).alias("_n_lines"), F.coalesce(gone, F.lit(0)).alias("_n_deleted"))
+    kept = F.filter(lines, lambda line, i: ~F.exists(place, lambda r: (i >= r["first"]) & (i <= r["last"])))
+    cut = F.aggregate(place, F.lit(0), lambda a, r: (a + r["last"] - r["first"] + 1).cast("int"))
+    columns = [F.when(F.col(place).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return d.select(*columns, F.size(lines).alias(total), F.coalesce(cut, F.lit(0)).alias(gone))
