@@ -67,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LINE_DEDUP = """
 WITH l AS (SELECT doc_id, md5(coalesce(text, '')) AS k, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-w AS (SELECT doc_id, k, i, ls[i] AS line, len(list_filter(string_split(translate(ls[i], chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), x -> x <> '')) AS n
+w AS (SELECT doc_id, k, i, ls[i] AS line, len(list_filter(string_split(translate(ls[i], chr(9) || chr(13) || chr(12) || chr(11), '    '), ' '), lambda x: x <> '')) AS n
       FROM (SELECT doc_id, k, ls, unnest(range(1, len(ls) + 1)) AS i FROM l)),
 c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, k ORDER BY i) AS upto FROM w),
 p AS (SELECT a.doc_id, a.k, a.i AS s, b.i AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i >= a.i AND b.upto - (a.upto - a.n) >= 50),
