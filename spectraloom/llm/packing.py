@@ -33,6 +33,15 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 REST = "part int, place long, doc_id long, doc_tokens long, full_before long, full_crc array<long>, rest int, rest_ids binary"
 
 
+def narrow(ids: np.ndarray) -> bytes:
+    """Two bytes per id where they all fit, else four."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def widened(data: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * size else "<u4").astype("<u4")
+
+
 def combinations(histogram: np.ndarray, window: int, common: int = 80) -> list[tuple[int, ...]]:
     """Pairs and triples of lengths that fill ``window``; triples take two of the ``common`` most frequent lengths."""
     have = np.flatnonzero(histogram)
@@ -139,7 +148,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0)
                 full = len(ids) // window
                 crc = [zlib.crc32(ids[i * window : (i + 1) * window].tobytes()) for i in range(full)]
                 rest = ids[full * window :]
-                rows.append((part, place, doc_id, len(ids), full_before, crc, len(rest), rest.tobytes()))
+                rows.append((part, place, doc_id, len(ids), full_before, crc, len(rest), narrow(rest)))
                 place, full_before = place + 1, full_before + full
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "place", "doc_id", "doc_tokens", "full_before", "full_crc", "rest", "rest_ids"])
@@ -157,7 +166,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0)
     full = rests.groupBy("part").agg(F.max(F.col("full_before") + F.size("full_crc")).alias("full"))
     full = full.select("part", F.coalesce(F.sum("full").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("full_ahead"))
     within = F.row_number().over(Window.partitionBy("part", "rest").orderBy("place")) - 1
-    placed = rests.join(ranked, ["part", "rest"]).withColumn("rank", F.col("rank_before") + within).join(full, "part")
+    placed = rests.join(ranked, ["part", "rest"]).withColumn("rank", F.col("rank_before") + within).join(F.broadcast(full), "part")
     placed = placed.select("doc_id", "doc_tokens", (F.col("full_ahead") + F.col("full_before")).alias("full_at"), "full_crc", "rest", "rest_ids", "rank")
 
     def place_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,9 +175,9 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0)
             for r in batch.to_pylist():
                 for i, crc in enumerate(r["full_crc"]):
                     rows.append((r["doc_id"], i * window, window, crc, r["doc_tokens"], plan.sequences + r["full_at"] + i, 0))
-                at = len(r["full_crc"]) * window
+                at, ids = len(r["full_crc"]) * window, widened(r["rest_ids"], r["rest"])
                 for start, size, sequence, offset in plan.pieces(r["rest"], r["rank"]) if r["rest"] else ():
-                    rows.append((r["doc_id"], at + start, size, zlib.crc32(r["rest_ids"][4 * start : 4 * (start + size)]), r["doc_tokens"], sequence, offset))
+                    rows.append((r["doc_id"], at + start, size, zlib.crc32(ids[start : start + size].tobytes()), r["doc_tokens"], sequence, offset))
             if rows:
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=[c.split()[0] for c in PIECE.split(", ")])
 

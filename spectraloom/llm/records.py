@@ -4,7 +4,8 @@ A record is framed as::
 
     8 bytes  payload length, little-endian
     4 bytes  masked crc32 of those 8 bytes
-    payload  8 bytes document id, 1 byte (1: the id is null), 4 bytes per token id
+    payload  8 bytes document id, 1 byte (1: the id is null), 1 byte (bytes per
+             token id: 2, or 4 where an id needs them), the token ids
     4 bytes  masked crc32 of the payload
     1 byte   0x0A
 
@@ -44,7 +45,8 @@ def masked(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
-    payload = struct.pack("<qB", doc_id or 0, doc_id is None) + ids.astype("<u4").tobytes()
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    payload = struct.pack("<qBB", doc_id or 0, doc_id is None, width) + ids.astype(f"<u{width}").tobytes()
     head = struct.pack("<Q", len(payload))
     return head + struct.pack("<I", masked(head)) + payload + struct.pack("<I", masked(payload)) + b"\n"
 
@@ -58,8 +60,8 @@ def unframe(data: bytes, offset: int) -> tuple[int | None, np.ndarray, int]:
     payload = data[offset + HEAD : offset + HEAD + size]
     if len(payload) < size or struct.unpack_from("<I", data, offset + HEAD + size)[0] != masked(payload):
         raise ValueError(f"broken record at byte {offset}")
-    doc_id, missing = struct.unpack_from("<qB", payload)
-    return None if missing else doc_id, np.frombuffer(payload, "<u4", offset=9), HEAD + size + TAIL
+    doc_id, missing, width = struct.unpack_from("<qBB", payload)
+    return None if missing else doc_id, np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4"), HEAD + size + TAIL
 
 
 def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) -> None:
@@ -70,12 +72,11 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2)
         for part in chunks(batches):
             ids = encoder(vocabulary).encode(part.column("text").to_pylist())
             rows = [frame(d, np.concatenate([x, end])) for d, x in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
-            yield pa.record_batch([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "record"])
+            yield pa.record_batch([pa.array(rows, pa.binary())], names=["record"])
 
-    # the frames are made before the sort: half the size of the texts with their copies, and spread evenly
-    frames = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, record binary")
-    ordered = frames.repartitionByRange(2 * shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "record")
-    ordered.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
+    # texts are sorted, not frames: dealing out by range reads its input twice, and encoding is the dear part
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(2 * shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
