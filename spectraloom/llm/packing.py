@@ -141,7 +141,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, full_before, end = TaskContext.get().partitionId(), 0, 0, np.array([end_id], np.uint32)
-        for batch in chunks(batches):
+        for batch in chunks(batches, 1_000_000):
             rows = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder(vocabulary).encode(batch.column("text").to_pylist()), strict=True):
                 ids = np.concatenate([ids, end]).astype("<u4")

@@ -69,7 +69,7 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], np.uint32)
-        for part in chunks(batches):
+        for part in chunks(batches, 1_000_000):
             ids = encoder(vocabulary).encode(part.column("text").to_pylist())
             rows = [frame(d, np.concatenate([x, end])) for d, x in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
             yield pa.record_batch([pa.array(rows, pa.binary())], names=["record"])
