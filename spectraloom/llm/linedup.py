@@ -104,7 +104,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     end = ranks.select("level", "key", (F.col("i") + F.expr("shiftleft(1, level)") - 1).alias("last"), F.col("rank").alias("end"))
     found = found.join(begin, ["level", "key", "first"]).join(end, ["level", "key", "last"])
     found = staged(found.select("key", "doc_id", "first", "last", "size", "begin", "end", F.struct("doc_id", "key", "first").alias("at")), "runs")
-    interval = found.groupBy("size", "begin", "end").agg(F.min("at").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a table of its own: the join with a much repeated interval can then be split
+    interval = staged(found.groupBy("size", "begin", "end").agg(F.min("at").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1"), "intervals")
     later = found.join(interval, ["size", "begin", "end"]).where(~F.col("at").eqNullSafe(F.col("earliest")))
     doc = Window.partitionBy("key").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     later = later.select("key", "doc_id", "first", "last", F.max("last").over(doc).alias("reach"))
