@@ -12,8 +12,8 @@ probability equal to their weighted Jaccard similarity.
 Bands of components give candidate buckets. Exact copies are one node from the
 start. Inside a bucket every member is verified against one hub on the whole
 multisets; buckets whose members still lie in several components get new hubs,
-and at last all untested pairs across components. Pairs inside one component
-need no test, so groups of near copies cost no square.
+and at last all untested pairs across components whose sizes and shared shingles leave the similarity
+possible. Pairs inside one component need no test.
 
 Null text is empty text; texts without words are duplicates only when equal.
 A class is named by its smallest doc_id (null only if all ids are null). Rows
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import Words, chunks, factorize, free_names, mix, staged, words
@@ -36,6 +36,8 @@ from spectraloom.operators.graph import connected_components
 SHINGLE, SIMILARITY = 5, 0.8
 #: components of a signature and components per band; a pair at 0.8 is missed with probability 3e-6
 COMPONENTS, BAND = 96, 4
+#: open texts that have a shingle, up to which pairs are listed from it
+RARE = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,7 +148,51 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
     return both.select("src", "dst", "text", "other").mapInArrow(check, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, hub_rounds: int = 3) -> DataFrame:
+def _support(nodes: DataFrame, texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(node, size, support, core; node, shingle) of the open texts.
+
+    ``size`` counts a text's shingles, ``support`` those that another open text
+    has too, ``core`` those that more than ``RARE`` open texts have. The second
+    table lists the supported shingles outside the core.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks([batch]):
+                doc, h, count = _multiset(*shingles(words(part.column("text")), size))
+                yield pa.record_batch([part.column("node").take(pa.array(doc)), pa.array(h.view(np.int64)), pa.array(count, pa.int64())], names=["node", "shingle", "count"])
+
+    rows = texts.join(nodes.select("node").distinct(), "node", "left_semi").mapInArrow(spread, "node long, shingle long, count long")
+    rows = staged(rows.groupBy("node", "shingle").agg(F.max("count").alias("count")), "shingles")
+    shared = staged(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    known = staged(rows.join(shared, "shingle", "left"), "known")
+    counts = known.groupBy("node").agg(
+        F.sum("count").alias("size"), F.sum(F.when(F.col("n").isNotNull(), F.col("count")).otherwise(0)).alias("support"), F.sum(F.when(F.col("n") > RARE, F.col("count")).otherwise(0)).alias("core"),
+    )
+    return staged(counts, "support"), known.where(F.col("n") <= RARE).select("node", "shingle")
+
+
+def _possible_pairs(open_: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Pairs of one bucket and different components that can still reach the similarity.
+
+    A pair without a common rare shingle shares core shingles only, so the
+    smaller core bounds what is common; pairs with a common rare shingle are
+    listed from those shingles, which at most ``RARE`` texts have.
+    """
+    counts, rare = _support(open_, texts, size)
+    open_ = staged(open_.drop("met").join(counts, "node"), "open")
+
+    def bounded(common: str) -> Column:
+        most = F.least(f"a.{common}", f"b.{common}")
+        return (F.col("a.component") < F.col("b.component")) & (most >= (similarity - 1e-9) * (F.col("a.size") + F.col("b.size") - most))
+
+    by_bucket = open_.alias("a").join(open_.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & bounded("core"))
+    rare = staged(rare.join(open_.select("node", "component", "size", "support").distinct(), "node"), "rare")
+    by_shingle = rare.alias("a").join(rare.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & bounded("support"))
+    return by_bucket.select(F.col("a.node").alias("node"), F.col("b.node").alias("hub")).unionByName(by_shingle.select(F.col("a.node").alias("node"), F.col("b.node").alias("hub")))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, hub_rounds: int = 2) -> DataFrame:
     """doc_id, digest (of the text), class, class_id, class_size for every row of ``docs``.
 
     ``hub_rounds`` only says how many hubs a bucket tries before its remaining
@@ -168,27 +214,29 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     signed = staged(rows.mapInArrow(sign, "doc_id long, digest binary, bands array<long>"), "signatures")
     nodes = staged(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    buckets = staged(banded.join(full, "bucket"), "buckets")
+    full = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "full-buckets")
+    buckets = staged(banded.join(full, "bucket"), "shared-buckets")
+    # the text that most others resemble meets most of them in its buckets: the best hub
+    central = staged(buckets.groupBy("node").agg(F.sum("n").alias("met")), "central")
+    buckets = staged(buckets.drop("n").join(central, "node"), "buckets")
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("d"), "rep")
     texts = staged(rows.join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text"), "texts")
 
     tested = edges = component = None
     turn = 0
     while True:
-        open_ = buckets if component is None else buckets.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        open_ = buckets if component is None else buckets.join(component, "node", "left").select("bucket", "node", "met", F.coalesce("component", "node").alias("component"))
         if component is None:
             open_ = open_.withColumn("component", F.col("node"))
         else:
             mixed = open_.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
             open_ = open_.join(mixed, "bucket")
         if turn < hub_rounds:
-            order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            order = F.struct(-F.col("met"), "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
             hubs = open_.groupBy("bucket").agg(F.min_by("node", order).alias("hub"), F.min_by("component", order).alias("hub_component"))
             other = open_.join(hubs, "bucket").where(F.col("component") != F.col("hub_component")).select(F.col("node"), F.col("hub"))
         else:
-            other = open_.select("bucket", F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            other = open_.join(other, "bucket").where(F.col("component") < F.col("hub_component")).select("node", "hub")
+            other = _possible_pairs(open_, texts, similarity, size)
         pairs = other.select(F.greatest("node", "hub").alias("src"), F.least("node", "hub").alias("dst")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["src", "dst"], "left_anti"), "pairs")
         if pairs.isEmpty():
