@@ -27,11 +27,11 @@ SMALL = 250_000
 def _bucketed(df: DataFrame, value: str, buckets: int | None = None) -> tuple[DataFrame, bool]:
     """Add ``_v`` and its bucket ``_b``; False when one bucket is enough."""
     d = df.withColumn("_v", F.col(value).cast("double"))
-    n = buckets or max(4, min(512, 2 * shuffle_width(df.sparkSession)))
-    probs = [i / n for i in range(1, n)]
-    rows, got = d.select(F.count(F.lit(1)), F.percentile_approx("_v", probs, 20 * n)).first()
-    splits = sorted(set(got or []))
-    if (buckets is None and rows <= SMALL) or not splits:
+    if buckets is None and (rows := d.count()) <= SMALL:
+        return d.withColumn("_b", F.lit(0.0)), False
+    n = buckets or max(4, 2 * shuffle_width(df.sparkSession), 2 * rows // SMALL)
+    splits = sorted(set(d.select(F.percentile_approx("_v", [i / n for i in range(1, n)], 20 * n)).first()[0] or []))
+    if not splits:
         return d.withColumn("_b", F.lit(0.0)), False
     return Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_v", outputCol="_b").transform(d), True
 
@@ -75,7 +75,7 @@ def running_totals(
 
 
 def _ties(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
+    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
 
 
 def rank_table(df: DataFrame, keys: list[str], value: str, descending: bool = False) -> DataFrame:
@@ -96,7 +96,7 @@ def _join_back(df: DataFrame, table: DataFrame, keys: list[str], value: str, out
 
 
 def add_rank(df: DataFrame, keys: list[str], value: str, out: str, method: str = "min", descending: bool = False) -> DataFrame:
-    """Rank with ties min, max or average; null values get a null rank."""
+    """Rank with ties min, max or average; null and NaN values get a null rank."""
     df = cut(df)
     return _join_back(df, rank_table(df, keys, value, descending).withColumnRenamed(f"rank_{method}", out), keys, value, [out])
 

@@ -406,7 +406,7 @@ def prey_size_windows(bait_prey: DataFrame, pool: int = 100) -> DataFrame:
     return line.select("countPrey", F.element_at("_c", F.col("countPrey").cast("int")).alias("numBaitsWithCP"), F.coalesce(F.try_element_at(radii, F.lit(1)), F.col("_max")).alias("windowSize"))
 
 
-def size_matched_sample(baits: DataFrame, background: DataFrame, samples: int, seed: int = 1, exclude: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
+def size_matched_sample(baits: DataFrame, background: DataFrame, samples: int, seed: int = 1, exclude: DataFrame | None = None) -> DataFrame:
     """For each sample and bait an unused background bait of similar prey count.
 
     ``baits`` has ``bait, countPrey, windowRadius``; ``background`` has ``bait,
@@ -423,7 +423,7 @@ def size_matched_sample(baits: DataFrame, background: DataFrame, samples: int, s
     free = pool.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("h", F.xxhash64("sample", "bait", "cand", F.lit(seed)))
     free = cut(free)
     parts = []
-    for _ in range(max_rounds):
+    while True:
         bid = free.groupBy("sample", "bait").agg(F.min(F.struct("h", "cand")).alias("x"))
         won = cut(bid.groupBy("sample", F.col("x.cand").alias("cand")).agg(F.min(F.struct(F.col("x.h").alias("h"), "bait")).alias("y")).select("sample", F.col("y.bait").alias("bait"), "cand"))
         parts.append(won)

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from spectraloom.functions.session import cut, spread
 
 
-def complete_linkage(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 100) -> DataFrame:
+def complete_linkage(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, cluster`` of complete linkage cut at the largest distance in ``pairs``.
 
     ``pairs`` (``a < b, dist``) lists every pair at or under the cut; a pair not
@@ -21,7 +21,7 @@ def complete_linkage(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 100)
     """
     link = cut(pairs.select("a", "b", "dist"))
     member = cut(nodes.select("node", F.col("node").alias("cluster")).distinct())
-    for _ in range(max_rounds):
+    while True:
         if link.isEmpty():
             return member
         order = F.struct("dist", "a", "b")
@@ -38,7 +38,6 @@ def complete_linkage(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 100)
         full = F.col("n") == F.coalesce("_wa", F.lit(1)) * F.coalesce("_wb", F.lit(1))
         link = cut(moved.join(ma, "a", "left").join(mb, "b", "left").where(full).select("a", "b", "dist"))
         member = cut(member.join(merge.withColumnRenamed("gone", "cluster"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster")))
-    raise RuntimeError("clustering did not settle")
 
 
 def linkage_on_line(points: DataFrame, keys: list[str], at: str, max_distance: float, out: str) -> DataFrame:

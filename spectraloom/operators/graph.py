@@ -74,7 +74,7 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``node, component`` (smallest node name) by alternating large and small stars.
 
     Each half round is one min-aggregate and one join, both combinable, so a hub
@@ -89,7 +89,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         .distinct()
     )
     mark = None
-    for _ in range(max_rounds):
+    while True:
         sym = _both_ways(e)
         low = sym.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
         large = sym.join(low, "src").where(F.col("dst") > F.col("src")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
@@ -100,8 +100,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return all_nodes.join(e.select(F.col("src").alias("node"), F.col("dst").alias("_m")), "node", "left").select(
         "node", F.coalesce("_m", "node").alias("component")
     )
@@ -203,7 +201,11 @@ def heat_diffusion(
     h = cut(heats.join(deg.withColumnRenamed("src", "node"), "node", "left_semi").select(*keys, "node", F.col("heat").cast("double").alias("heat")).where(F.col("heat") != 0))
     rate = q * time
     if rate > 500:
-        raise ValueError("time x largest degree is too large for one series; split the time and apply repeatedly")
+        # exp(-tL) is exp(-tL/s) applied s times; a series of a larger rate would start from a weight of zero
+        steps = math.ceil(rate / 500)
+        for _ in range(steps):
+            h = cut(heat_diffusion(edges, h, time / steps, tolerance=tolerance / steps, rounds_per_cut=rounds_per_cut, keys=keys))
+        return h
     weight, covered, k = math.exp(-rate), math.exp(-rate), 0
     power = h
     total = h.withColumn("heat", F.col("heat") * weight)
@@ -394,12 +396,12 @@ def heat_contributions(edges: DataFrame, heats: DataFrame, targets: DataFrame, r
 
 # --- forests and matchings ------------------------------------------------------
 
-def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def spanning_forest(edges: DataFrame) -> DataFrame:
     """One spanning tree per component (Boruvka rounds; the edge order breaks ties)."""
     e = cut(edges.where(F.col("src") != F.col("dst")).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
     label = cut(_both_ways(e).select(F.col("src").alias("node"), F.col("src").alias("comp")).distinct())
     chosen = None
-    for _ in range(max_rounds):
+    while True:
         la = label.select(F.col("node").alias("src"), F.col("comp").alias("ca"))
         lb = label.select(F.col("node").alias("dst"), F.col("comp").alias("cb"))
         cross = cut(e.join(la, "src").join(lb, "dst").where(F.col("ca") != F.col("cb")).select("src", "dst", "ca", "cb"))
@@ -415,7 +417,7 @@ def spanning_forest(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return chosen if chosen is not None else e
 
 
-def one_edge_per_node(edges: DataFrame, order: list[Column], max_rounds: int = 200) -> DataFrame:
+def one_edge_per_node(edges: DataFrame, order: list[Column]) -> DataFrame:
     """Greedy matching in edge order: same result as scanning the edges one by one.
 
     Each round keeps the edges that come first at both of their ends and drops
@@ -423,7 +425,7 @@ def one_edge_per_node(edges: DataFrame, order: list[Column], max_rounds: int = 2
     """
     left = cut(edges.select("src", "dst", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "src", "dst").alias("o")))
     kept = None
-    for _ in range(max_rounds):
+    while True:
         ends = left.select(F.explode(F.array("src", "dst")).alias("node"), "o")
         best = ends.groupBy("node").agg(F.min("o").alias("o"))
         won = best.groupBy("o").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") == 2) | (F.col("o.src") == F.col("o.dst")))
@@ -435,7 +437,6 @@ def one_edge_per_node(edges: DataFrame, order: list[Column], max_rounds: int = 2
         )
         if left.isEmpty():
             return kept.select("src", "dst")
-    raise RuntimeError("matching did not settle")
 
 
 # --- complexes ------------------------------------------------------------------

@@ -125,7 +125,7 @@ def ortholog_protein_pairs(homologs: DataFrame, left_map: DataFrame, right_map:
     return homologs.join(l, "left_gene").join(r, "right_gene").select("left_uniprot", "right_uniprot", "left_gene", "right_gene").distinct()
 
 
-def map_aliases(ids: DataFrame, aliases: DataFrame, column: str = "id", max_sources: int = 100) -> DataFrame:
+def map_aliases(ids: DataFrame, aliases: DataFrame, column: str = "id") -> DataFrame:
     """Ids to network ids through alias sources.
 
     Repeatedly take the source that names most of the still unmapped ids (ties:
@@ -134,7 +134,7 @@ def map_aliases(ids: DataFrame, aliases: DataFrame, column: str = "id", max_sour
     left = cut(ids.select(F.col(column).alias("alias")).distinct())
     table = cut(aliases.join(left, "alias", "left_semi").select("string_id", "alias", "source"))
     parts = []
-    for _ in range(max_sources):
+    while True:
         counts = table.join(left, "alias", "left_semi").groupBy("source").agg(F.countDistinct("alias").alias("n"))
         best = counts.orderBy(F.col("n").desc(), "source").first()
         if best is None:

@@ -111,7 +111,7 @@ def residue_contacts(atoms: DataFrame, errors: DataFrame | None = None, gap: flo
     return c.join(e, [key, "mmerResnoRow", "mmerResnoCol"], "left")
 
 
-def job_log_table(lines: DataFrame, order: str, chains: list[str]) -> DataFrame:
+def job_log_table(lines: DataFrame, order: str, chains: list[str], types: list[str]) -> DataFrame:
     """One row per job, task and model: seed, chains, alignment sizes, templates, start and seconds.
 
     ``lines`` are parsed log lines with an order column inside each log. The
@@ -129,7 +129,6 @@ def job_log_table(lines: DataFrame, order: str, chains: list[str]) -> DataFrame:
     kind = F.regexp_replace(F.split("message", " size: ")[0], "[ )(]+", "_")
     sizes = d.where(F.col("message").contains("MSA size")).select(*job, "msaID", kind.alias("msaType"), F.regexp_extract("message", r"MSA size: ([0-9]+) sequences", 1).cast("int").alias("msaSize"))
     sizes = sizes.join(long.select("logBaseName", "msaID", "chainID"), ["logBaseName", "msaID"])
-    types = [r[0] for r in sizes.select("msaType").distinct().limit(200).collect()]
     columns = sorted(f"{a}_{b}" for a in types for b in chains)
     sizes = sizes.withColumn("_c", F.concat_ws("_", "msaType", "chainID")).groupBy(*job).pivot("_c", columns).agg(F.first("msaSize"))
     tmpl = d.where(F.col("message").contains("Total number of templates")).select(*job, "msaID", F.regexp_extract("message", r" ([0-9]+)\.", 1).cast("int").alias("n"))

@@ -11,48 +11,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spectraloom.functions.session import attach, design_levels, literal_array, shuffle_width, spread
+from spectraloom.functions.session import attach, cut, design_levels, shuffle_width, spread
 
 
-def complete_grid(df: DataFrame, row_keys: list[str], column: str, value: str, fill=None, listed: int = 20_000) -> DataFrame:
-    """Every row key at every level of ``column``; absent cells get ``fill``.
+def complete_grid(df: DataFrame, row_keys: list[str], column: str, value: str, fill=None) -> DataFrame:
+    """Every row key at every level of ``column``, missing cells null or ``fill``.
 
-    One exchange: the cells of a row key (at most one per level) become a map,
-    and the levels are exploded against it. A repeated (row, level) cell fails.
-    A factor with more levels than the driver should list is joined instead.
+    Rows with a null level are left out; a null row key is a key like any other.
+    A repeated (row, level) cell fails. The input is read once, into one row per
+    cell; keys meet levels through a salt, so both sides stay hash-partitioned
+    whatever the number of levels.
     """
-    levels = design_levels(df, column, listed)
-    dtype = df.schema[column].dataType.simpleString()
-    if levels is None:
-        # every row key meets every level through a salt, so both sides stay hash-partitioned
-        salts = shuffle_width(df.sparkSession)
-        left = df.select(*row_keys).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        right = df.select(column).distinct().withColumn("_salt", F.pmod(F.xxhash64(column), F.lit(salts)).cast("int"))
-        grid = left.join(right, "_salt").drop("_salt")
-        out = grid.join(df.select(*row_keys, column, value), [*row_keys, column], "left")
-    else:
-        cells = df.where(F.col(column).isNotNull()).groupBy(*row_keys).agg(
-            F.map_from_entries(F.collect_list(F.struct(column, value))).alias("_m")
-        )
-        out = cells.select(*row_keys, "_m", F.explode(literal_array(levels, dtype)).alias(column)).select(
-            *row_keys, column, F.try_element_at("_m", F.col(column)).alias(value)
-        )
-    return out.withColumn(value, F.coalesce(value, F.lit(fill))) if fill is not None else out
-
-
-def level_pairs(df: DataFrame, column: str, a: str = "a", b: str = "b", ordered: bool = False, limit: int = 5000) -> DataFrame:
-    """Pairs of design levels: ``a < b``, or every ordered pair ``a != b``.
-
-    The levels are folded into one array, so no cross join is planned; more
-    than ``limit`` levels are not a design factor and fail.
-    """
-    levels = df.select(column).where(F.col(column).isNotNull()).distinct().agg(F.array_sort(F.collect_set(column)).alias("_l"))
-    levels = levels.where(
-        F.when(F.size("_l") <= limit, True).otherwise(F.raise_error(F.lit(f"more than {limit} levels in {column}")).cast("boolean"))
-    )
-    one = levels.select(F.explode("_l").alias(a), "_l")
-    keep = (lambda x: x != F.col(a)) if ordered else (lambda x: x > F.col(a))
-    return one.select(a, F.explode(F.filter("_l", keep)).alias(b))
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(f"repeated cell of {column}")).cast(df.schema[value].dataType)).otherwise(F.first(value))
+    cells = cut(df.where(F.col(column).isNotNull()).groupBy(*row_keys, column).agg(once.alias(value)))
+    levels = cut(cells.select(column).distinct())
+    salts = max(1, min(shuffle_width(df.sparkSession), levels.count()))
+    left = cells.select(*row_keys).distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = levels.withColumn("_salt", F.pmod(F.xxhash64(column), F.lit(salts)).cast("int"))
+    grid = left.join(right, "_salt").drop("_salt")
+    have = cells.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(row_keys)], F.col(column).alias("_level"), F.col(value).alias("_value"))
+    same = F.col(column) == F.col("_level")
+    for i, k in enumerate(row_keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    found = F.col("_value") if fill is None else F.coalesce("_value", F.lit(fill))
+    return grid.join(have, same, "left").select(*row_keys, column, found.alias(value))
+
+
+def level_pairs(df: DataFrame, column: str, a: str = "a", b: str = "b", ordered: bool = False) -> DataFrame:
+    """Pairs of design levels: ``a < b``, or every ordered pair ``a != b``; levels meet through a salt, in any number."""
+    levels = cut(df.select(column).where(F.col(column).isNotNull()).distinct())
+    salts = max(1, min(shuffle_width(df.sparkSession), levels.count()))
+    left = levels.select(F.col(column).alias(a), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    right = levels.select(F.col(column).alias(b), F.pmod(F.xxhash64(column), F.lit(salts)).cast("int").alias("_salt"))
+    return left.join(right, "_salt").where(F.col(a) != F.col(b) if ordered else F.col(a) < F.col(b)).select(a, b)
 
 
 def range_join(

@@ -105,7 +105,7 @@ def _log(t):
         F.concat(F.lit("Total JAX model model_1 on pairX predict time (includes compilation time, see --benchmark): "), F.format_string("%.1f", "o_totalprice"), F.lit("s")),
     )
     lines = d.select("log", F.posexplode(msgs).alias("i", "m")).select("i", F.concat("log", F.lit(".log:I0101 run.py:1] "), "m").alias("value"))
-    return L.job_log_table(S.parse_log_lines(lines), "i", ["A", "B"])
+    return L.job_log_table(S.parse_log_lines(lines), "i", ["A", "B"], ["Uniref90_MSA"])
 
 
 @query("job_log_table", "L06 R10 R81 R74", """SELECT o_custkey AS "jobID", CAST(o_orderkey AS INTEGER) AS "taskID", CAST(o_orderkey AS VARCHAR) AS seed, o_orderstatus AS "A", 'Z' AS "B", 12 AS "Uniref90_MSA_A", 7 AS "Uniref90_MSA_B", 4 AS "templates_A", 20 AS "templates_B", 'model_1' AS model, 'pairX' AS pair, round(o_totalprice, 1) AS "predictTime" FROM orders""".replace("o_custkey AS", "CAST(o_custkey AS INTEGER) AS"))

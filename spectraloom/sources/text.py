@@ -42,12 +42,14 @@ def read_named(spark: SparkSession, path: str, schema: str, sep: str = "\t") ->
 def read_skipping(spark: SparkSession, path: str, skip: int, columns: list[str], sep: str = "\t") -> DataFrame:
     """File whose table starts after ``skip`` lines and a header; short rows are padded with null.
 
-    Lines are told apart by their text: the preamble and header are the first
-    lines of the file, read as one small head.
+    The preamble and header are told apart by their place: lines of one file
+    block are numbered in a row, and the first ``skip + 1`` of each file's first
+    block are left out. Blank lines are dropped.
     """
-    lines = spark.read.text(path)
-    head = [r["value"] for r in lines.limit(skip + 1).collect()]
-    body = lines.where(~F.col("value").isin(head) & (F.trim("value") != ""))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
+    first = lines.where("_block = 0").groupBy(F.col("_file").alias("_f")).agg(F.min("_n").alias("_first"))
+    body = lines.join(first, F.col("_file") == F.col("_f"))
+    body = body.where(((F.col("_block") > 0) | (F.col("_n") - F.col("_first") > skip)) & (F.trim("value") != ""))
     part = F.split("value", sep)
     return body.select(*[F.try_element_at(part, F.lit(i + 1)).alias(c) for i, c in enumerate(columns)])
 
