@@ -134,8 +134,8 @@ def fingerprint_successors(docs: DataFrame) -> DataFrame:
     d = d.withColumn("digest", F.md5("text")).withColumn("_at", F.col("doc_id").cast("double"))
     n = max(2, 2 * shuffle_width(spark))
     bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("_at")).approxQuantile("_at", [i / n for i in range(1, n)], 0.25 / n)))
-    splits = [float("-inf"), *(b for b in bounds if b > float("-inf")), float("inf")]
-    d = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(d).withColumn("bucket", F.col("_bucket").cast("int")).drop("_at", "_bucket")
+    splits = [float("-inf"), *(bounds or [0.0]), float("inf")]
+    d = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket", handleInvalid="keep").transform(d).withColumn("bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(len(splits)))).drop("_at", "_bucket")
     # one row per bucket
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "digest")
     first = sorted(d.groupBy("bucket").agg(F.min(order).alias("first")).collect(), key=lambda r: r["bucket"])
