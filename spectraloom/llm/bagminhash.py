@@ -192,7 +192,7 @@ def _possible_pairs(open_: DataFrame, texts: DataFrame, similarity: float, size:
     return by_bucket.select(F.col("a.node").alias("node"), F.col("b.node").alias("hub")).unionByName(by_shingle.select(F.col("a.node").alias("node"), F.col("b.node").alias("hub")))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, hub_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, hub_rounds: int = 1) -> DataFrame:
     """doc_id, digest (of the text), class, class_id, class_size for every row of ``docs``.
 
     ``hub_rounds`` only says how many hubs a bucket tries before its remaining
@@ -249,7 +249,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
         if not found.isEmpty():
             edges = found if edges is None else edges.unionByName(found)
             component = staged(connected_components(edges).select("node", "component"), "components")
-        elif turn >= hub_rounds:
+        # after the pairs across components nothing is left: merging components only takes pairs away
+        if turn >= hub_rounds:
             break
         turn += 1
 
