@@ -78,7 +78,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     """``node, component`` (smallest node name) by alternating large and small stars.
 
     Each half round is one min-aggregate and one join, both combinable, so a hub
-    does not need its neighbours in one place. Rounds grow with log(n).
+    does not need its neighbours in one place. Rounds grow with log(n); they end
+    as soon as every component is a star.
     """
     all_nodes = _both_ways(edges).select(F.col("src").alias("node")).distinct()
     if nodes is not None:
@@ -88,7 +89,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         .distinct()
     )
-    mark = None
     while True:
         sym = _both_ways(e)
         low = sym.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
@@ -96,10 +96,11 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
         low2 = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(low2, "src").select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")), F.struct(F.col("src").alias("src"), F.col("m").alias("dst")))).alias("p"))
         e = cut(small.select("p.src", "p.dst").where(F.col("src") != F.col("dst")).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == mark:
+        # done when only stars are left: one way up for every node, and none for a centre
+        up, down = (e.select(F.col(c).alias("node"), F.lit(c == "src").cast("int").alias("up"), F.lit(c == "dst").alias("down")) for c in ("src", "dst"))
+        ends = up.unionByName(down).groupBy("node").agg(F.sum("up").alias("up"), F.bool_or("down").alias("down"))
+        if not ends.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & F.col("down")))).first()[0]:
             break
-        mark = now
     return all_nodes.join(e.select(F.col("src").alias("node"), F.col("dst").alias("_m")), "node", "left").select(
         "node", F.coalesce("_m", "node").alias("component")
     )
