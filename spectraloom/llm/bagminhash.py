@@ -186,7 +186,10 @@ def _possible_pairs(open_: DataFrame, texts: DataFrame, similarity: float, size:
         most = F.least(f"a.{common}", f"b.{common}")
         return (F.col("a.component") < F.col("b.component")) & (most >= (similarity - 1e-9) * (F.col("a.size") + F.col("b.size") - most))
 
-    by_bucket = open_.alias("a").join(open_.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & bounded("core"))
+    # a pair is listed in the smallest of its common buckets only
+    placed = staged(open_.join(open_.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node"), "placed")
+    once = F.col("a.bucket") == F.array_min(F.array_intersect("a.buckets", "b.buckets"))
+    by_bucket = placed.alias("a").join(placed.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & bounded("core") & once)
     rare = staged(rare.join(open_.select("node", "component", "size", "support").distinct(), "node"), "rare")
     by_shingle = rare.alias("a").join(rare.alias("b"), (F.col("a.shingle") == F.col("b.shingle")) & bounded("support"))
     return by_bucket.select(F.col("a.node").alias("node"), F.col("b.node").alias("hub")).unionByName(by_shingle.select(F.col("a.node").alias("node"), F.col("b.node").alias("hub")))
