@@ -180,6 +180,19 @@ def test_leaks_and_paraphrases(spark, odd, none):
     assert decontam.find_leaks(odd, bench).count() == 0 and decontam.find_leaks(none, bench).count() == 0 and decontam.find_leaks(d, bench.limit(0)).count() == 0
 
 
+def test_leak_in_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary, 40))) for i in range(20)]
+    held = " ".join([*rng.choice(vocabulary, 60), items[0][1], *rng.choice(vocabulary, 60)])
+    docs = [(i, held) for i in range(100)] + [(i, " ".join(rng.choice(vocabulary, 200))) for i in range(100, 290)]
+    docs += [(i, " ".join([*rng.choice(vocabulary, 80), items[0][1], *rng.choice(vocabulary, 80)])) for i in range(290, 300)]
+    d, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(d, bench).collect()}
+    assert got == {(i, 0) for i in [*range(100), *range(290, 300)]}
+    assert decontam.without_leaks(d, bench).count() == 190
+
+
 def test_quality_accuracy_and_empty_labels(spark, odd, none):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
