@@ -193,6 +193,22 @@ def test_leak_in_a_third_of_all_rows(spark):
     assert decontam.without_leaks(d, bench).count() == 190
 
 
+def test_every_exact_copy_among_many_items(spark):
+    folder, rng = "/root/testdata/sf0.01", np.random.default_rng(3)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    plain = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    long = [w for _, w in plain if len(w) > 80]
+    for i in range(1500):
+        w, size = long[rng.integers(len(long))], int(rng.integers(15, 60))
+        at = int(rng.integers(len(w) - size))
+        items.append((1000 + i, b" ".join(w[at : at + size]).decode()))
+    texts = [(d, b" %b " % b" ".join(w)) for d, w in plain]
+    want = {(d, i) for i, t in items for p in [b" %b " % b" ".join(t.encode().lower().split())] for d, x in texts if p in x}
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 1500 and not want - got, (len(want), len(want - got))
+
+
 def test_quality_accuracy_and_empty_labels(spark, odd, none):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
