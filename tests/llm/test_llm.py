@@ -209,6 +209,23 @@ def test_every_exact_copy_among_many_items(spark):
     assert len(want) > 1500 and not want - got, (len(want), len(want - got))
 
 
+def test_edited_leaks_beside_a_much_longer_item(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    sizes = [*rng.integers(16, 60, 60).tolist(), 600]
+    items = [(i, " ".join(rng.choice(vocabulary, n))) for i, n in enumerate(sizes)]
+    docs = []
+    for i, text in items:
+        piece = text.split()
+        piece[5::6] = rng.choice(vocabulary, len(piece[5::6])).tolist()  # no run of six words is left
+        docs.append((i, " ".join([*rng.choice(vocabulary, 700), *piece, *rng.choice(vocabulary, 700)])))
+    found = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert {(i, i) for i, _ in items} == got
+    for width, stride, some in decontam._classes(np.array(sizes)):
+        assert all(width <= 1.25 * sizes[i] and stride <= max(1, sizes[i] // 4) for i in some)
+
+
 def test_quality_accuracy_and_empty_labels(spark, odd, none):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
