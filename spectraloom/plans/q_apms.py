@@ -93,7 +93,7 @@ def _(t):
     from spectraloom.operators.relational import complete_grid
 
     g = complete_grid(shapes.apms(t).select("prey", "run", "spc"), ["prey"], "run", "spc", 0).withColumn("bait", F.substring_index("run", "_", 2))
-    return A.specificity_permutation(g, n_perm=20)
+    return A.specificity_permutation(g)
 
 
 def _lg(x):

@@ -112,12 +112,12 @@ def _(t):
 
 @query("gsea", "E08", None)
 def _(t):
-    return E.gsea(_scores(t), shapes.gmt(t), n_perm=50)
+    return E.gsea(_scores(t), shapes.gmt(t))
 
 
 @query("simplify_gsea", "E05", None)
 def _(t):
-    g = E.gsea(_scores(t), shapes.gmt(t), n_perm=20)
+    g = E.gsea(_scores(t), shapes.gmt(t))
     return E.simplify_gsea(g, shapes.gmt(t), "overlap_coef", 0.9, max_p=1.1)[0]
 
 
@@ -198,7 +198,7 @@ def _(t):
 @query("localization_scores", "E14", None)
 def _(t):
     cells = t.part.select(F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_brand").alias("MMF localization"))
-    rows, _ = E.localization_scores(_scores(t), cells, "symbol", n_perm=20)
+    rows, _ = E.localization_scores(_scores(t), cells, "symbol")
     return E.location_score_matrix(rows, ["A", "N", "R"])
 
 
@@ -290,4 +290,4 @@ def _(t):
 def _(t):
     d = S.prepare_site_results(shapes.site_results(t)).where("representative")
     m = K.kinase_map(d, shapes.kinase_data(t), ["Label"])
-    return K.kinase_sea(m, d, center=True, n_perm=20)
+    return K.kinase_sea(m, d, center=True)

@@ -24,3 +24,20 @@ def test_query(spark, name):
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(entry.registry()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name, module, operator", [("specificity_permutation", "A", "specificity_permutation"), ("gsea", "E", "gsea"), ("simplify_gsea", "E", "gsea"), ("localization_scores", "E", "localization_scores"), ("kinase_sea", "K", "kinase_sea")])
+def test_permutations_as_many_as_the_operator_has(spark, monkeypatch, name, module, operator):
+    from spectraloom.plans import q_apms, q_enrich
+
+    class Called(Exception):
+        pass
+
+    def seen(*_, **given):
+        raise Called(given)
+
+    entry.registry()
+    monkeypatch.setattr(getattr(q_apms if module == "A" else q_enrich, module), operator, seen)
+    with pytest.raises(Called) as call:
+        entry.queries()[name](spark, FOLDER)
+    assert "n_perm" not in call.value.args[0]
