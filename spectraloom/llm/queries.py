@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.llm import bagminhash, decontam, fingerprints, katz, licenses, linedup, packing, pii, quality, records
+from spectraloom.llm import bagminhash, collocations, decontam, fim, fingerprints, katz, licenses, linedup, packing, pii, quality, records
 from spectraloom.llm.common import new_folder
 from spectraloom.llm.tokens import default_path
 
@@ -60,9 +60,17 @@ def op10_token_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.record_digests(spark, path)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fim.fill_in_middle_digests(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_personal_data, op2_quality, op3_near_duplicates, op4_packing, op5_line_dedup, op6_licenses, op7_katz_scores, op8_fingerprints, op9_decontamination, op10_token_records)
+    for f in (op1_personal_data, op2_quality, op3_near_duplicates, op4_packing, op5_line_dedup, op6_licenses, op7_katz_scores, op8_fingerprints, op9_decontamination, op10_token_records, op11_collocations, op13_fill_in_middle)
 }
 
 _LINE_DEDUP = """
@@ -99,4 +107,35 @@ u AS (SELECT doc_id, true AS whole, CASE WHEN contains(text, chr(10)) THEN 0 ELS
 SELECT u.doc_id, k.license, bool_or(u.whole) AS whole, sum(u.n)::BIGINT AS n_lines FROM u JOIN k ON {_canonical('u.unit')} = k.c WHERE k.c <> '' GROUP BY u.doc_id, k.license
 """
 
-SQL: dict[str, str] = {"op5_line_dedup": _LINE_DEDUP, "op6_licenses": _LICENSES}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_COLLOCATIONS = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM d),
+i AS (SELECT lang, id, unnest(w) AS one, unnest(range(len(w))) AS i FROM p),
+l AS (SELECT lang, one, lead(one) OVER q AS two, lead(one, 2) OVER q AS three FROM i WINDOW q AS (PARTITION BY id ORDER BY i)),
+o AS (SELECT lang, 1 AS m, one AS phrase FROM l UNION ALL SELECT lang, 2 AS m, one || ' ' || two AS phrase FROM l WHERE two IS NOT NULL
+      UNION ALL SELECT lang, 3 AS m, one || ' ' || two || ' ' || three AS phrase FROM l WHERE three IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*)::HUGEINT AS f, lang || chr(9) || phrase AS key FROM o GROUP BY lang, m, phrase),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+k AS (SELECT lang, m, phrase, w, f AS a, unnest(range(1, m)) AS k FROM f WHERE m > 1 AND f >= 10),
+c AS (SELECT *, lang || chr(9) || array_to_string(w[1:k], ' ') AS head, lang || chr(9) || array_to_string(w[k + 1:], ' ') AS tail FROM k),
+x AS (SELECT c.*, b.f AS l, e.f AS r, (1000000 * c.a * c.a) // (b.f * e.f) AS score FROM c JOIN f b ON b.key = c.head JOIN f e ON e.key = c.tail),
+s AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+g AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, f FROM f WHERE m = 3 AND f >= 10 UNION ALL SELECT lang, w[2] || ' ' || w[3] AS phrase, f FROM f WHERE m = 3 AND f >= 10) GROUP BY lang, phrase),
+z AS (SELECT s.lang, s.phrase, s.a, s.l, s.r, s.score, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, encode(s.phrase)) AS rank
+      FROM s LEFT JOIN g ON s.m = 2 AND g.lang = s.lang AND g.phrase = s.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * s.a)
+SELECT z.lang, z.rank::BIGINT AS rank, z.phrase, z.a::BIGINT AS a, z.l::BIGINT AS l, z.r::BIGINT AS r, t.n, z.score::BIGINT AS score FROM z JOIN t ON t.lang = z.lang WHERE z.rank <= 2000
+"""
+
+_FILL_IN_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+v AS (SELECT doc_id, text, u, len(u) AS n, [('0x' || h[8 * i + 1:8 * i + 8])::BIGINT FOR i IN range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+             CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM v),
+p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p
+"""
+
+SQL: dict[str, str] = {"op5_line_dedup": _LINE_DEDUP, "op6_licenses": _LICENSES, "op11_collocations": _COLLOCATIONS, "op13_fill_in_middle": _FILL_IN_MIDDLE}
