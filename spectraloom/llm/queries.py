@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spectraloom.llm import bagminhash, collocations, decontam, fim, fingerprints, katz, licenses, linedup, packing, pii, quality, records
+from spectraloom.llm import bagminhash, collocations, decontam, fim, fingerprints, katz, langid, licenses, linedup, packing, pii, quality, records
 from spectraloom.llm.common import new_folder
 from spectraloom.llm.tokens import default_path
 
@@ -64,13 +64,19 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
 
 
+def op12_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = langid.fit_languages(docs.where(~langid.held_out()))
+    return langid.identify(docs, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fim.fill_in_middle_digests(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_personal_data, op2_quality, op3_near_duplicates, op4_packing, op5_line_dedup, op6_licenses, op7_katz_scores, op8_fingerprints, op9_decontamination, op10_token_records, op11_collocations, op13_fill_in_middle)
+    for f in (op1_personal_data, op2_quality, op3_near_duplicates, op4_packing, op5_line_dedup, op6_licenses, op7_katz_scores, op8_fingerprints, op9_decontamination, op10_token_records, op11_collocations, op12_languages, op13_fill_in_middle)
 }
 
 _LINE_DEDUP = """
