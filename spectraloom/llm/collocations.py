@@ -49,7 +49,7 @@ SCALE = 1_000_000
 #: largest size of the filter of frequent parts, in bits
 FILTER_BITS = 1 << 28
 #: bytes of text counted at once before rows leave the task
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 #: a ranking is cut down within this many parts of a language first, then within fewer
 RANK_PARTS = (4096, 64, 1)
 
