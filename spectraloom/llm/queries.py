@@ -42,7 +42,7 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_katz_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return katz.score(_table(spark, folder, "documents"))
+    return katz.score(_table(spark, folder, "documents"), order=2)
 
 
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
