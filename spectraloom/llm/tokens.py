@@ -77,20 +77,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the strings of special tokens in a text are ordinary text
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold the string of an added token go to the library whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._reset()
 
     def _reset(self) -> None:
         self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _keep(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Remember pieces for later calls; a full store starts anew."""
         if len(self.keys) + len(keys) > KEPT_PIECES:
             self._reset()
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])
-        self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
+        if len(keys) > KEPT_PIECES:
+            return
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids])
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
@@ -111,6 +112,7 @@ class Encoder:
         points[ends] = BREAK
         kinds = _classes()[points]
         odd = np.add.reduceat(kinds == UNKNOWN, np.concatenate([[0], ends[:-1] + 1]))
+        odd += np.fromiter((any(x in t for x in self.added) for t in texts), np.int64, len(texts))
         start = _piece_starts(points, kinds)
         begin = np.flatnonzero(start)
         end = np.concatenate([begin[1:], [len(points)]])
@@ -120,21 +122,25 @@ class Encoder:
         fine = odd[doc] == 0
         begin, end, doc = begin[fine], end[fine], doc[fine]
         codes, keys = factorize(segments(points, begin, end))
-        _, known = self._places(keys)
+        # this call's own table of pieces: what the store knows, and the rest from the library
+        place, known = self._places(keys)
+        sizes, starts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        sizes[known], starts[known] = self.size[place[known]], self.at[place[known]]
+        table = self.ids
         if not known.all():
             first = np.empty(len(keys), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
-            before = len(self.keys)
             new = np.flatnonzero(~known)
-            self._learn(keys[new], [joined[begin[first[i]] : end[first[i]]] for i in new])
-            if len(self.keys) < before + len(new):  # started anew: learn the rest of this call as well
-                old = np.flatnonzero(known)
-                self._learn(keys[old], [joined[begin[first[i]] : end[first[i]]] for i in old]) if len(old) else None
-        place, _ = self._places(keys)
-        at, size = self.at[place][codes], self.size[place][codes]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([joined[begin[first[i]] : end[first[i]]] for i in new], add_special_tokens=False)]
+            sizes[new] = np.fromiter(map(len, got), np.int64, len(got))
+            fresh = np.array([i for x in got for i in x], np.uint32)
+            starts[new] = len(table) + np.cumsum(sizes[new]) - sizes[new]
+            table = np.concatenate([table, fresh])
+            self._keep(keys[new], sizes[new], fresh)
+        at, size = starts[codes], sizes[codes]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
-        flat = self.ids[np.arange(total) - np.repeat(stop - size, size) + np.repeat(at, size)]
+        flat = table[np.arange(total) - np.repeat(stop - size, size) + np.repeat(at, size)]
         per_doc = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
         bounds = np.concatenate([[0], np.cumsum(per_doc)])
         for i in range(len(texts)):
