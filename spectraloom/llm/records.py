@@ -36,6 +36,8 @@ from spectraloom.llm.tokens import encoder
 
 MASK_ADD = 0xA282EAD8
 HEAD, TAIL = 12, 5
+#: text that goes into one file, about; a file is read as one value
+FILE_TEXT_BYTES = 16_000_000
 ENTRY = "part string, position long, offset long, length long, doc_id long, n_tokens long"
 
 
@@ -74,9 +76,13 @@ def write_records(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2)
             rows = [frame(d, np.concatenate([x, end])) for d, x in zip(part.column("doc_id").to_pylist(), ids, strict=True)]
             yield pa.record_batch([pa.array(rows, pa.binary())], names=["record"])
 
-    # texts are sorted, not frames: dealing out by range reads its input twice, and encoding is the dear part
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(2 * shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(2 * shuffle_width(docs.sparkSession), -(-size // FILE_TEXT_BYTES))
+    # texts are sorted, not frames: dealing out by range reads its input twice, and encoding is the dear part;
+    # the digest parts the rows of one id over files
+    ordered = rows.withColumn("digest", F.xxhash64("text")).repartitionByRange(files, "doc_id", "digest").sortWithinPartitions("doc_id", "digest", "text")
+    ordered.select("doc_id", "text").mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/data")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
