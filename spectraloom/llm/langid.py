@@ -35,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spectraloom.llm.common import chunks, factorize, mix, segments, shuffle_width
+from spectraloom.llm.common import chunks, factorize, mix, segments, shuffle_width, staged
 
 #: labelled documents a language from which the model is fitted, about
 PER_LANGUAGE = 5_000
+BROADCAST_LANGUAGES = 100_000
 FEATURES = 1 << 15
 SMOOTHING = 0.1
 SCRIPT_SHARE = 0.01
@@ -164,7 +165,9 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Model of the languages of labelled documents (columns doc_id, text, lang)."""
     labelled = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
+    # one row a language: sent to the texts, which do not move, unless there are absurdly many
+    sizes = staged(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = labelled.join(sizes, "lang").where(place * F.col("rows") < per_language).select("lang", "text")
 
