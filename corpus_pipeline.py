@@ -1,7 +1,11 @@
 """A corpus pipeline of five stages: quality, repeated lines, near duplicates, benchmark leaks, packing.
 
 Every stage takes what the stage before kept. The first four return the columns
-of ``documents``; packing returns one row per piece.
+of ``documents``; packing returns one row per piece. Null texts count as empty
+ones and stay unless the classifier rejects them; rows that are equal are copies
+of each other, of which the near-duplicate stage keeps one (ties: the smallest
+id); further columns pass through whatever their names; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -10,21 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectraloom.llm import bagminhash, decontam, linedup, packing, quality
-from spectraloom.llm.common import staged
+from spectraloom.llm.common import free_names, staged
 from spectraloom.llm.tokens import default_path
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier does not reject."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).where("keep").select(*docs.columns)
+    (keep,) = free_names(docs, "keep")
+    return quality.score_quality(docs, model).where(F.col(keep)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more go; a document left without words goes too."""
+    (gone,) = free_names(docs, "n_deleted")
     d = linedup.drop_repeated_runs(docs)
-    d = d.where((F.col("n_deleted") == 0) | F.col("text").rlike(r"\S"))
-    changed = F.when(F.col("n_deleted") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    d = d.where((F.col(gone) == 0) | F.col("text").rlike(r"\S"))
+    changed = F.when(F.col(gone) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return d.withColumn("n_chars", changed).select(*docs.columns)
 
 
