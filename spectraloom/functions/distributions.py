@@ -10,7 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """ln gamma of positive numbers: Stirling's series above 10, shifted up to there below."""
+    x = np.asarray(x, float)
+    # x (x+1) ... until 10 or more: at most ten factors
+    steps = np.maximum(0, np.ceil(10.0 - x))
+    product, y = np.ones_like(x), x
+    for i in range(int(steps.max()) if steps.size and not np.isnan(steps).all() else 0):
+        product = np.where(i < steps, product * (x + i), product)
+    y = x + steps
+    inverse = 1.0 / (y * y)
+    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse * (1 / 1188 - inverse * 691 / 360360))))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(product)
 
 
 def normal_upper(z: np.ndarray) -> np.ndarray:
@@ -59,15 +72,29 @@ def t_upper(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 
 def t_quantile(p: float, df: np.ndarray) -> np.ndarray:
-    """Upper-side quantile by bisection on the tail."""
+    """Upper-side quantile, once per distinct degree of freedom: a bracket, then secant steps kept inside it."""
     df = np.asarray(df, float)
-    lo, hi = np.zeros_like(df), np.full_like(df, 1e8)
+    degrees, where = np.unique(df, return_inverse=True)
     target = 1.0 - p
-    for _ in range(200):
-        mid = 0.5 * (lo + hi)
-        high = t_upper(mid, df) > target
-        lo, hi = np.where(high, mid, lo), np.where(high, hi, mid)
-    return np.where(np.isnan(df), np.nan, 0.5 * (lo + hi))
+    lo, hi = np.zeros_like(degrees), np.ones_like(degrees)
+    while (low := t_upper(hi, degrees) > target).any():
+        lo, hi = np.where(low, hi, lo), np.where(low, hi * 2, hi)
+        if hi.max() > 1e300:
+            break
+    flo, fhi = t_upper(lo, degrees) - target, t_upper(hi, degrees) - target
+    for i in range(100):
+        with np.errstate(all="ignore"):
+            cut = hi - fhi * (hi - lo) / (fhi - flo)
+        middle = 0.5 * (lo + hi)
+        # a bisection every third step bounds the number of steps
+        mid = np.where((i % 3 == 2) | ~(cut > lo) | ~(cut < hi), middle, cut)
+        f = t_upper(mid, degrees) - target
+        up = f > 0
+        lo, flo, hi, fhi = np.where(up, mid, lo), np.where(up, f, flo), np.where(up, hi, mid), np.where(up, fhi, f)
+        if np.all((hi - lo <= 1e-15 * np.maximum(1, hi)) | (f == 0) | np.isnan(degrees)):
+            break
+    best = np.where(np.abs(flo) < np.abs(fhi), lo, hi)
+    return np.where(np.isnan(degrees), np.nan, best)[where].reshape(df.shape)
 
 
 def f_upper(f: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
@@ -127,7 +154,10 @@ def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def t_inverse(p: pd.Series, df: pd.Series) -> pd.Series:
-    return _series(t_quantile(p.to_numpy(float), df.to_numpy(float)))
+    given, out = p.to_numpy(float), np.full(len(p), np.nan)
+    for q in np.unique(given[~np.isnan(given)]):
+        out[given == q] = t_quantile(q, df.to_numpy(float)[given == q])
+    return _series(out)
 
 
 @F.pandas_udf(DoubleType())

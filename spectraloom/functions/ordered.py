@@ -12,9 +12,12 @@ value, and a value that comes from floating sums may differ when computed twice.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from spectraloom.functions.columns import first_row
@@ -113,6 +116,10 @@ def p_adjust_bh(df: DataFrame, p: str, out: str, by: list[str] | None = None) ->
     return _join_back(df, d.withColumn(out, F.least("_adj", F.lit(1.0))), by, p, [out])
 
 
+#: bits of the values that a round of the radix selection looks at
+RADIX_BITS = 12
+
+
 def exact_quantile(
     df: DataFrame, keys: list[str], value: str, prob: float, out: str, accuracy: int = 10_000, stable: bool = False
 ) -> DataFrame:
@@ -120,9 +127,9 @@ def exact_quantile(
 
     A mergeable sketch brackets the quantile; one more pass counts the rows
     below the bracket and sorts only the distinct values inside it, about
-    4/accuracy of the group. A rank that falls outside the bracket raises
-    instead of giving a near answer. ``stable`` says the values read the same
-    twice (no floating sums behind them), so they need not be written first.
+    4/accuracy of the group. Groups whose rank falls outside the bracket are
+    selected by radix instead. ``stable`` says the values read the same twice
+    (no floating sums behind them), so they need not be written first.
     """
     d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     d = d if stable else cut(d)
@@ -149,13 +156,60 @@ def exact_quantile(
         F.min(F.when(F.col("_seen") > F.ceil(target), F.col("_x"))).alias("_z"),
     )
     ok = (F.coalesce("_below", F.lit(0)) <= F.floor(target)) & F.col("_z").isNotNull()
+    picked = cut(picked.withColumn("_ok", ok))
     frac = target - F.floor(target)
-    return picked.select(
-        *keys,
-        F.when(ok, F.col("_a") + frac * (F.col("_z") - F.col("_a")))
-        .otherwise(F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy")).cast("double"))
-        .alias(out),
-    )
+    done = picked.where("_ok").select(*keys, (F.col("_a") + frac * (F.col("_z") - F.col("_a"))).alias(out))
+    if picked.where("not _ok").isEmpty():
+        return done
+    rest = d.join(picked.where("not _ok").select(*keys), keys, "left_semi") if keys else d
+    return done.unionByName(radix_quantile(rest, keys, "_v", prob, out))
+
+
+@F.pandas_udf(LongType())
+def _sortable(v: pd.Series) -> pd.Series:
+    """Whole numbers in the order of the doubles: their bits, turned round below zero."""
+    bits = (v.to_numpy(np.float64) + 0.0).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
+
+
+def radix_quantile(df: DataFrame, keys: list[str], value: str, prob: float, out: str) -> DataFrame:
+    """Exact quantile (type 7) by radix selection on the bits of the values.
+
+    The values behind the two ranks around the quantile are selected each. A
+    round counts the values of the prefix that holds the rank by their next
+    ``RADIX_BITS`` bits, one aggregate of at most 2^RADIX_BITS rows a group, so
+    any distribution ends after six rounds, or when a prefix has one value.
+    """
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*keys, F.col(value).cast("double").alias("_v"))
+    d = cut(d.withColumn("_u", _sortable("_v")))
+    total = cut(d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    target = (F.col("_n") - 1) * F.lit(prob)
+    ids = [f"_k{i}" for i in range(len(keys))]
+    named = [F.col(k).alias(i) for k, i in zip(keys, ids, strict=True)]
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(target).alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil(target).alias("rank")))).alias("w")
+    want = total.where("_n > 0").select(*named, sides).select(*ids, "w.side", "w.rank", F.lit(0).cast("long").alias("_prefix"))
+    found, shift = None, 64
+    while shift:
+        before, shift = shift, max(0, shift - RADIX_BITS)
+        same = F.lit(0).cast("long") == F.col("_prefix") if before == 64 else F.shiftright("_u", before) == F.col("_prefix")
+        for k, i in zip(keys, ids, strict=True):
+            same = same & F.col(k).eqNullSafe(F.col(i))
+        hist = d.join(want, same).groupBy(*ids, "side", "rank", F.shiftright("_u", shift).alias("_p")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        upto = Window.partitionBy(*ids, "side", "rank").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("_upto", F.sum("_c").over(upto))
+        inside = cut(hist.where((F.col("_upto") > F.col("rank")) & (F.col("_upto") - F.col("_c") <= F.col("rank"))))
+        settled = inside.where("_lo = _hi").select(*ids, "side", F.col("_lo").alias("_x"))
+        found = settled if found is None else found.unionByName(settled)
+        want = inside.where("_lo < _hi").select(*ids, "side", (F.col("rank") - (F.col("_upto") - F.col("_c"))).alias("rank"), F.col("_p").alias("_prefix"))
+        if want.isEmpty():
+            break
+    pair = found.groupBy(*ids).agg(F.max(F.when(F.col("side") == 0, F.col("_x"))).alias("_a"), F.max(F.when(F.col("side") == 1, F.col("_x"))).alias("_z"))
+    cond = F.lit(True)
+    for k, i in zip(keys, ids, strict=True):
+        cond = cond & F.col(k).eqNullSafe(F.col(i))
+    whole = total.join(pair, cond) if keys else attach(total, pair)
+    frac = target - F.floor(target)
+    return whole.select(*keys, F.when(frac == 0, F.col("_a")).otherwise(F.col("_a") + frac * (F.col("_z") - F.col("_a"))).alias(out))
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str, stable: bool = False) -> DataFrame:
@@ -197,3 +251,13 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFr
     """First ``n`` rows per key; Spark's window group limit prunes on the map side."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+
+
+def add_order(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number rows 1.. in a total order: range partitions, numbered inside, plus the rows of the partitions before."""
+    t = cut(df.repartitionByRange(shuffle_width(df.sparkSession), *order).withColumn("_part", F.spark_partition_id()))
+    ahead = t.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a partition
+    ahead = ahead.select(F.col("_part"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return t.withColumn("_at", inside).join(ahead, "_part").select(*df.columns, (F.col("_ahead") + F.col("_at")).alias(out))
