@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,40 +44,109 @@ def complete_linkage(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         member = cut(member.join(merge.withColumnRenamed("gone", "cluster"), "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster")))
 
 
-def linkage_on_line(points: DataFrame, keys: list[str], at: str, max_distance: float, out: str) -> DataFrame:
-    """Complete linkage of positions on a line, per key, cut at ``max_distance``.
+def average_linkage(pairs: DataFrame, missing: float | None = None) -> DataFrame:
+    """Merges ``into, gone, height, size`` of average linkage over ``pairs`` (``a < b, dist``).
 
-    Positions are first split at gaps wider than the cut (no cluster can span
-    one), which bounds what one task has to link.
+    Two clusters are as far apart as their member pairs on average; a pair that
+    is not listed counts with ``missing`` (by default the largest distance
+    listed). Clusters that are each other's nearest merge in the same round,
+    which average linkage allows because a merged pair is never nearer to a
+    third cluster than the nearer of the two was. What a round keeps is one row
+    per two clusters with a listed pair between them: the sum and the number of
+    the listed distances. Ties go to the smallest labels; a cluster is labelled
+    by its smallest member. Clusters without a listed pair between them stay
+    apart.
     """
-    import numpy as np
-    import pandas as pd
+    if missing is None:
+        missing = pairs.agg(F.max("dist")).first()[0] or 0.0
+    link = cut(pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("dist").alias("sum"), F.count("*").alias("n")).where("a <> b"))
+    size = cut(link.select("a").union(link.select("b")).distinct().select(F.col("a").alias("node"), F.lit(1).cast("bigint").alias("size")))
+    merges, turn = None, 0
+    while not link.isEmpty():
+        sa, sb = size.select(F.col("node").alias("a"), F.col("size").alias("_na")), size.select(F.col("node").alias("b"), F.col("size").alias("_nb"))
+        both = F.col("_na") * F.col("_nb")
+        apart = cut(link.join(sa, "a").join(sb, "b").withColumn("dist", (F.col("sum") + (both - F.col("n")) * missing) / both))
+        order = F.struct("dist", "a", "b")
+        near = apart.select(F.explode(F.array("a", "b")).alias("c"), order.alias("o"), (F.col("_na") + F.col("_nb")).alias("size")).groupBy("c").agg(F.min_by(F.struct("o", "size"), "o").alias("o"))
+        merge = near.groupBy("o").agg(F.count("*").alias("k")).where("k = 2")
+        merge = cut(merge.select(F.col("o.o.a").alias("into"), F.col("o.o.b").alias("gone"), F.col("o.o.dist").alias("height"), F.col("o.size").alias("size")))
+        merges = merge if merges is None else merges.unionByName(merge)
+        ga, gb = merge.select(F.col("gone").alias("a"), F.col("into").alias("_ia")), merge.select(F.col("gone").alias("b"), F.col("into").alias("_ib"))
+        moved = link.join(ga, "a", "left").join(gb, "b", "left").select(F.coalesce("_ia", "a").alias("x"), F.coalesce("_ib", "b").alias("y"), "sum", "n").where("x <> y")
+        link = cut(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")))
+        grown = merge.select(F.col("into").alias("node"), F.col("size").alias("_s"))
+        left = size.join(merge.select(F.col("gone").alias("node")), "node", "left_anti").join(grown, "node", "left")
+        size = cut(left.select("node", F.coalesce("_s", "size").alias("size")))
+    return merges if merges is not None else link.select(F.col("a").alias("into"), F.col("b").alias("gone"), F.col("sum").alias("height"), F.col("n").alias("size"))
+
+
+def linkage_on_line(points: DataFrame, keys: list[str], at: str, max_distance: float, out: str, bucket: float | None = None) -> DataFrame:
+    """Complete linkage of positions on a line, per key, cut at ``max_distance``.
 
-    w = Window.partitionBy(*keys).orderBy(at)
-    gap = (F.col(at) - F.lag(at).over(w)) > max_distance
-    d = points.withColumn("_g", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    No cluster spans a gap wider than the cut, so a key falls into islands that
+    are linked on their own. Islands are found without sorting a key whole:
+    positions lie in buckets of at least the cut's width, a bucket sorts its
+    own, and only the first and last position of every bucket meet in a window.
+    Numbers of clusters count along the line from one.
+    """
+    width = bucket if bucket is not None else max_distance * 64
+    d = points.withColumn("_b", F.floor(F.col(at) / width))
+    inner = Window.partitionBy(*keys, "_b").orderBy(at)
+    gap = (F.col(at) - F.lag(at).over(inner)) > max_distance
+    d = cut(d.withColumn("_i", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, 0))))
+    ends = d.groupBy(*keys, "_b").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.max("_i").alias("_n"))
+    line = Window.partitionBy(*keys).orderBy("_b")
+    # islands before a bucket's first one: a bucket that goes on from the one before does not begin a new one
+    starts = F.coalesce((F.col("_first") - F.lag("_last").over(line) > max_distance).cast("int"), F.lit(0))
+    before = F.coalesce(F.sum(F.col("_n")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.withColumns({"_start": starts, "_before": before})
+    ends = ends.withColumn("_off", F.col("_before") + F.sum("_start").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    same = F.lit(True)
+    for i, k in enumerate(["_b", *keys]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    offsets = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(["_b", *keys])], "_off")
+    d = d.join(offsets, same).withColumn("_g", (F.col("_i") + F.col("_off")).cast("bigint"))
     columns = points.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at, kind="stable").reset_index(drop=True)
-        x = pdf[at].to_numpy(float)
-        # on a line complete linkage only ever merges neighbours
-        lo, hi = list(x), list(x)
-        groups = [[i] for i in range(len(x))]
-        while len(groups) > 1:
-            span = np.array([hi[i + 1] - lo[i] for i in range(len(groups) - 1)])
-            i = int(span.argmin())
-            if span[i] > max_distance:
-                break
-            groups[i] += groups.pop(i + 1)
-            hi[i] = hi.pop(i + 1)
-            lo.pop(i + 1)
-        label = np.zeros(len(x), dtype="int32")
-        for c, members in enumerate(groups):
-            label[members] = c
-        return pdf[columns].assign(_c=label, _g=pdf["_g"].iloc[0])
-
-    linked = spread(d, *keys, "_g").groupBy(*keys, "_g").applyInPandas(link, f"{fields}, _c int, _g bigint")
-    rank = Window.partitionBy(*keys).orderBy("_g", "_c")
-    return linked.withColumn(out, F.dense_rank().over(rank)).select(*columns, out)
+        return pdf[columns].assign(_c=line_clusters(pdf[at].to_numpy(float), max_distance), _g=pdf["_g"].iloc[0])
+
+    linked = cut(spread(d.select(*columns, "_g"), *keys, "_g").groupBy(*keys, "_g").applyInPandas(link, f"{fields}, _c int, _g bigint"))
+    per = linked.groupBy(*keys, "_g").agg((F.max("_c") + 1).alias("_n"))
+    upto = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(["_g", *keys])], F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    same = F.lit(True)
+    for i, k in enumerate(["_g", *keys]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return linked.join(upto, same).withColumn(out, (F.col("_off") + F.col("_c") + 1).cast("int")).select(*columns, out)
+
+
+def line_clusters(x: np.ndarray, max_distance: float) -> np.ndarray:
+    """Cluster numbers of sorted positions under complete linkage cut at a distance.
+
+    Only neighbours ever merge. Spans of neighbouring clusters wait in a heap;
+    an entry whose clusters have changed since is skipped, so n merges cost
+    n log n. The smallest span merges first, of equal ones the leftmost.
+    """
+    n = len(x)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    right, alive, version = x.tolist(), [True] * n, [0] * n
+    heap = [(x[i + 1] - x[i], i, 0, 0) for i in range(n - 1)]
+    heapq.heapify(heap)
+    while heap:
+        span, i, own, other = heapq.heappop(heap)
+        j = after[i] if alive[i] else n
+        if not alive[i] or j >= n or version[i] != own or version[j] != other:
+            continue
+        if span > max_distance:
+            break
+        right[i], after[i], alive[j] = right[j], after[j], False
+        version[i] += 1
+        if after[i] < n:
+            before[after[i]] = i
+            heapq.heappush(heap, (right[after[i]] - x[i], i, version[i], version[after[i]]))
+        if before[i] >= 0:
+            k = before[i]
+            heapq.heappush(heap, (right[i] - x[k], k, version[k], version[i]))
+    return (np.cumsum(alive) - 1).astype("int32")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spectraloom.functions.columns import first_row, ratio
-from spectraloom.functions.ordered import p_adjust_bh
+from spectraloom.functions.ordered import add_order, exact_quantile, p_adjust_bh
 from spectraloom.functions.session import attach, cut
+from spectraloom.operators.cluster import average_linkage
 from spectraloom.operators.relational import dense_index, permuted_index
 
 
@@ -188,7 +189,7 @@ def random_walk(
 
 
 def heat_diffusion(
-    edges: DataFrame, heats: DataFrame, time: float, keys: list[str] | None = None, tolerance: float = 1e-10, rounds_per_cut: int = 4
+    edges: DataFrame, heats: DataFrame, time: float, keys: list[str] | None = None, tolerance: float = 1e-10, rounds_per_cut: int = 4, largest_rate: float = 500
 ) -> DataFrame:
     """Apply ``expm(-t (D - A))`` to heats by uniformization.
 
@@ -201,11 +202,11 @@ def heat_diffusion(
     q = float(deg.agg(F.max("deg")).first()[0])
     h = cut(heats.join(deg.withColumnRenamed("src", "node"), "node", "left_semi").select(*keys, "node", F.col("heat").cast("double").alias("heat")).where(F.col("heat") != 0))
     rate = q * time
-    if rate > 500:
+    if rate > largest_rate:
         # exp(-tL) is exp(-tL/s) applied s times; a series of a larger rate would start from a weight of zero
-        steps = math.ceil(rate / 500)
+        steps = math.ceil(rate / largest_rate)
         for _ in range(steps):
-            h = cut(heat_diffusion(edges, h, time / steps, tolerance=tolerance / steps, rounds_per_cut=rounds_per_cut, keys=keys))
+            h = cut(heat_diffusion(edges, h, time / steps, keys, tolerance / steps, rounds_per_cut, 1.01 * largest_rate))
         return h
     weight, covered, k = math.exp(-rate), math.exp(-rate), 0
     power = h
@@ -227,13 +228,6 @@ def heat_diffusion(
     return total.groupBy(*keys, "node").agg(F.sum("heat").alias("heat"))
 
 
-def self_heat(edges: DataFrame, nodes: DataFrame, restart: float, tolerance: float = 1e-9) -> DataFrame:
-    """Diagonal of the random-walk operator for the given nodes: unit-heat walks keyed by node."""
-    unit = nodes.select(F.col("node").alias("target"), "node", F.lit(1.0).alias("heat"))
-    walked = random_walk(edges, unit, restart, ["target"], tolerance)
-    return walked.where(F.col("node") == F.col("target")).select("node", F.col("heat").alias("self"))
-
-
 def _prepared(edges: DataFrame, heats: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Numbered network nodes, and one heat per (keys, node) as the largest given."""
     nodes = cut(dense_index(_both_ways(edges).where(F.col("src") != F.col("dst")).select(F.col("src").alias("node")).distinct(), "node", "idx"))
@@ -283,103 +277,6 @@ def expected_heat(edges: DataFrame, heats: DataFrame, restart: float, observed_o
     return joined.select(*keys, "node", (F.col("heat") * factor).alias("expect_heat"))
 
 
-def _unit_columns(nodes: DataFrame, h: DataFrame, keys: list[str], observed_only: bool) -> DataFrame:
-    """Ones whose walk gives the operator's row sums: observed columns or all nodes, per key."""
-    seen = h.select(*keys, "node", F.lit(1.0).alias("heat"))
-    values = h.groupBy(*keys).agg(F.countDistinct("heat").alias("_v"))
-    flat = values.where((F.col("_v") <= 1) | F.lit(not observed_only))
-    if not keys:
-        return nodes.select("node", F.lit(1.0).alias("heat")) if not flat.isEmpty() else seen
-    some = seen.join(flat, keys, "left_anti")
-    sets = flat.agg(F.collect_list(F.struct(*keys)).alias("_sets"))
-    every = attach(nodes.select("node"), sets).select(F.explode("_sets").alias("_k"), "node")
-    return some.unionByName(every.select(*[F.col("_k")[k].alias(k) for k in keys], "node", F.lit(1.0).alias("heat")))
-
-
-def propagate_heats(
-    edges: DataFrame, heats: DataFrame, restart: float, n_perm: int = 20_000, network_only: bool = False,
-    observed_only: bool = False, seed: int = 1, block: int = 2000, tolerance: float = 1e-9,
-) -> DataFrame:
-    """Random-walk heats with a permutation test per node.
-
-    The observed heats (perm 0), the unit columns behind the expected heat
-    (perm -1) and the permutations walk together as one keyed table, a block of
-    permutations at a time. The median is an approximate percentile over the
-    permuted values of a node.
-    """
-    nodes, h = _prepared(edges, heats, [])
-    n = nodes.count()
-    total, n_obs, n_values = h.agg(F.sum("heat"), F.count(F.lit(1)), F.countDistinct("heat")).first()
-    only = observed_only and n_values > 1
-    first = h.select(F.lit(0).alias("perm"), "node", "heat").unionByName(
-        _unit_columns(nodes, h, [], observed_only).select(F.lit(-1).alias("perm"), "node", "heat")
-    )
-    perms = permuted_heats(nodes, h, [], n_perm, seed, observed_only)
-    walked = None
-    for start in range(0, n_perm, block):
-        part = perms.where((F.col("perm") > start) & (F.col("perm") <= start + block))
-        part = part if start else part.unionByName(first)
-        done = random_walk(edges, part, restart, ["perm"], tolerance)
-        walked = done if walked is None else walked.unionByName(done)
-    walked = cut(walked)
-    start_heat = h.withColumnRenamed("heat", "heat0")
-    observed = walked.where(F.col("perm") == 0).select("node", "heat")
-    factor = total / n * (n / n_obs if only else 1.0)
-    expect = walked.where(F.col("perm") == -1).select("node", (F.col("heat") * factor).alias("expect_heat"))
-    beat = nodes.select("node").join(observed, "node", "left").join(start_heat, "node", "left").join(expect, "node", "left").na.fill(0.0)
-    permuted = walked.where(F.col("perm") > 0)
-    if network_only:
-        diag = cut(self_heat(edges, nodes, restart, tolerance))
-        beat = beat.join(diag, "node").withColumn("self_heat", F.col("self") * F.col("heat0")).drop("self")
-        own = perms.join(diag, "node").select("perm", "node", (F.col("heat") * F.col("self")).alias("_own"))
-        permuted = permuted.join(own, ["perm", "node"], "left").select("perm", "node", (F.col("heat") - F.coalesce("_own", F.lit(0.0))).alias("heat"))
-    else:
-        beat = beat.withColumn("self_heat", F.lit(0.0))
-    beat = cut(beat.withColumn("beat", F.col("heat") - F.col("self_heat")))
-    joined = permuted.join(beat.select("node", "beat"), "node")
-    stats = joined.groupBy("node").agg(
-        F.sum((F.col("heat") >= F.col("beat") - 1e-12).cast("bigint")).alias("_above"), F.count(F.lit(1)).alias("_seen"),
-        F.avg("heat").alias("_m"), F.stddev_samp("heat").alias("_sd"), F.percentile_approx("heat", 0.5, 10_000).alias("median_perm_heat"),
-    )
-    d = beat.join(stats, "node", "left").na.fill(0, ["_above", "_seen"])
-    # heat reaches all of a connected network; a node no permutation reached counts as zero heat
-    zero_hits = F.when(F.col("beat") <= 0, n_perm - F.col("_seen")).otherwise(0)
-    d = d.select(
-        "node", "heat0", F.col("heat").alias("prop_heat"), "self_heat", "beat", "expect_heat",
-        ((F.col("_above") + zero_hits) / n_perm).alias("pvalue"),
-        F.col("_m").alias("mean_perm_heat"), "median_perm_heat", F.col("_sd").alias("sd_perm_heat"),
-    )
-    d = p_adjust_bh(cut(d), "pvalue", "adj_pvalue")
-    return d.withColumn("z", ratio(F.col("beat") - F.col("mean_perm_heat"), F.col("sd_perm_heat"))).drop("beat")
-
-
-def propagate_multi(
-    edges: DataFrame, heats: DataFrame, restart: float, n_perm: int = 20_000, observed_only: bool = True, seed: int = 1,
-    set_key: str = "set", tolerance: float = 1e-9,
-) -> DataFrame:
-    """Several heat sets at once: log2(propagated / expected) summed over sets, permutation p per node."""
-    nodes, h = _prepared(edges, heats, [set_key])
-    n = nodes.count()
-    total = h.groupBy(set_key).agg(F.sum("heat").alias("_t"))
-    h = cut(h.join(total, set_key).select(set_key, "node", (n * F.col("heat") / F.col("_t")).alias("heat")))
-    observed = h.groupBy(set_key).agg(F.count(F.lit(1)).alias("_obs"), F.countDistinct("heat").alias("_v"))
-    start = h.select(set_key, F.lit(0).alias("perm"), "node", "heat").unionByName(
-        _unit_columns(nodes, h, [set_key], observed_only).select(set_key, F.lit(-1).alias("perm"), "node", "heat")
-    )
-    start = start.unionByName(permuted_heats(nodes, h, [set_key], n_perm, seed, observed_only))
-    walked = random_walk(edges, start, restart, [set_key, "perm"], tolerance)
-    factor = F.when(F.lit(observed_only) & (F.col("_v") > 1), F.lit(float(n)) / F.col("_obs")).otherwise(1.0)
-    expect = walked.where(F.col("perm") == -1).join(observed, set_key).select(set_key, "node", (F.col("heat") * factor).alias("expect_heat"))
-    j = walked.where(F.col("perm") >= 0).join(expect, [set_key, "node"])
-    log = F.when((F.col("heat") > 0) & (F.col("expect_heat") > 0), F.log2(F.col("heat")) - F.log2(F.col("expect_heat")))
-    scores = cut(j.groupBy("perm", "node").agg(F.sum(log).alias("score")))
-    actual = scores.where(F.col("perm") == 0).select("node", F.col("score").alias("beat"))
-    above = scores.where(F.col("perm") > 0).join(actual, "node").groupBy("node").agg(
-        F.first("beat").alias("log2_prop_vs_expected"), (F.sum((F.col("score") >= F.col("beat") - 1e-12).cast("bigint")) / n_perm).alias("pvalue")
-    )
-    return p_adjust_bh(cut(above), "pvalue", "adj_pvalue")
-
-
 def heat_contributions(edges: DataFrame, heats: DataFrame, targets: DataFrame, restart: float, network_only: bool = False, tolerance: float = 1e-9) -> DataFrame:
     """Heat each source gives each target: one transposed walk per target, keyed."""
     unit = targets.select(F.col("node").alias("to"), "node", F.lit(1.0).alias("heat"))
@@ -443,31 +340,50 @@ def one_edge_per_node(edges: DataFrame, order: list[Column]) -> DataFrame:
 # --- complexes ------------------------------------------------------------------
 
 def decoy_complexes(
-    complexes: DataFrame, distances: DataFrame, min_distance: int = 3, quantile: float = 0.1, min_size: int = 2, retries: int = 3, seed: int = 1
+    complexes: DataFrame, distances: DataFrame, min_distance: int = 3, quantile: float = 0.1, min_size: int = 2, retries: int = 3, seed: int = 1, per_complex: int = 1, unfit: str = "error"
 ) -> DataFrame:
-    """Complexes of randomly drawn genes that are far apart, one per real complex.
+    """Complexes of randomly drawn genes that are far apart, ``per_complex`` for each real complex.
 
     ``complexes`` has ``complex_id, gene``; ``distances`` has ``gene1 < gene2, hops``.
-    Draws are seeded by (complex, try); the first accepted try is kept.
+    Draws are seeded by (complex, copy, try); the first accepted try is kept. A
+    complex for which no try fits, or that is larger than the pool of far genes,
+    is an error, or with ``unfit="keep"`` one row without a gene.
     """
-    sizes = complexes.groupBy("complex_id").agg(F.countDistinct("gene").alias("size")).where(F.col("size") >= min_size)
+    sizes = cut(complexes.groupBy("complex_id").agg(F.countDistinct("gene").alias("size")).where(F.col("size") >= min_size))
     far = distances.where(F.col("hops") >= min_distance)
     pool = far.select(F.col("gene1").alias("gene")).union(far.select("gene2")).distinct()
     pool = cut(dense_index(pool, "gene", "idx"))
     n = pool.count()
-    draws = sizes.where(F.col("size") <= n).select("complex_id", "size", F.explode(F.sequence(F.lit(1), F.lit(retries))).alias("try"))
+    wanted = sizes.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(per_complex))))
+    key = ["complex_id", "copy"]
+    draws = wanted.where(F.col("size") <= n).withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(retries))))
     draws = draws.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
-    draws = draws.withColumn("idx", permuted_index(F.col("pos"), F.xxhash64("complex_id", "try", F.lit(seed)), F.lit(n).cast("bigint")))
-    drawn = cut(draws.join(pool, "idx").select("complex_id", "size", "try", "gene"))
-    other = drawn.select("complex_id", "try", F.col("gene").alias("gene2"))
-    pairs = drawn.withColumnRenamed("gene", "gene1").join(other, ["complex_id", "try"]).where(F.col("gene1") < F.col("gene2"))
+    draws = draws.withColumn("idx", permuted_index(F.col("pos"), F.xxhash64(*key, "try", F.lit(seed)), F.lit(n).cast("bigint")))
+    drawn = cut(draws.join(pool, "idx").select(*key, "size", "try", "gene"))
+    other = drawn.select(*key, "try", F.col("gene").alias("gene2"))
+    pairs = drawn.withColumnRenamed("gene", "gene1").join(other, [*key, "try"]).where(F.col("gene1") < F.col("gene2"))
     # only pairs known to be far apart carry a distance, as in the drawn pool
-    known = pairs.join(far, ["gene1", "gene2"]).groupBy("complex_id", "try").agg(F.percentile("hops", quantile).alias("_q"))
-    ok = drawn.select("complex_id", "try").distinct().join(known, ["complex_id", "try"], "left").where(F.col("_q").isNull() | (F.col("_q") >= min_distance))
-    first = ok.groupBy("complex_id").agg(F.min("try").alias("try"))
-    return drawn.join(first, ["complex_id", "try"]).select(
-        F.concat(F.lit("decoy_"), F.col("complex_id").cast("string")).alias("complex_id"), F.col("size").alias("complex_size"), "gene"
-    )
+    known = exact_quantile(pairs.join(far, ["gene1", "gene2"]), [*key, "try"], "hops", quantile, "_q")
+    ok = drawn.select(*key, "try").distinct().join(known, [*key, "try"], "left").where(F.col("_q").isNull() | (F.col("_q") >= min_distance))
+    first = ok.groupBy(*key).agg(F.min("try").alias("try"))
+    kept = cut(wanted.join(first, key, "left").join(drawn.drop("size"), [*key, "try"], "left"))
+    if unfit == "error" and (bad := kept.where(F.col("gene").isNull()).count()):
+        raise ValueError(f"no draw of genes at least {min_distance} apart fits {bad} complexes: raise the number of retries or lower the distance")
+    label = F.concat(F.lit("decoy_"), F.col("complex_id").cast("string"), F.when(F.col("copy") > 1, F.concat(F.lit("_"), F.col("copy").cast("string"))).otherwise(""))
+    return kept.select(label.alias("complex_id"), F.col("size").alias("complex_size"), "gene")
+
+
+def targets_and_decoys(complexes: DataFrame, distances: DataFrame, **options) -> DataFrame:
+    """Real complexes (``complex_id, complex_name, gene, protein``) and their decoys in one table with a ``decoy`` flag.
+
+    A decoy's proteins are those that its genes have in the real complexes (the
+    smallest, if several); genes outside them have none.
+    """
+    size = complexes.groupBy("complex_id").agg(F.countDistinct("gene").alias("complex_size"))
+    real = complexes.join(size, "complex_id").select(F.col("complex_id").cast("string").alias("complex_id"), "complex_name", "complex_size", "gene", "protein", F.lit(False).alias("decoy"))
+    protein = complexes.groupBy("gene").agg(F.min("protein").alias("protein"))
+    decoys = decoy_complexes(complexes.select("complex_id", "gene"), distances, **options).join(protein, "gene", "left")
+    return real.unionByName(decoys.select("complex_id", F.col("complex_id").alias("complex_name"), "complex_size", "gene", "protein", F.lit(True).alias("decoy")))
 
 
 def complexes_for_epic(complexes: DataFrame, min_members: int = 2, strict: bool = True) -> DataFrame:
@@ -513,3 +429,25 @@ def modules_from_distance(distances: DataFrame, max_distance: float, min_size: i
     comp = cut(connected_components(e))
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
     return comp.join(size, "component").select(F.col("node").alias("gene"), F.col("component").alias("cluster"), "size")
+
+
+def modules_by_average_linkage(distances: DataFrame, height: float | None = None, min_size: int = 5) -> DataFrame:
+    """``gene, cluster, size``: branches of the average-linkage tree below ``height``.
+
+    ``distances`` has ``a, b, distance``. By default the tree is cut at 99 % of
+    the way from the 5 % quantile of its merge heights up to the highest merge,
+    so the cut follows the tree. Clusters are numbered by falling size
+    (``clust.001``; ties by smallest gene); genes of smaller branches have none.
+    """
+    pairs = distances.select(F.col("a"), F.col("b"), F.col("distance").cast("double").alias("dist"))
+    merges = cut(average_linkage(pairs))
+    if height is None:
+        low = exact_quantile(merges, [], "height", 0.05, "low").first()
+        high = merges.agg(F.max("height")).first()[0]
+        height = low[0] + 0.99 * (high - low[0]) if high is not None else 0.0
+    genes = pairs.select(F.col("a").alias("gene")).union(pairs.select("b")).distinct()
+    comp = connected_components(merges.where(F.col("height") <= height).select(F.col("into").alias("src"), F.col("gone").alias("dst")), genes.select(F.col("gene").alias("node")))
+    comp = cut(comp)
+    sizes = comp.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
+    named = add_order(sizes, [F.desc("size"), F.asc("component")], "_i").select("component", "size", F.format_string("clust.%03d", "_i").alias("cluster"))
+    return comp.join(named, "component", "left").select(F.col("node").alias("gene"), "cluster", "size")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spectraloom.operators import graph as G
+from spectraloom.operators import propagation as P
 from spectraloom.plans import shapes
 from spectraloom.plans.registry import query
 
@@ -127,20 +128,109 @@ def _(t):
     return G.expected_heat(e, _heats(t), 0.5).select("node", R("expect_heat", 2).alias("expect_heat"))
 
 
+shapes.cte("core_net", "SELECT protein1 AS src, protein2 AS dst FROM links WHERE combined_score > 700", "links")
+shapes.cte("core_both", "SELECT src, dst FROM core_net UNION SELECT dst, src FROM core_net", "core_net")
+shapes.cte("core_comp", """WITH RECURSIVE r AS (SELECT src AS node, src AS seen FROM core_both UNION SELECT r.node, b.dst FROM r JOIN core_both b ON r.seen = b.src)
+   SELECT node, min(seen) AS component FROM r GROUP BY node""", "core_both")
+shapes.cte("big_both", """SELECT src, dst FROM core_both WHERE src IN (SELECT node FROM core_comp WHERE component =
+   (SELECT component FROM core_comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1))""", "core_comp")
+
+
+def _core(t):
+    return G.load_links(shapes.links(t), 700).select(F.col("protein1").alias("src"), F.col("protein2").alias("dst"))
+
+
+def _core_heats(t):
+    """A heat for every second node of the core, so that observed and unobserved nodes differ."""
+    nodes = P.simple_edges(_core(t)).select(F.col("src").alias("node")).distinct()
+    return nodes.where(F.length("node") % 2 == 0).select("node", (F.substring("node", 2, 9).cast("double") % 17 + 1).alias("heat"))
+
+
+_CORE_HEATS = "SELECT DISTINCT src AS node, CAST(CAST(substr(src, 2) AS BIGINT) % 17 + 1 AS DOUBLE) AS heat FROM {net} WHERE length(src) % 2 = 0"
+#: powers of the walk from every node of the largest component; S(node, v) is half the sum over k
+_POWERS = f"""
+, h AS ({_CORE_HEATS.format(net="big_both")}), w AS (SELECT b.src, b.dst, 0.5::DOUBLE / d.n AS w FROM big_both b JOIN (SELECT src, count(*) AS n FROM big_both GROUP BY src) d ON b.src = d.src),
+x AS (WITH RECURSIVE x AS (SELECT 0 AS k, src AS v, src AS node, 1.0::DOUBLE AS heat FROM (SELECT DISTINCT src FROM big_both) UNION ALL
+  SELECT k + 1, v, dst, sum(heat * w) FROM x JOIN w ON x.node = w.src WHERE k < 45 GROUP BY k, v, dst) SELECT v, node, 0.5 * sum(heat) AS s FROM x GROUP BY v, node)"""
+
+
+@query("random_walk_without_restart", "W06", shapes.with_("big_both", body=_POWERS + """
+SELECT x.node, round(sum((s - CASE WHEN x.node = v THEN 0.5 ELSE 0 END) / 0.5 * heat), 5) AS heat FROM x JOIN h ON h.node = v GROUP BY x.node"""))
+def _(t):
+    return P.walk_operator(_core(t), _core_heats(t), 0.5, remove_restart=True).select("node", R("heat", 5).alias("heat"))
+
+
+@query("random_walk_transposed_without_restart", "W06", shapes.with_("big_both", body=_POWERS + """
+, c AS (SELECT node, sum(s) - 0.5 AS total FROM x GROUP BY node)
+SELECT x.v AS node, round(sum((s - CASE WHEN x.node = v THEN 0.5 ELSE 0 END) / total * heat), 5) AS heat FROM x JOIN h USING (node) JOIN c USING (node) GROUP BY x.v"""))
+def _(t):
+    return P.walk_operator(_core(t), _core_heats(t), 0.5, row_normalized=True, remove_restart=True).select("node", R("heat", 5).alias("heat"))
+
+
+@query("self_heat", "W08 W10", shapes.with_("big_both", body=_POWERS + " SELECT node, round(s, 8) AS self FROM x WHERE node = v"))
+def _(t):
+    return P.self_heats(G.largest_component(_core(t)), 0.5, 1e-12).select("node", R("self", 8).alias("self"))
+
+
+@query("expected_heat_network_only", "W10", shapes.with_("big_both", body=_POWERS + """
+SELECT node, round(sum(s) FILTER (node <> v) * (SELECT sum(heat) FROM h) / (SELECT count(DISTINCT src) FROM big_both), 6) AS expect_heat FROM x GROUP BY node"""))
+def _(t):
+    return P.expected_heat(G.largest_component(_core(t)), _core_heats(t), 0.5, network_only=True, tolerance=1e-12).select("node", R("expect_heat", 6).alias("expect_heat"))
+
+
+@query("expected_heat_observed", "W10", shapes.with_("big_both", body=_POWERS + """
+SELECT node, round(coalesce(sum(s) FILTER (node <> v), 0) * (SELECT sum(heat) FROM h) / (SELECT count(*) FROM h), 6) AS expect_heat FROM x WHERE v IN (SELECT node FROM h) GROUP BY node"""))
+def _(t):
+    return P.expected_heat(G.largest_component(_core(t)), _core_heats(t), 0.5, observed_only=True, network_only=True, tolerance=1e-12).select("node", R("expect_heat", 6).alias("expect_heat"))
+
+
+def _wide(t):
+    return G.largest_component(G.load_links(shapes.links(t), 560).select(F.col("protein1").alias("src"), F.col("protein2").alias("dst")))
+
+
+@query("propagated_heats", "W08", shapes.with_("big_both", body=_POWERS + """
+SELECT node, round(coalesce(max(h0.heat), 0), 6) AS heat0, round(coalesce(sum(s * h.heat), 0), 5) AS prop_heat, round(coalesce(max(s) FILTER (node = v), 0) * coalesce(max(h0.heat), 0), 6) AS self_heat,
+  round(coalesce(sum(s) FILTER (node <> v), 0) * (SELECT sum(heat) FROM h) / (SELECT count(DISTINCT src) FROM big_both), 6) AS expect_heat
+FROM x LEFT JOIN h ON h.node = v LEFT JOIN h h0 ON h0.node = x.node GROUP BY x.node""".replace("SELECT node,", "SELECT x.node AS node,").replace("(node = v)", "(x.node = v)").replace("(node <> v)", "(x.node <> v)")))
+def _(t):
+    d = P.propagate_heats(G.largest_component(_core(t)), _core_heats(t), 0.5, network_only=True, tolerance=1e-12)
+    return d.select("node", R("heat0", 6).alias("heat0"), R("prop_heat", 5).alias("prop_heat"), R("self_heat", 6).alias("self_heat"), R("expect_heat", 6).alias("expect_heat"))
+
+
 @query("propagate_heats", "W08", None)
 def _(t):
-    e = G.load_links(shapes.links(t), 560).select(F.col("protein1").alias("src"), F.col("protein2").alias("dst"))
-    d = G.propagate_heats(G.largest_component(e), _heats(t), 0.5, n_perm=20, tolerance=1e-6)
-    return d.select("node", "heat0", "prop_heat", "pvalue", "adj_pvalue", "z", "expect_heat")
+    return P.propagate_heats(_wide(t), _heats(t), 0.5)
 
 
-@query("propagate_multi", "W09", None)
+@query("propagate_heats_network_only", "W08", None)
 def _(t):
-    e = G.largest_component(G.load_links(shapes.links(t), 560).select(F.col("protein1").alias("src"), F.col("protein2").alias("dst")))
-    h = _heats(t).withColumn("set", F.explode(F.array(F.lit("plain"), F.lit("squared")))).withColumn(
+    return P.propagate_heats(_wide(t), _heats(t), 0.5, network_only=True, observed_only=True)
+
+
+def _heat_sets(t):
+    return _heats(t).withColumn("set", F.explode(F.array(F.lit("plain"), F.lit("squared")))).withColumn(
         "heat", F.when(F.col("set") == "plain", F.col("heat")).otherwise(F.col("heat") * F.col("heat"))
     )
-    return G.propagate_multi(e, h, 0.5, n_perm=20, tolerance=1e-6)
+
+
+@query("propagate_multi", "W09", None)
+def _(t):
+    return P.propagate_multi(_wide(t), _heat_sets(t), 0.5)
+
+
+@query("propagate_multi_network_only", "W09", None)
+def _(t):
+    return P.propagate_multi(_wide(t), _heat_sets(t), 0.5, network_only=True)
+
+
+@query("heat_contributions_to_all", "W11 R81", shapes.with_("big_both", body=_POWERS + """
+, c AS (SELECT x.node AS "to", v AS "from", s * heat AS c FROM x JOIN h ON h.node = v), p AS (SELECT *, 100 * c / sum(c) OVER (PARTITION BY "to") AS pc FROM c WHERE c > 1e-9)
+SELECT "to", "from", round(c, 6) AS contributed_heat, round(pc, 5) AS percent FROM p"""))
+def _(t):
+    e = G.largest_component(_core(t))
+    nodes = P.simple_edges(e).select(F.col("src").alias("node")).distinct()
+    d = G.heat_contributions(e, _core_heats(t), nodes, 0.5, tolerance=1e-12).where("contributed_heat > 1e-9")
+    return d.select("to", "from", R("contributed_heat", 6).alias("contributed_heat"), R("percent", 5).alias("percent"))
 
 
 @query("heat_contributions", "W11 R81", None)
@@ -157,7 +247,12 @@ def _(t):
     return G.spanning_forest(e).join(comp, F.col("src") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("tree_edges"))
 
 
-@query("one_edge_per_node", "W13", None)
+@query("one_edge_per_node", "W13", shapes.with_("links", body="""
+, e AS (SELECT protein1 AS src, protein2 AS dst, row_number() OVER (ORDER BY combined_score DESC, protein1, protein2) AS i FROM links WHERE combined_score > 480),
+m AS (WITH RECURSIVE m AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS used, CAST([] AS BIGINT[]) AS kept UNION ALL
+  SELECT e.i, CASE WHEN list_has_any(used, [src, dst]) THEN used ELSE list_concat(used, [src, dst]) END, CASE WHEN list_has_any(used, [src, dst]) THEN kept ELSE list_append(kept, e.i) END FROM m JOIN e ON e.i = m.i + 1)
+  SELECT kept FROM m ORDER BY i DESC LIMIT 1)
+SELECT src, dst FROM e WHERE i IN (SELECT unnest(kept) FROM m)"""))
 def _(t):
     return G.one_edge_per_node(strong(t, 480), [-F.col("combined_score")])
 
@@ -175,11 +270,26 @@ def _(t):
     return G.complexes_for_epic(_complexes(t))
 
 
+def _hops(t):
+    return G.hop_distances(strong(t), 5).where(F.col("source") < F.col("node")).select(F.col("source").alias("gene1"), F.col("node").alias("gene2"), "hops")
+
+
+def _members(t):
+    gene = F.concat(F.lit("g"), F.col("l_partkey").cast("string"))
+    return t.lineitem.select(F.col("l_orderkey").alias("complex_id"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("complex_name"), gene.alias("gene"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("protein")).distinct()
+
+
 @query("decoy_complexes", "W14", None)
 def _(t):
-    members = t.lineitem.select(F.col("l_orderkey").alias("complex_id"), F.concat(F.lit("g"), F.col("l_partkey").cast("string")).alias("gene"))
-    hops = G.hop_distances(strong(t), 5).where(F.col("source") < F.col("node")).select(F.col("source").alias("gene1"), F.col("node").alias("gene2"), "hops")
-    return G.decoy_complexes(members, hops)
+    return G.decoy_complexes(_members(t), _hops(t))
+
+
+@query("targets_and_decoys", "W14", """
+WITH m AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS g FROM lineitem), s AS (SELECT c, count(*) AS n FROM m GROUP BY c)
+SELECT CAST(c AS VARCHAR) AS complex_id, false AS decoy, n AS genes FROM s UNION ALL SELECT 'decoy_' || c || CASE k WHEN 1 THEN '' ELSE '_' || k END, true, n FROM s, range(1, 3) r(k) WHERE n >= 2""")
+def _(t):
+    d = G.targets_and_decoys(_members(t), _hops(t), per_complex=2)
+    return d.groupBy("complex_id", "decoy").agg(F.countDistinct("gene").alias("genes"))
 
 
 shapes.cte("tsne", """SELECT 'g' || CAST(p_partkey AS VARCHAR) AS gene, p_brand AS cluster, CAST(p_size AS DOUBLE) AS x, p_retailprice / 100 AS y, 'prey' AS type, p_type <> 'ECONOMY' AS "nameMatch" FROM part
@@ -231,3 +341,9 @@ SELECT node AS gene, component AS cluster, size FROM comp JOIN s USING (componen
 def _(t):
     d = shapes.links(t).select(F.col("protein1").alias("a"), F.col("protein2").alias("b"), (1000 / F.col("combined_score")).alias("distance"))
     return G.modules_from_distance(d, 1000 / 640.5, 4)
+
+
+@query("modules_by_average_linkage", "W18", None)
+def _(t):
+    d = G.largest_component(strong(t)).select(F.col("src").alias("a"), F.col("dst").alias("b"), (1000 / F.col("combined_score")).alias("distance"))
+    return G.modules_by_average_linkage(d)
