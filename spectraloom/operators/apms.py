@@ -15,7 +15,7 @@ from spectraloom.functions.ordered import ecdf, exact_quantile, running_totals
 from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.graph import hop_distances, one_edge_per_node, spanning_forest
 from spectraloom.operators.normalize import _array_median
-from spectraloom.operators.relational import blocked_pairs, complete_grid, dense_index, permuted_index, set_shared
+from spectraloom.operators.relational import complete_grid, dense_index, level_pairs, meeting, permuted_index, shared_counts
 from spectraloom.operators.significance import welch_from_moments
 
 
@@ -224,7 +224,8 @@ def saint_spc(
     prey (or run-specific pseudo-controls) under generalized Poisson models.
     The prior is re-estimated in closed form from one aggregate per round:
     with A the summed share of true replicates and B the number of pairs,
-    ``b = ln(A / (B - A))``. Returns (bait-prey table, beta1).
+    ``b = ln(A / (B - A))``. Returns (bait-prey table, beta1); ``treatCounts`` and
+    ``controlMean`` hold one value a replicate, packed in run order.
     """
     grid = complete_grid(interactions.groupBy("prey", "run").agg(F.sum("spc").alias("spc")), ["prey"], "run", "spc", 0)
     d = grid.join(baits.select("run", "bait", "treatment"), "run").join(preys.select("prey", "preyGene"), "prey", "left")
@@ -234,7 +235,10 @@ def saint_spc(
     t = d.where(F.col("treatment") == "T").join(ctl, "prey", "left")
     if pseudo is not None:
         p = pseudo.select("run", "prey", F.col("mean").alias("_pm"), F.col("omega").alias("_po"))
-        t = t.join(p, ["run", "prey"], "left").withColumns({"controlMean": F.greatest(F.coalesce("_pm", "controlMean"), F.lit(0.1)), "controlOmega": F.coalesce("_po", "controlOmega")}).drop("_pm", "_po")
+        source = F.when(F.col("_pm").isNotNull(), "pseudoControls").otherwise("experimentalControls")
+        t = t.join(p, ["run", "prey"], "left").withColumns({"controlSource": source, "controlMean": F.greatest(F.coalesce("_pm", "controlMean"), F.lit(0.1)), "controlOmega": F.coalesce("_po", "controlOmega")}).drop("_pm", "_po")
+    else:
+        t = t.withColumn("controlSource", F.lit("experimentalControls"))
     mean, true = F.col("controlMean"), F.col("controlMean") * fold
     t = t.withColumns(
         {
@@ -243,7 +247,7 @@ def saint_spc(
             "lpFalse": log_generalized_poisson(F.greatest(F.col("spc"), mean), mean, F.col("controlOmega")),
         }
     )
-    t = cut(t.select("run", "bait", "prey", "preyGene", "spc", "controlMean", "controlOmega", "foldChange", "lpTrue", "lpFalse"))
+    t = cut(t.select("run", "bait", "prey", "preyGene", "spc", "controlMean", "controlOmega", "controlSource", "foldChange", "lpTrue", "lpFalse"))
 
     def totals(z: Column) -> tuple[float, int, float]:
         per = t.withColumn("_z", z.cast("double")).groupBy("bait", "prey").agg(
@@ -267,9 +271,14 @@ def saint_spc(
     prior = math.exp(beta1)
     score = prior / (prior + F.exp(F.least(F.col("lpFalse") - F.col("lpTrue"), F.lit(700.0))))
     s = t.withColumn("saintScore", F.when((F.col("spc") <= 1) | (F.col("spc") < F.col("controlMean")), 0.0).otherwise(score))
+    # the runs of a bait are its replicates, so these lists are as long as the design
+    by_run = F.array_sort(F.collect_list(F.struct("run", F.col("spc").cast("bigint").cast("string").alias("spc"), F.format_string("%.1f", "controlMean").alias("mean"))))
     out = s.groupBy("bait", "prey", "preyGene").agg(
-        F.avg("spc").alias("avgSpec"), F.avg("saintScore").alias("avgScore"), F.avg("foldChange").alias("foldChange"), F.first("controlOmega").alias("controlOmega"), F.max("controlMean").alias("controlMean"),
+        F.avg("spc").alias("avgSpec"), by_run.alias("_runs"), F.avg("saintScore").alias("avgScore"), F.avg("foldChange").alias("foldChange"),
+        F.max("controlOmega").alias("controlOmega"), F.array_join(F.array_sort(F.collect_set("controlSource")), "|").alias("controlSource"),
     )
+    packed = lambda c: F.array_join(F.transform("_runs", lambda r: r[c]), "|")
+    out = out.withColumns({"treatCounts": packed("spc"), "controlMean": packed("mean")}).drop("_runs")
     return bfdr(out, "avgScore"), beta1
 
 
@@ -360,50 +369,67 @@ def decoy_pairs(
 PROTEOME = 11169  # fixed value: background size of the overlap test
 
 
-def _prey_sets(bait_prey: DataFrame, groups: list[str]) -> DataFrame:
-    return bait_prey.groupBy(*groups, "bait").agg(F.collect_set("prey").alias("preys"))
+def _with_fisher(pairs: DataFrame, sizes: DataFrame, groups: list[str], background: int, other_sizes: DataFrame | None = None) -> DataFrame:
+    """Overlap test of pairs ``a, b, shared``; the tail is computed once per distinct set of counts."""
+    a = sizes.select(*groups, F.col("bait").alias("a"), F.col("n").alias("na"))
+    b = (sizes if other_sizes is None else other_sizes).select(*groups, F.col("bait").alias("b"), F.col("n").alias("nb"))
+    d = cut(pairs.join(a, [*groups, "a"]).join(b, [*groups, "b"]).withColumns({"_lo": F.least("na", "nb"), "_hi": F.greatest("na", "nb")}))
+    counts = d.select("shared", "_lo", "_hi").distinct()
+    p = dist.hypergeom_log10(F.col("shared").cast("double"), F.col("_lo").cast("double"), F.lit(float(background)), F.col("_hi").cast("double"))
+    tails = counts.select("shared", "_lo", "_hi", F.pow(F.lit(10.0), p).alias("fisherP"))
+    return d.join(tails, ["shared", "_lo", "_hi"]).select(*groups, F.col("a").alias("bait1"), F.col("b").alias("bait2"), "shared", "fisherP")
 
 
-def _with_fisher(pairs: DataFrame, sizes: DataFrame, groups: list[str], background: int) -> DataFrame:
-    a = sizes.select(*groups, F.col("bait").alias("a"), F.col("n").alias("na"))
-    b = sizes.select(*groups, F.col("bait").alias("b"), F.col("n").alias("nb"))
-    d = pairs.join(a, [*groups, "a"]).join(b, [*groups, "b"])
-    p = dist.hypergeom_log10(F.col("score"), F.col("na").cast("double"), F.lit(float(background)), F.col("nb").cast("double"))
-    return d.select(*groups, F.col("a").alias("bait1"), F.col("b").alias("bait2"), F.col("score").cast("bigint").alias("shared"), F.pow(F.lit(10.0), p).alias("fisherP"))
+def _prey_counts(bait_prey: DataFrame, groups: list[str]) -> DataFrame:
+    return bait_prey.groupBy(*groups, "bait").agg(F.countDistinct("prey").alias("n"))
 
 
 def prey_overlap_fisher(bait_prey: DataFrame, groups: list[str] | None = None, background: int = PROTEOME) -> DataFrame:
-    """One-sided overlap test of every bait pair; pairs without overlap have p = 1."""
+    """One-sided overlap test of every bait pair; pairs without overlap have p = 1.
+
+    Shared preys come from an index by prey; the pairs without any are what is
+    left of all pairs.
+    """
     groups = groups or []
-    sets = cut(_prey_sets(bait_prey, groups))
-    pairs = blocked_pairs(sets, groups, "bait", "preys", set_shared, None)
-    return _with_fisher(pairs, sets.select(*groups, "bait", F.size("preys").alias("n")), groups, background)
+    known = cut(bait_prey.where("bait is not null and prey is not null").select(*groups, "bait", "prey").distinct())
+    shared = shared_counts(known, groups, "bait", "prey")
+    pairs = level_pairs(known, "bait", groups=groups).join(shared, [*groups, "a", "b"], "left").na.fill(0, ["shared"])
+    return _with_fisher(pairs, _prey_counts(known, groups), groups, background)
 
 
 def prey_overlap_fisher_between(bait_prey1: DataFrame, bait_prey2: DataFrame, background: int = PROTEOME) -> DataFrame:
-    """Only pairs across the two sets; baits in both count for the first."""
-    second = bait_prey2.join(bait_prey1.select("bait").distinct(), "bait", "left_anti")
-    d = bait_prey1.select("bait", "prey").withColumn("side", F.lit(1)).unionByName(second.select("bait", "prey").withColumn("side", F.lit(2)))
-    side = d.select("bait", "side").distinct()
-    p = prey_overlap_fisher(d, background=background)
-    p = p.join(side.select(F.col("bait").alias("bait1"), F.col("side").alias("s1")), "bait1").join(side.select(F.col("bait").alias("bait2"), F.col("side").alias("s2")), "bait2")
-    p = p.where(F.col("s1") != F.col("s2"))
-    flip = F.col("s1") == 2
-    return p.select(F.when(flip, F.col("bait2")).otherwise(F.col("bait1")).alias("bait1"), F.when(flip, F.col("bait1")).otherwise(F.col("bait2")).alias("bait2"), "shared", "fisherP")
+    """Only pairs across the two sets, which alone are formed; baits in both count for the first."""
+    one = cut(bait_prey1.where("bait is not null and prey is not null").select("bait", "prey").distinct())
+    two = bait_prey2.where("bait is not null and prey is not null").join(one.select("bait").distinct(), "bait", "left_anti")
+    two = cut(two.select("bait", "prey").distinct())
+    pairs = meeting(one.select(F.col("bait").alias("a")).distinct(), two.select(F.col("bait").alias("b")).distinct(), "a", "b")
+    pairs = pairs.join(shared_counts(one, [], "bait", "prey", two), ["a", "b"], "left").na.fill(0, ["shared"])
+    return _with_fisher(pairs, _prey_counts(one, []), [], background, _prey_counts(two, []))
 
 
 def prey_size_windows(bait_prey: DataFrame, pool: int = 100) -> DataFrame:
-    """For each prey count 1..max, the smallest radius whose window holds more than ``pool`` baits."""
-    sizes = bait_prey.groupBy("bait").agg(F.countDistinct("prey").alias("countPrey"))
-    per = sizes.groupBy("countPrey").agg(F.count(F.lit(1)).alias("n"))
-    packed = per.agg(F.max("countPrey").alias("_max"), F.map_from_entries(F.collect_list(F.struct("countPrey", "n"))).alias("_m"))
-    counts = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("_max")), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("bigint")))
-    line = packed.select("_max", counts.alias("_c"))
-    cum = F.aggregate("_c", F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    line = line.select("_max", "_c", cum.alias("_cum"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_max"))).alias("countPrey"))
-    inside = lambda r: F.element_at("_cum", (F.least(F.col("countPrey") + r, F.col("_max")) + 1).cast("int")) - F.element_at("_cum", F.greatest(F.col("countPrey") - r, F.lit(1)).cast("int"))
-    radii = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("_max") - 1), lambda r: inside(r) > pool)
-    return line.select("countPrey", F.element_at("_c", F.col("countPrey").cast("int")).alias("numBaitsWithCP"), F.coalesce(F.try_element_at(radii, F.lit(1)), F.col("_max")).alias("windowSize"))
+    """For each prey count 1..max, the smallest radius whose window holds more than ``pool`` baits.
+
+    Baits up to each count are running totals over the counts; the radius is
+    found by halving, all counts at once, with two lookups of totals a round.
+    Where no radius is enough it is the largest count.
+    """
+    spark = bait_prey.sparkSession
+    per = cut(bait_prey.groupBy("bait").agg(F.countDistinct("prey").alias("countPrey")).groupBy("countPrey").agg(F.count("*").alias("n")))
+    most = per.agg(F.max("countPrey")).first()[0] or 0
+    line = spark.range(0, most + 1).select(F.col("id").alias("countPrey")).join(per, "countPrey", "left").na.fill(0, ["n"])
+    line = cut(running_totals(line, [], "countPrey", sums=["n"]).select("countPrey", "n", F.col("n_run").alias("upto")))
+    upper, lower = line.select(F.col("countPrey").alias("_u"), F.col("upto").alias("_high")), line.select(F.col("countPrey").alias("_l"), F.col("upto").alias("_low"))
+    # the radius lies in lo..hi; hi = most means that none is enough
+    state = line.where("countPrey > 0").select("countPrey", "n", F.lit(0).cast("bigint").alias("lo"), F.lit(most).cast("bigint").alias("hi"))
+    for turn in range(int(most).bit_length()):
+        mid = F.expr("(lo + hi) div 2")
+        asked = state.withColumns({"_m": mid, "_u": F.least(F.col("countPrey") + mid, F.lit(most)), "_l": F.greatest(F.col("countPrey") - mid, F.lit(1).cast("bigint")) - 1})
+        found = asked.join(upper, "_u").join(lower, "_l").withColumn("_enough", F.col("_high") - F.col("_low") > pool)
+        state = found.select("countPrey", "n", F.when(F.col("_enough") | (F.col("lo") >= F.col("hi")), F.col("lo")).otherwise(F.col("_m") + 1).alias("lo"), F.when(F.col("_enough"), F.col("_m")).otherwise(F.col("hi")).alias("hi"))
+        if turn % 4 == 3:
+            state = cut(state)
+    return state.select("countPrey", F.col("n").alias("numBaitsWithCP"), F.col("hi").alias("windowSize"))
 
 
 def size_matched_sample(baits: DataFrame, background: DataFrame, samples: int, seed: int = 1, exclude: DataFrame | None = None) -> DataFrame:
@@ -446,8 +472,13 @@ def convergence_test(bait_prey: DataFrame, background: DataFrame, samples: int =
     drawn = size_matched_sample(own, bg, samples, seed)
     sets = drawn.select("sample", F.col("cand").alias("bait")).join(background.select("bait", "prey").distinct(), "bait")
     every = bait_prey.select(F.lit(0).alias("sample"), "bait", "prey").unionByName(sets.select("sample", "bait", "prey"))
-    p = prey_overlap_fisher(every, ["sample"], proteome)
-    return p.groupBy("sample").agg(F.avg((F.col("fisherP") < 0.05).cast("double")).alias("portion"), F.count(F.lit(1)).alias("pairs"))
+    known = cut(every.where("bait is not null and prey is not null").distinct())
+    # pairs without overlap have p = 1, so they only count in the number of pairs
+    sizes = cut(_prey_counts(known, ["sample"]))
+    p = _with_fisher(shared_counts(known, ["sample"], "bait", "prey"), sizes, ["sample"], proteome)
+    low = p.groupBy("sample").agg(F.count_if(F.col("fisherP") < 0.05).alias("_low"))
+    total = sizes.groupBy("sample").agg(F.expr("count(*) * (count(*) - 1) div 2").alias("pairs"))
+    return total.where("pairs > 0").join(low, "sample", "left").select("sample", (F.coalesce("_low", F.lit(0)) / F.col("pairs")).alias("portion"), "pairs")
 
 
 def bioplex_pairs(table: DataFrame) -> DataFrame:

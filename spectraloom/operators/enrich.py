@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +15,7 @@ from spectraloom.functions.columns import capitalize_first, first_row, is_finite
 from spectraloom.functions.ordered import add_rank, p_adjust_bh
 from spectraloom.functions.session import attach, cut
 from spectraloom.operators.cluster import complete_linkage
-from spectraloom.operators.relational import blocked_pairs, dense_index, permuted_index, set_jaccard, set_overlap
+from spectraloom.operators.relational import dense_index, permuted_index, similar_sets
 from spectraloom.operators.significance import term_jaccard, term_score
 
 
@@ -74,10 +78,13 @@ def enrich_by_group(groups: DataFrame, gmt: DataFrame, universe: DataFrame | Non
 def term_clusters(terms: DataFrame, gmt: DataFrame, cut_height: float, overlap: bool = False) -> DataFrame:
     """``ID, cluster`` of terms whose gene sets are alike (complete linkage)."""
     names = terms.select(F.col("ID").alias("ont")).distinct()
-    sets = gmt.select("ont", "gene").distinct().join(names, "ont", "left_semi").groupBy("ont").agg(F.collect_list("gene").alias("genes"))
-    alike = blocked_pairs(sets, [], "ont", "genes", set_overlap if overlap else set_jaccard, 1.0 - cut_height)
-    pairs = alike.select("a", "b", (1.0 - F.col("score")).alias("dist"))
-    return complete_linkage(pairs, sets.select(F.col("ont").alias("node"))).select(F.col("node").alias("ID"), "cluster")
+    members = cut(gmt.select("ont", "gene").distinct().join(names, "ont", "left_semi"))
+    nodes = members.select(F.col("ont").alias("node")).distinct()
+    if cut_height >= 1:
+        # no two sets are farther apart than one
+        return attach(nodes, nodes.agg(F.min("node").alias("cluster"))).withColumnRenamed("node", "ID")
+    pairs = similar_sets(members, "ont", "gene", 1.0 - cut_height, overlap).select("a", "b", (1.0 - F.col("score")).alias("dist"))
+    return complete_linkage(pairs, nodes).select(F.col("node").alias("ID"), "cluster")
 
 
 def simplify_terms(
@@ -186,27 +193,68 @@ def enrichment_scores(ranked: DataFrame, sets: DataFrame, weight: float = 1.0, s
     return es.drop("peak_rank", "low_rank").join(lead, ["grp", "ont"])
 
 
+def _prefix_scores(rank: np.ndarray, score: np.ndarray, turn: np.ndarray, n: int, sizes: np.ndarray, weight: float, score_type: str) -> np.ndarray:
+    """Enrichment scores of the sets of genes whose ``turn`` is under each size."""
+    order = np.argsort(rank)
+    rank, turn = rank[order], turn[order]
+    value = np.abs(score[order]) ** weight
+    out = np.empty(len(sizes))
+    step = max(1, 2_000_000 // max(1, len(rank)))
+    for start in range(0, len(sizes), step):
+        size = sizes[start : start + step, None]
+        member = turn[None] < size
+        place = np.cumsum(member, axis=1)
+        total = np.cumsum(value * member, axis=1)
+        whole = total[:, -1:]
+        flat = whole <= 0
+        miss = np.where(n > size, (rank - place) / np.maximum(1, n - size), 0.0)
+        up = np.where(flat, place / size, total / np.where(flat, 1, whole)) - miss
+        down = np.where(flat, (place - 1) / size, (total - value) / np.where(flat, 1, whole)) - miss
+        top, low = np.where(member, up, -np.inf).max(axis=1), np.where(member, down, np.inf).min(axis=1)
+        if score_type == "std":
+            out[start : start + step] = np.where(np.abs(top + low) < 1e-12, 0.0, np.where(top > -low, top, low))
+        else:
+            out[start : start + step] = top if score_type == "pos" else low
+    return out
+
+
+def null_scores(ranked: DataFrame, sizes: DataFrame, n_perm: int, weight: float, score_type: str, seed: int) -> DataFrame:
+    """``grp, size, null_es`` for every permutation and every size of a group."""
+    wanted = sizes.groupBy("grp").agg(F.array_sort(F.collect_set("size")).alias("sizes"), F.max("size").alias("most"))
+    wanted = cut(wanted.join(ranked.groupBy("grp").agg(F.first("n").alias("n")), "grp"))
+    draws = wanted.select("grp", "n", "most", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
+    draws = draws.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("most") - 1)))
+    draws = draws.select("grp", "perm", "turn", (permuted_index(F.col("turn"), F.xxhash64("grp", "perm", F.lit(seed)), F.col("n")) + 1).alias("rank"))
+    hits = draws.join(ranked.select("grp", "rank", "score"), ["grp", "rank"])
+    drawn = hits.groupBy("grp", "perm").agg(*[F.collect_list(c).alias(c) for c in ("rank", "score", "turn")]).join(wanted.select("grp", "n", "sizes"), "grp")
+    kind = ranked.schema["grp"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, grp in enumerate(batch.column("grp")):
+                rank, value, turn, sized = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("rank", "score", "turn", "sizes"))
+                es = _prefix_scores(rank, value.astype(float), turn, batch.column("n")[i].as_py(), sized, weight, score_type)
+                yield pa.record_batch([pa.array([grp.as_py()] * len(es), grp.type), pa.array(sized, pa.int64()), pa.array(es)], names=["grp", "size", "null_es"])
+
+    return drawn.mapInArrow(score, f"grp {kind}, size long, null_es double")
+
+
 def gsea(
     scores: DataFrame, sets: DataFrame, n_perm: int = 1000, weight: float = 1.0, score_type: str | None = None, seed: int = 1,
     min_size: int = 1, max_size: int = 10_000, remove_zeros: bool = False,
 ) -> DataFrame:
     """Ranked-list enrichment for every ``grp`` at once, with a permutation p.
 
-    Null sets are drawn once per (grp, set size, permutation) by a keyed
-    permutation of rank positions, so sets of one size share them and nothing
-    is shuffled to draw them.
+    One random order of rank positions is drawn per (grp, permutation); its first
+    k positions are the null set of size k. So a permutation costs as many rows
+    as the largest set has genes, and all set sizes are scored from them at once.
     """
     ranked = cut(ranked_scores(scores, seed, remove_zeros))
     if score_type is None:
         lo, hi = ranked.agg(F.min("score"), F.max("score")).first()
-        score_type = "std" if lo < 0 < hi else ("pos" if hi > 0 else "neg")
+        score_type = "pos" if lo is None else "std" if lo < 0 < hi else ("pos" if hi > 0 else "neg")
     es = cut(enrichment_scores(ranked, sets, weight, score_type).where(F.col("size").between(min_size, max_size)))
-    n = ranked.groupBy("grp").agg(F.first("n").alias("n"))
-    draws = es.select("grp", "size").distinct().join(n, "grp").withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    draws = draws.withColumn("pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
-    draws = draws.select("grp", "size", "perm", (permuted_index(F.col("pos"), F.xxhash64("grp", "size", "perm", F.lit(seed)), F.col("n")) + 1).alias("rank"))
-    null_hits = draws.join(ranked.select("grp", "rank", "score", "n"), ["grp", "rank"]).withColumnRenamed("size", "_size")
-    null = _running_extremes(null_hits, ["grp", "_size", "perm"], weight, score_type).select("grp", F.col("_size").alias("size"), F.col("ES").alias("null_es"))
+    null = null_scores(ranked, es.select("grp", "size").distinct(), n_perm, weight, score_type, seed)
     null = null.groupBy("grp", "size", F.col("null_es")).agg(F.count(F.lit(1)).alias("c"))
     j = es.join(null, ["grp", "size"])
     same = F.when(F.col("ES") >= 0, F.col("null_es") >= 0).otherwise(F.col("null_es") < 0)

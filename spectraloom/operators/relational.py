@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spectraloom.functions.session import attach, cut, design_levels, shuffle_width, spread
+from spectraloom.functions.session import attach, cut, shuffle_width, spread
 
 
 def complete_grid(df: DataFrame, row_keys: list[str], column: str, value: str, fill=None) -> DataFrame:
@@ -37,13 +38,21 @@ def complete_grid(df: DataFrame, row_keys: list[str], column: str, value: str, f
     return grid.join(have, same, "left").select(*row_keys, column, found.alias(value))
 
 
-def level_pairs(df: DataFrame, column: str, a: str = "a", b: str = "b", ordered: bool = False) -> DataFrame:
-    """Pairs of design levels: ``a < b``, or every ordered pair ``a != b``; levels meet through a salt, in any number."""
-    levels = cut(df.select(column).where(F.col(column).isNotNull()).distinct())
-    salts = max(1, min(shuffle_width(df.sparkSession), levels.count()))
-    left = levels.select(F.col(column).alias(a), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    right = levels.select(F.col(column).alias(b), F.pmod(F.xxhash64(column), F.lit(salts)).cast("int").alias("_salt"))
-    return left.join(right, "_salt").where(F.col(a) != F.col(b) if ordered else F.col(a) < F.col(b)).select(a, b)
+def level_pairs(df: DataFrame, column: str, a: str = "a", b: str = "b", ordered: bool = False, groups: list[str] | None = None) -> DataFrame:
+    """Pairs of levels (inside ``groups``): ``a < b``, or every ordered pair ``a != b``; levels meet through a salt, in any number."""
+    groups = groups or []
+    levels = cut(df.select(*groups, column).where(F.col(column).isNotNull()).distinct())
+    pairs = meeting(levels.withColumnRenamed(column, a), levels.withColumnRenamed(column, b), a, b, groups)
+    return pairs.where(F.col(a) != F.col(b) if ordered else F.col(a) < F.col(b))
+
+
+def meeting(left: DataFrame, right: DataFrame, a: str, b: str, groups: list[str] | None = None) -> DataFrame:
+    """Every level ``a`` of ``left`` with every level ``b`` of ``right`` (inside ``groups``), through a salt."""
+    groups = groups or []
+    salts = max(1, min(shuffle_width(left.sparkSession), left.count()))
+    one = left.select(*groups, a, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    two = right.select(*groups, b, F.pmod(F.xxhash64(b), F.lit(salts)).cast("int").alias("_salt"))
+    return one.join(two, [*groups, "_salt"]).select(*groups, a, b)
 
 
 def range_join(
@@ -135,51 +144,91 @@ def distance_join(a: DataFrame, b: DataFrame, coords: list[str], radius: float,
 
 # --- column-by-column sums ------------------------------------------------------
 
-GRAM_SCHEMA = "ia int, ib int, n double, sa double, sb double, saa double, sbb double, sab double"
+#: columns of a tile: a task holds four square blocks of this size
+TILE = 512
+#: rows whose cells are added up into one block of sums before they are shuffled
+TILE_ROWS = 200_000
+GRAM_SCHEMA = "ia long, ib long, n double, sa double, sb double, saa double, sbb double, sab double"
 
 
 def column_gram(df: DataFrame, row_keys: list[str], column: str, value: str, levels: list | None = None) -> DataFrame:
-    """Pairwise-complete sums for every pair of design columns.
-
-    Returns ``a, b, n, sa, sb, saa, sbb, sab`` over the rows where both columns
-    have a value. Each task multiplies dense blocks (rows x columns) and emits
-    one matrix of sums, so the shuffle carries columns squared per task, not
-    rows times columns squared.
+    """Pairwise-complete sums for every pair of columns.
+
+    Returns ``a, b, n, sa, sb, saa, sbb, sab`` (``a <= b``) over the rows where
+    both columns have a value. Columns are numbered and cut into tiles; a task
+    multiplies the cells that some rows have in two tiles as dense matrices and
+    emits one block of sums, so its memory is set by ``TILE`` whatever the
+    number of columns. With a single tile the rows stay where they are. Given
+    ``levels`` restrict the columns.
     """
-    levels = levels if levels is not None else design_levels(df, column, 5000)
-    if levels is None:
-        raise ValueError(f"{column} is not a design factor: more than 5000 levels")
-    v = len(levels)
-    dtype = df.schema[column].dataType
-    names = df.sparkSession.createDataFrame(list(enumerate(levels)), T.StructType([T.StructField("_i", T.IntegerType()), T.StructField("_name", dtype)]))
-    indexed = df.where(F.col(value).isNotNull()).join(F.broadcast(names), F.col(column) == F.col("_name"))
-    rows = indexed.groupBy(*row_keys).agg(F.collect_list("_i").alias("i"), F.collect_list(F.col(value).cast("double")).alias("v"))
-
-    def accumulate(batches):
-        total = np.zeros((4, v, v))
-        for pdf in batches:
-            for start in range(0, len(pdf), 512):
-                part = pdf.iloc[start : start + 512]
-                x, m = np.zeros((len(part), v)), np.zeros((len(part), v))
-                r = np.repeat(np.arange(len(part)), part["i"].str.len().to_numpy())
-                c = np.concatenate(part["i"].to_numpy()).astype(int)
-                x[r, c] = np.concatenate(part["v"].to_numpy())
-                m[r, c] = 1.0
-                total[0] += m.T @ m
-                total[1] += x.T @ m
-                total[2] += (x * x).T @ m
-                total[3] += x.T @ x
-        ia, ib = np.triu_indices(v)
-        n, s, q, p = total
-        keep = n[ia, ib] > 0
-        ia, ib = ia[keep], ib[keep]
-        yield pd.DataFrame({"ia": ia.astype("int32"), "ib": ib.astype("int32"), "n": n[ia, ib], "sa": s[ia, ib], "sb": s[ib, ia], "saa": q[ia, ib], "sbb": q[ib, ia], "sab": p[ia, ib]})
-
-    sums = (
-        rows.select("i", "v").mapInPandas(accumulate, GRAM_SCHEMA).groupBy("ia", "ib").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    spark = df.sparkSession
+    cells = df.where(F.col(value).isNotNull() & F.col(column).isNotNull())
+    if levels is not None:
+        names = spark.createDataFrame(list(enumerate(levels)), T.StructType([T.StructField("_i", T.LongType()), T.StructField("_name", df.schema[column].dataType)]))
+    else:
+        names = cut(dense_index(cells.select(F.col(column).alias("_name")).distinct(), "_name", "_i"))
+    count = names.count()
+    tiles = max(1, -(-count // TILE))
+    numbered = cells.join(names, F.col(column) == F.col("_name"))
+    keyed = numbered.groupBy(*row_keys, F.expr(f"cast(_i div {TILE} as int)").alias("_tile")).agg(
+        F.collect_list((F.col("_i") % TILE).cast("int")).alias("i"), F.collect_list(F.col(value).cast("double")).alias("v")
     )
+    if tiles == 1:
+        sums = keyed.select(F.lit(0).alias("p"), F.lit(0).alias("q"), F.col("i").alias("ip"), F.col("v").alias("vp"), F.col("i").alias("iq"), F.col("v").alias("vq"))
+    else:
+        rows = keyed.groupBy(*row_keys).agg(F.array_sort(F.collect_list(F.struct("_tile", "i", "v"))).alias("t"))
+        pair = F.explode(F.expr("flatten(transform(t, x -> transform(filter(t, y -> y._tile >= x._tile), y -> struct(x, y))))")).alias("z")
+        parts = max(1, -(-keyed.count() // TILE_ROWS))
+        sums = rows.select(pair, F.pmod(F.xxhash64(*row_keys), F.lit(parts)).alias("part"))
+        sums = sums.select(F.col("z.x._tile").alias("p"), F.col("z.y._tile").alias("q"), "part", *[F.col(f"z.{s}.{c}").alias(f"{c}{t}") for s, t in (("x", "p"), ("y", "q")) for c in ("i", "v")])
+        sums = sums.repartition(shuffle_width(spark), "p", "q", "part").sortWithinPartitions("p", "q").drop("part")
+    sums = sums.mapInArrow(_tile_sums, GRAM_SCHEMA).groupBy("ia", "ib").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
     na, nb = names.select(F.col("_i").alias("ia"), F.col("_name").alias("a")), names.select(F.col("_i").alias("ib"), F.col("_name").alias("b"))
-    return sums.join(F.broadcast(na), "ia").join(F.broadcast(nb), "ib").select("a", "b", "n", "sa", "sb", "saa", "sbb", "sab")
+    named = sums.join(na, "ia").join(nb, "ib")
+    turned = F.col("a") > F.col("b")
+    either = lambda x, y: F.when(turned, F.col(y)).otherwise(F.col(x))
+    return named.select(
+        either("a", "b").alias("a"), either("b", "a").alias("b"), "n", either("sa", "sb").alias("sa"), either("sb", "sa").alias("sb"),
+        either("saa", "sbb").alias("saa"), either("sbb", "saa").alias("sbb"), "sab",
+    )
+
+
+def _dense(index: pa.Array, value: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x, m = np.zeros((len(index), TILE)), np.zeros((len(index), TILE))
+    row = np.repeat(np.arange(len(index)), index.value_lengths().to_numpy(zero_copy_only=False))
+    at = index.flatten().to_numpy(zero_copy_only=False)
+    x[row, at] = value.flatten().to_numpy(zero_copy_only=False)
+    m[row, at] = 1.0
+    return x, m
+
+
+def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of sums of runs of rows of one pair of tiles."""
+    total, now = None, None
+
+    def block() -> pa.RecordBatch:
+        n, s, t, ss, tt, st = total
+        ia, ib = np.nonzero(n)
+        if now[0] == now[1]:
+            ia, ib = ia[ia <= ib], ib[ia <= ib]
+        return pa.record_batch([pa.array(now[0] * TILE + ia), pa.array(now[1] * TILE + ib), *(pa.array(x[ia, ib]) for x in (n, s, t, ss, tt, st))], names=[c.split()[0] for c in GRAM_SCHEMA.split(", ")])
+
+    for batch in batches:
+        p, q = batch.column("p").to_numpy(), batch.column("q").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1, [len(p)]]) if len(p) else np.zeros(1, int)
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if now != (int(p[start]), int(q[start])):
+                if total is not None:
+                    yield block()
+                total, now = np.zeros((6, TILE, TILE)), (int(p[start]), int(q[start]))
+            for at in range(start, stop, 1024):
+                part = batch.slice(at, min(1024, stop - at))
+                x, mx = _dense(part.column("ip"), part.column("vp"))
+                y, my = (x, mx) if now[0] == now[1] else _dense(part.column("iq"), part.column("vq"))
+                for i, (left, right) in enumerate(((mx, my), (x, my), (mx, y), (x * x, my), (mx, y * y), (x, y))):
+                    total[i] += left.T @ right
+    if total is not None:
+        yield block()
 
 
 def correlation_from_sums(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sab: Column) -> Column:
@@ -239,50 +288,54 @@ def blocked_pairs(
     return spread(d, *groups, "_i", "_j").groupBy(*groups, "_i", "_j").applyInPandas(pairs, schema)
 
 
-def vector_dot(left: list, right: list) -> np.ndarray:
-    """Dot products of equally long vectors."""
-    if not left or not right:
-        return np.zeros((len(left), len(right)))
-    return np.stack(left).astype(float) @ np.stack(right).astype(float).T
+def shared_counts(members: DataFrame, groups: list[str], key: str, item: str, others: DataFrame | None = None) -> DataFrame:
+    """``a, b, shared`` of every two keys (inside groups) with an item in common: ``a < b``, or keys of ``others`` as ``b``.
 
+    An inverted index: rows meet on the item, so only pairs with something in
+    common are ever formed; a frequent item is a skewed join key, which adaptive
+    execution splits. Repeated members count once.
+    """
+    one = members.select(*groups, F.col(key).alias("a"), item).distinct()
+    two = (others if others is not None else members).select(*groups, F.col(key).alias("b"), item).distinct()
+    met = one.join(two, [*groups, item])
+    met = met if others is not None else met.where(F.col("a") < F.col("b"))
+    return met.groupBy(*groups, "a", "b").agg(F.count("*").alias("shared"))
 
-def _memberships(left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
-    sets = [*left, *right]
-    flat = np.concatenate([np.asarray(s, dtype=object) for s in sets]) if sets else np.array([])
-    codes, _ = pd.factorize(flat)
-    width = int(codes.max()) + 1 if len(codes) else 1
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    out = np.zeros((len(left), len(right)))
-    step = 4096
-    for start in range(0, width, step):
-        inside = (codes >= start) & (codes < start + step)
-        m = np.zeros((len(sets), min(step, width - start)), dtype=np.float32)
-        m[rows[inside], codes[inside] - start] = 1.0
-        out += m[: len(left)] @ m[len(left) :].T
-    return out, np.array([len(s) for s in sets], float)
-
-
-def set_shared(left: list, right: list) -> np.ndarray:
-    """Sizes of the intersections of distinct-valued sets."""
-    if not left or not right:
-        return np.zeros((len(left), len(right)))
-    return _memberships(left, right)[0]
 
+def similar_sets(members: DataFrame, key: str, item: str, threshold: float, overlap: bool = False) -> DataFrame:
+    """``a < b, score``: sets whose Jaccard index (or overlap coefficient) is at least ``threshold`` > 0.
 
-def set_jaccard(left: list, right: list) -> np.ndarray:
-    if not left or not right:
-        return np.zeros((len(left), len(right)))
-    shared, sizes = _memberships(left, right)
-    a, b = sizes[: len(left)], sizes[len(left) :]
-    return shared / np.maximum(a[:, None] + b[None, :] - shared, 1.0)
+    Items are ordered from rare to frequent. Two sets that are alike enough have
+    an item in common among the first few of both (for the overlap coefficient:
+    the first few of the smaller set), so candidates come from an index on those
+    prefixes, cut by the sizes, and only candidates are compared, as sorted
+    arrays of item numbers. Null keys and items are left out, repeats count once.
+    """
+    once = cut(members.select(F.col(key).alias("key"), F.col(item).alias("item")).where("key is not null and item is not null").distinct())
+    often = once.groupBy("item").agg(F.count("*").alias("often"))
+    numbered = dense_index(often, "item", "id").select("item", F.struct("often", "id").alias("o"))
+    sets = once.join(numbered, "item").groupBy("key").agg(F.array_sort(F.collect_list("o")).alias("o"))
+    sets = cut(sets.select("key", F.transform("o", lambda x: x["id"]).alias("ids"), F.size("o").alias("n")))
+    few = (F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * threshold - 1e-9)) + 1).cast("int")
+    small = sets.select(F.col("key").alias("s"), F.col("n").alias("ns"), F.explode(F.slice("ids", F.lit(1), few)).alias("id"))
+    large = sets.select(F.col("key").alias("t"), F.col("n").alias("nt"), F.explode(F.col("ids") if overlap else F.slice("ids", F.lit(1), few)).alias("id"))
+    # the smaller set is s; of equal sizes the one that sorts first
+    turn = (F.col("ns") < F.col("nt")) | ((F.col("ns") == F.col("nt")) & (F.col("s") < F.col("t")))
+    if not overlap:
+        turn = turn & (F.col("ns") >= F.col("nt") * threshold - 1e-9)
+    candidates = small.join(large, "id").where(turn).select("s", "t").distinct()
+    both = candidates.join(sets.select(F.col("key").alias("s"), F.col("ids").alias("_s"), F.col("n").alias("ns")), "s")
+    both = both.join(sets.select(F.col("key").alias("t"), F.col("ids").alias("_t"), F.col("n").alias("nt")), "t")
+    shared = F.size(F.array_intersect("_s", "_t")).cast("double")
+    score = shared / (F.col("ns") if overlap else F.col("ns") + F.col("nt") - shared)
+    return both.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), score.alias("score")).where(F.col("score") >= threshold)
 
 
-def set_overlap(left: list, right: list) -> np.ndarray:
+def vector_dot(left: list, right: list) -> np.ndarray:
+    """Dot products of equally long vectors."""
     if not left or not right:
         return np.zeros((len(left), len(right)))
-    shared, sizes = _memberships(left, right)
-    a, b = sizes[: len(left)], sizes[len(left) :]
-    return shared / np.maximum(np.minimum(a[:, None], b[None, :]), 1.0)
+    return np.stack(left).astype(float) @ np.stack(right).astype(float).T
 
 
 # --- positions and seeded permutations ------------------------------------------

@@ -120,11 +120,17 @@ def _saint_inputs(t):
     return a.select("run", "prey", "spc"), baits, preys
 
 
-@query("saint_spc_fixed_prior", "G05 R47 R114", shapes.with_("apms", body=_SAINT + _FIN.format(prior="exp(-1.0)").replace("""  round(CASE WHEN (SELECT max(score) FROM s) - score < 1e-11 THEN 0 ELSE 1 - sum(score) OVER b / count(*) OVER b END, 4) AS bfdr
-FROM s WINDOW b AS (ORDER BY round(score, 11) DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 0.000000000001 PRECEDING)""", "0 AS z FROM s")))
+@query("saint_spc_fixed_prior", "G05 G06 R47 R114", shapes.with_("apms", body=_SAINT + """, s AS (SELECT bait, prey, avg(x) AS spec, avg(CASE WHEN x <= 1 OR x < m THEN 0 ELSE exp(-1.0) / (exp(-1.0) + exp(least(lf - lt, 700))) END) AS score, avg(x / m) AS fc, round(max(o), 6) AS "controlOmega",
+  string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), '|' ORDER BY run) AS "treatCounts", 'experimentalControls' AS "controlSource", count(*) AS runs, round(max(m), 3) AS top FROM l GROUP BY ALL),
+d AS (SELECT score, count(*) AS c FROM s GROUP BY score), w AS (SELECT score, sum(c) OVER b AS n, sum(c * score) OVER b AS total FROM d WINDOW b AS (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT bait, prey, round(spec, 6) AS "avgSpec", round(s.score, 6) AS "avgScore", round(fc, 6) AS "foldChange", "controlOmega", "treatCounts", "controlSource", runs AS "controlMeans", round(CASE WHEN n IS NULL THEN 0 ELSE 1 - total / n END, 3) AS bfdr
+FROM s JOIN w ON w.score = s.score"""))
 def _(t):
     d, _ = A.saint_spc(*_saint_inputs(t), beta1=-1.0)
-    return d.select("bait", "prey", R("avgSpec", 6).alias("avgSpec"), R("avgScore", 6).alias("avgScore"), R("foldChange", 6).alias("foldChange"), F.lit(0).alias("z"))
+    return d.select(
+        "bait", "prey", R("avgSpec", 6).alias("avgSpec"), R("avgScore", 6).alias("avgScore"), R("foldChange", 6).alias("foldChange"), R("controlOmega", 6).alias("controlOmega"), "treatCounts", "controlSource",
+        F.size(F.split("controlMean", "\\|")).cast("bigint").alias("controlMeans"), R("bfdr", 3).alias("bfdr"),
+    )
 
 
 @query("saint_spc", "G05 G06", None)

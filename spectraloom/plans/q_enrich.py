@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spectraloom.operators import enrich as E
 from spectraloom.operators import kinase as K
 from spectraloom.operators import sites as S
-from spectraloom.operators.relational import blocked_pairs, set_jaccard, set_overlap
+from spectraloom.operators.relational import similar_sets
 from spectraloom.plans import shapes
 from spectraloom.plans.q_significance import HYPER_LOG10, NORMAL_TWO_SIDED
 from spectraloom.plans.registry import query
@@ -59,14 +59,12 @@ SELECT s.a, s.b, round({score}, 9) AS score FROM s JOIN z za ON s.a = za.ont JOI
 
 @query("term_jaccard_pairs", "E04 M19", shapes.with_("gmt", body=_PAIRS.format(score="k / CAST(za.n + zb.n - k AS DOUBLE)", cut=0.01)))
 def _(t):
-    sets = shapes.gmt(t).groupBy("ont").agg(F.collect_list("gene").alias("genes"))
-    return blocked_pairs(sets, [], "ont", "genes", set_jaccard, 0.01).withColumn("score", R("score", 9))
+    return similar_sets(shapes.gmt(t), "ont", "gene", 0.01).withColumn("score", R("score", 9))
 
 
 @query("term_overlap_pairs", "E05", shapes.with_("gmt", body=_PAIRS.format(score="k / CAST(least(za.n, zb.n) AS DOUBLE)", cut=0.2)))
 def _(t):
-    sets = shapes.gmt(t).groupBy("ont").agg(F.collect_list("gene").alias("genes"))
-    return blocked_pairs(sets, [], "ont", "genes", set_overlap, 0.2).withColumn("score", R("score", 9))
+    return similar_sets(shapes.gmt(t), "ont", "gene", 0.2, overlap=True).withColumn("score", R("score", 9))
 
 
 @query("simplify_terms", "E04", None)
@@ -96,14 +94,17 @@ def _scores(t):
 shapes.cte("scores", """SELECT l_returnflag AS grp, 'g' || CAST(l_partkey AS VARCHAR) AS gene, round(sum(l_extendedprice) - 350000, 2) AS score FROM lineitem GROUP BY ALL""")
 
 
-@query("enrichment_scores", "E08 R81", shapes.with_("scores", "gmt", body="""
+_ES = """
 , k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC) AS r, count(*) OVER (PARTITION BY grp) AS n FROM scores),
 h AS (SELECT grp, ont, gene, r, n, abs(score) AS w, row_number() OVER o AS i, sum(abs(score)) OVER (PARTITION BY grp, ont ORDER BY r) AS cum, sum(abs(score)) OVER (PARTITION BY grp, ont) AS tot,
    count(*) OVER (PARTITION BY grp, ont) AS k FROM k JOIN gmt USING (gene) WINDOW o AS (PARTITION BY grp, ont ORDER BY r)),
 d AS (SELECT *, cum / tot - (r - i) / CAST(n - k AS DOUBLE) AS up, (cum - w) / tot - (r - i) / CAST(n - k AS DOUBLE) AS down FROM h),
 e AS (SELECT grp, ont, max(up) AS hi, min(down) AS lo, arg_max(r, up) AS pr, arg_min(r, down) AS lr, any_value(k) AS size FROM d GROUP BY ALL),
 f AS (SELECT *, CASE WHEN hi > -lo THEN hi ELSE lo END AS es FROM e)
-SELECT grp, ont, size, round(es, 7) AS es, (SELECT CASE WHEN f.es >= 0 THEN string_agg(gene, '|' ORDER BY r) FILTER (r <= f.pr) ELSE string_agg(gene, '|' ORDER BY r DESC) FILTER (r >= f.lr) END
+"""
+
+
+@query("enrichment_scores", "E08 R81", shapes.with_("scores", "gmt", body=_ES + """SELECT grp, ont, size, round(es, 7) AS es, (SELECT CASE WHEN f.es >= 0 THEN string_agg(gene, '|' ORDER BY r) FILTER (r <= f.pr) ELSE string_agg(gene, '|' ORDER BY r DESC) FILTER (r >= f.lr) END
    FROM d WHERE d.grp = f.grp AND d.ont = f.ont) AS "leadingEdge" FROM f"""))
 def _(t):
     e = E.enrichment_scores(E.ranked_scores(_scores(t)), shapes.gmt(t))
@@ -121,7 +122,8 @@ def _(t):
     return E.simplify_gsea(g, shapes.gmt(t), "overlap_coef", 0.9, max_p=1.1)[0]
 
 
-@query("leading_edge_sizes", "E05 R61", None)
+@query("leading_edge_sizes", "E05 R61", shapes.with_("scores", "gmt", body=_ES + """
+SELECT ont AS pathway, count(DISTINCT gene) AS "leadingEdgeLength" FROM d JOIN f USING (grp, ont) WHERE CASE WHEN f.es >= 0 THEN d.r <= f.pr ELSE d.r >= f.lr END GROUP BY ALL"""))
 def _(t):
     return E.leading_edge_sizes(E.enrichment_scores(E.ranked_scores(_scores(t)), shapes.gmt(t)).withColumnRenamed("ont", "pathway"))
 
