@@ -18,13 +18,14 @@ from pyspark.sql.window import Window
 
 from spectraloom.functions import distributions as dist
 from spectraloom.functions.columns import first_row, ratio
+from spectraloom.functions.local import local_values, robust_trend
 from spectraloom.functions.ordered import exact_median, exact_quantile, rank_table
 from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.apms import _huber
 from spectraloom.operators.cluster import complete_linkage, linkage_on_line
 from spectraloom.operators.models import CellFit, unit_vectors
 from spectraloom.operators.normalize import median_polish
-from spectraloom.operators.relational import blocked_pairs, column_gram, complete_grid, correlation_from_sums, nearest_join, range_join, vector_dot
+from spectraloom.operators.relational import blocked_pairs, column_gram, complete_grid, correlation_from_sums, level_pairs, nearest_join, range_join, vector_dot
 from spectraloom.operators.significance import density_at, kernel_density
 
 CELL = "\u0001"
@@ -109,9 +110,7 @@ def _zero_filled(gram: DataFrame, total: float) -> DataFrame:
     """Correlations of columns whose absent cells count as zero."""
     own = gram.where(F.col("a") == F.col("b"))
     a, b = own.select("a", F.col("sa").alias("_sa"), F.col("saa").alias("_qa"), F.col("n").alias("_na")), own.select(F.col("a").alias("b"), F.col("sa").alias("_sb"), F.col("saa").alias("_qb"), F.col("n").alias("_nb"))
-    # columns are design levels, at most a few thousand (checked by column_gram)
-    right = b.agg(F.collect_list(F.struct("b", "_sb", "_qb", "_nb")).alias("_r"))
-    every = attach(a, right).select("a", "_sa", "_qa", "_na", F.explode(F.filter("_r", lambda r: r["b"] > F.col("a"))).alias("_x")).select("a", "_sa", "_qa", "_na", "_x.*")
+    every = level_pairs(own, "a").join(a, "a").join(b, "b")
     d = every.join(gram.select("a", "b", "n", "sab"), ["a", "b"], "left").na.fill(0.0, ["n", "sab"])
     r = correlation_from_sums(F.lit(float(total)), F.col("_sa"), F.col("_sb"), F.col("_qa"), F.col("_qb"), F.col("sab"))
     return d.select("a", "b", r.alias("pearson"), ratio(F.col("n"), F.col("_na") + F.col("_nb") - F.col("n")).alias("jaccard"))
@@ -205,26 +204,29 @@ def shift_ratio(df: DataFrame, value: str, max_shift: int = 5, near: tuple[int,
 
 
 def cluster_profiles(df: DataFrame, value: str, threshold: float = 0.9, min_size: int = 5) -> DataFrame:
-    """Complete-linkage clusters of profiles with r >= threshold; small ones pooled, empty ones marked.
+    """Complete-linkage clusters of profiles with r >= threshold, in every sample; small ones pooled, empty ones marked.
 
-    ``df`` is one sample. Adds the cluster's size, median centre and median top fraction.
+    Adds the cluster's size, median centre and median top fraction.
     """
-    arrays, lo = profile_arrays(df, value, ("protein",))
-    arrays = cut(arrays)
-    live = cut(unit_vectors(arrays, "protein", "x", center=True))
-    near = blocked_pairs(live, [], "protein", "vector", vector_dot, threshold)
-    c = complete_linkage(near.select("a", "b", (1 - F.col("score")).alias("dist")), live.select(F.col("protein").alias("node")))
-    size = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    c = c.join(size, "cluster").select(F.col("node").alias("protein"), F.when(F.col("size") < min_size, "cluster.0000").otherwise(F.concat(F.lit("cluster."), F.col("cluster"))).alias("cluster"))
-    c = arrays.join(c, "protein", "left").withColumn("cluster", F.coalesce("cluster", F.lit("cluster.xxxx")))
+    arrays, lo = profile_arrays(df, value)
+    node = F.concat_ws(CELL, "sample", "protein").alias("_node")
+    arrays = cut(arrays.select("*", node))
+    live = cut(unit_vectors(arrays, "_node", "x", center=True).withColumn("sample", F.split("_node", CELL)[0]))
+    near = blocked_pairs(live, ["sample"], "_node", "vector", vector_dot, threshold)
+    c = complete_linkage(near.select("a", "b", (1 - F.col("score")).alias("dist")), live.select(F.col("_node").alias("node")))
+    size = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    name = F.concat(F.lit("cluster."), F.split("cluster", CELL)[1])
+    c = c.join(size, "cluster").select(F.col("node").alias("_node"), F.when(F.col("_n") < min_size, "cluster.0000").otherwise(name).alias("cluster"))
+    c = arrays.join(c, "_node", "left").withColumn("cluster", F.coalesce("cluster", F.lit("cluster.xxxx")))
     total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
     weighted = F.aggregate(F.transform("x", lambda v, i: v * (i + lo)), F.lit(0.0), lambda a, b: a + b)
-    c = c.select("protein", "cluster", ratio(weighted, total).alias("_c"), (F.array_position("x", F.array_max("x")) + lo - 1).cast("double").alias("_t"))
+    c = c.select("sample", "protein", "cluster", ratio(weighted, total).alias("_c"), (F.array_position("x", F.array_max("x")) + lo - 1).cast("double").alias("_t"))
     c = cut(c)
-    stat = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    mid = exact_median(c, ["cluster"], "_c", "fractionCenter", stable=True)
-    top = exact_median(c, ["cluster"], "_t", "fractionMax", stable=True)
-    return c.select("protein", "cluster").join(stat, "cluster").join(mid, "cluster", "left").join(top, "cluster", "left")
+    by = ["sample", "cluster"]
+    stat = c.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    mid = exact_median(c, by, "_c", "fractionCenter", stable=True)
+    top = exact_median(c, by, "_t", "fractionMax", stable=True)
+    return c.select("sample", "protein", "cluster").join(stat, by).join(mid, by, "left").join(top, by, "left")
 
 
 # --- fraction normalization -----------------------------------------------------
@@ -293,47 +295,32 @@ def interpolate_fractions(df: DataFrame, qc: DataFrame, fractions: tuple[int, in
     return d.select("sample", "protein", "fraction", F.when(F.col("interpolated"), F.when(gap <= max_gap, line)).otherwise(F.col("v")).alias("intensity"), "interpolated")
 
 
-def _loess(x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, span: float, degree: int = 1) -> np.ndarray:
-    """Local polynomial with tricube weights on weighted points."""
-    order = np.argsort(x)
-    x, y, w = x[order], y[order], w[order]
-    n = max(degree + 2, int(np.ceil(span * len(x))))
-    out = np.full(len(at), np.nan)
-    for i, a in enumerate(at):
-        d = np.abs(x - a)
-        h = np.partition(d, min(n, len(d)) - 1)[min(n, len(d)) - 1]
-        k = np.clip(1 - (d / max(h * 1.0001, 1e-12)) ** 3, 0, None) ** 3 * w
-        m = k > 0
-        deg = min(degree, int(m.sum()) - 1)
-        if deg < 0:
-            continue
-        v = np.vander(x[m] - a, deg + 1, increasing=True) * np.sqrt(k[m])[:, None]
-        out[i] = np.linalg.lstsq(v, y[m] * np.sqrt(k[m]), rcond=None)[0][0]
-    return out
-
-
-def windowed_loess_normalize(df: DataFrame, samples: list[str], window: int = 3, bins: int = 100, span: float = 0.7, rounds: int = 1) -> DataFrame:
-    """Cyclic local-regression normalization inside sliding fraction windows.
-
-    Every sample is moved onto the mean of all samples; a protein's values over
-    its windows are averaged. The trend is learnt from counts per bin of mean
-    log intensity, so a window's fit sees at most ``bins`` points per sample.
+def windowed_loess_normalize(df: DataFrame, samples: list[str] | None = None, window: int = 3, span: float | None = None, rounds: int = 3, robust: int = 3) -> DataFrame:
+    """Cyclic local-regression normalization inside sliding fraction windows, of all samples at once.
+
+    The columns of a window are its (sample, fraction) runs. In each round every
+    column moves by the local regression of its distance from the mean of all
+    columns on that mean, over its own points; all columns of all windows are
+    fitted in one job. A protein's values over its windows are averaged.
+    ``span`` follows the number of points of a column unless given.
     """
-    d = df.where((F.col("intensity") > 0) & F.col("sample").isin(samples)).select("protein", "fraction", "sample", F.log2("intensity").alias("v"))
+    d = df.where(F.col("intensity") > 0)
+    d = d if samples is None else d.where(F.col("sample").isin(samples))
+    d = d.select("protein", "fraction", "sample", F.log2("intensity").alias("v"))
     half = window // 2
     d = d.withColumn("w", F.explode(F.sequence(F.col("fraction") - half, F.col("fraction") + (window - 1 - half))))
-    for _ in range(rounds):
-        d = cut(d)
-        mean = d.groupBy("w", "protein", "fraction").agg(F.avg("v").alias("a"))
-        j = d.join(mean, ["w", "protein", "fraction"]).withColumn("m", F.col("v") - F.col("a")).withColumn("b", F.floor(F.col("a") * bins / 40))
-        binned = j.groupBy("w", "sample", "b").agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("x"), F.avg("m").alias("y"))
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema.fields}
 
-        def trend(pdf: pd.DataFrame) -> pd.DataFrame:
-            fit = _loess(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float), pdf["n"].to_numpy(float), pdf["x"].to_numpy(float), span)
-            return pdf[["w", "sample", "b"]].assign(t=np.where(np.isnan(fit), 0.0, fit))
+    def move(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, v = pdf["a"].to_numpy(float), pdf["v"].to_numpy(float)
+        share = span if span is not None else min(1.0, 0.3 + 0.7 * (50 / max(1, len(a))) ** (1 / 3))
+        return pdf[["protein", "fraction", "sample", "w"]].assign(v=v - robust_trend(a, v - a, share, robust=robust))
 
-        t = spread(binned, "w", "sample").groupBy("w", "sample").applyInPandas(trend, "w int, sample string, b bigint, t double")
-        d = j.join(t, ["w", "sample", "b"]).select("protein", "fraction", "sample", "w", (F.col("v") - F.col("t")).alias("v"))
+    for _ in range(rounds):
+        d = cut(d)
+        mean = d.groupBy("w", "protein").agg(F.avg("v").alias("a"))
+        points = d.join(mean, ["w", "protein"])
+        d = spread(points, "w", "sample", "fraction").groupBy("w", "sample", "fraction").applyInPandas(move, ", ".join(f"{c} {kinds[c]}" for c in ("protein", "fraction", "sample", "w", "v")))
     return d.groupBy("protein", "fraction", "sample").agg(F.pow(F.lit(2.0), F.avg("v")).alias("intensity"))
 
 
@@ -426,63 +413,90 @@ def good_peak_flags(df: DataFrame, peaks: DataFrame) -> DataFrame:
     return df.select("sample", "protein", "fraction").join(good, ["sample", "protein", "fraction"], "left").select("sample", "protein", "fraction", F.coalesce("_g", F.lit(False)).alias("goodPeak"))
 
 
-def match_peaks(a: DataFrame, b: DataFrame, at: str = "peakLocation") -> DataFrame:
-    """Pairs of peaks of a protein that are each other's nearest; ``i_`` columns come from ``b``.
+def match_peaks(a: DataFrame, b: DataFrame, at: str = "peakLocation", keys: list[str] | None = None) -> DataFrame:
+    """Pairs of peaks of a protein (inside ``keys``) that are each other's nearest; ``i_`` columns come from ``b``.
 
     Ties go to the lower location. Deltas the reversed axis could not hold become null.
     """
-    x = a.select("protein", F.col(at).alias("_at"), *[F.col(c).alias(c) for c in a.columns if c != "protein"])
-    y = b.select("protein", F.col(at).alias("_at"), *[F.col(c).alias(f"i_{c}") for c in b.columns if c != "protein"])
-    ab = nearest_join(x.withColumn("_id", F.col(at)), y.withColumn("_iid", F.col(f"i_{at}")), ["protein"], "_at", [c for c in y.columns if c not in ("protein", "_at")] + ["_iid"], 64)
-    ba = nearest_join(y.withColumn("_iid", F.col(f"i_{at}")), x.withColumn("_id", F.col(at)), ["protein"], "_at", ["_id"], 64).select("protein", "_iid", "_id").where(F.col("_id").isNotNull())
-    d = cut(ab.where(F.col("_iid").isNotNull()).join(ba, ["protein", "_id", "_iid"], "left_semi").drop("_at", "_id", "_iid", "nearest_at"))
+    keys = keys or []
+    on = [*keys, "protein"]
+    x = a.select(*on, F.col(at).alias("_at"), *[F.col(c).alias(c) for c in a.columns if c not in on])
+    y = b.select(*on, F.col(at).alias("_at"), *[F.col(c).alias(f"i_{c}") for c in b.columns if c not in on])
+    ab = nearest_join(x.withColumn("_id", F.col(at)), y.withColumn("_iid", F.col(f"i_{at}")), on, "_at", [c for c in y.columns if c not in (*on, "_at")] + ["_iid"], 64)
+    ba = nearest_join(y.withColumn("_iid", F.col(f"i_{at}")), x.withColumn("_id", F.col(at)), on, "_at", ["_id"], 64).select(*on, "_iid", "_id").where(F.col("_id").isNotNull())
+    d = cut(ab.where(F.col("_iid").isNotNull()).join(ba, [*on, "_id", "_iid"], "left_semi").drop("_at", "_id", "_iid", "nearest_at"))
     d = d.withColumn("deltaPeak", F.col(f"i_{at}") - F.col(at))
-    ends = d.agg(F.least(F.min(at), F.min(f"i_{at}")).alias("_lo"), F.greatest(F.max(at), F.max(f"i_{at}")).alias("_hi"))
+    ends = d.groupBy(*keys).agg(F.least(F.min(at), F.min(f"i_{at}")).alias("_lo"), F.greatest(F.max(at), F.max(f"i_{at}")).alias("_hi"))
     odd = (F.col("deltaPeak") > F.col(at) - F.col("_lo")) | (F.col("deltaPeak") < F.col(at) - F.col("_hi"))
-    return attach(d, ends).withColumn("deltaPeak", F.when(~odd, F.col("deltaPeak"))).drop("_lo", "_hi")
+    both = d.join(ends, keys) if keys else attach(d, ends)
+    return both.withColumn("deltaPeak", F.when(~odd, F.col("deltaPeak"))).drop("_lo", "_hi")
 
 
-def align_peaks_to_standard(
-    other: DataFrame, standard: DataFrame, min_per_fraction: int = 50, first: float = 1, last: float = 72, portion: float = 0.75, start_at: float = 15, span: float = 0.25
-) -> tuple[DataFrame, list[tuple[float, float]]]:
-    """Centres of ``other`` on the standard's axis, and the curve as (fraction, standard) points.
+def standard_curves(
+    peaks: DataFrame, standard: str, min_per_fraction: int = 50, first: float = 1, last: float = 72, portion: float = 0.75, start_at: float = 15, span: float = 0.25, places: int = 200
+) -> DataFrame:
+    """``sample, x, y``: per sample the curve from its fractions to the standard's, as sorted arrays.
 
-    Matched good peaks of well-filled fractions, middle part only, are averaged
-    per tenth of a fraction; the local regression runs on those few points.
+    Good peaks matched with the standard's, of well-filled fractions, middle
+    part only, are fitted point by point (local quadratic), all samples in one
+    job; the tails run straight to ``first`` and ``last``. A sample with fewer
+    than four points has no curve; the standard's own is the line through both
+    ends.
     """
-    m = match_peaks(other, standard).where(F.col("goodPeak") & F.col("i_goodPeak") & (F.col("cofmN") >= start_at) & (F.col("i_cofmN") >= start_at))
-    m = cut(m.select("peakLocation", "cofmN", "i_cofmN"))
-    full = m.groupBy("peakLocation").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_per_fraction)
-    m = m.join(full.select("peakLocation"), "peakLocation", "left_semi")
+    columns = ["sample", "protein", "peakLocation", "cofmN", "goodPeak"]
+    own = peaks.where(F.col("sample") == standard).select(*columns[1:])
+    others = peaks.where(F.col("sample") != standard).select(*columns)
+    names = others.agg(F.collect_set("sample").alias("_names"))
+    copies = attach(own, names).select(F.explode("_names").alias("sample"), *columns[1:])
+    m = match_peaks(others, copies, keys=["sample"]).where(F.col("goodPeak") & F.col("i_goodPeak") & (F.col("cofmN") >= start_at) & (F.col("i_cofmN") >= start_at))
+    m = cut(m.select("sample", "peakLocation", "cofmN", "i_cofmN"))
+    by = ["sample", "peakLocation"]
+    full = m.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_per_fraction)
+    m = m.join(full.select(*by), by, "left_semi")
     side = (1 - portion) / 2
-    lo, hi = exact_quantile(m, ["peakLocation"], "i_cofmN", side, "_lo", stable=True), exact_quantile(m, ["peakLocation"], "i_cofmN", 1 - side, "_hi", stable=True)
-    m = m.join(lo, "peakLocation").join(hi, "peakLocation").where(F.col("i_cofmN").between(F.col("_lo"), F.col("_hi")))
-    pts = m.groupBy(F.round(F.col("cofmN"), 1).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.avg("i_cofmN").alias("y")).toPandas()
-    if len(pts) < 4:
-        raise ValueError("too few matched peaks to align")
-    x, y, n = pts["x"].to_numpy(float), pts["y"].to_numpy(float), pts["n"].to_numpy(float)
-    at = np.linspace(x.min(), x.max(), 200)
-    fit = _loess(x, y, n, at, max(span, 4 / len(x)), 2)
-    curve = [(float(first), float(first)), *zip(at.tolist(), fit.tolist()), (float(last), float(last))]
-    curve = [c for i, c in enumerate(curve) if i == 0 or c[0] > curve[i - 1][0]]
-    cx, cy = np.array([c[0] for c in curve]), np.array([c[1] for c in curve])
+    lo, hi = exact_quantile(m, by, "i_cofmN", side, "_lo", stable=True), exact_quantile(m, by, "i_cofmN", 1 - side, "_hi", stable=True)
+    m = m.join(lo, by).join(hi, by).where(F.col("i_cofmN").between(F.col("_lo"), F.col("_hi")))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cofmN")
+        x, y = pdf["cofmN"].to_numpy(float), pdf["i_cofmN"].to_numpy(float)
+        if len(x) < 4 or x[0] == x[-1]:
+            return pd.DataFrame({"sample": [], "x": [], "y": []})
+        at = np.linspace(x[0], x[-1], places)
+        curve = [(float(first), float(first)), *zip(at.tolist(), local_values(x, y, at, max(span, 4 / len(x)), 2).tolist(), strict=True), (float(last), float(last))]
+        kept = [curve[0]]
+        for point in curve[1:]:
+            if point[0] > kept[-1][0]:
+                kept.append(point)
+        return pd.DataFrame({"sample": [pdf["sample"].iloc[0]], "x": [[p[0] for p in kept]], "y": [[p[1] for p in kept]]})
+
+    kind = peaks.schema["sample"].dataType.simpleString()
+    fitted = spread(m.select("sample", "cofmN", "i_cofmN"), "sample").groupBy("sample").applyInPandas(fit, f"sample {kind}, x array<double>, y array<double>")
+    ends = F.array(F.lit(float(first)), F.lit(float(last)))
+    return fitted.unionByName(peaks.where(F.col("sample") == standard).select("sample", ends.alias("x"), ends.alias("y")).distinct())
+
+
+def along_curves(df: DataFrame, curves: DataFrame, value: str, out: str) -> DataFrame:
+    """Add the value of a row's place on its sample's curve; null without a curve, flat beyond its ends."""
 
     @F.pandas_udf(DoubleType())
-    def along(v: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(v.to_numpy(float), cx, cy))
+    def along(v: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([np.interp(a, b, c) if b is not None and a == a else None for a, b, c in zip(v, x, y, strict=True)], dtype=float)
 
-    return other.withColumn("cofmN_standardized", along("cofmN")), curve
+    named = curves.select("sample", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    return df.join(named, "sample", "left").withColumn(out, along(F.col(value).cast("double"), "_x", "_y")).drop("_x", "_y")
 
 
-def standard_fractions(df: DataFrame, curve: list[tuple[float, float]]) -> DataFrame:
-    """Add ``standardFraction`` to one sample's long table."""
-    cx, cy = np.array([c[0] for c in curve]), np.array([c[1] for c in curve])
+def align_peaks_to_standard(peaks: DataFrame, standard: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Peaks of all samples with ``cofmN_standardized``, and the curves; the standard's peaks keep their centres."""
+    curves = cut(standard_curves(peaks, standard, **options))
+    moved = along_curves(peaks, curves, "cofmN", "cofmN_standardized")
+    return moved.withColumn("cofmN_standardized", F.when(F.col("sample") == standard, F.col("cofmN")).otherwise(F.col("cofmN_standardized"))), curves
 
-    @F.pandas_udf(DoubleType())
-    def along(v: pd.Series) -> pd.Series:
-        return pd.Series(np.interp(v.to_numpy(float), cx, cy))
 
-    return df.withColumn("standardFraction", along(F.col("fraction").cast("double")))
+def standard_fractions(df: DataFrame, curves: DataFrame) -> DataFrame:
+    """Add ``standardFraction`` to the long table of all samples."""
+    return along_curves(df, curves, "fraction", "standardFraction")
 
 
 def mass_calibration(standards: DataFrame) -> DataFrame:
@@ -632,36 +646,37 @@ def full_contrast(df: DataFrame, peaks: DataFrame, at: str = "cofmN_standardized
 def windowed_pairs(
     df: DataFrame, peaks: DataFrame, value: str, metric: str = "correlation", outer: int = 6, peak_radius: int = 1, threshold: float = 0.90, known: DataFrame | None = None, prior_odds: float = 0.01
 ) -> DataFrame:
-    """Alike protein pairs around every fraction where both have a good peak, for one sample.
+    """Alike protein pairs around every fraction where both have a good peak, in every sample.
 
     Profiles are copied to the windows their peaks belong to; blocks of a window
     are multiplied as matrices and only pairs over the threshold become rows.
     With ``known`` pairs, kernel densities of known and other scores in the
     window (above the threshold) give a likelihood ratio and posterior.
     """
-    arrays, lo = profile_arrays(df, value, ("protein",))
+    arrays, lo = profile_arrays(df, value)
     hi = df.agg(F.max("fraction")).first()[0]
-    good = peaks.where("goodPeak").select("protein", F.col("peakLocation").alias("_p")).distinct()
+    by = ["sample", "start"]
+    good = peaks.where("goodPeak").select("sample", "protein", F.col("peakLocation").alias("_p")).distinct()
     at = good.withColumn("start", F.explode(F.sequence(F.col("_p") - peak_radius, F.col("_p") + peak_radius))).where(F.col("start").between(lo + outer, hi - outer))
-    at = at.groupBy("protein", "start").agg(F.min("_p").alias("peak"))
-    d = at.join(arrays, "protein").select("protein", "start", "peak", F.slice("x", F.col("start") - lo - outer + 1, F.lit(2 * outer + 1)).alias("v"))
+    at = at.groupBy("sample", "protein", "start").agg(F.min("_p").alias("peak"))
+    d = at.join(arrays, ["sample", "protein"]).select(*by, "protein", "peak", F.slice("x", F.col("start") - lo - outer + 1, F.lit(2 * outer + 1)).alias("v"))
     d = cut(d.withColumn("portion", F.aggregate("v", F.lit(0.0), lambda a, b: a + b)))
     mean = F.col("portion") / (2 * outer + 1) if metric == "correlation" else F.lit(0.0)
-    u = d.select("protein", "start", F.transform("v", lambda x: x - mean).alias("c"))
-    u = u.withColumn("_n", F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, b: a + b * b))).where(F.col("_n") > 1e-12).select("protein", "start", F.transform("c", lambda x: x / F.col("_n")).alias("u"))
-    p = blocked_pairs(u, ["start"], "protein", "u", vector_dot, threshold)
-    p = p.select("start", F.col("a").alias("protein1"), F.col("b").alias("protein2"), F.least("score", F.lit(1.0)).alias("r")).where(F.col("r") > threshold)
-    one = d.select("start", F.col("protein").alias("protein1"), F.col("portion").alias("prot1Portion"), F.col("peak").alias("prot1Peak"))
-    two = d.select("start", F.col("protein").alias("protein2"), F.col("portion").alias("prot2Portion"), F.col("peak").alias("prot2Peak"))
-    p = p.join(one, ["start", "protein1"]).join(two, ["start", "protein2"])
+    u = d.select(*by, "protein", F.transform("v", lambda x: x - mean).alias("c"))
+    u = u.withColumn("_n", F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, b: a + b * b))).where(F.col("_n") > 1e-12).select(*by, "protein", F.transform("c", lambda x: x / F.col("_n")).alias("u"))
+    p = blocked_pairs(u, by, "protein", "u", vector_dot, threshold)
+    p = p.select(*by, F.col("a").alias("protein1"), F.col("b").alias("protein2"), F.least("score", F.lit(1.0)).alias("r")).where(F.col("r") > threshold)
+    one = d.select(*by, F.col("protein").alias("protein1"), F.col("portion").alias("prot1Portion"), F.col("peak").alias("prot1Peak"))
+    two = d.select(*by, F.col("protein").alias("protein2"), F.col("portion").alias("prot2Portion"), F.col("peak").alias("prot2Peak"))
+    p = p.join(one, [*by, "protein1"]).join(two, [*by, "protein2"])
     p = p.withColumn("corScore", -F.log10(F.greatest(1 - F.col("r"), F.lit(1e-16)))).withColumn("log2Ratio", F.log2(F.col("prot1Portion") / F.col("prot2Portion")))
     if known is None:
         return p
     k = known.select(F.least("protein1", "protein2").alias("protein1"), F.greatest("protein1", "protein2").alias("protein2")).distinct().withColumn("_k", F.lit(True))
     p = cut(p.join(k, ["protein1", "protein2"], "left").withColumn("knownInteractor", F.coalesce("_k", F.lit(False))).drop("_k"))
     for flag, out in ((True, "interactorLL"), (False, "bgLL")):
-        dens = cut(kernel_density(p.where(F.col("knownInteractor") == flag), ["start"], "corScore", 0.2))
-        p = density_at(p, ["start"], "corScore", dens, 512, out)
+        dens = cut(kernel_density(p.where(F.col("knownInteractor") == flag), by, "corScore", 0.2))
+        p = density_at(p, by, "corScore", dens, 512, out)
     p = p.withColumn("llRatio", ratio(F.col("interactorLL"), F.col("bgLL"))).withColumn("_o", F.col("llRatio") * prior_odds)
     return p.withColumn("postProb", F.col("_o") / (1 + F.col("_o"))).drop("_o")
 
@@ -670,15 +685,16 @@ def coeluting_members(
     complexes: DataFrame, peaks: DataFrame, masses: DataFrame, calibration: DataFrame, at: str = "cofmN_standardized", max_distance: float = 2.0, mass_factor: float = 1.5,
     min_members: int = 2, completeness: float = 0.5,
 ) -> DataFrame:
-    """Per complex and cluster of member peaks: members together, heights, centres, completeness."""
+    """Per sample, complex and cluster of member peaks: members together, heights, centres, completeness."""
     c = complexes.select("complex_id", "complex_name", "protein").distinct()
     size = c.groupBy("complex_id").agg(F.count(F.lit(1)).alias("nMembers"))
-    p = c.join(peaks.where("goodPeak").select("protein", "peakLocation", "peakHeight", F.col(at).alias("center")), "protein").join(masses.select("protein", "mw"), "protein", "left")
-    p = linkage_on_line(p, ["complex_id"], "peakLocation", max_distance, "peakCluster")
-    at_loc = p.groupBy("complex_id", "peakLocation").agg(F.sum("mw").alias("_mw"))
-    p = mass_to_fraction(p.join(at_loc, ["complex_id", "peakLocation"]).withColumn("_m", mass_factor * F.col("_mw")), calibration, "_m", "_limit")
+    by = ["sample", "complex_id"]
+    p = c.join(peaks.where("goodPeak").select("sample", "protein", "peakLocation", "peakHeight", F.col(at).alias("center")), "protein").join(masses.select("protein", "mw"), "protein", "left")
+    p = linkage_on_line(p, by, "peakLocation", max_distance, "peakCluster")
+    at_loc = p.groupBy(*by, "peakLocation").agg(F.sum("mw").alias("_mw"))
+    p = mass_to_fraction(p.join(at_loc, [*by, "peakLocation"]).withColumn("_m", mass_factor * F.col("_mw")), calibration, "_m", "_limit")
     p = p.where(F.coalesce(F.col("peakLocation") <= F.col("_limit"), F.lit(True)))
-    out = p.groupBy("complex_id", "complex_name", "peakCluster").agg(
+    out = p.groupBy(*by, "complex_name", "peakCluster").agg(
         F.array_join(F.transform(F.array_sort(F.collect_set("peakLocation")), lambda x: x.cast("string")), ";").alias("peakLocations"),
         F.min("peakLocation").alias("peakStart"), F.max("peakLocation").alias("peakEnd"),
         F.array_join(F.array_sort(F.collect_set("protein")), ";").alias("coelutingMembers"), F.countDistinct("protein").alias("nCoelutingMembers"),
@@ -689,13 +705,13 @@ def coeluting_members(
 
 
 def score_coelution(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Score of each co-eluting cluster from its best member pair correlations."""
+    """Score of each co-eluting cluster of a sample from its best member pair correlations."""
     m = F.split("coelutingMembers", ";")
-    one = found.select("complex_id", "complex_name", "decoy", "peakCluster", "peakStart", "peakEnd", "completeness", m.alias("_m"), F.explode(m).alias("protein1"))
+    one = found.select("sample", "complex_id", "complex_name", "decoy", "peakCluster", "peakStart", "peakEnd", "completeness", m.alias("_m"), F.explode(m).alias("protein1"))
     p = one.withColumn("protein2", F.explode(F.filter("_m", lambda x: x > F.col("protein1")))).drop("_m")
-    best = pairs.groupBy("protein1", "protein2", "prot1Peak", "prot2Peak").agg(F.max("corScore").alias("corScore"))
-    j = p.join(best, ["protein1", "protein2"]).where(F.col("prot1Peak").between(F.col("peakStart"), F.col("peakEnd")) & F.col("prot2Peak").between(F.col("peakStart"), F.col("peakEnd")))
-    return j.groupBy("complex_id", "complex_name", "decoy", "peakCluster", "completeness").agg(*[f("corScore").alias(f"corScore_{n}") for n, f in (("sum", F.sum), ("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    best = pairs.groupBy("sample", "protein1", "protein2", "prot1Peak", "prot2Peak").agg(F.max("corScore").alias("corScore"))
+    j = p.join(best, ["sample", "protein1", "protein2"]).where(F.col("prot1Peak").between(F.col("peakStart"), F.col("peakEnd")) & F.col("prot2Peak").between(F.col("peakStart"), F.col("peakEnd")))
+    return j.groupBy("sample", "complex_id", "complex_name", "decoy", "peakCluster", "completeness").agg(*[f("corScore").alias(f"corScore_{n}") for n, f in (("sum", F.sum), ("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))])
 
 
 def intensity_bins(df: DataFrame, bins: int = 30, value: str = "intensity") -> DataFrame:

@@ -91,9 +91,12 @@ def _(t):
     return P.shifted_sample_correlation(tot(t), 5, 45, 3).withColumn("r", R("r", 6))
 
 
-@query("best_offset", "P08", None)
+@query("best_offset", "P08", shapes.with_("tot", "dims", body="""
+, u AS (SELECT protein, fraction - o AS at, sample || '/' || CAST(o AS VARCHAR) AS c, x FROM tot, range(-3, 4) q(o) WHERE fraction BETWEEN 5 AND 45)""" + _Z.format(c="c", src="u", on="a.protein = b.protein AND a.at = b.at", n="((SELECT count(DISTINCT protein) FROM u) * (41 + 6))") + """
+, w AS (SELECT a, b, round(r, 9) AS r FROM r UNION ALL SELECT b, a, round(r, 9) FROM r), s AS (SELECT split_part(a, '/', 1) AS x, split_part(b, '/', 1) AS y, CAST(split_part(b, '/', 2) AS INTEGER) AS o, r FROM w WHERE split_part(a, '/', 2) = '0')
+SELECT x AS "refSample", y AS "otherSample", o AS "offset" FROM s WHERE x <> y QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY r DESC, abs(o), o) = 1"""))
 def _(t):
-    return P.best_offset(P.shifted_sample_correlation(tot(t), 5, 45, 3))
+    return P.best_offset(P.shifted_sample_correlation(tot(t), 5, 45, 3).withColumn("r", R("r", 9)))
 
 
 _FC = """, u AS (SELECT protein, sample || '/' || lpad(CAST(fraction AS VARCHAR), 4, '0') AS c, x FROM tot)""" + _Z.format(c="c", src="u", on="a.protein = b.protein", n="np")
@@ -105,9 +108,13 @@ def _(t):
     return P.fraction_comparison(tot(t)).withColumns({"pearson": R("pearson", 5), "jaccard": R("jaccard", 6)})
 
 
-@query("best_matching_fraction", "P09", None)
+@query("best_matching_fraction", "P09", shapes.with_("tot", "dims", body=_FC + """
+, w AS (SELECT a, b, round(r, 9) AS r, j FROM r UNION ALL SELECT b, a, round(r, 9), j FROM r),
+s AS (SELECT split_part(a, '/', 1) AS x, CAST(split_part(a, '/', 2) AS INTEGER) AS f, split_part(b, '/', 1) AS y, CAST(split_part(b, '/', 2) AS INTEGER) AS g, r, j FROM w)
+SELECT x AS ref_sample, f AS ref_fraction, y AS other_sample, g AS other_fraction, round(r, 6) AS pearson, round(j, 6) AS jaccard FROM s WHERE x <> y AND r IS NOT NULL AND NOT isnan(r) QUALIFY row_number() OVER (PARTITION BY x, f, y ORDER BY r DESC, g) = 1"""))
 def _(t):
-    return P.best_matching_fraction(P.fraction_comparison(tot(t)))
+    d = P.best_matching_fraction(P.fraction_comparison(tot(t)).withColumn("pearson", R("pearson", 9)))
+    return d.withColumns({"pearson": R("pearson", 6), "jaccard": R("jaccard", 6)})
 
 
 @query("correlation_by_offset", "P37", shapes.with_("tot", "dims", body=_FC + """
@@ -132,7 +139,7 @@ def _(t):
 
 @query("cluster_profiles", "P12 E04", None)
 def _(t):
-    return P.cluster_profiles(tot(t).where(F.col("sample") == "AF"), "intensity_totalScaled", 0.3, 2)
+    return P.cluster_profiles(tot(t), "intensity_totalScaled", 0.3, 2)
 
 
 def _qc(t):
@@ -175,7 +182,7 @@ def _(t):
 
 @query("windowed_loess_normalize", "P17", None)
 def _(t):
-    return P.windowed_loess_normalize(shapes.sec(t), ["AF", "NF", "RF"])
+    return P.windowed_loess_normalize(shapes.sec(t))
 
 
 @query("match_fraction_medians", "P18 R62", shapes.with_("sec", body="""
@@ -217,7 +224,10 @@ def _(t):
     return P.find_peaks(tot(t), "intensity_totalScaled").select("sample", "protein", "peakLocation", R("cv", 6).alias("cv"), "goodPeak")
 
 
-@query("good_peak_flags", "P21", None)
+@query("good_peak_flags", "P21", shapes.with_("pk", body="""
+, v AS (SELECT g.sample, g.protein, CAST(f AS INTEGER) AS fraction, coalesce(x, 0) AS x FROM (SELECT DISTINCT sample, protein FROM sec) g CROSS JOIN range(1, 51) r(f) LEFT JOIN tot t ON t.sample = g.sample AND t.protein = g.protein AND t.fraction = f),
+w AS (SELECT pk.sample, pk.protein, loc, h, sqrt(var_samp(x)) / avg(x) AS cv, bool_and(x > 0) FILTER (abs(fraction - loc) <= 2) AS filled FROM pk JOIN v ON v.sample = pk.sample AND v.protein = pk.protein AND v.fraction BETWEEN loc - 4 AND loc + 4 GROUP BY ALL)
+SELECT tot.sample, tot.protein, tot.fraction, w.loc IS NOT NULL AS "goodPeak" FROM tot LEFT JOIN w ON w.sample = tot.sample AND w.protein = tot.protein AND w.loc = tot.fraction AND h > 0.01 AND filled AND cv > 0.2"""))
 def _(t):
     d = tot(t)
     return P.good_peak_flags(d, P.find_peaks(d, "intensity_totalScaled"))
@@ -239,9 +249,8 @@ def _(t):
 
 
 def _aligned(t):
-    p = _peaks(t)
-    keep = ["protein", "peakLocation", "cofmN", "peakHeight", "goodPeak"]
-    return P.align_peaks_to_standard(p.where(F.col("sample") == "NF").select(*keep), p.where(F.col("sample") == "AF").select(*keep), 0, 1, 50, 0.75, 2)
+    d = shapes.sec(t).agg(F.min("fraction"), F.max("fraction")).first()
+    return P.align_peaks_to_standard(_peaks(t), "AF", min_per_fraction=0, first=d[0], last=d[1], start_at=2)
 
 
 @query("align_peaks_to_standard", "P23", None)
@@ -251,7 +260,7 @@ def _(t):
 
 @query("standard_fractions", "P23", None)
 def _(t):
-    return P.standard_fractions(tot(t).where(F.col("sample") == "NF"), _aligned(t)[1])
+    return P.standard_fractions(tot(t), _aligned(t)[1])
 
 
 def _standards(t):
@@ -283,12 +292,28 @@ def _std(t):
 
 
 def _centers(t):
-    return _peaks(t).withColumn("cofmN_standardized", F.col("cofmN"))
+    return _peaks(t).withColumn("cofmN_standardized", R("cofmN", 6))
+
 
+_LINKED = """
+, c AS (SELECT protein, sample, loc, cofmn, h, row_number() OVER (PARTITION BY protein ORDER BY cofmn, sample, loc) AS i FROM centres),
+g AS (SELECT *, sum(CASE WHEN cofmn - before > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY protein ORDER BY i) AS isle FROM (SELECT *, lag(cofmn) OVER (PARTITION BY protein ORDER BY i) AS before FROM c)),
+s AS (SELECT protein, isle, list(struct_pack(lo := cofmn, hi := cofmn, n := 1) ORDER BY i) AS l FROM g GROUP BY ALL),
+z AS (WITH RECURSIVE z AS (SELECT protein, isle, l, 0 AS turn FROM s UNION ALL
+  SELECT protein, isle, list_concat(list_append(l[:k - 1], struct_pack(lo := l[k].lo, hi := l[k + 1].hi, n := l[k].n + l[k + 1].n)), l[k + 2:]), turn + 1 FROM
+    (SELECT *, list_position(d, list_min(d)) AS k FROM (SELECT *, [l[i + 1].hi - l[i].lo FOR i IN range(1, len(l))] AS d FROM z WHERE len(l) > 1)) WHERE d[k] <= 2)
+  SELECT protein, isle, arg_max(l, turn) AS l FROM z GROUP BY ALL),
+u AS (SELECT protein, isle, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS j FROM z),
+k AS (SELECT protein, isle, j, x.n AS n, sum(x.n) OVER (PARTITION BY protein ORDER BY isle, j) AS upto, row_number() OVER (PARTITION BY protein ORDER BY isle, j) AS cluster FROM u),
+linked AS (SELECT c.*, CAST(k.cluster AS INTEGER) AS cluster FROM c JOIN k ON k.protein = c.protein AND c.i > k.upto - k.n AND c.i <= k.upto)"""
+shapes.cte("centres", """SELECT pk.sample, pk.protein, loc, round(h, 9) AS h, round((SELECT sum(s * fraction) / sum(s) FROM smooth m WHERE m.sample = pk.sample AND m.protein = pk.protein AND m.fraction BETWEEN loc - 2 AND loc + 2), 6) AS cofmn FROM pk""", "pk")
 
-@query("cluster_peaks", "P26", None)
+
+@query("cluster_peaks", "P26", shapes.with_("centres", body=_LINKED + """
+SELECT protein, cluster AS "peakCluster", round(avg(cofmn), 5) AS center, count(*) AS "numPeaks", round(avg(h), 8) AS "meanHeight" FROM linked GROUP BY ALL"""))
 def _(t):
-    return P.cluster_peaks(_centers(t), ["protein"])[1]
+    c = P.cluster_peaks(_centers(t), ["protein"])[1]
+    return c.select("protein", "peakCluster", R("center", 5).alias("center"), "numPeaks", R("meanHeight", 8).alias("meanHeight"))
 
 
 @query("peak_anova", "P27 R52", None)
@@ -311,28 +336,35 @@ def _(t):
     return P.full_contrast(_std(t), _centers(t))
 
 
+_GOOD = """
+, fill AS (SELECT g.sample, g.protein, CAST(f AS INTEGER) AS fraction, coalesce(x, 0) AS x FROM (SELECT DISTINCT sample, protein FROM sec) g CROSS JOIN range(1, 51) r(f) LEFT JOIN tot t ON t.sample = g.sample AND t.protein = g.protein AND t.fraction = f),
+good AS (SELECT sample, protein, loc FROM (SELECT pk.sample, pk.protein, loc, h, sqrt(var_samp(x)) / avg(x) AS cv, bool_and(x > 0) FILTER (abs(fraction - loc) <= {core}) AS filled FROM pk JOIN fill v ON v.sample = pk.sample AND v.protein = pk.protein AND v.fraction BETWEEN loc - 4 AND loc + 4 GROUP BY ALL)
+   WHERE h > 0.01 AND filled AND cv > 0.2)"""
+
+
 def _pairs_sql(center):
-    return f"""
-, a AS (SELECT * FROM pk WHERE sample = 'AF'), att AS (SELECT protein, s AS start, min(loc) AS peak FROM (SELECT protein, loc, unnest(range(loc - 1, loc + 2)) AS s FROM a) WHERE s BETWEEN 7 AND 44 GROUP BY ALL),
-v AS (SELECT att.protein, start, CAST(f AS INTEGER) AS f, coalesce(x, 0) AS x FROM att CROSS JOIN range(1, 51) r(f) LEFT JOIN (SELECT * FROM tot WHERE sample = 'AF') t ON t.protein = att.protein AND t.fraction = f WHERE abs(f - start) <= 6),
-r AS (SELECT a.start, a.protein AS p1, b.protein AS p2, {center} AS r FROM v a JOIN v b ON a.start = b.start AND a.f = b.f AND a.protein < b.protein GROUP BY ALL)
-SELECT start, p1 AS protein1, p2 AS protein2, round(r, 5) AS r FROM r WHERE r > 0.7"""
+    return _GOOD.format(core=1) + f"""
+, att AS (SELECT sample, protein, s AS start, min(loc) AS peak FROM (SELECT sample, protein, loc, unnest(range(loc - 1, loc + 2)) AS s FROM good) WHERE s BETWEEN 7 AND 44 GROUP BY ALL),
+v AS (SELECT att.sample, att.protein, start, f.fraction AS f, f.x FROM att JOIN fill f ON f.sample = att.sample AND f.protein = att.protein AND abs(f.fraction - start) <= 6),
+r AS (SELECT a.sample, a.start, a.protein AS p1, b.protein AS p2, {center} AS r FROM v a JOIN v b ON a.sample = b.sample AND a.start = b.start AND a.f = b.f AND a.protein < b.protein GROUP BY ALL)
+SELECT sample, start, p1 AS protein1, p2 AS protein2, round(r, 5) AS r FROM r WHERE r > 0.7"""
 
 
-def _flat_peaks(t):
-    return cut(P.find_peaks(tot(t), "intensity_totalScaled").where(F.col("sample") == "AF").withColumn("goodPeak", F.lit(True)))
+def _good_peaks(t):
+    """Peaks of all samples, good ones by height, filled neighbours and variation."""
+    return cut(P.find_peaks(tot(t), "intensity_totalScaled", center_radius=1))
 
 
 @query("windowed_pairs_correlation", "P31", shapes.with_("pk", body=_pairs_sql("corr(a.x, b.x)")))
 def _(t):
-    p = P.windowed_pairs(tot(t).where(F.col("sample") == "AF"), _flat_peaks(t), "intensity_totalScaled", threshold=0.7)
-    return p.select("start", "protein1", "protein2", R("r", 5).alias("r"))
+    p = P.windowed_pairs(tot(t), _good_peaks(t), "intensity_totalScaled", threshold=0.7)
+    return p.select("sample", "start", "protein1", "protein2", R("r", 5).alias("r"))
 
 
 @query("windowed_pairs_cosine", "P31 M19", shapes.with_("pk", body=_pairs_sql("sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x))")))
 def _(t):
-    p = P.windowed_pairs(tot(t).where(F.col("sample") == "AF"), _flat_peaks(t), "intensity_totalScaled", "cosine", threshold=0.7)
-    return p.select("start", "protein1", "protein2", R("r", 5).alias("r"))
+    p = P.windowed_pairs(tot(t), _good_peaks(t), "intensity_totalScaled", "cosine", threshold=0.7)
+    return p.select("sample", "start", "protein1", "protein2", R("r", 5).alias("r"))
 
 
 def _known(t):
@@ -342,13 +374,13 @@ def _known(t):
 
 @query("windowed_pairs_posterior", "P31 F15", None)
 def _(t):
-    return P.windowed_pairs(tot(t).where(F.col("sample") == "AF"), _flat_peaks(t), "intensity_totalScaled", threshold=0.3, known=_known(t))
+    return P.windowed_pairs(tot(t), _good_peaks(t), "intensity_totalScaled", threshold=0.3, known=_known(t))
 
 
 def _found(t):
     c = t.supplier.select(F.col("s_nationkey").cast("string").alias("complex_id"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("complex_name"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("protein"))
     m = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("protein"), (F.abs("s_acctbal") + 1).alias("mw"))
-    return P.coeluting_members(c, _flat_peaks(t).withColumn("cofmN_standardized", F.col("cofmN")), m, P.mass_calibration(_standards(t)), max_distance=4.0, completeness=0.2)
+    return P.coeluting_members(c, _good_peaks(t).withColumn("cofmN_standardized", F.col("cofmN")), m, P.mass_calibration(_standards(t)), max_distance=4.0, completeness=0.2)
 
 
 @query("coeluting_members", "P32", None)
@@ -358,7 +390,7 @@ def _(t):
 
 @query("score_coelution", "P33", None)
 def _(t):
-    p = P.windowed_pairs(tot(t).where(F.col("sample") == "AF"), _flat_peaks(t), "intensity_totalScaled", threshold=0.0)
+    p = P.windowed_pairs(tot(t), _good_peaks(t), "intensity_totalScaled", threshold=0.0)
     return P.score_coelution(cut(_found(t)), p)
 
 
