@@ -63,6 +63,7 @@ class CellFit:
                 keep.append(j)
                 basis = np.hstack([basis, (rest / np.linalg.norm(rest))[:, None]])
         self.names, self.owner = [names[j] for j in keep], [owner[j] for j in keep]
+        aliased = [names[j] for j in range(len(names)) if j not in keep]
         self.x, self.terms = x[:, keep], terms
         xs = self.x * sw[:, None]
         self.xtx_inv = np.linalg.pinv(xs.T @ xs)
@@ -70,6 +71,8 @@ class CellFit:
         self.fitted = self.x @ self.beta
         self.rss = self.within + float((w * (y - self.fitted) ** 2).sum())
         self.df = float(w.sum()) - len(keep)
+        told = [f"left out: {', '.join(aliased)}"] if aliased else []
+        self.warning = "; ".join(told + (["no residual degrees of freedom"] if self.df <= 0 else [])) or None
         self.effects = (basis.T @ (y * sw)) ** 2
         self.sigma2 = self.rss / self.df if self.df > 0 else np.nan
 
@@ -106,16 +109,19 @@ def design_cells(df: DataFrame, keys: list[str], columns: list[str], y: str) ->
     return df.where(F.col(y).isNotNull()).groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
 
 
-MODEL_SCHEMA = "model string, kind string, term string, estimate double, SE double, df double, stat double, p double, error string"
+MODEL_SCHEMA = "model string, kind string, term string, estimate double, SE double, df double, stat double, p double, warning string, error string"
 
 
-def linear_models(df: DataFrame, key: str, y: str, models: dict[str, list[str]], means_of: str | None = None, post=None) -> DataFrame:
+def linear_models(df: DataFrame, key: str, y: str, models: dict[str, list[str]], means_of: str | None = None, post=None, second_order: bool = False) -> DataFrame:
     """Per key and model: coefficients, sequential anova, marginal means and contrasts, error text.
 
     ``models`` maps a name to its terms, such as ``["GROUP", "SUBJECT"]`` or
     ``["a", "b", "a:b"]``. ``means_of`` names a factor whose marginal means and
-    pairwise differences are added (kinds ``mean`` and ``contrast``). ``post``
-    may turn a fit into more (term, estimate, SE, df, stat, p) rows.
+    pairwise differences are added (kinds ``mean`` and ``contrast``), with
+    ``second_order`` also the differences of those (``contrast2``). ``post``
+    may turn a fit into more (term, estimate, SE, df, stat, p) rows. Anova rows
+    carry ``stars``; ``warning`` names columns that others explain and a fit
+    without residual degrees of freedom.
     """
     columns = list(dict.fromkeys(c for terms in models.values() for t in terms for c in t.split(":")))
     cells = design_cells(df, [key], columns, y)
@@ -128,20 +134,21 @@ def linear_models(df: DataFrame, key: str, y: str, models: dict[str, list[str]],
                 f = CellFit(pdf, terms)
                 tables = {"coef": f.coefficients(), "anova": f.anova()}
                 if means_of is not None:
-                    tables.update(_marginal(f, pdf, terms, means_of))
+                    tables.update(_marginal(f, pdf, terms, means_of, second_order))
                 if post is not None:
                     tables["post"] = post(f, pdf)
-                out += [t.assign(kind=k, model=name, error=None) for k, t in tables.items()]
+                out += [t.assign(kind=k, model=name, warning=f.warning, error=None) for k, t in tables.items()]
             except Exception as e:  # noqa: BLE001
                 out.append(pd.DataFrame([{"model": name, "kind": "error", "error": str(e)}]))
-        full = pd.concat(out, ignore_index=True).reindex(columns=["model", "kind", "term", "estimate", "SE", "df", "stat", "p", "error"])
+        full = pd.concat(out, ignore_index=True).reindex(columns=["model", "kind", "term", "estimate", "SE", "df", "stat", "p", "warning", "error"])
         full.insert(0, key, pdf[key].iloc[0])
         return full
 
-    return spread(cells, key).groupBy(key).applyInPandas(fit, f"`{key}` {key_type}, {MODEL_SCHEMA}")
+    fitted = spread(cells, key).groupBy(key).applyInPandas(fit, f"`{key}` {key_type}, {MODEL_SCHEMA}")
+    return fitted.withColumn("stars", F.when((F.col("kind") == "anova") & F.col("p").isNotNull() & ~F.isnan("p"), stars(F.col("p"))))
 
 
-def _marginal(f: CellFit, cells: pd.DataFrame, terms: list[str], factor: str) -> dict[str, pd.DataFrame]:
+def _marginal(f: CellFit, cells: pd.DataFrame, terms: list[str], factor: str, second_order: bool = False) -> dict[str, pd.DataFrame]:
     columns = list(dict.fromkeys(c for t in terms for c in t.split(":")))
     others = [c for c in columns if c != factor]
     choices = [sorted(cells[c].dropna().unique()) if not pd.api.types.is_numeric_dtype(cells[c]) else [cells[c].mean()] for c in others]
@@ -164,13 +171,11 @@ def _marginal(f: CellFit, cells: pd.DataFrame, terms: list[str], factor: str) ->
 
     cols = ["term", "estimate", "SE", "df", "stat", "p"]
     means = pd.DataFrame([line(str(lv), a) for lv, a in rows.items()], columns=cols)
-    pairs = pd.DataFrame([line(f"{a}-{b}", rows[a] - rows[b]) for i, a in enumerate(levels) for b in levels[i + 1 :]], columns=cols)
-    return {"mean": means, "contrast": pairs}
-
-
-def mixed_models(df: DataFrame, key: str, y: str, terms: list[str], subject: str, means_of: str | None = None) -> DataFrame:
-    """Subject as a fixed block: within-subject contrasts of a balanced design agree with a random intercept."""
-    return linear_models(df, key, y, {"blocked": [subject, *terms]}, means_of)
+    vectors = [(f"{a}-{b}", rows[a] - rows[b]) for i, a in enumerate(levels) for b in levels[i + 1 :]]
+    out = {"mean": means, "contrast": pd.DataFrame([line(*v) for v in vectors], columns=cols)}
+    if second_order:
+        out["contrast2"] = pd.DataFrame([line(f"{a} - {b}", u - v) for i, (a, u) in enumerate(vectors) for b, v in vectors[i + 1 :]], columns=cols)
+    return out
 
 
 def contrasts_vs_control(models: DataFrame, control: str) -> DataFrame:
@@ -183,11 +188,9 @@ def contrasts_vs_control(models: DataFrame, control: str) -> DataFrame:
     return d.withColumns({"term": F.when(flip, F.concat_ws("-", right, left)).otherwise(F.col("term")), "estimate": F.col("estimate") * sign, "stat": F.col("stat") * sign})
 
 
-def contrast_of_contrasts(models: DataFrame, key: str) -> DataFrame:
-    """Differences of pairwise contrasts inside each key and model (estimate only; shared levels cancel)."""
-    d = models.where(F.col("kind") == "contrast").select(key, "model", "term", "estimate")
-    o = d.select(key, "model", F.col("term").alias("other"), F.col("estimate").alias("_e"))
-    return d.join(o, [key, "model"]).where(F.col("term") < F.col("other")).select(key, "model", F.concat_ws(" - ", "term", "other").alias("term"), (F.col("estimate") - F.col("_e")).alias("estimate"))
+def contrast_of_contrasts(df: DataFrame, key: str, y: str, models: dict[str, list[str]], means_of: str) -> DataFrame:
+    """Differences of pairwise contrasts inside each key and model, with standard error, t and p."""
+    return linear_models(df, key, y, models, means_of, second_order=True).where(F.col("kind") == "contrast2")
 
 
 def one_factor_means(df: DataFrame, keys: list[str], group: str, y: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from spectraloom.functions.columns import base_name
 from spectraloom.operators.relational import distance_join, range_join
-from spectraloom.operators.sites import align_pairs
+from spectraloom.operators.sites import align_pairs, aligned_position_map
 
 # fixed values: the 27-base leader and the splice centres of the reference genome
 LEADER = "CTTTCGATCTCTTGTAGATCTGTTCTC"
@@ -58,11 +58,9 @@ def position_map(genomes: DataFrame, reference: str) -> DataFrame:
     One alignment per genome, so the pair table is as wide as the genome list.
     """
     d = align_pairs(genomes.select("fasta", F.lit(reference).alias("from_seq"), F.col("sequence").alias("to_seq")))
-    d = d.select("fasta", F.posexplode(F.arrays_zip(F.split("aligned_from", ""), F.split("aligned_to", ""))).alias("_i", "z"))
-    d = d.select("fasta", "_i", F.col("z")["0"].alias("ref"), F.col("z")["1"].alias("other"))
-    w = Window.partitionBy("fasta").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("ref_pos", F.sum((F.col("ref") != "-").cast("int")).over(w)).withColumn("other_pos", F.sum((F.col("other") != "-").cast("int")).over(w))
-    return d.select("fasta", "ref", "other", "ref_pos", "other_pos", ((F.col("ref") != "-") & (F.col("other") != "-")).alias("aligned"))
+    d = aligned_position_map(d, ["fasta"], None)
+    both = (F.col("FromAA") != "-") & (F.col("ToAA") != "-")
+    return d.select("fasta", F.col("FromAA").alias("ref"), F.col("ToAA").alias("other"), F.col("FromPos").alias("ref_pos"), F.col("ToPos").alias("other_pos"), both.alias("aligned"))
 
 
 def label_splice_sites(starts: DataFrame, genome_of_file: DataFrame, positions: DataFrame, centers: dict[str, int] | None = None, radius: int = 5) -> DataFrame:

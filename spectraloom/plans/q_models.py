@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spectraloom.functions.session import cut
+from spectraloom.operators import factorscan, mixed
 from spectraloom.operators import models as M
 from spectraloom.plans import shapes
 from spectraloom.plans.q_significance import T_TAIL
@@ -51,7 +52,27 @@ def _(t):
 
 @query("mixed_models", "M02", None)
 def _(t):
-    return M.mixed_models(li(t), "brand", "y", ["grp"], "subj", "grp")
+    return mixed.mixed_models(li(t), "brand", "y", ["grp"], "subj", "grp")
+
+
+shapes.cte("balanced", """SELECT s AS key, p AS subject, q AS grp, avg(l_discount) AS y FROM (SELECT l_linestatus AS s, p_size AS p, l_returnflag AS q, l_discount FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N')
+   GROUP BY ALL HAVING s = 'F'""")
+
+
+@query("random_intercept", "M02", shapes.with_("balanced", body="""
+, f AS (SELECT * FROM balanced WHERE subject IN (SELECT subject FROM balanced GROUP BY subject HAVING count(*) = 2)),
+m AS (SELECT *, avg(y) OVER (PARTITION BY subject) AS ms, avg(y) OVER (PARTITION BY grp) AS mg, avg(y) OVER () AS mm FROM f),
+v AS (SELECT count(DISTINCT subject) AS s, sum(pow(y - ms - mg + mm, 2)) / (count(DISTINCT subject) - 1) AS within, 2 * sum(pow(ms - mm, 2)) / 2 / (count(DISTINCT subject) - 1) AS between FROM m),
+w AS (SELECT s, CASE WHEN between > within THEN within ELSE (within + between) / 2 END AS e, greatest(0, (between - within) / 2) AS u FROM v),
+d AS (SELECT max(mg) FILTER (grp = 'A') - max(mg) FILTER (grp = 'R') AS d FROM m)
+SELECT 'variance' AS kind, 'subject' AS term, round(u, 7) AS estimate, CAST(NULL AS DOUBLE) AS "SE" FROM w UNION ALL SELECT 'variance', 'residual', round(e, 7), NULL FROM w
+UNION ALL SELECT 'contrast', 'A-R', round(d, 7), round(sqrt(2 * e / s), 7) FROM w, d"""))
+def _(t):
+    d = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).where("l_returnflag <> 'N' and l_linestatus = 'F'")
+    d = d.groupBy(F.col("l_linestatus").alias("key"), F.col("p_size").cast("string").alias("subject"), F.col("l_returnflag").alias("grp")).agg(F.avg("l_discount").alias("y"))
+    both = d.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+    m = mixed.mixed_models(d.join(both, "subject", "left_semi"), "key", "y", ["grp"], "subject", "grp").where(F.col("kind").isin("variance", "contrast"))
+    return m.select("kind", "term", R("estimate", 7).alias("estimate"), R("SE", 7).alias("SE"))
 
 
 @query("contrasts_vs_control", "M03", shapes.with_("li", body=_G.replace("SELECT brand, contrast, round(e, 8) AS estimate", "SELECT brand, CASE WHEN contrast = 'A-N' THEN 'N-A' ELSE 'R-A' END AS contrast, round(-e, 8) AS estimate").replace(
@@ -61,9 +82,16 @@ def _(t):
     return d.select("brand", F.col("term").alias("contrast"), R("estimate", 8).alias("estimate"), R("p", 4).alias("p"))
 
 
-@query("contrast_of_contrasts", "M03", None)
+_SECOND = _G[: _G.index("SELECT brand, contrast,")] + f""", c AS (SELECT * FROM (VALUES ('A-N', 'A-R', 0, -1, 1), ('A-N', 'N-R', 1, -2, 1), ('A-R', 'N-R', 1, -1, 0)) v(one, two, ca, cn, cr)),
+ w AS (SELECT brand, max(m) FILTER (grp = 'A') AS ma, max(m) FILTER (grp = 'N') AS mn, max(m) FILTER (grp = 'R') AS mr, max(n) FILTER (grp = 'A') AS na, max(n) FILTER (grp = 'N') AS nn, max(n) FILTER (grp = 'R') AS nr FROM g GROUP BY ALL),
+ s AS (SELECT brand, one || ' - ' || two AS term, ca * ma + cn * mn + cr * mr AS e, sqrt(rss / df * (ca * ca / CAST(na AS DOUBLE) + cn * cn / CAST(nn AS DOUBLE) + cr * cr / CAST(nr AS DOUBLE))) AS se, CAST(df AS BIGINT) AS df FROM w JOIN p USING (brand), c)
+SELECT brand, term, round(e, 8) AS estimate, round(se, 8) AS "SE", round(2 * {T_TAIL.format(t='abs(e / se)', df='df')}, 4) AS p FROM s"""
+
+
+@query("contrast_of_contrasts", "M03", shapes.with_("li", body=_SECOND))
 def _(t):
-    return M.contrast_of_contrasts(M.linear_models(li(t), "brand", "y", {"one": ["grp"]}, "grp"), "brand")
+    d = M.contrast_of_contrasts(li(t), "brand", "y", {"one": ["grp"]}, "grp")
+    return d.select("brand", "term", R("estimate", 8).alias("estimate"), R("SE", 8).alias("SE"), R("p", 4).alias("p"))
 
 
 @query("group_means_and_residuals", "M04", shapes.with_("run_level", body="""
@@ -196,6 +224,11 @@ def _(t):
     return _factors(t)[1]
 
 
+@query("factorization_scan", "M10", None)
+def _(t):
+    return factorscan.factorization_scan(_refs(t), "Protein", "location", "value")[0]
+
+
 @query("groups_from_basis", "M11", """
 WITH b AS (SELECT p_brand AS r, l_linestatus || l_returnflag AS f, sum(l_quantity) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), s AS (SELECT r, f, w / sum(w) OVER (PARTITION BY r) AS share FROM b)
 SELECT r AS "row", f AS factor, round(share, 8) AS share FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY share DESC, f) = 1 AND share > 0.9 / 6""")

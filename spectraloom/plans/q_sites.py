@@ -368,7 +368,14 @@ def _(t):
     return I.ortholog_protein_pairs(h, l, r)
 
 
-@query("map_aliases", "I12", None)
+@query("map_aliases", "I12", """
+WITH a AS (SELECT '9606.' || CAST(l_suppkey AS VARCHAR) AS string_id, l_partkey AS alias, l_returnflag || CAST(l_linenumber AS VARCHAR) AS source FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part)),
+m AS (WITH RECURSIVE m AS (SELECT 0 AS turn, CAST([] AS VARCHAR[]) AS taken, CAST([] AS BIGINT[]) AS done UNION ALL
+  SELECT turn + 1, list_append(taken, b.source), list_concat(done, b.hit) FROM (SELECT m.turn, m.taken, m.done, (SELECT struct_pack(source := q.source, hit := q.hit) FROM
+    (SELECT source, list(DISTINCT alias) AS hit FROM a WHERE NOT list_contains(m.done, alias) GROUP BY source) q ORDER BY len(q.hit) DESC, q.source LIMIT 1) AS b FROM m) WHERE b IS NOT NULL)
+  SELECT taken FROM m ORDER BY turn DESC LIMIT 1),
+t AS (SELECT unnest(taken) AS source, unnest(range(1, len(taken) + 1)) AS turn FROM m)
+SELECT alias, min(string_id) AS string_id, source FROM a JOIN t USING (source) GROUP BY alias, source, turn QUALIFY row_number() OVER (PARTITION BY alias ORDER BY turn) = 1""")
 def _(t):
     al = t.lineitem.select(F.concat(F.lit("9606."), F.col("l_suppkey").cast("string")).alias("string_id"), F.col("l_partkey").alias("alias"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("source"))
     return I.map_aliases(t.part.select(F.col("p_partkey").alias("id")), al)
