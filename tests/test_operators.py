@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions import distributions as D
 from spectraloom.functions.ordered import exact_quantile, p_adjust_bh, running_totals
-from spectraloom.operators import apms, cluster, elution, enrich, graph, ingest, models, normalize, relational, sites
+from spectraloom.operators import apms, cluster, elution, enrich, graph, ingest, models, normalize, propagation, relational, sites
 
 
 def rows(df):
@@ -172,7 +172,7 @@ def test_components_forest_and_matching(spark):
 def test_permutation_heats_are_conserved(spark):
     e = spark.createDataFrame(EDGES[:5], "src string, dst string")
     h = spark.createDataFrame([("a", 2.0), ("d", 1.0)], "node string, heat double")
-    r = graph.propagate_heats(e, h, 0.4, n_perm=8, tolerance=1e-8).toPandas()
+    r = propagation.propagate_heats(e, h, 0.4, n_perm=8, tolerance=1e-8).toPandas()
     assert r["prop_heat"].sum() == pytest.approx(3.0, abs=1e-5)
     assert r["expect_heat"].sum() == pytest.approx(3.0, abs=1e-5)
     assert r["pvalue"].between(0, 1).all() and len(r) == 5
