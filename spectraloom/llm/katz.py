@@ -46,7 +46,7 @@ from spectraloom.llm.common import chunks, factorize, mix, new_folder, shuffle_w
 ORDER = 3
 CUT = 5
 #: tokens of a block, and n-grams that a bucket gets from all blocks, about
-BLOCK_TOKENS = 250_000
+BLOCK_TOKENS = 1_000_000
 BUCKET_GRAMS = 1_000_000
 #: bytes of text turned into tokens at once
 SLICE_BYTES = 500_000
@@ -175,7 +175,8 @@ class Block:
         for a in answers:
             at = self.order[self.bounds[a["bucket"]] : self.bounds[a["bucket"] + 1]]
             self.count[at] = unsqueeze(a["counts"], "<u4")
-            self.number[at] = unsqueeze(a["numbers"], "<u8")
+            if a["numbers"] is not None:
+                self.number[at] = unsqueeze(a["numbers"], "<u8")
 
     def words_heard(self, answers: list[dict], unigrams: Unigrams) -> None:
         self.hear(answers)
@@ -284,7 +285,7 @@ def _facts(answers: DataFrame) -> list[int]:
     return [r["x"] for r in rows]
 
 
-def _sum_grams(buckets: int, unigrams: Unigrams | None):
+def _sum_grams(buckets: int, unigrams: Unigrams | None, numbered: bool):
     def add(table: pa.Table) -> pa.Table:
         bucket, blocks = table.column("bucket")[0].as_py(), table.column("block").to_pylist()
         firsts, sizes, seconds = _blobs(table, "firsts", "<u8"), _blobs(table, "sizes", "<u4"), _blobs(table, "seconds", "<u8")
@@ -307,7 +308,7 @@ def _sum_grams(buckets: int, unigrams: Unigrams | None):
             own, mine = codes[at : at + count], history[at + np.cumsum(size) - size]
             at += count
             often.update(mine[spread > 0].tolist())
-            out.append({"block": block, "bucket": bucket, "counts": squeeze(total[own].astype("<u4")), "numbers": squeeze(number[own]), "per": squeeze(per[mine].astype("<u4")), "mass": squeeze(mass[mine])})
+            out.append({"block": block, "bucket": bucket, "counts": squeeze(total[own].astype("<u4")), "numbers": squeeze(number[own]) if numbered else None, "per": squeeze(per[mine].astype("<u4")), "mass": squeeze(mass[mine])})
         out += [{"history": int(names[k]), "per": squeeze(per[k].astype("<u4")), "mass": squeeze(mass[k : k + 1])} for k in often]
         return _answers(out)
 
@@ -367,7 +368,7 @@ def _scores(blocks: DataFrame, order: int, bucket_grams: int) -> DataFrame:
                 yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array([b.block] * len(out)), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "block", "firsts", "sizes", "spread", "seconds", "lows", "trained"])
 
         sent = known.mapInArrow(send_grams, "bucket int, block string, firsts binary, sizes binary, spread binary, seconds binary, lows binary, trained binary")
-        answers = staged(_by_bucket(sent, buckets).applyInArrow(_sum_grams(buckets, unigrams if m == 2 else None), ANSWER), f"order{m}")
+        answers = staged(_by_bucket(sent, buckets).applyInArrow(_sum_grams(buckets, unigrams if m == 2 else None, m < order), ANSWER), f"order{m}")
         ratio = discounts(np.array(_facts(answers) or [0] * (CUT + 1)))
         # histories more frequent than a quarter of a bucket's share, and the start of a document: at most 4 x buckets + 1
         frequent: dict[int, list] = {}
