@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions import distributions as dist
 from spectraloom.functions.columns import pack_sorted_distinct, ratio
-from spectraloom.functions.ordered import ecdf, exact_quantile, running_totals
+from spectraloom.functions.ordered import add_order, ecdf, exact_quantile, running_totals
 from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.graph import hop_distances, one_edge_per_node, spanning_forest
-from spectraloom.operators.normalize import _array_median
 from spectraloom.operators.relational import complete_grid, dense_index, level_pairs, meeting, permuted_index, shared_counts
 from spectraloom.operators.significance import welch_from_moments
 
@@ -105,23 +104,40 @@ def exclude_bait_as_prey(df: DataFrame) -> DataFrame:
     return df.withColumn("excludeGlobally", same)
 
 
+def _other_groups(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Count, mean, variance, median and MAD of a prey's values without each of its exclude groups."""
+    code, names = pd.factorize(pdf["excludeGroup"])
+    value = pdf["_v"].to_numpy(float)
+    known = np.flatnonzero(~np.isnan(value) & (code >= 0))
+    known = known[np.argsort(value[known], kind="stable")]
+    value, group = value[known], code[known]
+    rows = []
+    for u, name in enumerate(names):
+        others = value[group != u]
+        n = len(others)
+        middle = (others[(n - 1) // 2] + others[n // 2]) / 2 if n else None
+        rows.append((
+            pdf["preyProtein"].iloc[0], name, n, others.mean() if n else None, others.var(ddof=1) if n > 1 else None, middle, 1.4826 * float(np.median(np.abs(others - middle))) if n else None,
+        ))
+    return pd.DataFrame(rows, columns=["preyProtein", "excludeGroup", "n_b", "m_b", "v_b", "median_exc", "mad_exc"]).astype({c: "float64" for c in ("m_b", "v_b", "median_exc", "mad_exc")})
+
+
 def zmadex(df: DataFrame, value: str = "log2Intensity", filled: str = "replaceNA") -> DataFrame:
     """Robust Z and Welch test of each row against the other exclude groups of its prey.
 
-    A prey is folded to one record of at most one value per run; each group's
-    background is a filter of that array, so no self-join is needed.
+    A prey's values (at most one a run) are sorted once; the background of each
+    of its exclude groups is what is left of them without the group's own, so
+    nothing is copied from group to group and no self-join is needed.
     """
     if "excludeGlobally" not in df.columns:
         df = exclude_bait_as_prey(df)
-    rows = df.where(F.col(filled).isNotNull() & ~F.col("excludeGlobally")).groupBy("preyProtein").agg(F.collect_list(F.struct(F.col("excludeGroup").alias("g"), F.col(filled).alias("v"))).alias("_a"))
+    kinds = dict(df.dtypes)
+    usable = F.when(~F.col("excludeGlobally"), F.col(filled).cast("double")).alias("_v")
+    values = df.select("preyProtein", "excludeGroup", usable)
+    fields = f"preyProtein {kinds['preyProtein']}, excludeGroup {kinds['excludeGroup']}, n_b bigint, m_b double, v_b double, median_exc double, mad_exc double"
+    background = spread(values, "preyProtein").groupBy("preyProtein").applyInPandas(_other_groups, fields)
     own = df.groupBy("preyProtein", "bait", "excludeGroup").agg(F.count(value).alias("n_t"), F.avg(value).alias("m_t"), F.var_samp(value).alias("v_t"))
-    g = own.join(rows, "preyProtein")
-    g = g.withColumn("_bg", F.transform(F.filter("_a", lambda x: x["g"] != F.col("excludeGroup")), lambda x: x["v"])).drop("_a")
-    g = g.withColumn("median_exc", _array_median(F.col("_bg")))
-    g = g.withColumn("mad_exc", 1.4826 * _array_median(F.transform("_bg", lambda v: F.abs(v - F.col("median_exc")))))
-    zero = F.lit(0.0)
-    g = g.withColumn("n_b", F.size("_bg").cast("bigint")).withColumn("m_b", ratio(F.aggregate("_bg", zero, lambda a, v: a + v), F.col("n_b")))
-    g = g.withColumn("v_b", ratio(F.aggregate("_bg", zero, lambda a, v: a + (v - F.col("m_b")) * (v - F.col("m_b"))), F.col("n_b") - 1)).drop("_bg")
+    g = own.join(background, ["preyProtein", "excludeGroup"])
     t = welch_from_moments(g).select("preyProtein", "bait", "excludeGroup", "median_exc", "mad_exc", F.col("p").alias("t_test_p"), F.col("estimate").alias("t_log2FC"), F.col("ci_low").alias("t_lowerCI"))
     d = df.join(t, ["preyProtein", "bait", "excludeGroup"], "left")
     return d.withColumn("Zmadex", ratio(F.col(value) - F.col("median_exc"), F.col("mad_exc")))
@@ -436,30 +452,42 @@ def size_matched_sample(baits: DataFrame, background: DataFrame, samples: int, s
     """For each sample and bait an unused background bait of similar prey count.
 
     ``baits`` has ``bait, countPrey, windowRadius``; ``background`` has ``bait,
-    countPrey``. Every bait proposes to its next free candidate in a seeded
-    order; a candidate keeps its best bidder; the rest try again.
+    countPrey``. Candidates are numbered by prey count, so a bait's window is a
+    run of numbers and its seeded order of candidates a keyed permutation of
+    that run: a round holds one row per sample and bait, whatever the number of
+    candidates. A candidate keeps its best bidder; the others try their next.
+    Baits whose window is used up stay without.
     """
-    from spectraloom.operators.relational import range_join
-
-    b = baits.select("bait", (F.col("countPrey") - F.col("windowRadius")).alias("lo"), (F.col("countPrey") + F.col("windowRadius")).alias("hi"))
-    c = background.select(F.col("bait").alias("cand"), "countPrey")
+    c = background.select(F.col("bait").alias("cand"), "countPrey").distinct()
     if exclude is not None:
         c = c.join(exclude.select(F.col("bait").alias("cand")).distinct(), "cand", "left_anti")
-    pool = range_join(c, b, "countPrey", "lo", "hi", 8).select("bait", "cand")
-    free = pool.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("h", F.xxhash64("sample", "bait", "cand", F.lit(seed)))
-    free = cut(free)
-    parts = []
+    numbered = cut(add_order(c, [F.col("countPrey"), F.col("cand")], "idx"))
+    most = numbered.agg(F.max("countPrey")).first()[0] or 0
+    # how many candidates have at most each count
+    per = numbered.groupBy("countPrey").agg(F.count("*").alias("n"))
+    line = baits.sparkSession.range(0, most + 1).select(F.col("id").alias("countPrey")).join(per, "countPrey", "left").na.fill(0, ["n"])
+    line = cut(running_totals(line, [], "countPrey", sums=["n"]).select("countPrey", F.col("n_run").alias("upto")))
+    low = F.least(F.greatest(F.col("countPrey") - F.col("windowRadius"), F.lit(1)), F.lit(most + 1)).cast("bigint") - 1
+    high = F.least(F.greatest(F.col("countPrey") + F.col("windowRadius"), F.lit(0)), F.lit(most)).cast("bigint")
+    b = baits.select("bait", low.alias("_l"), high.alias("_h")).join(line.select(F.col("countPrey").alias("_l"), F.col("upto").alias("first")), "_l")
+    b = b.join(line.select(F.col("countPrey").alias("_h"), F.col("upto").alias("last")), "_h").select("bait", "first", (F.col("last") - F.col("first")).alias("width")).where("width > 0")
+    free = b.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples)))).withColumn("turn", F.lit(0).cast("bigint"))
+    taken = None
     while True:
-        bid = free.groupBy("sample", "bait").agg(F.min(F.struct("h", "cand")).alias("x"))
-        won = cut(bid.groupBy("sample", F.col("x.cand").alias("cand")).agg(F.min(F.struct(F.col("x.h").alias("h"), "bait")).alias("y")).select("sample", F.col("y.bait").alias("bait"), "cand"))
-        parts.append(won)
-        free = cut(free.join(won.select("sample", "bait"), ["sample", "bait"], "left_anti").join(won.select("sample", "cand"), ["sample", "cand"], "left_anti"))
+        free = cut(free.where("turn < width"))
         if free.isEmpty():
             break
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        place = F.col("first") + 1 + permuted_index(F.col("turn"), F.xxhash64("sample", "bait", F.lit(seed)), F.col("width"))
+        bids = free.select("sample", "bait", place.alias("idx"))
+        if taken is not None:
+            bids = bids.join(taken.select("sample", "idx"), ["sample", "idx"], "left_anti")
+        won = bids.groupBy("sample", "idx").agg(F.min(F.struct(F.xxhash64("sample", "bait", "idx", F.lit(seed)).alias("h"), "bait")).alias("y"))
+        won = cut(won.select("sample", F.col("y.bait").alias("bait"), "idx"))
+        taken = won if taken is None else cut(taken.unionByName(won))
+        free = free.join(won.select("sample", "bait"), ["sample", "bait"], "left_anti").withColumn("turn", F.col("turn") + 1)
+    if taken is None:
+        return c.select(F.lit(0).alias("sample"), F.col("cand").alias("bait"), "cand").limit(0)
+    return taken.join(numbered, "idx").select("sample", "bait", "cand")
 
 
 def convergence_test(bait_prey: DataFrame, background: DataFrame, samples: int = 1000, pool: int = 100, seed: int = 1, proteome: int = PROTEOME) -> DataFrame:

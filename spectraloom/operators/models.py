@@ -578,9 +578,13 @@ def kmeans(df: DataFrame, key: str, features: str, k: int, starts: int = 5, roun
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    d = df.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features")).cache()
-    models = [KMeans(k=k, maxIter=rounds, seed=seed + i).fit(d) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
+    d = df.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"))
+    kept = d.persist()
+    try:
+        models = [KMeans(k=k, maxIter=rounds, seed=seed + i).fit(kept) for i in range(starts)]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        kept.unpersist()
     return best.transform(d).select(key, F.col("prediction").alias("cluster"))
 
 

@@ -7,11 +7,15 @@ import statistics
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spectraloom.functions.columns import log2_pos
 from spectraloom.functions.ordered import exact_median, exact_quantile
 from spectraloom.functions.session import attach, cut, design_levels
 
+#: columns that a polish takes: their effects are one array on the driver and in the tasks
+MAX_LEVELS = 1_000_000
+
 
 def _array_median(a: Column) -> Column:
     s = F.array_sort(a)
@@ -28,15 +32,17 @@ def median_polish(
     Returns (overall, {column level: effect}, rows with their effect). A row is
     one record holding its at most #columns values, so row medians need no
     shuffle; column medians are exact distributed quantiles and only the
-    column effects (one per design level) reach the driver.
+    column effects (one per level) reach the driver. Levels are numbered, and
+    the effects go back as one array that a cell reads by its number.
     """
-    levels = design_levels(df, column)
+    levels = design_levels(df, column, MAX_LEVELS)
     if levels is None:
-        raise ValueError(f"{column} is not a design factor")
-    cells = df.where(F.col(value).isNotNull()).groupBy(row, column).agg(F.max(value).alias("v"))
-    rows = cut(cells.groupBy(row).agg(F.collect_list(F.struct(F.col(column).alias("c"), "v")).alias("z"))).withColumn("r", F.lit(0.0))
+        raise ValueError(f"{column} has over {MAX_LEVELS} levels")
+    spark, dtype = df.sparkSession, df.schema[column].dataType
+    numbers = spark.createDataFrame([(lv, i) for i, lv in enumerate(levels, 1)], T.StructType([T.StructField("_level", dtype), T.StructField("c", T.IntegerType())]))
+    cells = df.where(F.col(value).isNotNull()).groupBy(row, column).agg(F.max(value).alias("v")).join(numbers, F.col(column) == F.col("_level"))
+    rows = cut(cells.groupBy(row).agg(F.collect_list(F.struct("c", "v")).alias("z"))).withColumn("r", F.lit(0.0))
     overall, effect, old = 0.0, dict.fromkeys(levels, 0.0), 0.0
-    dtype = df.schema[column].dataType.simpleString()
     for _ in range(max_rounds):
         delta = _array_median(F.transform("z", lambda x: x["v"]))
         rows = rows.withColumn("_d", delta).select(
@@ -46,10 +52,10 @@ def median_polish(
         shift = statistics.median(effect.values())
         overall += shift
         flat = rows.select(F.explode("z").alias("x")).select(F.col("x.c").alias("c"), F.col("x.v").alias("v"))
-        step = {x["c"]: x["m"] for x in exact_median(flat, ["c"], "v", "m", stable=True).collect()}
+        step = {levels[x["c"] - 1]: x["m"] for x in exact_median(flat, ["c"], "v", "m", stable=True).collect()}
         effect = {k: v - shift + step.get(k, 0.0) for k, v in effect.items()}
-        lookup = F.map_from_arrays(F.array(*[F.lit(k).cast(dtype) for k in step]), F.array(*[F.lit(v) for v in step.values()]))
-        rows = rows.select(row, F.transform("z", lambda x: F.struct(x["c"].alias("c"), (x["v"] - lookup[x["c"]]).alias("v"))).alias("z"), "r")
+        moves = spark.createDataFrame([([float(step.get(k, 0.0)) for k in levels],)], "_moves array<double>")
+        rows = attach(rows, moves).select(row, F.transform("z", lambda x: F.struct(x["c"].alias("c"), (x["v"] - F.element_at("_moves", x["c"])).alias("v"))).alias("z"), "r")
         mid = exact_median(rows.select("r"), [], "r", "m", stable=True).first()["m"]
         overall += mid
         rows = rows.withColumn("r", F.col("r") - F.lit(mid))
@@ -75,7 +81,7 @@ def normalize_median_polish(df: DataFrame, standards: list[str] | None = None) -
         raise ValueError("no feature matches the requested standards")
     _, effect, _ = median_polish(base, "featureID", "runID", "logIntensity")
     offsets = _offset_table(df, "runID", effect, "offset")
-    d = df.join(F.broadcast(offsets), "runID", "left")
+    d = df.join(offsets, "runID", "left")
     return d.withColumn("normLogIntensity", F.col("logIntensity") - F.col("offset")).drop("offset")
 
 

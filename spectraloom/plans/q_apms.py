@@ -238,21 +238,19 @@ def _(t):
 
 
 def _background(t):
-    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("bait"), F.concat(F.lit("g"), (F.col("l_partkey") % 300).cast("string")).alias("prey")).distinct()
+    d = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    return d.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("bait"), F.concat(F.lit("g"), F.col("l_partkey").cast("string")).alias("prey")).distinct()
 
 
 @query("size_matched_sample", "G14", None)
 def _(t):
-    bg = _background(t)
-    sizes = bg.groupBy("bait").agg(F.countDistinct("prey").alias("countPrey"))
-    own = shapes.apms(t).groupBy("bait").agg((F.countDistinct("prey") % 40 + 5).alias("countPrey")).withColumn("windowRadius", F.lit(3))
-    return A.size_matched_sample(own, sizes, 5)
+    own = shapes.apms(t).groupBy("bait").agg((F.countDistinct("prey") % 60 + 10).alias("countPrey")).withColumn("windowRadius", F.lit(5))
+    return A.size_matched_sample(own, _background(t).groupBy("bait").agg(F.countDistinct("prey").alias("countPrey")), 1000)
 
 
 @query("convergence_test", "G15", None)
 def _(t):
-    own = shapes.apms(t).select("bait", F.concat(F.lit("g"), F.pmod(F.xxhash64("prey"), F.lit(300)).cast("string")).alias("prey"), "spc").where(F.col("spc") > 60).select("bait", "prey").distinct()
-    return A.convergence_test(own, _background(t), samples=5, pool=50)
+    return A.convergence_test(shapes.apms(t).select("bait", "prey").distinct(), _background(t))
 
 
 @query("bioplex_pairs", "G16", shapes.with_("bait_prey", body="SELECT bait, prey FROM bait_prey"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spectraloom.functions.session import cut
+from spectraloom.functions.session import attach, cut
 from spectraloom.operators import elution as P
 from spectraloom.operators.models import cosine_between_samples
 from spectraloom.plans import shapes
@@ -119,9 +119,9 @@ def _(t):
 
 @query("correlation_by_offset", "P37", shapes.with_("tot", "dims", body=_FC + """
 , s AS (SELECT split_part(a, '/', 1) AS x, split_part(b, '/', 1) AS y, CAST(split_part(b, '/', 2) AS INTEGER) - CAST(split_part(a, '/', 2) AS INTEGER) AS o, round(r, 5) AS r FROM r)
-SELECT o AS "offset", x = y AS within, count(*) AS n FROM s WHERE abs(o) <= 5 GROUP BY ALL"""))
+SELECT o AS "offset", x = y AS within, count(*) AS n, round(avg(r), 4) AS mean FROM s WHERE abs(o) <= 5 GROUP BY ALL"""))
 def _(t):
-    return P.correlation_by_offset(P.fraction_comparison(tot(t))).groupBy("offset", "within").agg(F.count(F.lit(1)).alias("n"))
+    return P.correlation_by_offset(P.fraction_comparison(tot(t))).groupBy("offset", "within").agg(F.count(F.lit(1)).alias("n"), R(F.avg(R("pearson", 5)), 4).alias("mean"))
 
 
 @query("protein_correlation_between_samples", "P10", shapes.with_("tot", "dims", body="""
@@ -158,6 +158,12 @@ def _(t):
     return P.label_outliers(q, P.fit_local_cubics(q), 1.1)
 
 
+@query("undo_normalization", "P15", shapes.with_("sec", body="SELECT sample, protein, fraction, round(intensity, 4) AS intensity FROM sec"))
+def _(t):
+    q = _qc(t).withColumn("medianResidual", F.col("fraction") / 100)
+    return P.undo_normalization(P.normalize_by_residuals(shapes.sec(t), q)).select("sample", "protein", "fraction", R("intensity", 4).alias("intensity"))
+
+
 @query("normalize_by_residuals", "P15", shapes.with_("sec", body="""
 SELECT sample, protein, fraction, round(intensity / pow(2, fraction / 100.0), 4) AS intensity, round(intensity, 4) AS "originalIntensity" FROM sec"""))
 def _(t):
@@ -238,14 +244,17 @@ def _peaks(t):
 
 
 @query("match_peaks", "P22 R53 R90", shapes.with_("pk", body="""
-, a AS (SELECT protein, loc FROM pk WHERE sample = 'AF'), b AS (SELECT protein, loc FROM pk WHERE sample = 'NF'),
-ab AS (SELECT a.protein, a.loc AS x, arg_min(b.loc, (abs(a.loc - b.loc), b.loc)) AS y FROM a JOIN b USING (protein) GROUP BY ALL), ba AS (SELECT b.protein, b.loc AS y, arg_min(a.loc, (abs(a.loc - b.loc), a.loc)) AS x FROM a JOIN b USING (protein) GROUP BY ALL),
-m AS (SELECT protein, x, y FROM ab JOIN ba USING (protein, x, y)), e AS (SELECT least(min(x), min(y)) AS lo, greatest(max(x), max(y)) AS hi FROM m)
-SELECT protein, x AS "peakLocation", y AS "i_peakLocation", CASE WHEN NOT (y - x > x - lo OR y - x < x - hi) THEN y - x END AS "deltaPeak" FROM m, e"""))
+, a AS (SELECT sample, protein, loc FROM pk WHERE sample <> 'AF'), b AS (SELECT s.sample, protein, loc FROM pk, (SELECT DISTINCT sample FROM a) s WHERE pk.sample = 'AF'),
+ab AS (SELECT a.sample, a.protein, a.loc AS x, arg_min(b.loc, (abs(a.loc - b.loc), b.loc)) AS y FROM a JOIN b USING (sample, protein) GROUP BY ALL), ba AS (SELECT b.sample, b.protein, b.loc AS y, arg_min(a.loc, (abs(a.loc - b.loc), a.loc)) AS x FROM a JOIN b USING (sample, protein) GROUP BY ALL),
+m AS (SELECT sample, protein, x, y FROM ab JOIN ba USING (sample, protein, x, y)), e AS (SELECT sample, least(min(x), min(y)) AS lo, greatest(max(x), max(y)) AS hi FROM m GROUP BY sample)
+SELECT sample, protein, x AS "peakLocation", y AS "i_peakLocation", CASE WHEN NOT (y - x > x - lo OR y - x < x - hi) THEN y - x END AS "deltaPeak" FROM m JOIN e USING (sample)"""))
 def _(t):
     p = _peaks(t).select("sample", "protein", "peakLocation")
-    m = P.match_peaks(p.where(F.col("sample") == "AF").drop("sample"), p.where(F.col("sample") == "NF").drop("sample"))
-    return m.select("protein", "peakLocation", "i_peakLocation", "deltaPeak")
+    others = p.where(F.col("sample") != "AF")
+    names = others.agg(F.collect_set("sample").alias("_names"))
+    copies = attach(p.where(F.col("sample") == "AF").select("protein", "peakLocation"), names).select(F.explode("_names").alias("sample"), "protein", "peakLocation")
+    m = P.match_peaks(others, copies, keys=["sample"])
+    return m.select("sample", "protein", "peakLocation", "i_peakLocation", "deltaPeak")
 
 
 def _aligned(t):
@@ -306,7 +315,7 @@ z AS (WITH RECURSIVE z AS (SELECT protein, isle, l, 0 AS turn FROM s UNION ALL
 u AS (SELECT protein, isle, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS j FROM z),
 k AS (SELECT protein, isle, j, x.n AS n, sum(x.n) OVER (PARTITION BY protein ORDER BY isle, j) AS upto, row_number() OVER (PARTITION BY protein ORDER BY isle, j) AS cluster FROM u),
 linked AS (SELECT c.*, CAST(k.cluster AS INTEGER) AS cluster FROM c JOIN k ON k.protein = c.protein AND c.i > k.upto - k.n AND c.i <= k.upto)"""
-shapes.cte("centres", """SELECT pk.sample, pk.protein, loc, round(h, 9) AS h, round((SELECT sum(s * fraction) / sum(s) FROM smooth m WHERE m.sample = pk.sample AND m.protein = pk.protein AND m.fraction BETWEEN loc - 2 AND loc + 2), 6) AS cofmn FROM pk""", "pk")
+shapes.cte("centres", """SELECT pk.sample, pk.protein, loc, h, round((SELECT sum(s * fraction) / sum(s) FROM smooth m WHERE m.sample = pk.sample AND m.protein = pk.protein AND m.fraction BETWEEN loc - 2 AND loc + 2), 6) AS cofmn FROM pk""", "pk")
 
 
 @query("cluster_peaks", "P26", shapes.with_("centres", body=_LINKED + """
@@ -404,11 +413,13 @@ def _(t):
 
 
 @query("trace_tables", "P36 R74", shapes.with_("sec", body="""
-SELECT sample, protein, round(coalesce(sum(intensity) FILTER (fraction = 10), 0), 3) AS f10, round(coalesce(sum(intensity) FILTER (fraction = 20), 0), 3) AS f20 FROM sec WHERE fraction > 0 GROUP BY ALL"""))
+SELECT g.sample, g.protein, CAST(f AS INTEGER) AS fraction, round(coalesce(i, 0), 3) AS intensity FROM (SELECT DISTINCT sample, protein FROM sec) g CROSS JOIN range(1, 51) r(f)
+LEFT JOIN (SELECT sample, protein, fraction, sum(intensity) AS i FROM sec GROUP BY ALL) x ON x.sample = g.sample AND x.protein = g.protein AND x.fraction = f"""))
 def _(t):
     ann = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("protein"), "s_acctbal")
     w, _, _ = P.trace_tables(shapes.sec(t), ann, P.mass_calibration(_standards(t)), list(range(1, 51)))
-    return w.select("sample", "protein", R("10", 3).alias("f10"), R("20", 3).alias("f20"))
+    long = w.unpivot(["sample", "protein"], [str(f) for f in range(1, 51)], "fraction", "intensity")
+    return long.select("sample", "protein", F.col("fraction").cast("int").alias("fraction"), R("intensity", 3).alias("intensity"))
 
 
 @query("cosine_between_samples", "M19", shapes.with_("tot", body="""

@@ -153,6 +153,12 @@ def _(t):
     return E.complexes_as_gmt(_complex_table(t), "HUMAN")
 
 
+@query("annotation_gmt", "E10 R46", "SELECT DISTINCT n_name AS ont, 's' || CAST(s_suppkey AS VARCHAR) AS gene, s_nationkey AS ont_id FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(t):
+    genes = t.supplier.select(F.col("s_nationkey").alias("ont_id"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("gene"))
+    return E.annotation_gmt(genes, t.nation.select(F.col("n_nationkey").alias("ont_id"), F.col("n_name").alias("name"))).select("ont", "gene", "ont_id")
+
+
 @query("limit_to_slim", "E10 R50", """SELECT DISTINCT p_brand AS ont, 'g' || CAST(p_partkey AS VARCHAR) AS gene, p_size AS ont_id FROM part WHERE p_size IN (SELECT s_nationkey FROM supplier)""")
 def _(t):
     g = t.part.select(F.col("p_brand").alias("ont"), F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene"), F.col("p_size").alias("ont_id")).distinct()
@@ -186,15 +192,29 @@ def _(t):
     return w.select("ID", R(F.col("NATION_1 q1") + 0.0, 4).alias("a"), R(F.col("NATION_2 q3") + 0.0, 4).alias("b"))
 
 
-@query("term_gene_matrices", "E11 R74", shapes.with_("gmt", "uni", body="""
-, own AS (SELECT gene, min(grp) AS grp FROM gene_groups GROUP BY ALL),
-c AS (SELECT DISTINCT ont, gene FROM own JOIN gmt USING (gene) WHERE ont IN ('size 7', 'size 11', 'size 23'))
+_OWN = """, own AS (SELECT gene, min(grp) AS grp FROM gene_groups GROUP BY ALL)"""
+
+
+@query("term_gene_matrices", "E11 R74", shapes.with_("gmt", "uni", body=_OWN + """
+, c AS (SELECT DISTINCT ont, gene FROM own JOIN gmt USING (gene) WHERE ont IN ('size 7', 'size 11', 'size 23'))
 SELECT gene, count(*) FILTER (ont = 'size 7') AS a, count(*) FILTER (ont = 'size 11') AS b, count(*) FILTER (ont = 'size 23') AS c FROM own LEFT JOIN c USING (gene) GROUP BY ALL"""))
 def _(t):
+    m = _matrices(t)[0]
+    return m.select("gene", F.col("size 7").alias("a"), F.col("size 11").alias("b"), F.col("size 23").alias("c"))
+
+
+def _matrices(t):
     own = shapes.gene_groups(t).groupBy("gene").agg(F.min("grp").alias("grp"))
     table = E.to_ratio_table(E.enrich(own, shapes.gmt(t), min_match=1))
-    m = E.term_gene_matrices(table, own, _TERMS)[0]
-    return m.select("gene", F.col("size 7").alias("a"), F.col("size 11").alias("b"), F.col("size 23").alias("c"))
+    return E.term_gene_matrices(table, own, _TERMS)
+
+
+@query("term_gene_p_matrix", "E11 R74", shapes.with_("gmt", "uni", body=_OWN + """
+, u AS (SELECT DISTINCT gene FROM own), m AS (SELECT own.grp, ont, count(*) AS k FROM own JOIN gmt USING (gene) WHERE ont IN ('size 7', 'size 11', 'size 23') GROUP BY ALL)
+SELECT gene, max(k) FILTER (ont = 'size 7') IS NOT NULL AS a, max(k) FILTER (ont = 'size 11') IS NOT NULL AS b, max(k) FILTER (ont = 'size 23') IS NOT NULL AS c FROM own LEFT JOIN m USING (grp) GROUP BY gene"""))
+def _(t):
+    m = _matrices(t)[1]
+    return m.select("gene", (F.col("size 7") < 1).alias("a"), (F.col("size 11") < 1).alias("b"), (F.col("size 23") < 1).alias("c"))
 
 
 @query("localization_scores", "E14", None)

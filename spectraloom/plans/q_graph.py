@@ -189,12 +189,12 @@ def _wide(t):
 
 
 @query("propagated_heats", "W08", shapes.with_("big_both", body=_POWERS + """
-SELECT node, round(coalesce(max(h0.heat), 0), 6) AS heat0, round(coalesce(sum(s * h.heat), 0), 5) AS prop_heat, round(coalesce(max(s) FILTER (node = v), 0) * coalesce(max(h0.heat), 0), 6) AS self_heat,
-  round(coalesce(sum(s) FILTER (node <> v), 0) * (SELECT sum(heat) FROM h) / (SELECT count(DISTINCT src) FROM big_both), 6) AS expect_heat
+SELECT node, round(coalesce(max(h0.heat), 0), 6) AS heat0, round(coalesce(sum(s * h.heat), 0), 5) AS prop_heat, round(coalesce(max(s) FILTER (node = v), 0) * coalesce(max(h0.heat), 0), 5) AS self_heat,
+  round(coalesce(sum(s) FILTER (node <> v), 0) * (SELECT sum(heat) FROM h) / (SELECT count(DISTINCT src) FROM big_both), 5) AS expect_heat
 FROM x LEFT JOIN h ON h.node = v LEFT JOIN h h0 ON h0.node = x.node GROUP BY x.node""".replace("SELECT node,", "SELECT x.node AS node,").replace("(node = v)", "(x.node = v)").replace("(node <> v)", "(x.node <> v)")))
 def _(t):
     d = P.propagate_heats(G.largest_component(_core(t)), _core_heats(t), 0.5, network_only=True, tolerance=1e-12)
-    return d.select("node", R("heat0", 6).alias("heat0"), R("prop_heat", 5).alias("prop_heat"), R("self_heat", 6).alias("self_heat"), R("expect_heat", 6).alias("expect_heat"))
+    return d.select("node", R("heat0", 6).alias("heat0"), R("prop_heat", 5).alias("prop_heat"), R("self_heat", 5).alias("self_heat"), R("expect_heat", 5).alias("expect_heat"))
 
 
 @query("propagate_heats", "W08", None)

@@ -370,5 +370,5 @@ def _(t):
 
 @query("normalize_to_background", "N07", None)
 def _(t):
-    d = N.normalize_to_background(shapes.run_level(t), ["Brand#1", "Brand#2"], k=2, rounds=6)
+    d = N.normalize_to_background(shapes.run_level(t), ["Brand#1", "Brand#2"])
     return d.select("Protein", "RUN", "LogIntensities", "preNormalize", "normalizeOffset")

@@ -216,7 +216,7 @@ def _(t):
 
 def _factors(t):
     d = cut(_refs(t))
-    return d, *M.factorize_nonnegative(d, "Protein", "location", "value", 2, rounds=10)
+    return d, *M.factorize_nonnegative(d, "Protein", "location", "value", 3)
 
 
 @query("factorize_nonnegative", "M10", None)
@@ -240,7 +240,7 @@ def _(t):
 @query("characterize_bases", "M12 E07", None)
 def _(t):
     d = t.lineitem.groupBy(F.concat(F.lit("g"), F.col("l_partkey").cast("string")).alias("p"), F.col("l_returnflag").alias("c")).agg(F.sum("l_quantity").alias("v"))
-    b, _ = M.factorize_nonnegative(d, "p", "c", "v", 2, rounds=4)
+    b, _ = M.factorize_nonnegative(d, "p", "c", "v", 2)
     return M.characterize_bases(b, 2, shapes.gmt(t), min_size=2, max_size=5000)
 
 
@@ -258,7 +258,7 @@ def _(t):
 
 @query("kmeans", "M18", None)
 def _(t):
-    return M.kmeans(t.embeddings, "vec_id", "embedding", 8, starts=2)
+    return M.kmeans(t.embeddings, "vec_id", "embedding", 8)
 
 
 @query("cosine_pairs", "M19 R48", """

@@ -194,8 +194,8 @@ def _(t):
 
 @query("kernel_density", "F15", """
 WITH v AS (SELECT l_returnflag, CAST(l_discount AS DOUBLE) AS v FROM lineitem WHERE l_discount IS NOT NULL), s AS (SELECT l_returnflag, min(v) - 0.03 AS lo, max(v) + 0.03 AS hi, count(*) AS n FROM v GROUP BY ALL),
-a AS (SELECT l_returnflag, (v - lo) / ((hi - lo) / 4096) AS at FROM v JOIN s USING (l_returnflag)),
-b AS (SELECT l_returnflag, j, sum(w) AS w FROM (SELECT l_returnflag, floor(at) AS j, 1 - (at - floor(at)) AS w FROM a UNION ALL SELECT l_returnflag, floor(at) + 1, at - floor(at) FROM a) GROUP BY ALL),
+a AS (SELECT l_returnflag, (v - lo) / ((hi - lo) / 4096) AS u FROM v JOIN s USING (l_returnflag)),
+b AS (SELECT l_returnflag, j, sum(w) AS w FROM (SELECT l_returnflag, floor(u) AS j, 1 - (u - floor(u)) AS w FROM a UNION ALL SELECT l_returnflag, floor(u) + 1, u - floor(u) FROM a) GROUP BY ALL),
 p AS (SELECT s.*, greatest(lo, 0) AS f, CAST(i AS INTEGER) AS i, greatest(lo, 0) + i * (hi - greatest(lo, 0)) / 511 AS x FROM s, range(512) r(i))
 SELECT l_returnflag, i, round(x, 9) AS x, round(sum(w * (exp(-pow((x - (lo + j * (hi - lo) / 4096)) / 0.01, 2) / 2) + exp(-pow((x + (lo + j * (hi - lo) / 4096)) / 0.01, 2) / 2))) / any_value(n) / (0.01 * sqrt(2 * pi())), 6) AS density
 FROM p JOIN b USING (l_returnflag) GROUP BY l_returnflag, i, x""")

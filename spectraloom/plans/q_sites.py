@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from spectraloom.functions.columns import pack_sorted_distinct
+from spectraloom.operators import ingest as C
 from spectraloom.operators import ids as I
 from spectraloom.operators import sites as S
 from spectraloom.plans import shapes
@@ -75,6 +76,14 @@ def _(t):
     return S.sitify(d, shapes.seqs(t)).select("oldProteinName", "ProteinName")
 
 
+@query("site_evidence", "C26 C25 S07", shapes.with_("letters", "peps", body="""
+SELECT string_agg(uniprot || '_' || aa || CAST(instr(sequence, clean) + i - 1 AS VARCHAR), ';' ORDER BY i) AS "Proteins" FROM letters WHERE aa IN ('S', 'T') GROUP BY uniprot"""))
+def _(t):
+    p = _tagged(t, "[Phospho (STY)]", "(Oxidation (M))")
+    d = p.select(F.col("uniprot").alias("Proteins"), F.concat(F.lit("_"), "peptide", F.lit("_")).alias("Modified_sequence"), F.lit("x").alias("Modifications"))
+    return C.site_evidence(d, shapes.seqs(t), "PH").select("Proteins")
+
+
 @query("label_multi_ptm", "S08 R110", shapes.with_("letters", "peps", body="""
 , x AS (SELECT uniprot, string_agg(uniprot || '_' || aa || CAST(instr(sequence, clean) + i - 1 AS VARCHAR) || CASE WHEN aa IN ('S', 'T') THEN 'ph' ELSE 'r' END, ';' ORDER BY i) AS c FROM letters WHERE aa IN ('S', 'T', 'M') GROUP BY ALL)
 SELECT uniprot AS "og_ProteinName", coalesce(c, uniprot) AS "ProteinName" FROM peps LEFT JOIN x USING (uniprot)"""))
@@ -335,22 +344,27 @@ def _(t):
     return I.translate_packed_any(_packed_ids(t), "ids", _id_map(t), "uniprot", "id", "genes", allow_duplicates=True).select("l_orderkey", "genes")
 
 
-_ALIAS = "WITH a AS (SELECT p_name AS alias, min(p_brand) AS symbol FROM part WHERE p_size < 3 GROUP BY ALL)"
+_ALIAS = "WITH a AS (SELECT p_name AS alias, min(p_brand) AS symbol FROM part GROUP BY ALL), u AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_type ELSE p_name END AS p_name FROM part)"
 
 
 def _aliases(t):
-    return t.part.where(F.col("p_size") < 3).select(F.col("p_name").alias("alias"), F.col("p_brand").alias("symbol"))
+    return t.part.select(F.col("p_name").alias("alias"), F.col("p_brand").alias("symbol"))
+
+
+def _named(t):
+    """Names of all parts, some of which are no alias."""
+    return t.part.select("p_partkey", F.when(F.col("p_size") % 5 == 0, F.col("p_type")).otherwise(F.col("p_name")).alias("p_name"))
 
 
-@query("alias_to_symbol", "I09", _ALIAS + " SELECT p_partkey, coalesce(symbol, 'old_' || p_name) AS symbol FROM part LEFT JOIN a ON p_name = alias")
+@query("alias_to_symbol", "I09", _ALIAS + " SELECT p_partkey, coalesce(symbol, 'old_' || p_name) AS symbol FROM u LEFT JOIN a ON p_name = alias")
 def _(t):
-    return I.alias_to_symbol(t.part.select("p_partkey", "p_name"), "p_name", _aliases(t), "symbol", "old_").select("p_partkey", "symbol")
+    return I.alias_to_symbol(_named(t), "p_name", _aliases(t), "symbol", "old_").select("p_partkey", "symbol")
 
 
 @query("alias_counts", "I09 R61", _ALIAS + """ SELECT count(*) AS unique_aliases, count(*) FILTER (symbol <> p_name) AS replaced, count(*) FILTER (symbol IS NULL) AS not_found
-FROM (SELECT DISTINCT p_name FROM part) LEFT JOIN a ON p_name = alias""")
+FROM (SELECT DISTINCT p_name FROM u) LEFT JOIN a ON p_name = alias""")
 def _(t):
-    return I.alias_counts(t.part, "p_name", _aliases(t))
+    return I.alias_counts(_named(t), "p_name", _aliases(t))
 
 
 @query("add_descriptions", "I10 R41", """SELECT s_suppkey, n_name || ' : ' || r_name AS description FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
