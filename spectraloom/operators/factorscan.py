@@ -51,18 +51,19 @@ def factorization_scan(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(fits ``rank, start, divergence, rounds, best``; basis and coefficients of each rank's best start).
 
-    Values must not be negative; a missing cell is zero, several values of a
+    ``ranks`` are 1 to 20 unless given, none over the number of columns. Values
+    must not be negative; a missing cell is zero, several values of a
     cell add up, null rows, columns and values are left out. A factorization
     stops when a round lowers its divergence by less than ``tolerance`` of it.
     Basis: ``rank, row, factor, w``; coefficients: ``rank, factor, col, h``.
     """
     spark = df.sparkSession
-    ranks = ranks if ranks is not None else list(range(1, 21))
     cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull() & F.col(value).isNotNull())
     levels = design_levels(cells, column)
     if levels is None:
         raise ValueError(f"{column} is not a design factor")
     width = len(levels)
+    ranks = ranks if ranks is not None else list(range(1, min(20, width) + 1))
     dtype = cells.schema[column].dataType
     numbers = spark.createDataFrame(list(enumerate(levels)), T.StructType([T.StructField("_i", T.IntegerType()), T.StructField("_name", dtype)]))
     added = cells.join(numbers, F.col(column) == F.col("_name")).groupBy(F.col(row).alias("row"), "_i").agg(F.sum(F.col(value).cast("double")).alias("_x"))

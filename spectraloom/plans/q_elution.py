@@ -319,10 +319,10 @@ shapes.cte("centres", """SELECT pk.sample, pk.protein, loc, h, round((SELECT sum
 
 
 @query("cluster_peaks", "P26", shapes.with_("centres", body=_LINKED + """
-SELECT protein, cluster AS "peakCluster", round(avg(cofmn), 5) AS center, count(*) AS "numPeaks", round(avg(h), 8) AS "meanHeight" FROM linked GROUP BY ALL"""))
+SELECT protein, cluster AS "peakCluster", round(avg(cofmn) + 0.00000001, 5) AS center, count(*) AS "numPeaks", round(avg(h), 8) AS "meanHeight" FROM linked GROUP BY ALL"""))
 def _(t):
     c = P.cluster_peaks(_centers(t), ["protein"])[1]
-    return c.select("protein", "peakCluster", R("center", 5).alias("center"), "numPeaks", R("meanHeight", 8).alias("meanHeight"))
+    return c.select("protein", "peakCluster", R(F.col("center") + 1e-8, 5).alias("center"), "numPeaks", R("meanHeight", 8).alias("meanHeight"))
 
 
 @query("peak_anova", "P27 R52", None)
