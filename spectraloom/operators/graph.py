@@ -231,7 +231,7 @@ def heat_diffusion(
 def _prepared(edges: DataFrame, heats: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Numbered network nodes, and one heat per (keys, node) as the largest given."""
     nodes = cut(dense_index(_both_ways(edges).where(F.col("src") != F.col("dst")).select(F.col("src").alias("node")).distinct(), "node", "idx"))
-    h = heats.join(nodes.select("node"), "node", "left_semi").groupBy(*keys, "node").agg(F.max("heat").alias("heat"))
+    h = heats.where("heat is not null").join(nodes.select("node"), "node", "left_semi").groupBy(*keys, "node").agg(F.max("heat").alias("heat"))
     return nodes, cut(h)
 
 
@@ -254,7 +254,7 @@ def permuted_heats(nodes: DataFrame, heats: DataFrame, keys: list[str], n_perm:
     return moved.join(nodes.select(F.col("idx").alias("_to"), "node"), "_to").select(*keys, "perm", "node", "heat")
 
 
-def expected_heat(edges: DataFrame, heats: DataFrame, restart: float, observed_only: bool = False, keys: list[str] | None = None) -> DataFrame:
+def expected_heat(edges: DataFrame, heats: DataFrame, restart: float, observed_only: bool = False, keys: list[str] | None = None, tolerance: float = 1e-9) -> DataFrame:
     """Row sums of the operator (over observed columns only if asked), scaled to the heat given."""
     keys = keys or []
     nodes, h = _prepared(edges, heats, keys)
@@ -263,8 +263,8 @@ def expected_heat(edges: DataFrame, heats: DataFrame, restart: float, observed_o
     flat = scale.select(*keys, "_sum", "_obs", (F.lit(observed_only) & (F.col("_values") > 1)).alias("_only"))
     # all-node row sums do not depend on the heat set: one unkeyed walk serves every such set
     seen = h.join(flat.where("_only"), keys, "left_semi") if keys else attach(h, flat).where("_only")
-    sums = random_walk(edges, seen.select(*keys, "node", F.lit(1.0).alias("heat")), restart, keys) if observed_only else None
-    full = random_walk(edges, nodes.select("node", F.lit(1.0).alias("heat")), restart)
+    sums = random_walk(edges, seen.select(*keys, "node", F.lit(1.0).alias("heat")), restart, keys, tolerance) if observed_only else None
+    full = random_walk(edges, nodes.select("node", F.lit(1.0).alias("heat")), restart, tolerance=tolerance)
     if keys:
         sets = flat.where(~F.col("_only")).agg(F.collect_list(F.struct(*keys)).alias("_sets"))
         full = attach(full, sets).select(F.explode("_sets").alias("_k"), "node", "heat").select(*[F.col("_k")[k].alias(k) for k in keys], "node", "heat")

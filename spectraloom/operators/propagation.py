@@ -370,7 +370,7 @@ def expected_heat(
     only where only their columns are summed.
     """
     keys = keys or []
-    plain = graph.expected_heat(edges, heats, restart, observed_only, keys)
+    plain = graph.expected_heat(edges, heats, restart, observed_only, keys, tolerance)
     if not network_only:
         return plain
     nodes, h = graph._prepared(edges, heats, keys)

