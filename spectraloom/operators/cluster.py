@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,13 +107,21 @@ def linkage_on_line(points: DataFrame, keys: list[str], at: str, max_distance: f
     offsets = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(["_b", *keys])], "_off")
     d = d.join(offsets, same).withColumn("_g", (F.col("_i") + F.col("_off")).cast("bigint"))
     columns = points.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at, kind="stable").reset_index(drop=True)
-        return pdf[columns].assign(_c=line_clusters(pdf[at].to_numpy(float), max_distance), _g=pdf["_g"].iloc[0])
-
-    linked = cut(spread(d.select(*columns, "_g"), *keys, "_g").groupBy(*keys, "_g").applyInPandas(link, f"{fields}, _c int, _g bigint"))
+    @F.arrow_udf("array<int>")
+    def link(places: pa.Array) -> pa.Array:
+        start = np.concatenate([[0], np.cumsum(places.value_lengths().to_numpy(zero_copy_only=False).astype(int))])
+        flat = places.flatten().to_numpy(zero_copy_only=False)
+        out = np.empty(len(flat), np.int32)
+        for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+            order = np.argsort(flat[lo:hi], kind="stable")
+            out[lo + order] = line_clusters(flat[lo:hi][order], max_distance)
+        return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(out))
+
+    # an island is one record, so a task links many in one call
+    isles = spread(d.select(F.struct(*columns).alias("_row"), F.col(at).cast("double").alias("_at"), *keys, "_g"), *keys, "_g").groupBy(*keys, "_g").agg(F.collect_list(F.struct("_row", "_at")).alias("_l"))
+    isles = isles.select("_g", F.explode(F.arrays_zip(F.col("_l._row").alias("row"), link("_l._at").alias("c"))).alias("_x"))
+    linked = cut(isles.select("_x.row.*", F.col("_x.c").alias("_c"), "_g"))
     per = linked.groupBy(*keys, "_g").agg((F.max("_c") + 1).alias("_n"))
     upto = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(["_g", *keys])], F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     same = F.lit(True)

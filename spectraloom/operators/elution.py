@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -23,7 +24,7 @@ from spectraloom.functions.ordered import exact_median, exact_quantile, rank_tab
 from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.apms import _huber
 from spectraloom.operators.cluster import complete_linkage, linkage_on_line
-from spectraloom.operators.models import CellFit, unit_vectors
+from spectraloom.operators.models import unit_vectors
 from spectraloom.operators.normalize import median_polish
 from spectraloom.operators.relational import blocked_pairs, column_gram, complete_grid, correlation_from_sums, level_pairs, nearest_join, range_join, vector_dot
 from spectraloom.operators.significance import density_at, kernel_density
@@ -548,9 +549,199 @@ def _around(df: DataFrame, clusters: DataFrame, key: str, at: str, radius: float
 TEST_SCHEMA = "term string, deltaInt double, SE double, t double, p double, error string"
 
 
-def _per_peak(d: DataFrame, key: str, fit, schema: str) -> DataFrame:
-    key_type = d.schema[key].dataType.simpleString()
-    return spread(d, key, "peakCluster").groupBy(key, "peakCluster").applyInPandas(fit, f"`{key}` {key_type}, peakCluster int, {schema}")
+#: cells times columns of the designs that are fitted at a time
+DESIGN_CELLS = 4_000_000
+ONE_TREATMENT = "one treatment only"
+
+
+def _per_peak(cells: DataFrame, key: str, columns: list[str], fit) -> DataFrame:
+    """Rows of ``TEST_SCHEMA`` of every peak. A peak's cells are one record; ``fit(start, treatment, columns)`` takes the cells of many peaks, in a row, by their starts."""
+    made = spread(cells, key, "peakCluster").groupBy(key, "peakCluster").agg(F.collect_list(F.struct("treatment", *columns)).alias("_l"))
+
+    def run(treatment: pa.Array, *lists: pa.Array) -> pa.Array:
+        start = np.concatenate([[0], np.cumsum(treatment.value_lengths().to_numpy(zero_copy_only=False).astype(int))])
+        flat = [x.flatten() for x in lists]
+        names = treatment.flatten()
+        out = [fit(start[lo : hi + 1] - start[lo], names.slice(start[lo], start[hi] - start[lo]), [x.slice(start[lo], start[hi] - start[lo]) for x in flat]) for lo, hi in _runs_of(start)]
+        peak = np.concatenate([o["peak"] + lo for o, (lo, _) in zip(out, _runs_of(start), strict=True)]) if out else np.zeros(0, int)
+        order = np.argsort(peak, kind="stable")
+        joined = {c: [v for o in out for v in o[c]] for c in ("term", "deltaInt", "SE", "t", "p", "error")}
+        fields = []
+        for c, kind in (("term", pa.string()), ("deltaInt", pa.float64()), ("SE", pa.float64()), ("t", pa.float64()), ("p", pa.float64()), ("error", pa.string())):
+            v = [joined[c][i] for i in order.tolist()]
+            fields.append(pa.array(v, pa.string()) if kind == pa.string() else pa.array(np.array(v, float), mask=np.isnan(np.array(v, float))))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(peak, minlength=len(treatment)))])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["term", "deltaInt", "SE", "t", "p", "error"]))
+
+    rows = F.arrow_udf(run, f"array<struct<{TEST_SCHEMA}>>")("_l.treatment", *[f"_l.{c}" for c in columns])
+    return made.select(key, "peakCluster", F.explode(rows).alias("_r")).select(key, "peakCluster", "_r.*")
+
+
+def _runs_of(start: np.ndarray, peaks: int = 2_000) -> list[tuple[int, int]]:
+    return [(lo, min(lo + peaks, len(start) - 1)) for lo in range(0, len(start) - 1, peaks)]
+
+
+def _levels(start: np.ndarray, names: pa.Array) -> tuple[np.ndarray, list[list[str]]]:
+    """Number of every cell's level among the sorted levels of its peak (-1: null), and the levels."""
+    coded = names.dictionary_encode()
+    order = np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable")
+    rank = np.empty(len(order) + 1, int)
+    rank[order], rank[-1] = np.arange(len(order)), -1
+    code = rank[coded.indices.fill_null(len(order)).to_numpy(zero_copy_only=False).astype(int)]
+    labels = [coded.dictionary[int(i)].as_py() for i in order]
+    peak = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    known = code >= 0
+    seen, at = np.unique(peak[known] * (len(order) + 1) + code[known], return_inverse=True)
+    owner = seen // (len(order) + 1)
+    inside = np.arange(len(seen)) - np.searchsorted(owner, owner, "left")
+    local = np.full(len(code), -1)
+    local[known] = inside[at]
+    named = [[] for _ in range(len(start) - 1)]
+    for p, c in zip(owner.tolist(), (seen % (len(order) + 1)).tolist(), strict=True):
+        named[p].append(labels[c])
+    return local, named
+
+
+class PeakFits:
+    """Weighted least squares of cell means of many peaks at once, columns taken in order.
+
+    ``CellFit`` for a stack of padded designs (peaks x cells x columns, weight 0
+    where padded): a column explained by earlier ones is left out.
+    """
+
+    def __init__(self, x: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray):
+        w = n
+        y = np.divide(s, n, out=np.zeros_like(s), where=n > 0)
+        within = (q - w * y * y).sum(axis=1)
+        root = np.sqrt(w)
+        target = y * root
+        columns = x.shape[2]
+        basis = np.zeros((len(x), columns, x.shape[1]))
+        self.kept, self.r = np.zeros((len(x), columns), bool), np.zeros((len(x), columns, columns))
+        self.rss, self.rank = np.zeros((len(x), columns)), np.zeros((len(x), columns))
+        self.effect = np.zeros((len(x), columns))
+        rest_y = target.copy()
+        for j in range(columns):
+            col = x[:, :, j] * root
+            rest = col
+            for _ in range(2):
+                part = np.einsum("gkc,gc->gk", basis[:, :j], rest)
+                rest = rest - np.einsum("gkc,gk->gc", basis[:, :j], part)
+                self.r[:, :j, j] += part
+            size, whole = np.linalg.norm(rest, axis=1), np.linalg.norm(col, axis=1)
+            keep = size > 1e-7 * np.maximum(whole, 1e-300)
+            unit = np.where(keep[:, None], rest / np.where(keep, size, 1.0)[:, None], 0.0)
+            basis[:, j], self.kept[:, j] = unit, keep
+            self.r[:, j, j] = np.where(keep, size, 1.0)
+            self.r[~keep, :j, j] = 0.0
+            self.effect[:, j] = (unit * target).sum(axis=1)
+            rest_y = rest_y - unit * (unit * rest_y).sum(axis=1)[:, None]
+            self.rss[:, j] = within + (rest_y * rest_y).sum(axis=1)
+            self.rank[:, j] = self.kept[:, : j + 1].sum(axis=1)
+        self.cells = w.sum(axis=1)
+
+    def coefficients(self, columns: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Estimates and standard errors of some columns, and the degrees of freedom."""
+        inverse = np.linalg.inv(self.r)
+        df = self.cells - self.rank[:, -1]
+        sigma2 = np.where(df > 0, self.rss[:, -1] / np.where(df > 0, df, 1.0), np.nan)
+        beta = np.einsum("gij,gj->gi", inverse[:, columns], self.effect)
+        spread = np.einsum("gij,gij,gj->gi", inverse[:, columns], inverse[:, columns], self.kept.astype(float))
+        return beta, np.sqrt(np.maximum(spread * sigma2[:, None], 0)), df
+
+
+def _numbers(x: pa.Array) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _stacks(start: np.ndarray, columns: np.ndarray):
+    """Peaks with equally many design columns, at most about ``DESIGN_CELLS`` padded values at a time, with the places of their cells."""
+    size = np.diff(start)
+    for width in np.unique(columns).tolist():
+        some = np.flatnonzero(columns == width)
+        some = some[np.argsort(size[some], kind="stable")]
+        step = max(1, DESIGN_CELLS // max(1, int(size[some].max()) * max(1, width)))
+        for lo in range(0, len(some), step):
+            peaks = some[lo : lo + step]
+            real = np.arange(size[peaks].max())[None, :] < size[peaks][:, None]
+            yield peaks, real, np.where(real, start[peaks][:, None] + np.arange(real.shape[1])[None, :], 0)
+
+
+class _Rows:
+    """Rows of ``TEST_SCHEMA`` as columns, with the number of their peak."""
+
+    def __init__(self):
+        self.columns = {c: [] for c in ("peak", "term", "deltaInt", "SE", "t", "p", "error")}
+
+    def add(self, peak, term=None, deltaInt=math.nan, SE=math.nan, t=math.nan, p=math.nan, error=None) -> None:
+        for c, v in zip(self.columns, (peak, term, deltaInt, SE, t, p, error), strict=True):
+            self.columns[c].append(v)
+
+    def done(self) -> dict:
+        return {**self.columns, "peak": np.array(self.columns["peak"], int)}
+
+
+def _fit_anova(start: np.ndarray, names: pa.Array, columns: list[pa.Array]) -> dict:
+    code, named = _levels(start, names)
+    x, center, n, s, q = (_numbers(c) for c in columns)
+    z = x - center
+    levels = np.array([len(v) for v in named], int)
+    rows = _Rows()
+    for p in np.flatnonzero(levels < 2).tolist():
+        rows.add(p, error=ONE_TREATMENT)
+    for peaks, real, at in _stacks(start, np.where(levels < 2, 0, levels)):
+        t = int(levels[peaks[0]])
+        if t < 2:
+            continue
+        powers = np.stack([z[at] ** k / 5.0 ** (k - 1) for k in range(1, 5)], axis=2)
+        group = (code[at][:, :, None] == np.arange(1, t)[None, None, :]).astype(float)
+        both = (powers[:, :, :, None] * group[:, :, None, :]).reshape(*at.shape, -1)
+        design = np.concatenate([np.ones((*at.shape, 1)), powers, group, both], axis=2) * real[:, :, None]
+        fit = PeakFits(design, *(np.where(real, v[at], 0.0) for v in (n, s, q)))
+        ends = [4, 3 + t, design.shape[2] - 1]
+        left = fit.cells - fit.rank[:, -1]
+        with np.errstate(all="ignore"):
+            sigma2 = fit.rss[:, -1] / left
+            found = []
+            for term, small, large in (("treatment", *ends[:2]), ("interaction", *ends[1:])):
+                k = fit.rank[:, large] - fit.rank[:, small]
+                f = np.where((k > 0) & (sigma2 > 0), (fit.rss[:, small] - fit.rss[:, large]) / k / sigma2, np.nan)
+                found.append((term, f, dist.f_upper(f, k, left)))
+        for i, p in enumerate(peaks.tolist()):
+            if left[i] <= 0:
+                rows.add(p, error="too few values")
+            else:
+                for term, f, tail in found:
+                    rows.add(p, term, t=f[i], p=tail[i])
+    return rows.done()
+
+
+def _fit_matched(start: np.ndarray, names: pa.Array, columns: list[pa.Array]) -> dict:
+    code, named = _levels(start, names)
+    place, places = _levels(start, columns[0])
+    n, s, q = (_numbers(c) for c in columns[1:])
+    levels, fractions = np.array([len(v) for v in named], int), np.array([len(v) for v in places], int)
+    rows = _Rows()
+    for p in np.flatnonzero(levels < 2).tolist():
+        rows.add(p, error=ONE_TREATMENT)
+    for peaks, real, at in _stacks(start, np.where(levels < 2, 0, levels * 100_000 + fractions)):
+        t, f = int(levels[peaks[0]]), int(fractions[peaks[0]])
+        if t < 2:
+            continue
+        fraction = (place[at][:, :, None] == np.arange(1, f)[None, None, :]).astype(float)
+        group = (code[at][:, :, None] == np.arange(1, t)[None, None, :]).astype(float)
+        fit = PeakFits(np.concatenate([np.ones((*at.shape, 1)), fraction, group], axis=2) * real[:, :, None], *(np.where(real, v[at], 0.0) for v in (n, s, q)))
+        beta, error, df = fit.coefficients(slice(f, None))
+        with np.errstate(all="ignore"):
+            stat = beta / error
+            free = np.where(df > 0, df, np.nan)
+            tail = 2 * dist.t_upper(np.abs(stat).ravel(), np.broadcast_to(free[:, None], stat.shape).ravel()).reshape(stat.shape)
+        tail[df <= 0] = np.nan
+        for i, p in enumerate(peaks.tolist()):
+            for j, name in enumerate(named[p][1:]):
+                if fit.kept[i, f + j]:
+                    rows.add(p, name, beta[i, j], error[i, j], stat[i, j], tail[i, j])
+    return rows.done()
 
 
 def peak_anova(df: DataFrame, clusters: DataFrame, key: str = "protein", at: str = "standardFraction", value: str = "intensity_totalScaled", radius: float = 5.0) -> DataFrame:
@@ -559,29 +750,7 @@ def peak_anova(df: DataFrame, clusters: DataFrame, key: str = "protein", at: str
     d = d.select(key, "peakCluster", "center", F.col(at).cast("double").alias("x"), "treatment", F.log2(value).alias("y"))
     cells = d.groupBy(key, "peakCluster", "center", "x", "treatment").agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_s"), F.sum(F.col("y") * F.col("y")).alias("_q"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {key: pdf[key].iloc[0], "peakCluster": pdf["peakCluster"].iloc[0]}
-        try:
-            c = pdf.copy()
-            z = c["x"].to_numpy(float) - c["center"].to_numpy(float)
-            for k in range(1, 5):
-                c[f"x{k}"] = z**k / 5.0 ** (k - 1)
-            base = ["x1", "x2", "x3", "x4"]
-            if c["treatment"].nunique() < 2:
-                raise ValueError("one treatment only")
-            one, two, three = CellFit(c, base), CellFit(c, [*base, "treatment"]), CellFit(c, [*base, "treatment", *[f"{b}:treatment" for b in base]])
-            if three.df <= 0:
-                raise ValueError("too few values")
-            out = []
-            for term, small, large in (("treatment", one, two), ("interaction", two, three)):
-                k = small.df - large.df
-                f = (small.rss - large.rss) / k / three.sigma2 if k > 0 and three.sigma2 > 0 else np.nan
-                out.append({**head, "term": term, "deltaInt": np.nan, "SE": np.nan, "t": f, "p": float(dist.f_upper(np.array([f]), np.array([k]), np.array([three.df]))[0]), "error": None})
-            return pd.DataFrame(out)
-        except Exception as e:  # noqa: BLE001
-            return pd.DataFrame([{**head, "term": None, "deltaInt": None, "SE": None, "t": None, "p": None, "error": str(e)}])
-
-    return _per_peak(cells, key, fit, TEST_SCHEMA)
+    return _per_peak(cells, key, ["x", "center", "_n", "_s", "_q"], _fit_anova)
 
 
 def peak_t_fraction_matched(df: DataFrame, clusters: DataFrame, key: str = "protein", at: str = "standardFraction", value: str = "intensity_totalScaled", radius: float = 3.5) -> DataFrame:
@@ -590,18 +759,7 @@ def peak_t_fraction_matched(df: DataFrame, clusters: DataFrame, key: str = "prot
     v = F.col(value)
     cells = d.groupBy(key, "peakCluster", F.col(at).cast("string").alias("frac"), "treatment").agg(F.count(v).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {key: pdf[key].iloc[0], "peakCluster": pdf["peakCluster"].iloc[0]}
-        try:
-            if pdf["treatment"].nunique() < 2:
-                raise ValueError("one treatment only")
-            c = CellFit(pdf, ["frac", "treatment"]).coefficients()
-            c = c[c["term"].str.startswith("treatment")]
-            return pd.DataFrame({"term": c["term"].str[len("treatment") :], "deltaInt": c["estimate"], "SE": c["SE"], "t": c["stat"], "p": c["p"], "error": None}).assign(**head)[[key, "peakCluster", "term", "deltaInt", "SE", "t", "p", "error"]]
-        except Exception as e:  # noqa: BLE001
-            return pd.DataFrame([{**head, "term": None, "deltaInt": None, "SE": None, "t": None, "p": None, "error": str(e)}])
-
-    return _per_peak(cells, key, fit, TEST_SCHEMA)
+    return _per_peak(cells, key, ["frac", "_n", "_s", "_q"], _fit_matched)
 
 
 def peak_areas(df: DataFrame, clusters: DataFrame, key: str = "protein", at: str = "standardFraction", value: str = "intensity_totalScaled", radius: float = 3.5) -> DataFrame:

@@ -1,10 +1,12 @@
 """Steps over many groups at once against plain versions of one group; whole work at size."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spectraloom.operators import apms, relational
+from spectraloom.operators import apms, elution, relational
+from spectraloom.operators.models import CellFit
 
 # --- bait-prey ------------------------------------------------------------------
 
@@ -73,3 +75,70 @@ def test_grid_by_records_equals_grid_by_salt(spark, monkeypatch, few):
     d = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), (None, "z", 3.0), ("b", None, 4.0)], "k string, c string, v double")
     got = {tuple(r) for r in relational.complete_grid(d, ["k"], "c", "v", 0.0).collect()}
     assert got == {("a", "x", 1.0), ("a", "y", 0.0), ("a", "z", 0.0), (None, "x", 0.0), (None, "y", 0.0), (None, "z", 3.0)}
+
+
+# --- elution --------------------------------------------------------------------
+
+
+def peak_tables(spark):
+    rng = np.random.default_rng(9)
+    data = []
+    for p in range(25):
+        treatments = ["A", "N", "R"][: int(rng.integers(1, 4))]
+        for i, t in enumerate(treatments):
+            for sample in range(int(rng.integers(1, 3))):
+                for f in range(1, 14):
+                    if rng.random() < (0.9 if p % 3 else 0.25):
+                        data.append((f"p{p}", f"{t}{sample}", t, float(f), float(rng.lognormal(i * 0.3, 0.4))))
+    d = spark.createDataFrame(data, "protein string, sample string, treatment string, standardFraction double, intensity_totalScaled double")
+    c = spark.createDataFrame([(f"p{p}", k, c) for p in range(25) for k, c in ((1, 5.25), (2, 10.0))], "protein string, peakCluster int, center double")
+    return d, c
+
+
+def near_cells(d, c, radius, log, at):
+    peaks = c.collect()
+    rows = [(p, k, x - m if log else str(x), t, np.log2(y) if log else y) for p, _, t, x, y in d.collect() for q, k, m in peaks if p == q and abs(x - m) <= radius]
+    f = pd.DataFrame(rows, columns=["protein", "peakCluster", at, "treatment", "y"])
+    return f.assign(q=f["y"] ** 2).groupby(["protein", "peakCluster", at, "treatment"], as_index=False).agg(_n=("y", "size"), _s=("y", "sum"), _q=("q", "sum"))
+
+
+def test_anova_of_many_peaks_equals_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(elution, "DESIGN_CELLS", 1_000)
+    d, c = peak_tables(spark)
+    got = {(r["protein"], r["peakCluster"], r["term"]): r for r in elution.peak_anova(d, c).collect()}
+    for (p, k), cells in near_cells(d, c, 5.0, True, "x").groupby(["protein", "peakCluster"]):
+        if cells["treatment"].nunique() < 2:
+            assert got[p, k, None]["error"] == elution.ONE_TREATMENT
+            continue
+        cells = cells.reset_index(drop=True)
+        for i in range(1, 5):
+            cells[f"x{i}"] = cells["x"] ** i / 5.0 ** (i - 1)
+        base = ["x1", "x2", "x3", "x4"]
+        fits = [CellFit(cells, t) for t in (base, [*base, "treatment"], [*base, "treatment", *[f"{b}:treatment" for b in base]])]
+        if fits[2].df <= 0:
+            assert got[p, k, None]["error"] == "too few values"
+            continue
+        for term, a, b in (("treatment", *fits[:2]), ("interaction", *fits[1:])):
+            f = (a.rss - b.rss) / (a.df - b.df) / fits[2].sigma2 if a.df > b.df and fits[2].sigma2 > 0 else None
+            assert got[p, k, term]["t"] == (f if f is None else pytest.approx(f, rel=1e-6, abs=1e-8))
+            assert f is None or 0 <= got[p, k, term]["p"] <= 1
+
+
+def test_matched_fractions_of_many_peaks_equal_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(elution, "DESIGN_CELLS", 1_000)
+    d, c = peak_tables(spark)
+    got = {(r["protein"], r["peakCluster"], r["term"]): r for r in elution.peak_t_fraction_matched(d, c).collect()}
+    seen = 0
+    for (p, k), cells in near_cells(d, c, 3.5, False, "frac").groupby(["protein", "peakCluster"]):
+        if cells["treatment"].nunique() < 2:
+            assert got[p, k, None]["error"] == elution.ONE_TREATMENT
+            seen += 1
+            continue
+        want = CellFit(cells.reset_index(drop=True), ["frac", "treatment"]).coefficients()
+        for w in want[want["term"].str.startswith("treatment")].itertuples():
+            r = got[p, k, w.term[len("treatment") :]]
+            seen += 1
+            assert r["deltaInt"] == pytest.approx(w.estimate, rel=1e-7, abs=1e-10)
+            for a, b in ((r["SE"], w.SE), (r["t"], w.stat), (r["p"], w.p)):
+                assert np.isnan(b) if a is None else a == pytest.approx(b, rel=1e-5, abs=1e-9)
+    assert seen == len(got)
