@@ -15,7 +15,7 @@ from spectraloom.functions.columns import pack_sorted_distinct, ratio
 from spectraloom.functions.ordered import add_order, ecdf, exact_quantile, running_totals
 from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.graph import hop_distances, one_edge_per_node, spanning_forest
-from spectraloom.operators.relational import complete_grid, dense_index, level_pairs, meeting, permuted_index, shared_counts
+from spectraloom.operators.relational import complete_grid, dense_index, level_pairs, meeting, permuted_index, permuted_places, shared_counts
 from spectraloom.operators.significance import welch_from_moments
 
 
@@ -299,20 +299,36 @@ def specificity_permutation(counts: DataFrame, n_perm: int = 1000, seed: int = 1
         raise ValueError("baits differ in their number of runs")
     place = cut(dense_index(runs, "run", "idx"))
     size = place.count()
-    d = counts.join(place.select("run", "idx"), "run").where(F.col("spc") != 0)
-    d = d.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-    moved = d.select("prey", "perm", "spc", permuted_index(F.col("idx"), F.xxhash64("prey", "perm", F.lit(seed)), F.lit(size).cast("bigint")).alias("idx"))
-    sums = moved.join(place.select("idx", "bait"), "idx").groupBy("prey", "perm", "bait").agg(F.sum("spc").alias("_b"))
-    total = counts.groupBy("prey").agg(F.sum("spc").alias("_t"))
-    null = sums.join(total, "prey").select("prey", (-ratio(F.col("_b"), F.col("_t"))).alias("neg"))
-    n_bait = place.select("bait").distinct().count()
-    actual = cut(specificity(counts).where(F.col("specificity").isNotNull()).withColumn("neg", -F.col("specificity")))
-    seen = null.groupBy("prey").agg(F.count(F.lit(1)).alias("_n"))
-    d = ecdf(null, actual, ["prey"], "neg", "_share").join(seen, "prey", "left")
-    # baits that drew only zeros have no row above; they count as not reaching a positive value
-    hits = F.round(F.coalesce("_share", F.lit(0.0)) * F.coalesce("_n", F.lit(0)))
-    hits = F.when(F.col("specificity") <= 0, n_perm * n_bait).otherwise(hits)
-    return d.select("prey", "bait", "specificity", (hits / (n_perm * n_bait)).alias("pvalue"))
+    order = [r["bait"] for r in place.orderBy("idx").select("bait").collect()]
+    number = {b: i for i, b in enumerate(dict.fromkeys(order))}
+    bait_of, n_bait = np.array([number[b] for b in order], np.int64), len(number.keys() - {None})
+
+    def hits(spots: pa.Array, values: pa.Array, seeds: pa.Array, totals: pa.Array, shares: pa.Array) -> pa.Array:
+        at, start, limit = spots.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), _starts(spots), _starts(shares)
+        flat, total = values.flatten().to_numpy(zero_copy_only=False).astype(float), totals.to_numpy(zero_copy_only=False).astype(float)
+        keys, real = seeds.flatten().to_numpy(zero_copy_only=False).reshape(len(spots), -1), shares.flatten().to_numpy(zero_copy_only=False)
+        out = np.zeros(len(real), np.int64)
+        for i in range(len(spots)):
+            own, share = at[start[i] : start[i + 1]], real[limit[i] : limit[i + 1]]
+            seed = np.repeat(keys[i], len(own))
+            moved = bait_of[permuted_places(np.tile(own, n_perm), seed, np.uint64(size))]
+            drawn = np.bincount(np.repeat(np.arange(n_perm), len(own)) * len(number) + moved, np.tile(flat[start[i] : start[i + 1]], n_perm), n_perm * len(number))
+            null = np.sort(drawn / total[i])
+            out[limit[i] : limit[i + 1]] = len(null) - np.searchsorted(null, share, "left")
+        return pa.ListArray.from_arrays(pa.array(limit, pa.int32()), pa.array(out))
+
+    d = counts.join(place.select("run", "idx"), "run").where((F.col("spc") != 0) & F.col("prey").isNotNull())
+    cells = d.groupBy("prey").agg(F.collect_list(F.struct("idx", F.col("spc").cast("double").alias("spc"))).alias("_l"))
+    total = counts.groupBy("prey").agg(F.sum("spc").cast("double").alias("_t"))
+    actual = specificity(counts).where(F.col("specificity").isNotNull()).groupBy("prey").agg(F.collect_list(F.struct("bait", "specificity")).alias("_s"))
+    none = F.lit([]).cast("array<struct<idx: bigint, spc: double>>")
+    preys = actual.join(total, "prey").join(cells, "prey", "left").withColumn("_l", F.coalesce("_l", none))
+    # a prey is one record: its permutations are drawn and counted where it lies
+    seeds = F.transform(F.sequence(F.lit(1), F.lit(n_perm)), lambda p: F.xxhash64("prey", p, F.lit(seed)))
+    n = F.arrow_udf(hits, "array<bigint>")("_l.idx", "_l.spc", seeds, "_t", "_s.specificity")
+    rows = spread(preys, "prey").select("prey", F.explode(F.arrays_zip(F.col("_s").alias("s"), n.alias("n"))).alias("_x"))
+    reached = F.when(F.col("_x.s.specificity") <= 0, n_perm * n_bait).otherwise(F.col("_x.n"))
+    return rows.select("prey", F.col("_x.s.bait").alias("bait"), F.col("_x.s.specificity").alias("specificity"), (reached / (n_perm * n_bait)).alias("pvalue"))
 
 
 # --- spectral count model -------------------------------------------------------

@@ -142,3 +142,31 @@ def test_matched_fractions_of_many_peaks_equal_one_by_one(spark, monkeypatch):
             for a, b in ((r["SE"], w.SE), (r["t"], w.stat), (r["p"], w.p)):
                 assert np.isnan(b) if a is None else a == pytest.approx(b, rel=1e-5, abs=1e-9)
     assert seen == len(got)
+
+
+def test_specificity_permutations_equal_drawn_rows(spark):
+    data = [(p, f"r{i}", f"b{i // 2}", v) for p, spc in (("p", [5, 1, 0, 2, 0, 0, 3, 1]), ("q", [0, 0, 0, 0, 0, 7, 0, 0]), ("zero", [0] * 8)) for i, v in enumerate(spc)]
+    d = spark.createDataFrame(data, "prey string, run string, bait string, spc long")
+    got = {(r["prey"], r["bait"]): r for r in apms.specificity_permutation(d, n_perm=50).collect()}
+    place = {r["run"]: r["idx"] for r in relational.dense_index(d.select("run", "bait").distinct(), "run", "idx").collect()}
+    bait = {place[f"r{i}"]: f"b{i // 2}" for i in range(8)}
+    assert len(got) == 8
+    for prey in "pq":
+        rows = spark.range(1, 51).select(F.col("id").cast("int").alias("perm"), F.lit(prey).alias("prey"), F.explode(F.array(*[F.lit(place[r]) for p, r, _, v in data if p == prey and v]).cast("array<bigint>")).alias("idx"))
+        rows = rows.select("perm", "idx", relational.permuted_index(F.col("idx"), F.xxhash64("prey", "perm", F.lit(1)), F.lit(8).cast("long")).alias("to")).collect()
+        spc = {place[r]: v for p, r, _, v in data if p == prey}
+        drawn = {}
+        for r in rows:
+            drawn[r["perm"], bait[r["to"]]] = drawn.get((r["perm"], bait[r["to"]]), 0) + spc[r["idx"]]
+        for b in ("b0", "b1", "b2", "b3"):
+            own = sum(v for p, _, x, v in data if p == prey and x == b)
+            want = 1.0 if own == 0 else sum(v >= own for v in drawn.values()) / 200
+            assert got[prey, b]["pvalue"] == pytest.approx(want)
+
+
+def test_near_pairs_are_not_broadcast(spark):
+    d = spark.range(50).select(F.col("id").alias("a"), (F.col("id") % 7).cast("double").alias("x"))
+    e = d.withColumnRenamed("a", "b")
+    near = relational.distance_join(d, e, ["x"], 2.0)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == sum(abs(i % 7 - j % 7) <= 2 for i in range(50) for j in range(50))
