@@ -8,7 +8,7 @@ against failed, on format and context; their scores are calibrated into one
 threshold per kind on held-out candidates, and looser candidates at or above it
 that touch no base span are added. Base spans always stay.
 
-The trees are fitted on at most ``MAX_FIT`` labelled candidates, chosen by hash;
+The trees are fitted on all labelled candidates but a third;
 everything else covers every candidate of every whole text. With fewer than
 ``LEAST`` candidates of either label nothing is added.
 
@@ -42,7 +42,7 @@ LOOSE = {
     "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
     "card": r"(?<![0-9.+-])[0-9]{3,6}(?:[ -][0-9]{3,6}){2,4}(?![0-9.-])",
 }
-MAX_FIT, LEAST, PRECISION = 20_000, 50, 0.95
+LEAST, PRECISION = 50, 0.95
 WORDS = r"(?i)(tel|phone|call|fax|mail|card|visa|host|addr|ip|contact)[^a-z]*$"
 
 
@@ -121,15 +121,14 @@ def _features(c: DataFrame) -> tuple[DataFrame, list[str]]:
 
 def added_spans(c: DataFrame) -> DataFrame | None:
     """Looser candidates that the calibrated trees accept and that touch no base span: row, kind, start, end."""
-    order = F.xxhash64("row", "kind", "start", F.lit(7))
-    labelled = staged(c.where("base").orderBy(order).limit(MAX_FIT), "fit")
+    labelled = staged(c.where("base"), "fit")
     good, bad = labelled.agg(F.count_if("passed"), F.count_if(~F.col("passed"))).first()
     if min(good, bad) < LEAST:
         return None
     with_features, names = _features(labelled)
     assemble = VectorAssembler(inputCols=names, outputCol="features")
     held = F.pmod(F.xxhash64("row", "start"), F.lit(3)) == 0
-    data = assemble.transform(with_features.withColumn("label", F.col("passed").cast("double"))).select("row", "kind", "start", "label", "features").coalesce(2)
+    data = assemble.transform(with_features.withColumn("label", F.col("passed").cast("double"))).select("row", "kind", "start", "label", "features")
     model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=1, subsamplingRate=1.0).fit(data.where(~held))
 
     def scored(d: DataFrame) -> DataFrame:

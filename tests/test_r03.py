@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from spectraloom.llm import pii
 from spectraloom.operators import apms, elution, relational
 from spectraloom.operators.models import CellFit
 
@@ -170,3 +171,20 @@ def test_near_pairs_are_not_broadcast(spark):
     near = relational.distance_join(d, e, ["x"], 2.0)
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
     assert near.count() == sum(abs(i % 7 - j % 7) <= 2 for i in range(50) for j in range(50))
+
+
+# --- training data --------------------------------------------------------------
+
+
+def test_personal_data_learns_from_every_labelled_candidate(spark, monkeypatch):
+    class Called(Exception):
+        pass
+
+    def staged(df, name):
+        raise Called(name, df.count())
+
+    monkeypatch.setattr(pii, "staged", staged)
+    c = spark.range(20_500).select(F.col("id").alias("row"), F.lit("email").alias("kind"), F.lit(0).alias("start"), (F.col("id") % 500 > 0).alias("base"), (F.col("id") % 2 == 0).alias("passed"))
+    with pytest.raises(Called) as call:
+        pii.added_spans(c)
+    assert call.value.args == ("fit", 20_459)
