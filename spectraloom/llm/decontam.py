@@ -2,14 +2,13 @@
 
 Words of the benchmark items are the terms; their document frequencies are
 counted over the whole corpus. A randomised SVD of TF-IDF passages (subspace
-iteration whose products are summed over distributed passages: a bounded sample
-of the corpus, with the items themselves at equal total weight) gives a latent
-space. Windows of at most ``SPREAD`` times an item's length slide over every
+iteration whose products are summed over all passages of all documents, with the
+items themselves at equal total weight) gives a latent space. Windows of at most ``SPREAD`` times an item's length slide over every
 whole document, with as many widths as the item lengths need; prefix sums of
 term vectors make each window's latent vector one difference. Windows whose
 cosine with an item reaches the item's limit are candidates: ``COSINE``, or less
-where the item itself, shifted, edited and set among words of the sample, does
-not reach it. So are places that share a run of ``RUN`` words with an item,
+where the item itself, shifted, edited and set among words that spread like the
+corpus, does not reach it. So are places that share a run of ``RUN`` words with an item,
 whatever their cosine. A candidate counts if the longest common subsequence
 covers ``LCS_SHARE`` of the item's words, and at least half of the answer's
 words occur: the item's ``answer`` where the benchmark has that column, else its
@@ -18,7 +17,8 @@ rarest words.
 Items go to the tasks in blocks of ``BLOCK``, so a large benchmark takes more
 passes, not more memory. Inside a block every ``SHARED`` items of about one
 length have a space of their own, so that the rank suffices for any number of
-items. The sample has about ``SAMPLE`` passages; only the spaces are fitted on it.
+items. A block codes the texts once, as numbers of its items' words; every turn
+of its spaces reads these numbers.
 
 Null text is empty text and matches nothing; items without words match nothing;
 items with a null id are kept under the null id. Words are lower-cased (A-Z) and
@@ -33,16 +33,20 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from spectraloom.llm.common import Words, chunks, factorize, segments, staged, words
 
 RANK, OVERSAMPLE, TURNS = 64, 16, 2
-SAMPLE, PASSAGE, BLOCK, SHARED = 4_000, 64, 4_000, 200
-#: words of a shared run; trials, passages around them and shares of kept words for an item's limit
-RUN, TRIALS, AROUND, KEPT = 8, 48, 256, (1.0, 0.8)
+PASSAGE, BLOCK, SHARED = 64, 4_000, 200
+#: passages multiplied at once, terms whose sums are added up together
+ROWS, STRIPE = 128, 256
+#: words of a shared run; trials and shares of kept words for an item's limit
+RUN, TRIALS, KEPT = 8, 48, (1.0, 0.8)
 STRIDES, SPREAD, COSINE, LCS_SHARE = 4, 1.25, 0.7, 0.6
 ANSWER_WORDS = 6
 #: least idf, as a share of that of a word in no document
@@ -109,22 +113,50 @@ def _runs(lists: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np
     return out
 
 
-def _document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
-    """Documents, and documents per term, over the whole corpus."""
+def _coded(docs: DataFrame, terms: np.ndarray) -> DataFrame:
+    """Every document as its number of words, the known words of each of its passages, and these words as numbers of ``terms``.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(terms), np.int64), 0
+    A text is cut into passages of ``PASSAGE`` words, the last one shorter; all are kept.
+    """
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             w = words(part.column("text"), lower=True)
             at, known = _find(terms, w.hash)
-            pair = np.unique(w.doc[known] * len(terms) + at[known])
-            total += np.bincount(pair % len(terms), minlength=len(total))
+            size = np.diff(w.bounds)
+            pieces = -(-size // PASSAGE)
+            last = np.concatenate([[0], np.cumsum(pieces)])
+            piece = last[w.doc] + (np.arange(len(w.hash)) - w.bounds[w.doc]) // PASSAGE
+            held = np.concatenate([[0], np.cumsum(np.bincount(w.doc[known], minlength=w.docs))])
+            columns = [
+                pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(last, pa.int32()), pa.array(np.bincount(piece[known], minlength=last[-1]), pa.int32())),
+                pa.ListArray.from_arrays(pa.array(held, pa.int32()), pa.array(at[known], pa.int32())),
+            ]
+            yield pa.record_batch(columns, names=["words", "pieces", "terms"])
+
+    return staged(docs.select("text").mapInArrow(code, "words long, pieces array<int>, terms array<int>"), "passages")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and values of a list column."""
+    return column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _document_frequencies(coded: DataFrame, size: int) -> tuple[int, np.ndarray]:
+    """Documents, and documents per term, over the whole corpus."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros(size, np.int64), 0
+        for part in batches:
+            held, term = _flat(part.column("terms"))
+            _, pair = factorize(np.repeat(np.arange(part.num_rows), held) * size + term)
+            total += np.bincount(pair % size, minlength=size)
             rows += part.num_rows
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(total[some], rows), pa.int64())], names=["term", "n"])
 
-    df, n = np.zeros(len(terms)), 0
-    for r in docs.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    df, n = np.zeros(size), 0
+    for r in coded.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r["term"] < 0:
             n = r["n"]
         else:
@@ -132,84 +164,125 @@ def _document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.n
     return n, df
 
 
-def _weighted(w: Words, space: Space) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit TF-IDF rows as (row, term, value)."""
-    at, known = space.find(w.hash)
-    codes, pair = factorize(w.doc[known] * len(space.terms) + at[known])
-    row, term = pair // len(space.terms), pair % len(space.terms)
-    value = np.bincount(codes, minlength=len(pair)) * space.idf[term]
-    norm = np.sqrt(np.bincount(row, value**2, w.docs))
-    return row, term, value / np.maximum(norm[row], 1e-12)
+def _counted(row: np.ndarray, term: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, term) with their counts; rows stay in order."""
+    codes, pair = factorize(row * size + term)
+    return pair // size, pair % size, np.bincount(codes, minlength=len(pair))
+
+
+def _weighted(row: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of unit TF-IDF rows, and the rows' lengths before."""
+    value = count * idf[term]
+    norm = np.sqrt(np.bincount(row, value**2, rows))
+    return value / np.maximum(norm[row], 1e-12), norm
+
+
+def _blocks(row: np.ndarray, term: np.ndarray, value: np.ndarray, rows: int, basis: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """First row, terms, dense matrix and its product with ``basis`` of every ``ROWS`` sparse rows; ``row`` ascends."""
+    single = basis.astype(np.float32)
+    edges = np.searchsorted(row, np.append(np.arange(0, rows, ROWS), rows))
+    for k, (start, stop) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        used, at = np.unique(term[start:stop], return_inverse=True)
+        x = np.zeros((min(ROWS, rows - k * ROWS), len(used)), np.float32)
+        x[row[start:stop] - k * ROWS, at] = value[start:stop]
+        yield k * ROWS, used, x, x @ single[used]
 
 
 def _gram(row: np.ndarray, term: np.ndarray, value: np.ndarray, rows: int, basis: np.ndarray) -> np.ndarray:
     """Transposed sparse matrix times (sparse matrix times ``basis``)."""
     out = np.zeros_like(basis)
-    if len(row):
-        order = np.argsort(row, kind="stable")
-        row, term, value = row[order], term[order], value[order]
-        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        product = np.add.reduceat(value[:, None] * basis[term], begin, axis=0)
-        size = np.diff(np.append(begin, len(row)))
-        np.add.at(out, term, value[:, None] * np.repeat(product, size, axis=0))
+    for _, used, x, product in _blocks(row, term, value, rows, basis):
+        out[used] += x.T @ product
     return out
 
 
+def _corpus_sums(coded: DataFrame, spaces: list[Space], owns: list[np.ndarray], bases: list[np.ndarray], moments: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Per space, over all passages: the product of their TF-IDF rows' Gram matrix and the basis, and with ``moments`` those of their word vectors.
+
+    A task adds up its passages; the sums of all tasks are added up in stripes of
+    ``STRIPE`` terms. The moments are of p, a passage's sum of idf times basis
+    rows, and n, its words: sums of n, n², p, n p and p pᵀ.
+    """
+    idfs = [space.idf for space in spaces]
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros_like(b) for b in bases]
+        extra = [np.zeros(2 + 2 * b.shape[1] + b.shape[1] ** 2) for b in bases]
+        for part in batches:
+            pieces, known = _flat(part.column("pieces"))
+            _, term = _flat(part.column("terms"))
+            row = np.repeat(np.arange(len(known)), known)
+            size = np.full(len(known), PASSAGE)
+            some = pieces > 0
+            size[np.cumsum(pieces)[some] - 1] = (part.column("words").to_numpy()[some] - 1) % PASSAGE + 1
+            for own, idf, basis, total, sums in zip(owns, idfs, bases, totals, extra, strict=True):
+                at = own[term]
+                r, t, count = _counted(row[at >= 0], at[at >= 0], len(idf))
+                value, norm = _weighted(r, t, count, len(known), idf)
+                for first, used, x, product in _blocks(r, t, value, len(known), basis):
+                    total[used] += x.T @ product
+                    if moments:
+                        n = size[first : first + len(product)].astype(float)
+                        p = product * norm[first : first + len(product), None]
+                        sums += np.concatenate([[n.sum(), n @ n], p.sum(0), n @ p, (p.T @ p).ravel()])
+        number = TaskContext.get().partitionId()
+        for k, (total, sums) in enumerate(zip(totals, extra, strict=True)):
+            blocks = [total[i : i + STRIPE].tobytes() for i in range(0, len(total), STRIPE)] + [sums.tobytes()] * moments
+            yield pa.record_batch([pa.array([k] * len(blocks), pa.int32()), pa.array(range(len(blocks)), pa.int32()), pa.array([number] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], names=["space", "stripe", "task", "sums"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = reduce(np.add, (np.frombuffer(x) for x in pdf.sort_values("task")["sums"]))
+        return pdf.iloc[:1][["space", "stripe"]].assign(sums=total.tobytes())
+
+    parts = coded.mapInArrow(multiply, "space int, stripe int, task int, sums binary").groupBy("space", "stripe").applyInPandas(add, "space int, stripe int, sums binary").collect()
+    found = {(r["space"], r["stripe"]): np.frombuffer(r["sums"]) for r in parts}
+    products, extra = [], []
+    for k, basis in enumerate(bases):
+        stripes = -(-len(basis) // STRIPE)
+        products.append(np.concatenate([found[k, i] for i in range(stripes)]).reshape(basis.shape) if found else np.zeros_like(basis))
+        extra.append(found.get((k, stripes), np.zeros(2 + 2 * basis.shape[1] + basis.shape[1] ** 2)))
+    return products, extra
+
+
 def fit_spaces(docs: DataFrame, spaces: list[Space]) -> list[Space]:
-    """IDF over all documents, then per space the latent vectors of the terms by randomised SVD."""
+    """IDF over all documents, then per space the latent vectors of the terms by randomised SVD over all their passages."""
     terms = np.unique(np.concatenate([space.terms for space in spaces]))
-    n, df = _document_frequencies(docs, terms)
-    passages = docs.select("text").sample(False, min(1.0, SAMPLE / max(n, 1)), seed=5)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            texts = []
-            for i, t in enumerate(part.column("text").to_pylist()):
-                x = (t or "").split()
-                at = (len(x) * 7919 + i) % max(1, len(x) - PASSAGE + 1)
-                texts.append(" ".join(x[at : at + PASSAGE]))
-            yield pa.record_batch([pa.array(texts, pa.string())], names=["text"])
-
-    # the scan keeps its width; the few passages are brought together after it
-    passages = staged(passages.mapInArrow(cut, "text string").repartition(8), "passages")
-    around = [r["text"] for r in passages.orderBy(F.xxhash64("text")).limit(AROUND).collect()]
-    around = words(pa.array(around, pa.string()), lower=True).hash
+    coded = _coded(docs, terms)
+    n, df = _document_frequencies(coded, len(terms))
+    owns, items, bases = [], [], []
     for space in spaces:
-        _fit(space, passages, n, df[np.searchsorted(terms, space.terms)])
-        space.limits = _limits(space, around)
+        at = np.searchsorted(terms, space.terms)
+        own = np.full(len(terms), -1)
+        own[at] = np.arange(len(at))
+        owns.append(own)
+        # words of many documents weigh least, but no word weighs nothing: an item that sits in a third of all rows has only such words
+        space.idf = np.maximum(np.log((n + 1) / (df[at] + 1)), FLOOR * np.log(n + 2))
+        row = np.repeat(np.arange(len(space.item_words)), [len(x) for x in space.item_words])
+        r, t, count = _counted(row, space.find(np.concatenate(space.item_words))[0], len(space.terms))
+        items.append((r, t, _weighted(r, t, count, len(space.item_words), space.idf)[0], len(space.item_words)))
+        size = min(RANK + OVERSAMPLE, len(space.terms))
+        bases.append(np.linalg.qr(np.random.default_rng(3).standard_normal((len(space.terms), size)))[0])
+    rows = coded.agg(F.sum(F.size("pieces"))).first()[0] or 0
+
+    def products(moments: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        found, sums = _corpus_sums(coded, spaces, owns, bases, moments)
+        # the items weigh as much as all passages
+        return [x + max(1.0, rows / len(space.item_words)) * _gram(*own, basis) for x, space, own, basis in zip(found, spaces, items, bases, strict=True)], sums
+
+    for _ in range(TURNS):
+        bases = [np.linalg.qr(x)[0] for x in products()[0]]
+    for space, own, basis, product, sums in zip(spaces, owns, bases, *products(True), strict=True):
+        small = basis.T @ product
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        turn = turn[:, np.argsort(-values)[:RANK]]
+        _place(space, basis @ turn, df[own >= 0])
+        space.limits = _limits(space, *_spread(sums, turn))
         space.signs = _signs(space)
     return spaces
 
 
-def _fit(space: Space, passages: DataFrame, n: int, df: np.ndarray) -> None:
-    # words of many documents weigh least, but no word weighs nothing: an item that sits in a third of all rows has only such words
-    space.idf = np.maximum(np.log((n + 1) / (df + 1)), FLOOR * np.log(n + 2))
-    size = min(RANK + OVERSAMPLE, len(space.terms))
-    own = words(pa.array([""], pa.string()))
-    own.docs, own.hash, own.doc = len(space.item_words), np.concatenate(space.item_words), np.repeat(np.arange(len(space.item_words)), [len(x) for x in space.item_words])
-    items = _weighted(own, space)
-
-    def products(basis: np.ndarray) -> np.ndarray:
-        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, rows = np.zeros_like(basis), 0
-            for part in chunks(batches):
-                w = words(part.column("text"), lower=True)
-                total += _gram(*_weighted(w, space), w.docs, basis)
-                rows += w.docs
-            yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([rows], pa.int64())], names=["product", "rows"])
-
-        parts = passages.coalesce(8).mapInArrow(multiply, "product binary, rows long").collect()
-        rows = sum(r["rows"] for r in parts)
-        total = sum(np.frombuffer(r["product"], float).reshape(basis.shape) for r in parts)
-        return total + max(1.0, rows / len(space.item_words)) * _gram(*items, len(space.item_words), basis)
-
-    basis = np.linalg.qr(np.random.default_rng(3).standard_normal((len(space.terms), size)))[0]
-    for _ in range(TURNS):
-        basis = np.linalg.qr(products(basis))[0]
-    small = basis.T @ products(basis)
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(-values)[:RANK]
-    right = basis @ turn[:, best]
+def _place(space: Space, right: np.ndarray, df: np.ndarray) -> None:
+    """Vectors of the terms and items, and the answers that the benchmark does not give."""
     space.vectors = np.ascontiguousarray(space.idf[:, None] * right, np.float32)
     queries = np.stack([space.vectors[space.find(x)[0]].sum(0) for x in space.item_words])
     space.queries = np.ascontiguousarray(queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9), np.float32)
@@ -220,6 +293,16 @@ def _fit(space: Space, passages: DataFrame, n: int, df: np.ndarray) -> None:
             space.answers[i] = set(rare.tolist())
 
 
+def _spread(sums: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean vector of a word of the corpus, and a root of the covariance, per word, of its passages."""
+    width = len(turn)
+    n, nn = sums[:2]
+    p, np_, pp = sums[2 : 2 + width] @ turn, sums[2 + width : 2 + 2 * width] @ turn, turn.T @ sums[2 + 2 * width :].reshape(width, width) @ turn
+    mean = p / max(n, 1.0)
+    values, axes = np.linalg.eigh((pp - np.outer(np_, mean) - np.outer(mean, np_) + nn * np.outer(mean, mean)) / max(n, 1.0))
+    return mean, axes * np.sqrt(np.maximum(values, 0))
+
+
 def _classes(sizes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """Window width (the longest), stride (from the shortest) and items of every class: lengths within a factor of ``SPREAD``."""
     rest = np.unique(sizes)
@@ -242,10 +325,12 @@ def _signs(space: Space) -> list[tuple[np.ndarray, int]]:
     return out
 
 
-def _limits(space: Space, around: np.ndarray) -> np.ndarray:
-    """Least cosine of every item with windows that hold it, shifted by up to half a stride and with words replaced."""
-    at, known = space.find(around)
-    prefix = np.cumsum(np.concatenate([np.zeros((1, space.vectors.shape[1])), np.where(known[:, None], space.vectors[at], 0)]), axis=0)
+def _limits(space: Space, mean: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Least cosine of every item with windows that hold it, shifted by up to half a stride and with words replaced.
+
+    The other words of a window are drawn as the corpus spreads: ``mean`` and
+    ``root`` are those of all its passages.
+    """
     rng, out = np.random.default_rng(11), np.full(len(space.item_words), COSINE)
     for width, stride, items in _classes(np.array([len(x) for x in space.item_words])):
         for i in items.tolist():
@@ -255,9 +340,8 @@ def _limits(space: Space, around: np.ndarray) -> np.ndarray:
             own = (place >= begin) & (place < begin + width) & (rng.random((TRIALS, len(x))) < share)
             # an item with fewer words left than counts is none
             own = own[own.sum(1) >= LCS_SHARE * len(x)]
-            other = np.minimum(width - own.sum(1), len(around))
-            start = rng.integers(0, len(around) - other + 1)
-            p = own @ space.vectors[space.find(x)[0]] + prefix[start + other] - prefix[start]
+            other = (width - own.sum(1))[:, None]
+            p = own @ space.vectors[space.find(x)[0]] + other * mean + np.sqrt(other) * (rng.standard_normal((len(own), len(mean))) @ root.T)
             cosine = p @ space.queries[i] / np.maximum(np.linalg.norm(p, axis=1), 1e-6)
             out[i] = min(COSINE, cosine.min(initial=COSINE))
     return out

@@ -7,11 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spectraloom.llm import collocations, fim, katz, langid, queries, tokens
+from spectraloom.llm import collocations, decontam, fim, katz, langid, queries, tokens
+from spectraloom.llm.common import words
 from spectraloom.llm.tokens import default_path
 from tests.check import compare
 from tests.llm.test_llm import none, odd  # noqa: F401
@@ -264,3 +266,42 @@ def test_pipeline_stages_on_awkward_tables(spark, odd, none):  # noqa: F811
     # a column named keep says nothing; untouched rows keep their n_chars
     kept = corpus_pipeline.drop_repeated_lines(spark, odd, "")
     assert kept.count() == odd.count() and {r.n_chars for r in kept.where("doc_id = 4").collect()} <= {None, 7}
+
+
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(decontam, "_limits", lambda space, mean, root: drawn.append((mean, root)) or np.full(2, decontam.COSINE))
+    rng = np.random.default_rng(21)
+    terms = [f"t{i}" for i in range(40)]
+    # the start of a long text and its rest speak of different things
+    texts = [" ".join([*rng.choice(terms[:8], 64), *rng.choice([*terms[8:], "other"], int(rng.integers(0, 700)))]) for _ in range(60)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    space = decontam._items([{"text": " ".join(terms[i::2]), "answer": None, "item_id": i} for i in range(2)])
+    (space,) = decontam.fit_spaces(docs, [space])
+    number = {h: i for i, h in enumerate(space.terms.tolist())}
+    code = dict(zip(terms, (number[h] for h in words(pa.array([" ".join(terms)]), lower=True).hash.tolist()), strict=True))
+    pieces = [x[i : i + 64] for x in ((t or "").split() for t in texts) for i in range(0, len(x), 64)]
+    df = np.zeros(40)
+    for t in texts:
+        df[[code[x] for x in set((t or "").split()) if x in code]] += 1
+    idf = np.maximum(np.log((len(texts) + 1) / (df + 1)), decontam.FLOOR * np.log(len(texts) + 2))
+    assert np.allclose(space.idf, idf)
+
+    def unit(lists):
+        x = np.zeros((len(lists), 40))
+        for i, p in enumerate(lists):
+            for word in p:
+                if word in code:
+                    x[i, code[word]] += idf[code[word]]
+        return x, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    (raw, rows), (_, items) = unit(pieces), unit([terms[0::2], terms[1::2]])
+    values, axes = np.linalg.eigh(rows.T @ rows + len(pieces) / 2 * items.T @ items)
+    got = space.vectors / idf[:, None]
+    # without signs: the space of the five strongest directions
+    assert np.abs(got[:, :5] @ got[:, :5].T - axes[:, :-6:-1] @ axes[:, :-6:-1].T).max() < 1e-3
+    size = np.array([len(p) for p in pieces], float)
+    p, mean = raw @ got, (raw @ got).sum(0) / size.sum()
+    rest = p - size[:, None] * mean
+    ((got_mean, got_root),) = drawn
+    assert np.abs(got_mean - mean).max() < 1e-4 and np.abs(got_root @ got_root.T - rest.T @ rest / size.sum()).max() < 1e-3
