@@ -36,6 +36,8 @@ from spectraloom.operators.graph import connected_components
 SHINGLE, SIMILARITY = 5, 0.8
 #: components of a signature and components per band; a pair at 0.8 is missed with probability 3e-6
 COMPONENTS, BAND = 96, 4
+#: bytes of text whose signatures are made at once
+SLICE = 1_000_000
 #: open texts that have a shingle, up to which pairs are listed from it
 RARE = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -118,6 +120,18 @@ def band_hashes(signature: np.ndarray, band: int = BAND) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Band hashes of every text, a slice at a time: the arrays of a slice take some fifty times its bytes."""
+    for part in chunks(batches, SLICE):
+        doc, h, count = _multiset(*shingles(words(part.column("text"))))
+        signature = signatures(doc, h, count, part.num_rows)
+        bands = band_hashes(signature)
+        empty = np.isinf(signature[:, 0])
+        width = bands.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, width))]), pa.int32()), pa.array(bands[~empty].ravel()))
+        yield pa.record_batch([part.column("doc_id"), part.column("digest"), lists], names=["doc_id", "digest", "bands"])
+
+
 def similarities(left: pa.Array, right: pa.Array, size: int = SHINGLE) -> np.ndarray:
     """Weighted Jaccard of shingle multisets, row by row."""
     n = len(left)
@@ -204,17 +218,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.md5("text")))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, 6_000_000):
-            doc, h, count = _multiset(*shingles(words(part.column("text")), size))
-            signature = signatures(doc, h, count, part.num_rows)
-            bands = band_hashes(signature)
-            empty = np.isinf(signature[:, 0])
-            width = bands.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, width))]), pa.int32()), pa.array(bands[~empty].ravel()))
-            yield pa.record_batch([part.column("doc_id"), part.column("digest"), lists], names=["doc_id", "digest", "bands"])
-
-    signed = staged(rows.mapInArrow(sign, "doc_id long, digest binary, bands array<long>"), "signatures")
+    signed = staged(rows.mapInArrow(_signed, "doc_id long, digest binary, bands array<long>"), "signatures")
     nodes = staged(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     full = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "full-buckets")

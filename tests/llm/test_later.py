@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spectraloom.llm import collocations, decontam, fim, katz, langid, queries, tokens
+from spectraloom.llm import bagminhash, collocations, decontam, fim, katz, langid, queries, tokens
 from spectraloom.llm.common import words
 from spectraloom.llm.tokens import default_path
 from tests.check import compare
@@ -305,3 +306,15 @@ def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
     rest = p - size[:, None] * mean
     ((got_mean, got_root),) = drawn
     assert np.abs(got_mean - mean).max() < 1e-4 and np.abs(got_root @ got_root.T - rest.T @ rest / size.sum()).max() < 1e-3
+
+
+def test_signatures_take_bounded_memory():
+    rng = np.random.default_rng(8)
+    texts = pa.array([" ".join(map(str, rng.integers(0, 10**7, 300))) for _ in range(2500)])
+    batch = pa.record_batch([pa.array(range(2500), pa.int64()), pa.array([b"x"] * 2500), texts], names=["doc_id", "digest", "text"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in bagminhash._signed(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # one slice of all 6 MB takes some 200 MB
+    assert rows == 2500 and batch.nbytes > 5_500_000 and peak < 80_000_000
