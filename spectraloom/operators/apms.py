@@ -449,14 +449,17 @@ def bfdr(df: DataFrame, score: str) -> DataFrame:
 
 def corum_pairs(complexes: DataFrame, members: str = "subunits_gene_name", ordered: bool = True, alias: DataFrame | None = None) -> DataFrame:
     """Member pairs of each complex: every ordered pair and self, or ``gene1 < gene2``."""
-    c = complexes.select("complex_id", "complex_name", F.array_distinct(F.split(members, ";")).alias("_m"))
-    one = c.select("complex_id", "complex_name", "_m", F.explode("_m").alias("gene1"))
-    second = F.col("_m") if ordered else F.filter("_m", lambda x: x > F.col("gene1"))
+    # rows of one complex are brought together, so its pairs are distinct as they come and are never gathered
+    c = complexes.select("complex_id", "complex_name", F.split(members, ";").alias("_m")).groupBy("complex_id", "complex_name").agg(F.collect_set("_m").alias("_sets"))
+    one = c.select("complex_id", "complex_name", "_sets", F.explode(F.array_distinct(F.flatten("_sets"))).alias("gene1"))
+    with_one = F.array_distinct(F.flatten(F.filter("_sets", lambda s: F.array_contains(s, F.col("gene1")))))
+    second = with_one if ordered else F.filter(with_one, lambda x: x > F.col("gene1"))
     p = one.select("complex_id", "complex_name", "gene1", F.explode(second).alias("gene2"))
-    if alias is not None:
-        for side in ("gene1", "gene2"):
-            a = alias.select(F.col("alias").alias(side), F.col("symbol").alias("_s"))
-            p = p.join(a, side, "left").withColumn(side, F.coalesce("_s", side)).drop("_s")
+    if alias is None:
+        return p
+    for side in ("gene1", "gene2"):
+        a = alias.select(F.col("alias").alias(side), F.col("symbol").alias("_s"))
+        p = p.join(a, side, "left").withColumn(side, F.coalesce("_s", side)).drop("_s")
     return p.distinct()
 
 
