@@ -21,7 +21,7 @@ from spectraloom.functions import distributions as dist
 from spectraloom.functions.columns import first_row, ratio
 from spectraloom.functions.local import local_values, robust_trend
 from spectraloom.functions.ordered import exact_median, exact_quantile, rank_table
-from spectraloom.functions.session import attach, cut, spread
+from spectraloom.functions.session import attach, cut, shuffle_width, spread
 from spectraloom.operators.apms import _huber
 from spectraloom.operators.cluster import complete_linkage, linkage_on_line
 from spectraloom.operators.models import unit_vectors
@@ -119,17 +119,20 @@ def _zero_filled(gram: DataFrame, total: float) -> DataFrame:
 
 def sample_correlation(df: DataFrame, value: str = "intensity_totalScaled") -> DataFrame:
     """Whole-profile Pearson r between samples, absent cells zero."""
-    g = column_gram(df.withColumn("_x", F.coalesce(value, F.lit(0.0))), ["protein", "fraction"], "sample", "_x")
+    df = cut(df.select("protein", "fraction", "sample", F.coalesce(value, F.lit(0.0)).alias("_x")))
+    g = column_gram(df, ["protein", "fraction"], "sample", "_x")
     n = df.select("protein", "fraction").distinct().count()
     return _zero_filled(g, n).select("a", "b", F.col("pearson").alias("r"))
 
 
 def shifted_sample_correlation(df: DataFrame, start: int = 15, end: int = 60, radius: int = 5, value: str = "intensity_totalScaled") -> DataFrame:
     """Correlation of each reference sample with every sample moved by -radius..radius, zero padded."""
-    d = df.where(F.col("fraction").between(start, end))
+    d = df.where(F.col("fraction").between(start, end)).select("protein", "fraction", "sample", F.col(value).alias("x"))
+    # by protein, so that the moved cells of a protein meet where they are made
+    d = cut(d.repartition(shuffle_width(df.sparkSession), "protein"))
     n = d.select("protein").distinct().count() * (d.select("fraction").distinct().count() + 2 * radius)
     d = d.withColumn("o", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).select(
-        "protein", (F.col("fraction") - F.col("o")).alias("at"), F.concat_ws(CELL, "sample", F.col("o").cast("string")).alias("col"), F.col(value).alias("x")
+        "protein", (F.col("fraction") - F.col("o")).alias("at"), F.concat_ws(CELL, "sample", F.col("o").cast("string")).alias("col"), "x"
     )
     c = _zero_filled(column_gram(d, ["protein", "at"], "col", "x"), n).select("a", "b", F.col("pearson").alias("r"))
     both = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "r"))
