@@ -37,7 +37,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: components of a signature and components per band; a pair at 0.8 is missed with probability 3e-6
 COMPONENTS, BAND = 96, 4
 #: bytes of text whose signatures are made at once
-SLICE = 1_000_000
+SLICE = 500_000
 #: open texts that have a shingle, up to which pairs are listed from it
 RARE = 32
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -123,13 +123,14 @@ def band_hashes(signature: np.ndarray, band: int = BAND) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Band hashes of every text, a slice at a time: the arrays of a slice take some fifty times its bytes."""
     for part in chunks(batches, SLICE):
-        doc, h, count = _multiset(*shingles(words(part.column("text"))))
+        w = words(part.column("text"))
+        doc, h, count = _multiset(*shingles(w))
         signature = signatures(doc, h, count, part.num_rows)
         bands = band_hashes(signature)
         empty = np.isinf(signature[:, 0])
         width = bands.shape[1]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(empty, 0, width))]), pa.int32()), pa.array(bands[~empty].ravel()))
-        yield pa.record_batch([part.column("doc_id"), part.column("digest"), lists], names=["doc_id", "digest", "bands"])
+        yield pa.record_batch([part.column("doc_id"), part.column("digest"), lists, pa.array(np.diff(w.bounds), pa.int64())], names=["doc_id", "digest", "bands", "words"])
 
 
 def similarities(left: pa.Array, right: pa.Array, size: int = SHINGLE) -> np.ndarray:
@@ -150,14 +151,21 @@ def similarities(left: pa.Array, right: pa.Array, size: int = SHINGLE) -> np.nda
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Pairs (src, dst) whose whole multisets reach ``similarity``."""
+    """Pairs (src, dst) whose whole multisets reach ``similarity``.
+
+    What two multisets have in common is at most the smaller one: pairs whose
+    numbers of shingles already keep them apart are not sent with their texts.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks([batch]):
+            for part in chunks([batch], SLICE, ("text", "other")):
                 good = similarities(part.column("text"), part.column("other"), size) >= similarity - 1e-12
                 yield part.select(["src", "dst"]).filter(pa.array(good))
 
+    n = texts.select("node", F.when(F.col("words") > 0, F.greatest(F.col("words") - (size - 1), F.lit(1))).otherwise(0).alias("n"))
+    sized = pairs.join(n.select(F.col("node").alias("src"), F.col("n").alias("n_src")), "src").join(n.select(F.col("node").alias("dst"), F.col("n").alias("n_dst")), "dst")
+    pairs = sized.where(F.least("n_src", "n_dst") >= (similarity - 1e-9) * F.greatest("n_src", "n_dst")).select("src", "dst")
     both = pairs.join(texts.select(F.col("node").alias("src"), "text"), "src").join(texts.select(F.col("node").alias("dst"), F.col("text").alias("other")), "dst")
     return both.select("src", "dst", "text", "other").mapInArrow(check, "src long, dst long")
 
@@ -218,16 +226,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.md5("text")))
 
-    signed = staged(rows.mapInArrow(_signed, "doc_id long, digest binary, bands array<long>"), "signatures")
-    nodes = staged(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    signed = staged(rows.mapInArrow(_signed, "doc_id long, digest binary, bands array<long>, words long"), "signatures")
+    nodes = staged(signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("words").alias("words")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("bucket"))
     full = staged(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "full-buckets")
     buckets = staged(banded.join(full, "bucket"), "shared-buckets")
     # the text that most others resemble meets most of them in its buckets: the best hub
     central = staged(buckets.groupBy("node").agg(F.sum("n").alias("met")), "central")
     buckets = staged(buckets.drop("n").join(central, "node"), "buckets")
-    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("d"), "rep")
-    texts = staged(rows.join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text"), "texts")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("digest").alias("d"), "rep", "words")
+    texts = staged(rows.join(wanted, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text", "words"), "texts")
 
     tested = edges = component = None
     turn = 0

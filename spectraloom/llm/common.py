@@ -17,7 +17,7 @@ from spectraloom.functions.session import checkpoint_dir, shuffle_width
 __all__ = ["Words", "chunks", "checkpoint_dir", "factorize", "free_names", "lines_of", "mix", "new_folder", "row_key", "segments", "shuffle_width", "staged", "text_bytes", "words"]
 
 #: bytes of text that one vectorised step holds at once; a single longer text is its own step
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -113,13 +113,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into slices of bounded text size."""
+def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES, columns: tuple[str, ...] = ("text",)) -> Iterator[pa.RecordBatch]:
+    """Cut record batches into slices of bounded text size, that of all ``columns`` together."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-        total = np.cumsum(size.astype(np.int64) + 64)
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        total = np.cumsum(size + 64)
         start = 0
         while start < batch.num_rows:
             base = total[start - 1] if start else 0
