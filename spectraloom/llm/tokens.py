@@ -16,8 +16,10 @@ import numpy as np
 
 from spectraloom.llm.common import factorize, segments
 
-#: distinct pieces that a worker keeps; beyond it the store starts anew
-KEPT_PIECES = 2_000_000
+#: distinct pieces that a worker keeps; beyond it those go that did not come again, and all if more than half would stay
+KEPT_PIECES = 1_500_000
+#: pieces that the library encodes at a time: what it returns takes about a kilobyte a piece
+NEW_PIECES = 5_000
 LETTER, NUMBER, OTHER, SPACE, END, UNKNOWN = 1, 2, 3, 4, 5, 6
 BREAK = 0x110000
 
@@ -82,19 +84,34 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def _drop_unused(self) -> None:
+        """Keep the pieces that came again since the last time; most pieces come once."""
+        stay = np.flatnonzero(self.again)
+        size = self.size[stay]
+        stop = np.cumsum(size, dtype=np.int64)
+        total = int(stop[-1]) if len(stop) else 0
+        self.ids = self.ids[np.arange(total) - np.repeat(stop - size, size) + np.repeat(self.at[stay], size)]
+        self.keys, self.at, self.size, self.again = self.keys[stay], stop - size, size, np.zeros(len(stay), bool)
 
     def _keep(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        """Remember pieces for later calls; a full store starts anew."""
+        """Remember pieces for later calls; a full store drops pieces that did not come again."""
         if len(self.keys) + len(keys) > KEPT_PIECES:
-            self._reset()
+            self._drop_unused()
+            if 2 * max(len(self.keys), len(keys)) > KEPT_PIECES:
+                self._reset()
         if len(keys) > KEPT_PIECES:
             return
-        at = len(self.ids) + np.cumsum(size) - size
+        order = np.argsort(keys)
+        at = (len(self.ids) + np.cumsum(size) - size)[order]
         self.ids = np.concatenate([self.ids, ids])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        # both are sorted: merged, not sorted again
+        into = np.searchsorted(self.keys, keys[order])
+        self.at, self.size = np.insert(self.at, into, at), np.insert(self.size, into, size[order])
+        self.again = np.insert(self.again, into, False)
+        self.keys = np.insert(self.keys, into, keys[order])
 
     def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -126,14 +143,19 @@ class Encoder:
         place, known = self._places(keys)
         sizes, starts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         sizes[known], starts[known] = self.size[place[known]], self.at[place[known]]
+        self.again[place[known]] = True
         table = self.ids
         if not known.all():
             first = np.empty(len(keys), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             new = np.flatnonzero(~known)
-            got = [e.ids for e in self.tokenizer.encode_batch_fast([joined[begin[first[i]] : end[first[i]]] for i in new], add_special_tokens=False)]
-            sizes[new] = np.fromiter(map(len, got), np.int64, len(got))
-            fresh = np.array([i for x in got for i in x], np.uint32)
+            parts = []
+            for low in range(0, len(new), NEW_PIECES):
+                some = new[low : low + NEW_PIECES]
+                got = [e.ids for e in self.tokenizer.encode_batch_fast([joined[begin[first[i]] : end[first[i]]] for i in some], add_special_tokens=False)]
+                sizes[some] = np.fromiter(map(len, got), np.int64, len(got))
+                parts.append(np.fromiter((i for x in got for i in x), np.uint32))
+            fresh = np.concatenate(parts)
             starts[new] = len(table) + np.cumsum(sizes[new]) - sizes[new]
             table = np.concatenate([table, fresh])
             self._keep(keys[new], sizes[new], fresh)
