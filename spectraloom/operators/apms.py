@@ -15,7 +15,7 @@ from spectraloom.functions.columns import pack_sorted_distinct, ratio
 from spectraloom.functions.ordered import add_order, ecdf, exact_quantile, running_totals
 from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.graph import hop_distances, one_edge_per_node, spanning_forest
-from spectraloom.operators.relational import complete_grid, dense_index, level_pairs, meeting, permuted_index, permuted_places, shared_counts
+from spectraloom.operators.relational import complete_grid, dense_index, level_pairs, meeting, permuted_index, permuted_sets, shared_counts
 from spectraloom.operators.significance import welch_from_moments
 
 
@@ -293,7 +293,7 @@ def specificity_permutation(counts: DataFrame, n_perm: int = 1000, seed: int = 1
 
     ``counts`` is complete (prey x run); every bait has the same number of runs.
     """
-    runs = counts.select("run", "bait").distinct()
+    runs = cut(counts.select("run", "bait").distinct())
     reps = runs.groupBy("bait").agg(F.count(F.lit(1)).alias("n")).select("n").distinct().count()
     if reps != 1:
         raise ValueError("baits differ in their number of runs")
@@ -310,23 +310,24 @@ def specificity_permutation(counts: DataFrame, n_perm: int = 1000, seed: int = 1
         out = np.zeros(len(real), np.int64)
         for i in range(len(spots)):
             own, share = at[start[i] : start[i + 1]], real[limit[i] : limit[i + 1]]
-            seed = np.repeat(keys[i], len(own))
-            moved = bait_of[permuted_places(np.tile(own, n_perm), seed, np.uint64(size))]
-            drawn = np.bincount(np.repeat(np.arange(n_perm), len(own)) * len(number) + moved, np.tile(flat[start[i] : start[i + 1]], n_perm), n_perm * len(number))
+            moved = bait_of[permuted_sets(own, keys[i], size)] + np.arange(n_perm)[:, None] * len(number)
+            drawn = np.bincount(moved.ravel(), np.tile(flat[start[i] : start[i + 1]], n_perm), n_perm * len(number))
             null = np.sort(drawn / total[i])
             out[limit[i] : limit[i + 1]] = len(null) - np.searchsorted(null, share, "left")
         return pa.ListArray.from_arrays(pa.array(limit, pa.int32()), pa.array(out))
 
-    d = counts.join(place.select("run", "idx"), "run").where((F.col("spc") != 0) & F.col("prey").isNotNull())
-    cells = d.groupBy("prey").agg(F.collect_list(F.struct("idx", F.col("spc").cast("double").alias("spc"))).alias("_l"))
-    total = counts.groupBy("prey").agg(F.sum("spc").cast("double").alias("_t"))
-    actual = specificity(counts).where(F.col("specificity").isNotNull()).groupBy("prey").agg(F.collect_list(F.struct("bait", "specificity")).alias("_s"))
-    none = F.lit([]).cast("array<struct<idx: bigint, spc: double>>")
-    preys = actual.join(total, "prey").join(cells, "prey", "left").withColumn("_l", F.coalesce("_l", none))
+    # the runs, which the driver has seen, go to the rows; a prey's baits, cells and totals are gathered in one pass
+    spots = F.broadcast(place.groupBy("run").agg(F.collect_list("idx").alias("_at")))
+    rows = counts.where(F.col("prey").isNotNull()).join(spots, "run", "left")
+    cell = F.when(F.col("spc") != 0, F.transform("_at", lambda i: F.struct(i.alias("idx"), F.col("spc").cast("double").alias("spc"))))
+    by = rows.groupBy("prey", "bait").agg(F.sum("spc").alias("_b"), F.sum(F.col("spc").cast("double")).alias("_d"), F.flatten(F.collect_list(cell)).alias("_c"))
+    preys = by.groupBy("prey").agg(F.sum("_b").alias("_n"), F.sum("_d").alias("_t"), F.flatten(F.collect_list("_c")).alias("_l"), F.collect_list(F.struct("bait", "_b")).alias("_s"))
+    shares = F.transform("_s", lambda x: F.struct(x["bait"].alias("bait"), ratio(x["_b"], F.col("_n")).alias("specificity")))
+    preys = spread(preys.withColumn("_s", F.filter(shares, lambda x: x["specificity"].isNotNull())).where(F.size("_s") > 0), "prey")
     # a prey is one record: its permutations are drawn and counted where it lies
     seeds = F.transform(F.sequence(F.lit(1), F.lit(n_perm)), lambda p: F.xxhash64("prey", p, F.lit(seed)))
     n = F.arrow_udf(hits, "array<bigint>")("_l.idx", "_l.spc", seeds, "_t", "_s.specificity")
-    rows = spread(preys, "prey").select("prey", F.explode(F.arrays_zip(F.col("_s").alias("s"), n.alias("n"))).alias("_x"))
+    rows = preys.select("prey", F.explode(F.arrays_zip(F.col("_s").alias("s"), n.alias("n"))).alias("_x"))
     reached = F.when(F.col("_x.s.specificity") <= 0, n_perm * n_bait).otherwise(F.col("_x.n"))
     return rows.select("prey", F.col("_x.s.bait").alias("bait"), F.col("_x.s.specificity").alias("specificity"), (reached / (n_perm * n_bait)).alias("pvalue"))
 
