@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from spectraloom.functions import distributions as dist
 from spectraloom.functions.columns import pack_sorted_distinct, ratio
-from spectraloom.functions.ordered import add_order, ecdf, exact_quantile, running_totals
+from spectraloom.functions.ordered import add_order, ecdf_table, exact_quantile, running_totals
 from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.graph import hop_distances, one_edge_per_node, spanning_forest
 from spectraloom.operators.relational import complete_grid, dense_index, level_pairs, meeting, permuted_index, permuted_sets, shared_counts
-from spectraloom.operators.significance import welch_from_moments
+from spectraloom.operators.significance import welch_from_moments  # noqa: F401  the plans take it from here
 
 
 # --- imputation and robust Z ----------------------------------------------------
@@ -153,6 +153,15 @@ def _fit_missing(y: np.ndarray, m: np.ndarray, real: np.ndarray, low: float, off
     return level[:, None] + slope[:, None] * m, np.broadcast_to(sd[:, None], y.shape)
 
 
+def _records(df: DataFrame) -> DataFrame:
+    """One record a prey, its rows in ``_l``; rows without a prey lie apart, in small ones.
+
+    Rows that lie by prey already, as those of a grid do, are not dealt out again.
+    """
+    apart = F.when(F.col("preyProtein").isNull(), F.pmod(F.xxhash64(*df.columns), F.lit(100_000))).alias("_apart")
+    return df.groupBy("preyProtein", apart).agg(F.collect_list(F.struct(*df.columns)).alias("_l")).drop("_apart")
+
+
 def impute_missing_by_prey(df: DataFrame, floor: float | None = None, offset: float = 2.0, min_sd: float = 0.33, seed: int = 42) -> DataFrame:
     """Fill missing log2 intensities per prey from how many replicates each bait misses.
 
@@ -161,17 +170,21 @@ def impute_missing_by_prey(df: DataFrame, floor: float | None = None, offset: fl
     at most one row per run. Adds ``predicted, SD, replaceNA``. A prey is one
     record, and the lines of all preys of a batch are fitted at once.
     """
+    columns = ["preyProtein", "run", *[c for c in df.columns if c not in ("preyProtein", "run")], "predicted", "SD", "replaceNA"]
+    rows = _imputed(df, floor, offset, min_sd, seed).select("preyProtein", F.explode("_l").alias("_r"))
+    return rows.select("preyProtein", *[F.col(f"_r.{c}").alias(c) for c in columns[1:]])
+
+
+def _imputed(df: DataFrame, floor: float | None = None, offset: float = 2.0, min_sd: float = 0.33, seed: int = 42) -> DataFrame:
+    """The records of ``impute_missing_by_prey``: a prey's rows with what is added to them."""
     if floor is None:
         floor = exact_quantile(df.select("log2Intensity"), [], "log2Intensity", 0.01, "q").first()["q"]
     low = float(floor)
-    known = F.col("preyProtein").isNotNull() & F.col("bait").isNotNull()
-    value = F.coalesce(F.col("log2Intensity").cast("double"), F.lit(float("nan")))
-    rows = spread(df.where(known), "preyProtein").groupBy("preyProtein").agg(F.collect_list(F.struct(F.struct(*df.columns).alias("row"), value.alias("y"))).alias("_l"))
 
     @F.arrow_udf("array<struct<predicted: double, SD: double>>")
     def fit(ys: pa.Array, gone: pa.Array, baits: pa.Array) -> pa.Array:
         start, (names, code) = _starts(ys), _codes(baits)
-        cell = np.repeat(np.arange(len(ys)), np.diff(start)) * len(names) + code
+        cell = np.repeat(np.arange(len(ys)), np.diff(start)) * (len(names) + 1) + code + 1
         _, pair = np.unique(cell, return_inverse=True)
         number = np.bincount(pair, gone.flatten().to_numpy(zero_copy_only=False))[pair]
         y = ys.flatten().to_numpy(zero_copy_only=False)
@@ -186,15 +199,19 @@ def impute_missing_by_prey(df: DataFrame, floor: float | None = None, offset: fl
         there = ~np.isnan(y)
         return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.StructArray.from_arrays([pa.array(predicted, mask=there), pa.array(sd, mask=there)], ["predicted", "SD"]))
 
-    gone = F.transform("_l", lambda c: c["row"]["log2Intensity"].isNull().cast("double"))
-    cells = F.arrays_zip(F.col("_l.row").alias("row"), fit(F.col("_l.y"), gone, F.col("_l.row.bait")).alias("fit"))
-    columns = ["preyProtein", "run", *[c for c in df.columns if c not in ("preyProtein", "run")]]
-    named = F.col("_c.row.run").isNotNull()
-    out = rows.select(F.explode(cells).alias("_c")).select(*[F.col(f"_c.row.{c}").alias(c) for c in columns], *[F.when(named, F.col(f"_c.fit.{c}")).alias(c) for c in ("predicted", "SD")])
-    nothing = F.lit(None).cast("double")
-    out = out.unionByName(df.where(~known).select(*columns, nothing.alias("predicted"), nothing.alias("SD")))
-    draw = F.greatest("predicted", F.lit(low)) + F.col("SD") * _seeded_normal("preyProtein", "run", F.lit(seed))
-    return out.withColumn("replaceNA", F.coalesce("log2Intensity", draw))
+    # rows without a bait take no part: they are unknown, and of no bait's replicates
+    value = F.transform("_l", lambda r: F.coalesce(F.when(r["bait"].isNotNull(), r["log2Intensity"].cast("double")), F.lit(float("nan"))))
+    gone = F.transform("_l", lambda r: r["log2Intensity"].isNull().cast("double"))
+    d = _records(df).select("preyProtein", F.arrays_zip(F.col("_l").alias("row"), fit(value, gone, F.col("_l.bait")).alias("fit")).alias("_l"))
+
+    def filled(c: Column) -> Column:
+        row = c["row"]
+        named = row["preyProtein"].isNotNull() & row["bait"].isNotNull() & row["run"].isNotNull()
+        predicted, sd = (F.when(named, c["fit"][x]) for x in ("predicted", "SD"))
+        draw = F.greatest(predicted, F.lit(low)) + sd * _seeded_normal(row["preyProtein"], row["run"], F.lit(seed))
+        return F.struct(*[row[x].alias(x) for x in df.columns], predicted.alias("predicted"), sd.alias("SD"), F.coalesce(row["log2Intensity"], draw).alias("replaceNA"))
+
+    return d.select("preyProtein", F.transform("_l", filled).alias("_l"))
 
 
 def exclude_bait_as_prey(df: DataFrame) -> DataFrame:
@@ -221,17 +238,17 @@ def _without_groups(value: np.ndarray, group: np.ndarray, own: np.ndarray) -> li
     return [n, middle + shift, np.where(n > 1, spread, np.nan), middle, 1.4826 * _row_medians(np.abs(apart), use)]
 
 
-_OTHERS = "array<struct<at: int, n_b: bigint, m_b: double, v_b: double, median_exc: double, mad_exc: double>>"
+_TESTED = ("median_exc", "mad_exc", "t_test_p", "t_log2FC", "t_lowerCI")
 
 
-def _other_groups(values: pa.Array, groups: pa.Array) -> pa.Array:
-    """Per prey, for the first cell of each of its exclude groups: the numbers of its values outside that group."""
-    start, (names, code) = _starts(values), _codes(groups)
-    prey = np.repeat(np.arange(len(values)), np.diff(start))
-    _, first = np.unique(prey * len(names) + code, return_index=True)
-    first = np.sort(first)
-    of, cell = prey[first], np.diff(start)
-    flat, known = values.flatten().to_numpy(zero_copy_only=False), [np.full(len(first), np.nan) for _ in _BACKGROUND]
+def _tests_of_cells(values: pa.Array, filled: pa.Array, groups: pa.Array, baits: pa.Array) -> pa.Array:
+    """Per cell of each prey: median and MAD of the prey's filled values outside the cell's exclude group, and Welch's test of its bait's values in the group against them."""
+    start, (names, code), (bait_names, bait) = _starts(filled), _codes(groups), _codes(baits)
+    prey, cell = np.repeat(np.arange(len(filled)), np.diff(start)), np.diff(start)
+    group = prey * (len(names) + 1) + code + 1
+    _, first, back = np.unique(group, return_index=True, return_inverse=True)
+    flat, known = filled.flatten().to_numpy(zero_copy_only=False), [np.full(len(first), np.nan) for _ in _BACKGROUND]
+    of = prey[first]
     for some in _portions(cell[of]):
         width = int(cell[of[some]].max(initial=0))
         real = np.arange(width)[None, :] < cell[of[some]][:, None]
@@ -239,44 +256,71 @@ def _other_groups(values: pa.Array, groups: pa.Array) -> pa.Array:
         found = _without_groups(np.where(real, flat[at], np.nan), code[at], code[first[some]])
         for column, x in zip(known, found, strict=True):
             column[some] = x
-    fields = [pa.array((first - start[of]).astype(np.int32)), pa.array(known[0].astype(np.int64)), *(pa.array(c, mask=np.isnan(c)) for c in known[1:])]
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(values)))])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["at", *_BACKGROUND]))
+    _, cells, own = np.unique(group * (len(bait_names) + 1) + bait + 1, return_index=True, return_inverse=True)
+    v = values.flatten().to_numpy(zero_copy_only=False).astype(float)
+    there = ~np.isnan(v)
+    n_b, m_b, v_b, middle, around = (x[back[cells]] for x in known)
+    with np.errstate(all="ignore"):
+        n_t = np.bincount(own, there)
+        m_t = np.bincount(own, np.where(there, v, 0.0)) / n_t
+        v_t = np.where(n_t > 1, np.bincount(own, np.where(there, (v - m_t[own]) ** 2, 0.0)) / (n_t - 1), np.nan)
+        # as welch_from_moments: nan stands for what is unknown or divided by zero
+        estimate, qa, qb = m_t - m_b, v_t / n_t, v_b / n_b
+        error = np.sqrt(qa + qb)
+        spread = qa**2 / (n_t - 1) + qb**2 / (n_b - 1)
+        df = np.where((n_b > 1) & (spread > 0), (qa + qb) ** 2 / spread, np.nan)
+        t = np.where(error > 0, estimate / error, np.nan)
+    p, half = np.full(len(df), np.nan), np.full(len(df), np.nan)
+    ok = np.flatnonzero(~np.isnan(df))
+    half[ok] = dist.t_quantile(1 - (1 - 0.95) / 2, df[ok]) * error[ok]
+    ok = ok[~np.isnan(t[ok])]
+    p[ok] = 2 * dist.t_upper(np.abs(t[ok]), df[ok])
+    found = (x[own] for x in (middle, around, p, estimate, estimate - half))
+    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.StructArray.from_arrays([pa.array(x, mask=np.isnan(x)) for x in found], list(_TESTED)))
 
 
 def zmadex(df: DataFrame, value: str = "log2Intensity", filled: str = "replaceNA") -> DataFrame:
     """Robust Z and Welch test of each row against the other exclude groups of its prey.
 
-    A prey's values (at most one a run) are one record; the background of each of
+    A prey's rows (at most one a run) are one record; the background of each of
     its exclude groups is what is left of them without the group's own, computed
-    for all preys of a batch at once, so no self-join is needed.
+    for all preys of a batch at once. Rows are dealt out by prey at most once
+    and stay there: no join is needed.
     """
     if "excludeGlobally" not in df.columns:
         df = exclude_bait_as_prey(df)
-    usable = F.coalesce(F.when(~F.col("excludeGlobally"), F.col(filled).cast("double")), F.lit(float("nan")))
-    named = df.where(F.col("preyProtein").isNotNull() & F.col("excludeGroup").isNotNull())
-    preys = spread(named.select("preyProtein", "excludeGroup", usable.alias("v")), "preyProtein").groupBy("preyProtein").agg(F.collect_list(F.struct("v", F.col("excludeGroup").alias("g"))).alias("_l"))
-    preys = preys.select("preyProtein", F.col("_l.g").alias("_g"), F.explode(F.arrow_udf(_other_groups, _OTHERS)(F.col("_l.v"), F.col("_l.g"))).alias("_o"))
-    background = preys.select("preyProtein", F.get("_g", F.col("_o.at")).alias("excludeGroup"), *[f"_o.{c}" for c in _BACKGROUND])
-    own = df.groupBy("preyProtein", "bait", "excludeGroup").agg(F.count(value).alias("n_t"), F.avg(value).alias("m_t"), F.var_samp(value).alias("v_t"))
-    g = own.join(background, ["preyProtein", "excludeGroup"])
-    t = welch_from_moments(g).select("preyProtein", "bait", "excludeGroup", "median_exc", "mad_exc", F.col("p").alias("t_test_p"), F.col("estimate").alias("t_log2FC"), F.col("ci_low").alias("t_lowerCI"))
-    d = df.join(t, ["preyProtein", "bait", "excludeGroup"], "left")
+    return _scored(_records(df), df.columns, value, filled)
+
+
+def _scored(preys: DataFrame, columns: list[str], value: str = "log2Intensity", filled: str = "replaceNA") -> DataFrame:
+    """``zmadex`` of records of preys, whose rows have ``columns``."""
+    nan = F.lit(float("nan"))
+    usable = F.transform("_l", lambda r: F.coalesce(F.when(~r["excludeGlobally"] & r["excludeGroup"].isNotNull(), r[filled].cast("double")), nan))
+    plain = F.transform("_l", lambda r: F.coalesce(r[value].cast("double"), nan))
+    kind = f"array<struct<{', '.join(f'{c}: double' for c in _TESTED)}>>"
+    tests = F.arrow_udf(_tests_of_cells, kind)(plain, usable, F.col("_l.excludeGroup"), F.col("_l.bait"))
+    cells = preys.select("preyProtein", F.explode(F.arrays_zip(F.col("_l").alias("row"), tests.alias("t"))).alias("_c"))
+    keys = ["preyProtein", "bait", "excludeGroup"]
+    named = F.col("preyProtein").isNotNull() & F.col("_c.row.bait").isNotNull() & F.col("_c.row.excludeGroup").isNotNull()
+    own = [F.col(f"_c.row.{c}").alias(c) for c in [*keys[1:], *(c for c in columns if c not in keys)]]
+    d = cells.select("preyProtein", *own, *[F.when(named, F.col(f"_c.t.{c}")).alias(c) for c in _TESTED])
     return d.withColumn("Zmadex", ratio(F.col(value) - F.col("median_exc"), F.col("mad_exc")))
 
 
 def empirical_p(df: DataFrame, control: str = "control") -> DataFrame:
     """Upper-tail p of Zmadex against the control group's values; zeros become half the smallest p."""
     d = cut(df)
-    d = ecdf(d.where(F.col("excludeGroup") == control).select("Zmadex"), d, [], "Zmadex", "_cdf")
-    d = cut(d.withColumn("p_Z", 1 - F.col("_cdf")).drop("_cdf"))
-    least = d.where(F.col("p_Z") > 0).agg(F.min("p_Z").alias("_least"))
-    return attach(d, least).withColumn("p_Z", F.when(F.col("p_Z") == 0, F.col("_least") / 2).otherwise(F.col("p_Z"))).drop("_least")
+    # p of the distinct values, which meet the rows once
+    share = cut(ecdf_table(d.where(F.col("excludeGroup") == control).select("Zmadex"), d, [], "Zmadex", "_cdf").select("Zmadex", (1 - F.col("_cdf")).alias("p_Z")))
+    least = share.where(F.col("p_Z") > 0).agg(F.min("p_Z").alias("_least"))
+    share = attach(share, least).select(F.col("Zmadex").alias("_w"), F.when(F.col("p_Z") == 0, F.col("_least") / 2).otherwise(F.col("p_Z")).alias("p_Z"))
+    return d.join(share, F.col("Zmadex") == F.col("_w"), "left").drop("_w")
 
 
 def compute_zmadex(df: DataFrame, seed: int = 42) -> DataFrame:
     d = df if "excludeGlobally" in df.columns else exclude_bait_as_prey(df)
-    return empirical_p(zmadex(cut(impute_missing_by_prey(d, seed=seed))))
+    columns = [*d.columns, "predicted", "SD", "replaceNA"]
+    return empirical_p(_scored(_imputed(d, seed=seed), columns))
 
 
 # --- specificity ----------------------------------------------------------------
