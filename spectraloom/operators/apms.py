@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from spectraloom.functions.columns import pack_sorted_distinct, ratio
 from spectraloom.functions.ordered import add_order, ecdf_table, exact_quantile, running_totals
 from spectraloom.functions.session import attach, cut, spread
 from spectraloom.operators.graph import hop_distances, one_edge_per_node, spanning_forest
-from spectraloom.operators.relational import complete_grid, dense_index, level_pairs, meeting, permuted_index, permuted_sets, shared_counts
+from spectraloom.operators.relational import FEW_NAMES, complete_grid, dense_index, level_pairs, meeting, permuted_index, permuted_sets, shared_counts
 from spectraloom.operators.significance import welch_from_moments  # noqa: F401  the plans take it from here
 
 
@@ -427,7 +427,10 @@ def saint_spc(
     ``controlMean`` hold one value a replicate, packed in run order.
     """
     grid = complete_grid(interactions.groupBy("prey", "run").agg(F.sum("spc").alias("spc")), ["prey"], "run", "spc", 0)
-    d = grid.join(baits.select("run", "bait", "treatment"), "run").join(preys.select("prey", "preyGene"), "prey", "left")
+    # a design table goes to the grid, whose rows stay where they lie by prey
+    baits = cut(baits.select("run", "bait", "treatment"))
+    baits = F.broadcast(baits) if baits.count() <= FEW_NAMES else baits
+    d = grid.join(baits, "run").join(preys.select("prey", "preyGene"), "prey", "left")
     d = d.withColumn("spc", F.when(F.col("bait") == F.col("preyGene"), 0).otherwise(F.col("spc")).cast("double"))
     ctl = d.where(F.col("treatment") == "C").groupBy("prey").agg(F.avg("spc").alias("_m"), F.var_samp("spc").alias("_v"))
     ctl = ctl.withColumn("_m", F.greatest("_m", F.lit(0.1))).select("prey", F.col("_m").alias("controlMean"), _over_dispersion(F.col("_m"), F.col("_v")).alias("controlOmega"))
@@ -446,35 +449,45 @@ def saint_spc(
             "lpFalse": log_generalized_poisson(F.greatest(F.col("spc"), mean), mean, F.col("controlOmega")),
         }
     )
-    t = cut(t.select("run", "bait", "prey", "preyGene", "spc", "controlMean", "controlOmega", "controlSource", "foldChange", "lpTrue", "lpFalse"))
-
-    def totals(z: Column) -> tuple[float, int, float]:
-        per = t.withColumn("_z", z.cast("double")).groupBy("bait", "prey").agg(
-            F.max("spc").alias("_top"), F.avg("_z").alias("_a"), F.avg(F.when(F.col("_z") == 1, F.col("lpTrue")).otherwise(F.col("lpFalse"))).alias("_l")
-        )
-        a, b, ll = per.where(F.col("_top") > 0).agg(F.sum("_a"), F.count(F.lit(1)), F.sum("_l")).first()
+    # the replicates of a bait and prey are one record, so that a round is one sum over records
+    columns = ("run", "preyGene", "spc", "controlMean", "controlOmega", "controlSource", "foldChange", "lpTrue", "lpFalse")
+    pairs = cut(t.groupBy("bait", "prey").agg(F.collect_list(F.struct(*columns)).alias("_l")))
+
+    def mean_of(f: Callable[[Column], Column]) -> Column:
+        known = F.filter(F.transform("_l", f), lambda x: x.isNotNull())
+        return ratio(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
+
+    def totals(z: Callable[[Column], Column]) -> tuple[float, int, float]:
+        likely = mean_of(lambda r: F.when(z(r), r["lpTrue"]).otherwise(r["lpFalse"]))
+        per = pairs.where(F.array_max("_l.spc") > 0).select(mean_of(lambda r: z(r).cast("double")).alias("_a"), likely.alias("_l"))
+        a, b, ll = per.agg(F.sum("_a"), F.count(F.lit(1)), F.sum("_l")).first()
         return a or 0.0, b, ll or 0.0
 
     if beta1 is None:
         beta1 = 0.0
-        a, b, ll = totals(F.col("foldChange") > 2)
+        a, b, ll = totals(lambda r: r["foldChange"] > 2)
         old = None
         new = a * beta1 - b * math.log1p(math.exp(beta1)) + ll
         for _ in range(max_rounds):
             old = new
-            a, b, ll = totals(F.lit(beta1) + F.col("lpTrue") > F.col("lpFalse"))
+            a, b, ll = totals(lambda r: F.lit(beta1) + r["lpTrue"] > r["lpFalse"])
             beta1 = 15.0 if a >= b else (-15.0 if a <= 0 else max(-15.0, min(15.0, math.log(a / (b - a)))))
             new = a * beta1 - b * math.log1p(math.exp(beta1)) + ll
             if new >= old and math.expm1(min(new - old, 700.0)) < 1e-3:
                 break
     prior = math.exp(beta1)
-    score = prior / (prior + F.exp(F.least(F.col("lpFalse") - F.col("lpTrue"), F.lit(700.0))))
-    s = t.withColumn("saintScore", F.when((F.col("spc") <= 1) | (F.col("spc") < F.col("controlMean")), 0.0).otherwise(score))
+    def score(r: Column) -> Column:
+        chance = prior / (prior + F.exp(F.least(r["lpFalse"] - r["lpTrue"], F.lit(700.0))))
+        return F.when((r["spc"] <= 1) | (r["spc"] < r["controlMean"]), 0.0).otherwise(chance)
+
+    # a record may hold several names of its prey
+    named = pairs.select("bait", "prey", "_l", F.explode(F.array_distinct("_l.preyGene")).alias("preyGene"))
+    named = named.withColumn("_l", F.filter("_l", lambda r: r["preyGene"].eqNullSafe(F.col("preyGene"))))
     # the runs of a bait are its replicates, so these lists are as long as the design
-    by_run = F.array_sort(F.collect_list(F.struct("run", F.col("spc").cast("bigint").cast("string").alias("spc"), F.format_string("%.1f", "controlMean").alias("mean"))))
-    out = s.groupBy("bait", "prey", "preyGene").agg(
-        F.avg("spc").alias("avgSpec"), by_run.alias("_runs"), F.avg("saintScore").alias("avgScore"), F.avg("foldChange").alias("foldChange"),
-        F.max("controlOmega").alias("controlOmega"), F.array_join(F.array_sort(F.collect_set("controlSource")), "|").alias("controlSource"),
+    by_run = F.array_sort(F.transform("_l", lambda r: F.struct(r["run"].alias("run"), r["spc"].cast("bigint").cast("string").alias("spc"), F.format_string("%.1f", r["controlMean"]).alias("mean"))))
+    out = named.select(
+        "bait", "prey", "preyGene", mean_of(lambda r: r["spc"]).alias("avgSpec"), by_run.alias("_runs"), mean_of(score).alias("avgScore"), mean_of(lambda r: r["foldChange"]).alias("foldChange"),
+        F.array_max("_l.controlOmega").alias("controlOmega"), F.array_join(F.array_sort(F.array_distinct("_l.controlSource")), "|").alias("controlSource"),
     )
     packed = lambda c: F.array_join(F.transform("_runs", lambda r: r[c]), "|")
     out = out.withColumns({"treatCounts": packed("spc"), "controlMean": packed("mean")}).drop("_runs")
