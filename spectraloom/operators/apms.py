@@ -454,7 +454,8 @@ def saint_spc(
     pairs = cut(t.groupBy("bait", "prey").agg(F.collect_list(F.struct(*columns)).alias("_l")))
 
     def mean_of(f: Callable[[Column], Column]) -> Column:
-        known = F.filter(F.transform("_l", f), lambda x: x.isNotNull())
+        # in the order of the values, so that equal replicates have equal means whatever the order of the rows
+        known = F.array_sort(F.filter(F.transform("_l", f), lambda x: x.isNotNull()))
         return ratio(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
 
     def totals(z: Callable[[Column], Column]) -> tuple[float, int, float]:
