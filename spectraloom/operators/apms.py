@@ -453,9 +453,9 @@ def saint_spc(
     columns = ("run", "preyGene", "spc", "controlMean", "controlOmega", "controlSource", "foldChange", "lpTrue", "lpFalse")
     pairs = cut(t.groupBy("bait", "prey").agg(F.collect_list(F.struct(*columns)).alias("_l")))
 
-    def mean_of(f: Callable[[Column], Column]) -> Column:
-        # in the order of the values, so that equal replicates have equal means whatever the order of the rows
-        known = F.array_sort(F.filter(F.transform("_l", f), lambda x: x.isNotNull()))
+    def mean_of(f: Callable[[Column], Column], ordered: bool = False) -> Column:
+        known = F.filter(F.transform("_l", f), lambda x: x.isNotNull())
+        known = F.array_sort(known) if ordered else known
         return ratio(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
 
     def totals(z: Callable[[Column], Column]) -> tuple[float, int, float]:
@@ -484,10 +484,11 @@ def saint_spc(
     # a record may hold several names of its prey
     named = pairs.select("bait", "prey", "_l", F.explode(F.array_distinct("_l.preyGene")).alias("preyGene"))
     named = named.withColumn("_l", F.filter("_l", lambda r: r["preyGene"].eqNullSafe(F.col("preyGene"))))
-    # the runs of a bait are its replicates, so these lists are as long as the design
+    # the runs of a bait are its replicates, so these lists are as long as the design;
+    # scores are added in their order, so that equal replicates tie whatever the order of the rows
     by_run = F.array_sort(F.transform("_l", lambda r: F.struct(r["run"].alias("run"), r["spc"].cast("bigint").cast("string").alias("spc"), F.format_string("%.1f", r["controlMean"]).alias("mean"))))
     out = named.select(
-        "bait", "prey", "preyGene", mean_of(lambda r: r["spc"]).alias("avgSpec"), by_run.alias("_runs"), mean_of(score).alias("avgScore"), mean_of(lambda r: r["foldChange"]).alias("foldChange"),
+        "bait", "prey", "preyGene", mean_of(lambda r: r["spc"]).alias("avgSpec"), by_run.alias("_runs"), mean_of(score, ordered=True).alias("avgScore"), mean_of(lambda r: r["foldChange"]).alias("foldChange"),
         F.array_max("_l.controlOmega").alias("controlOmega"), F.array_join(F.array_sort(F.array_distinct("_l.controlSource")), "|").alias("controlSource"),
     )
     packed = lambda c: F.array_join(F.transform("_runs", lambda r: r[c]), "|")
